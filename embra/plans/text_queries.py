@@ -1,3 +1,51 @@
-"""Registered queries."""
+"""Text preprocessing queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import (decode_html, deaccent, simple_preprocess, simple_preprocess_sql,
+                              to_unicode, to_utf8, tokenize, tokenize_sql)
+from ..tables import table
+from .registry import register
+
+
+@register("tokenize", sql=f"SELECT doc_id, {tokenize_sql('text', lower=False)} AS tokens FROM documents")
+def q_tokenize(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", tokenize("text").alias("tokens"))
+
+
+@register("simple_preprocess",
+          sql=f"SELECT doc_id, {simple_preprocess_sql('text')} AS words FROM documents")
+def q_simple_preprocess(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", simple_preprocess("text").alias("words"))
+
+
+@register("deaccent", sql="SELECT doc_id, strip_accents(text) AS text FROM documents")
+def q_deaccent(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", deaccent("text").alias("text"))
+
+
+@register("decode_html")
+def q_decode_html(spark, sf):
+    """Entity decoding of raw pages (no SQL twin: the entity rules need a
+    table of names; checked by unit tests against the docstring cases)."""
+    p = table(spark, sf, "pages")
+    return p.select("page_id", decode_html("html").alias("text"))
+
+
+@register("to_unicode", sql="SELECT page_id, html AS text, octet_length(encode(html)) AS n_bytes FROM pages")
+def q_to_unicode(spark, sf):
+    """bytes -> text -> bytes round trip with strict UTF-8 validation."""
+    p = table(spark, sf, "pages").select("page_id", to_utf8("html").alias("b"))
+    return p.select("page_id", to_unicode("b").alias("text"), F.octet_length("b").alias("n_bytes"))
+
+
+@register("preprocess_docs", sql=f"""
+SELECT doc_id, lang, source, n_chars, {simple_preprocess_sql('text')} AS tokens FROM documents""")
+def q_preprocess_docs(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.withColumn("tokens", simple_preprocess("text")).drop("text")

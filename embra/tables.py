@@ -5,10 +5,11 @@ corpus schema: line_no long, cat_id string, sent_id string, words array<string>
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import simple_preprocess
+from .operators.ordering import dense_index
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -19,30 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def dense_index(df: DataFrame, order: list, name: str = "idx",
-                num_partitions: int | None = None) -> DataFrame:
-    """0-based position of every row in ``order`` (a total order).
-
-    Equivalent to ``row_number() over (order by ...) - 1`` without pulling
-    the data into one partition: range-partition and sort, number rows
-    within each partition by ``monotonically_increasing_id`` (consecutive
-    inside a partition), then add the row count of all earlier partitions
-    (a table with one row per partition, broadcast).
-    """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .withColumn("_pid", F.shiftright("_mid", 33))
-         .withColumn("_r", F.col("_mid") - F.shiftleft(F.col("_pid"), 33)))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(
-            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (s.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-            .withColumn(name, (F.col("_off") + F.col("_r")).cast("long"))
-            .drop("_mid", "_pid", "_r", "_off"))
-
-
 def documents_corpus(spark: SparkSession, sf_dir: str, cat_col: str = "lang") -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("line_no"),
