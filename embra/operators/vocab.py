@@ -116,12 +116,14 @@ def huffman(vocab: DataFrame) -> DataFrame:
 def noise_dist(vocab: DataFrame, power: float = NOISE_POWER) -> DataFrame:
     """Add [noise_lo, noise_hi): cumulative share of cnt^power in idx order."""
     w = vocab.withColumn("_w", F.pow(F.col("cnt").cast("double"), F.lit(power)))
-    total = w.agg(F.sum("_w").alias("_z"))
+    total = w.agg(F.sum("_w").alias("_z"), F.max("idx").alias("_mx"))
     cum = running_sum_dense(w, "idx", F.col("_w"), "_cum")
+    # the last interval ends at exactly 1.0 so that no draw falls past it
     return (_one_row_join(cum, total)
             .withColumn("noise_lo", (F.col("_cum") - F.col("_w")) / F.col("_z"))
-            .withColumn("noise_hi", F.col("_cum") / F.col("_z"))
-            .drop("_w", "_cum", "_z"))
+            .withColumn("noise_hi", F.when(F.col("idx") == F.col("_mx"), F.lit(1.0))
+                        .otherwise(F.col("_cum") / F.col("_z")))
+            .drop("_w", "_cum", "_z", "_mx"))
 
 
 def subsample_prob(vocab: DataFrame, sample: float = DEFAULT_SAMPLE) -> DataFrame:

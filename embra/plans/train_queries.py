@@ -1,3 +1,106 @@
-"""Registered queries."""
+"""Training queries.
+
+Every objective x optimizer is registered as one epoch of two synchronous
+mini-batches at d=4 on a whole driver table, with a DuckDB twin that
+repeats the same computation in SQL (Huffman tree by recursive CTE).
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.vectors import r6_array
+from ..operators import train as T
+from ..operators import vocab as V
+from ..tables import (benchmark_corpus, benchmark_corpus_sql, conversations_corpus,
+                      conversations_corpus_sql)
+from .registry import register
+from .train_sql import train_sql
+
+D = 4
+BASE = dict(size=D, window=3, negative=0, batches=2, alpha=0.025, seed=7)
+NEG = 3
+
+
+def corpus_for(family):
+    if family == "cat":
+        return conversations_corpus, conversations_corpus_sql, 20
+    return benchmark_corpus, benchmark_corpus_sql, 2
+
+
+def build_model_inputs(spark, sf, spec: T.TrainSpec, corpus_fn):
+    corpus = corpus_fn(spark, sf)
+    vocab = V.build_vocab(corpus, spec.min_count, spec.sample, hs=spec.hs,
+                          negative=spec.negative).checkpoint(eager=True)
+    docs = V.doc_ids(corpus) if spec.family != "word" else None
+    cats = V.cat_ids(corpus) if spec.family == "cat" else None
+    lines = T.prepare_lines(corpus, vocab, spec, 0, docs, cats).checkpoint(eager=True)
+    return corpus, vocab, docs, cats, lines
+
+
+def train_once(spark, sf, spec: T.TrainSpec, corpus_fn):
+    _, vocab, docs, cats, lines = build_model_inputs(spark, sf, spec, corpus_fn)
+    params = T.init_params(spec, vocab, docs, cats)
+    params = T.train_epoch(params, lines, vocab, spec, 0)
+    return params.select("kind", "id", r6_array("vec").alias("vec"), r6_array("state").alias("state"))
+
+
+def _register(name: str, spec: T.TrainSpec):
+    cfn, csql, mc = corpus_for(spec.family)
+    spec = T.with_spec(spec, min_count=mc).validate()
+
+    @register(name, sql=train_sql(spec, csql()))
+    def q(spark, sf, _spec=spec, _cfn=cfn):
+        return train_once(spark, sf, _spec, _cfn)
+
+    return q
+
+
+# word model: skip-gram / CBOW x hs / negative (SGD)
+for arch in ("sg", "cbow"):
+    for obj in ("hs", "neg"):
+        _register(f"w2v_{arch}_{obj}",
+                  T.TrainSpec(family="word", arch=arch, hs=obj == "hs",
+                              cbow_mean=arch == "cbow", **{**BASE, "negative": NEG if obj == "neg" else 0}))
+
+# paragraph and category models: DBoW / DM x hs / negative x 4 optimizers
+for fam, pre in (("sent", "d2v"), ("cat", "c2v")):
+    for arch, aname in (("sg", "dbow"), ("cbow", "dm")):
+        for obj in ("hs", "neg"):
+            for opt in T.OPTIMIZERS:
+                _register(f"{pre}_{aname}_{obj}_{opt}",
+                          T.TrainSpec(family=fam, arch=arch, hs=obj == "hs", optimizer=opt,
+                                      cbow_mean=(fam == "cat" and arch == "cbow"),
+                                      **{**BASE, "negative": NEG if obj == "neg" else 0}))
+
+
+def _init_sql():
+    from . import sqlh
+    from .train_sql import ids_sql, init_params_sql, vocab_sql
+    ctes = [f"corpus AS ({conversations_corpus_sql()})"] + vocab_sql(INIT_SPEC) + ids_sql(INIT_SPEC)
+    ctes.append(f"p0 AS ({init_params_sql(INIT_SPEC)})")
+    return ("WITH RECURSIVE " + ",\n".join(ctes) +
+            f"\nSELECT kind, id, {sqlh.r6_list('vec')} AS vec, {sqlh.r6_list('state')} AS state FROM p0")
+
+
+INIT_SPEC = T.TrainSpec(family="cat", size=D, min_count=20, hs=True, negative=NEG, optimizer="adam")
+
+
+@register("init_weights", sql=_init_sql())
+def q_init_weights(spark, sf):
+    """Initial parameters (and ADAM state) of the category model on conversations."""
+    _, vocab, docs, cats, _ = build_model_inputs(spark, sf, INIT_SPEC, conversations_corpus)
+    p = T.init_params(INIT_SPEC, vocab, docs, cats)
+    return p.select("kind", "id", r6_array("vec").alias("vec"), r6_array("state").alias("state"))
+
+
+@register("words_trained", sql=f"""
+WITH corpus AS ({benchmark_corpus_sql()}),
+wc AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(words) AS word FROM corpus) GROUP BY word),
+vocab AS (SELECT word FROM wc WHERE cnt >= 2)
+SELECT count(*) AS words_trained FROM (SELECT unnest(words) AS word FROM corpus) t JOIN vocab USING (word)""")
+def q_words_trained(spark, sf):
+    """Number of in-vocabulary tokens one epoch trains (no sub-sampling)."""
+    spec = T.TrainSpec(family="sent", min_count=2)
+    _, _, _, _, lines = build_model_inputs(spark, sf, spec, benchmark_corpus)
+    return lines.agg(F.sum(F.size("idxs")).cast("long").alias("words_trained"))

@@ -90,7 +90,9 @@ WITH {DOC_CORPUS}, {WC}, {VOCAB},
 w AS (SELECT word, idx, pow(cnt::DOUBLE, 0.75) AS w FROM vocab),
 c AS (SELECT word, idx, w, sum(w) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
              sum(w) OVER () AS z FROM w)
-SELECT word, idx, {sqlh.r6('(cum - w) / z')} AS noise_lo, {sqlh.r6('cum / z')} AS noise_hi FROM c""")
+SELECT word, idx, {sqlh.r6('(cum - w) / z')} AS noise_lo,
+       {sqlh.r6('CASE WHEN idx = (SELECT max(idx) FROM vocab) THEN 1.0::DOUBLE ELSE cum / z END')} AS noise_hi
+FROM c""")
 def q_noise_dist(spark, sf):
     v = V.noise_dist(doc_vocab(spark, sf))
     return v.select("word", "idx", r6("noise_lo").alias("noise_lo"), r6("noise_hi").alias("noise_hi"))
