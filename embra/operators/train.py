@@ -64,6 +64,8 @@ class TrainSpec:
     init_adjust: bool = True
     batches: int = 1             # K mini-batches per epoch
     slice_len: int = 10000       # B: positions of one line per batch slice
+    epochs: int = 1
+    normalize_each_epoch: bool = False
 
     def validate(self):
         if not self.hs and not self.negative:
@@ -80,14 +82,15 @@ class TrainSpec:
         return {"sgd": 0, "adagrad": d, "adadelta": 2 * d, "adam": 2 * d + 3}[self.optimizer]
 
     def identifier(self) -> str:
-        """Model id: family + arch + objective + alpha + ... (see SURVEY model_identifier)."""
-        head = {"cat": "cat", "sent": "sent", "word": "word"}[self.family] + str(self.size)
-        arch = "_sg" if self.arch == "sg" else "_cb"
-        obj = "_hs" if self.hs else ""
-        obj += f"_neg{self.negative}" if self.negative else ""
-        mean = "_n" if self.cbow_mean else ""
-        opt = {"sgd": "_sgd", "adagrad": "_adagrad", "adadelta": "_adadel", "adam": "_adam"}[self.optimizer]
-        return f"{head}{arch}{obj}_a{self.alpha:g}_w{self.window}{mean}{opt}"
+        """Model id: kind+size, arch, objective, alpha, epochs, normalise flag, optimizer."""
+        name = f"{self.family}{self.size}"
+        name += "_sg" if self.arch == "sg" else "_cb"
+        name += "_hs" if self.hs else f"_neg{self.negative}"
+        name += f"_a{self.alpha:g}_it{self.epochs}"
+        if self.normalize_each_epoch:
+            name += "_n"
+        name += {"sgd": "_sgd", "adagrad": "_adagrad", "adadelta": "_adadel", "adam": "_adam"}[self.optimizer]
+        return name
 
 
 # --------------------------------------------------------------------------
@@ -427,11 +430,53 @@ def train_epoch(params: DataFrame, lines: DataFrame, vocab: DataFrame, spec: Tra
     return params
 
 
-def normalize_params(params: DataFrame, kinds=("syn0", "sent", "cat")) -> DataFrame:
+def normalize_params(params: DataFrame,
+                     kinds=("syn0", "syn1", "syn1neg", "sent", "cat")) -> DataFrame:
+    """L2-normalise every row of the given matrices (zero rows stay zero)."""
     from ..functions.vectors import unit
     return params.withColumn("vec", F.when(F.col("kind").isin(list(kinds)), unit("vec"))
                              .otherwise(F.col("vec")))
 
 
+def batch_alpha_frame(lines: DataFrame, vocab: DataFrame, spec: TrainSpec,
+                      epoch: int = 0) -> DataFrame:
+    """(batch, alpha) as a DataFrame: K rows, decayed by words of earlier batches."""
+    spark = lines.sparkSession
+    bs = spark.range(spec.batches).select(F.col("id").alias("batch"))
+    if spec.optimizer != "sgd" or spec.batches == 1:
+        return bs.withColumn("alpha", F.lit(float(spec.alpha)))
+    from pyspark.sql import Window
+    cnt = positions(lines, spec, epoch).groupBy(batch_of(spec).alias("batch")).agg(
+        F.count(F.lit(1)).alias("n"))
+    tw = vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob")).alias("total"))
+    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # K rows only
+    done = (bs.join(cnt, "batch", "left").fillna(0, ["n"])
+            .withColumn("done", F.coalesce(F.sum("n").over(w), F.lit(0))))
+    return (done.join(tw, how="left")
+            .select("batch", F.greatest(F.lit(float(spec.min_alpha)),
+                                        F.lit(float(spec.alpha)) * (F.lit(1.0) - F.col("done") / F.col("total")))
+                    .alias("alpha")))
+
+
+def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None):
+    """Build vocabulary and ids, then ``spec.epochs`` epochs.  Returns
+    (params, vocab, docs, cats); every epoch ends with a checkpoint."""
+    from . import vocab as V
+    spec.validate()
+    if vocab is None:
+        vocab = V.build_vocab(corpus, spec.min_count, spec.sample, hs=spec.hs,
+                              negative=spec.negative)
+    vocab = vocab.checkpoint(eager=True)
+    docs = V.doc_ids(corpus) if spec.family != "word" else None
+    cats = V.cat_ids(corpus) if spec.family == "cat" else None
+    params = init_params(spec, vocab, docs, cats)
+    for ep in range(spec.epochs):
+        lines = prepare_lines(corpus, vocab, spec, ep, docs, cats).checkpoint(eager=True)
+        params = train_epoch(params, lines, vocab, spec, ep)
+        if spec.normalize_each_epoch:
+            params = normalize_params(params).checkpoint(eager=True)
+    return params, vocab, docs, cats
+
+
 def with_spec(spec: TrainSpec, **kw) -> TrainSpec:
     return replace(spec, **kw)

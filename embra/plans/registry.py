@@ -25,6 +25,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the modules fills the registry
-    from . import (eval_queries, io_queries, similarity_queries,  # noqa: F401
+    from . import (eval_queries, example_queries, io_queries, similarity_queries,  # noqa: F401
                    sparse_queries, stream_queries, text_queries, train_queries,
                    vocab_queries)

@@ -263,16 +263,29 @@ def alphas_sql(spec: TrainSpec) -> list[str]:
     ]
 
 
-def train_sql(spec: TrainSpec, corpus_sql: str, output: str = "params") -> str:
-    """Full SQL: params after one epoch of ``spec.batches`` mini-batches."""
+def prefix_ctes(spec: TrainSpec, corpus_sql: str, with_pos: bool = True) -> list[str]:
+    """corpus, vocabulary, ids, lines [and positions] CTEs."""
     ctes = [f"corpus AS ({corpus_sql})"] + vocab_sql(spec)
     if spec.family != "word":
         ctes += ids_sql(spec)
-    ctes += lines_sql(spec) + pos_sql(spec)
+    ctes += lines_sql(spec)
+    if with_pos:
+        ctes += pos_sql(spec)
+    return ctes
+
+
+def train_ctes(spec: TrainSpec, corpus_sql: str) -> tuple[list[str], str]:
+    """CTEs of one epoch; returns (ctes, name of the final params CTE)."""
+    ctes = prefix_ctes(spec, corpus_sql)
     ctes.append(f"p0 AS ({init_params_sql(spec)})")
     ctes += alphas_sql(spec)
     for b in range(spec.batches):
         ctes += step_sql(spec, b, f"p{b}", f"p{b + 1}", f"SELECT alpha FROM alphas WHERE b = {b}")
-    final = f"p{spec.batches}"
+    return ctes, f"p{spec.batches}"
+
+
+def train_sql(spec: TrainSpec, corpus_sql: str) -> str:
+    """Full SQL: params after one epoch of ``spec.batches`` mini-batches."""
+    ctes, final = train_ctes(spec, corpus_sql)
     sel = (f"SELECT kind, id, {sqlh.r6_list('vec')} AS vec, {sqlh.r6_list('state')} AS state FROM {final}")
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + sel
