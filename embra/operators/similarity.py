@@ -57,13 +57,16 @@ def _block_count(df: DataFrame, rows_per_block: int) -> int:
 def knn(queries: DataFrame, items: DataFrame, k: int | None, *,
         q_id: str = "q_id", i_id: str = "i_id", q_vec: str = "vec", i_vec: str = "vec",
         exclude: str | None = None, exclude_self: bool = False,
+        i_group: str | None = None,
         item_block_rows: int = ITEM_BLOCK_ROWS,
         query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """Top-k items per query by dot product of the given vectors.
 
-    ``queries``: (q_id, vec[, exclude array]) ; ``items``: (i_id, vec).
+    ``queries``: (q_id, vec[, exclude array]) ; ``items``: (i_id, vec[, group]).
     Vectors should already be unit length for cosine similarity.
     Returns (q_id, i_id, rank int, sim double); ``k=None`` returns all.
+    With ``i_group`` only the best item of each group competes (ranked
+    groups, one row per group, column ``grp`` added).
     """
     q_type = dict(queries.dtypes)[q_id]
     i_type = dict(items.dtypes)[i_id]
@@ -76,22 +79,31 @@ def knn(queries: DataFrame, items: DataFrame, k: int | None, *,
     qb = (queries.select(*qcols)
           .withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n_qb)))
           .withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_ib - 1).cast("long")))))
-    ib = (items.select(F.col(i_id).alias("i_id"), F.col(i_vec).cast("array<double>").alias("iv"))
+    g_type = dict(items.dtypes)[i_group] if i_group else "long"
+    gcol = (F.col(i_group) if i_group else F.lit(0).cast("long")).alias("grp")
+    ib = (items.select(F.col(i_id).alias("i_id"), F.col(i_vec).cast("array<double>").alias("iv"), gcol)
           .withColumn("ib", F.pmod(F.xxhash64("i_id"), F.lit(n_ib)))
           .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_qb - 1).cast("long")))))
 
     kk = k
     self_ex = exclude_self
+    grouped = i_group is not None
 
     def score(qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(ipdf) == 0:
-            return pd.DataFrame({"q_id": [], "i_id": [], "sim": []})
+            return pd.DataFrame({"q_id": [], "i_id": [], "grp": [], "sim": []})
+        if grouped:
+            ipdf = ipdf.sort_values("grp", kind="stable").reset_index(drop=True)
         Q = np.stack(qpdf["qv"].to_numpy())
         I = np.stack(ipdf["iv"].to_numpy())
         iids = ipdf["i_id"].to_numpy()
+        grps = ipdf["grp"].to_numpy()
+        if grouped:
+            starts = np.r_[0, np.nonzero(grps[1:] != grps[:-1])[0] + 1]
+            seg = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(grps)]))
         qids = qpdf["q_id"].to_numpy()
         qx = qpdf["qx"].to_numpy()
-        out_q, out_i, out_s = [], [], []
+        out_q, out_i, out_g, out_s = [], [], [], []
         for s in range(0, len(Q), _CHUNK):
             S = Q[s:s + _CHUNK] @ I.T
             for r in range(S.shape[0]):
@@ -103,22 +115,33 @@ def knn(queries: DataFrame, items: DataFrame, k: int | None, *,
                 if ex is not None and len(ex):
                     mask &= ~np.isin(iids, np.asarray(list(ex)))
                 idx = np.nonzero(mask)[0]
-                if kk is not None and len(idx) > kk:
+                if grouped and len(idx):
+                    # keep the best item(s) of every group (ties kept for the final ranking)
+                    masked = np.where(mask, row, -np.inf)
+                    gmax = np.maximum.reduceat(masked, starts)
+                    idx = idx[row[idx] >= gmax[seg[idx]] - 1e-9]
+                elif kk is not None and len(idx) > kk:
                     vals = row[idx]
                     kth = np.partition(vals, len(vals) - kk)[len(vals) - kk]
                     idx = idx[vals >= kth - 1e-9]
                 out_q.append(np.repeat(qids[s + r], len(idx)))
                 out_i.append(iids[idx])
+                out_g.append(grps[idx])
                 out_s.append(row[idx])
         return pd.DataFrame({"q_id": np.concatenate(out_q), "i_id": np.concatenate(out_i),
+                             "grp": np.concatenate(out_g),
                              "sim": np.concatenate(out_s).astype("float64")})
 
     cand = (qb.groupBy("qb", "ib").cogroup(ib.groupBy("qb", "ib"))
-            .applyInPandas(score, schema=f"q_id {q_type}, i_id {i_type}, sim double"))
-    ranked = top_k(cand, ["q_id"], [F.round("sim", 9).desc(), F.col("i_id")], k)
-    return ranked.select(F.col("q_id").alias(q_id) if q_id != "q_id" else "q_id",
-                         F.col("i_id").alias(i_id) if i_id != "i_id" else "i_id",
-                         "rank", "sim")
+            .applyInPandas(score, schema=f"q_id {q_type}, i_id {i_type}, grp {g_type}, sim double"))
+    order = [F.round("sim", 9).desc(), F.col("i_id")]
+    if grouped:
+        cand = top_k(cand, ["q_id", "grp"], order, 1, "_gr").drop("_gr")
+    ranked = top_k(cand, ["q_id"], order, k)
+    cols = [F.col("q_id").alias(q_id), F.col("i_id").alias(i_id), "rank", "sim"]
+    if grouped:
+        cols.insert(2, F.col("grp").alias(i_group))
+    return ranked.select(*cols)
 
 
 def unit_vectors(df: DataFrame, vec: str = "vec", out: str = "uvec") -> DataFrame:

@@ -55,3 +55,21 @@ def knn(q: str, i: str, k: int | None, exclude_self: bool = False,
 def keyed_uniform(seed, *keys: str) -> str:
     inner = ", ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
     return f"(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+def knn_grouped(q: str, i: str, k: int, extra_where: str = "") -> str:
+    """q: (q_id, uvec), i: (i_id, grp, uvec): best item per group, top-k groups."""
+    where = f"WHERE {extra_where}" if extra_where else ""
+    return (f"(SELECT q_id, i_id, grp, sim, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_id "
+            f"ORDER BY round(sim, 9) DESC, i_id) AS INTEGER) AS rank FROM (SELECT * FROM (SELECT *, "
+            f"row_number() OVER (PARTITION BY q_id, grp ORDER BY round(sim, 9) DESC, i_id) AS _r1 FROM ("
+            f"SELECT q.q_id, i.i_id, i.grp, list_dot_product(q.uvec, i.uvec) AS sim FROM ({q}) q, ({i}) i "
+            f"{where})) WHERE _r1 = 1)) WHERE rank <= {k})")
+
+
+def vconcat(a: str, b: str) -> str:
+    return f"list_concat({a}, {b})"
+
+
+def vscale(a: str, s: str) -> str:
+    return f"list_transform({a}, lambda x: x * {s})"
