@@ -217,7 +217,7 @@ def positions(lines: DataFrame, spec: TrainSpec, epoch: int = 0,
         F.explode(F.transform(F.sequence(F.lit(0), F.size("idxs") - 1), one)).alias("p"))
     p = p.select("line_no", "sent_no", "cat_no", F.col("p.i").cast("long").alias("i"),
                  F.col("p.word").alias("word"), F.col("p.lo").cast("long").alias("lo"),
-                 F.col("p.ctx").alias("ctx"))
+                 F.col("p.ctx").alias("ctx")).filter(F.col("word").isNotNull())
     if batch is not None and spec.batches > 1:
         p = p.filter(batch_of(spec) == batch)
     return p
@@ -237,6 +237,7 @@ def examples(pos: DataFrame, spec: TrainSpec) -> tuple[DataFrame, DataFrame]:
     # j = absolute position of the context token
     ctx = (pos.select("line_no", "sent_no", "cat_no", "i", "word", "lo",
                       F.posexplode("ctx").alias("k", "cword"))
+           .filter(F.col("cword").isNotNull())
            .withColumn("j", F.col("lo") + F.col("k")).drop("k", "lo"))
     if spec.arch == "sg":
         if spec.family == "word":
@@ -256,7 +257,7 @@ def examples(pos: DataFrame, spec: TrainSpec) -> tuple[DataFrame, DataFrame]:
     # CBOW / DM: context words (centre excluded) [+ sent (+ cat)] predict the centre
     extra = {"word": 0, "sent": 1, "cat": 2}[spec.family]
     cw = ctx.filter(F.col("j") != F.col("i"))
-    nctx = F.size("ctx") - 1
+    nctx = F.size(F.filter("ctx", lambda x: x.isNotNull())) - 1
     if spec.cbow_mean:
         wexpr = F.when(nctx + extra > 0, 1.0 / (nctx + extra)).otherwise(F.lit(1.0))
     else:

@@ -27,4 +27,4 @@ def load_all() -> None:
     # importing the modules fills the registry
     from . import (eval_queries, example_queries, io_queries, similarity_queries,  # noqa: F401
                    sparse_queries, stream_queries, text_queries, train_queries,
-                   vocab_queries, word_queries)
+                   vocab_queries, word_queries, infer_queries)

@@ -79,112 +79,132 @@ def ids_sql(spec: TrainSpec) -> list[str]:
     return ctes
 
 
-def lines_sql(spec: TrainSpec, epoch: int = 0) -> list[str]:
+def lines_sql(spec: TrainSpec, epoch: int = 0, tag: str = "", corpus: str = "corpus",
+              docs: str = "docs", cats: str = "cats", keep_oov: bool = False,
+              cat_fixed: str | None = None) -> list[str]:
+    """toks, lines0, lines CTEs (names suffixed by ``tag``).  ``keep_oov``
+    keeps out-of-vocabulary tokens as NULL (inference); ``cat_fixed`` gives
+    every line the same category number."""
     sub = ""
-    if spec.sample:
+    if spec.sample and not keep_oov:
         sub = (f" WHERE v.sample_prob >= 1.0 OR v.sample_prob >= "
                + u(spec.seed, "'sub'", str(epoch), "t.line_no", "t.opos"))
-    cat_join = "LEFT JOIN cats c ON c.cat_id = l.cat_id" if spec.family == "cat" else ""
-    cat_col = "c.cat_no" if spec.family == "cat" else "CAST(NULL AS BIGINT)"
-    sent_join = "LEFT JOIN docs d ON d.sent_id = l.sent_id" if spec.family != "word" else ""
+    join = "LEFT JOIN" if keep_oov else "JOIN"
+    if cat_fixed is not None:
+        cat_join, cat_col = "", f"CAST({cat_fixed} AS BIGINT)"
+    elif spec.family == "cat":
+        cat_join, cat_col = f"LEFT JOIN {cats} c ON c.cat_id = l.cat_id", "c.cat_no"
+    else:
+        cat_join, cat_col = "", "CAST(NULL AS BIGINT)"
+    sent_join = f"LEFT JOIN {docs} d ON d.sent_id = l.sent_id" if spec.family != "word" else ""
     sent_col = "d.sent_no" if spec.family != "word" else "CAST(NULL AS BIGINT)"
     return [
-        "toks AS (SELECT line_no, sent_id, cat_id, unnest(words) AS word, "
-        "generate_subscripts(words, 1) - 1 AS opos FROM corpus)",
-        f"lines0 AS (SELECT t.line_no, t.sent_id, t.cat_id, list(v.idx ORDER BY t.opos) AS idxs "
-        f"FROM toks t JOIN vocab v ON v.word = t.word{sub} GROUP BY t.line_no, t.sent_id, t.cat_id)",
-        f"lines AS (SELECT l.line_no, {sent_col} AS sent_no, {cat_col} AS cat_no, l.idxs FROM lines0 l "
-        f"{sent_join} {cat_join})",
+        f"toks{tag} AS (SELECT line_no, sent_id, cat_id, unnest(words) AS word, "
+        f"generate_subscripts(words, 1) - 1 AS opos FROM {corpus})",
+        f"lines0{tag} AS (SELECT t.line_no, t.sent_id, t.cat_id, list(v.idx ORDER BY t.opos) AS idxs "
+        f"FROM toks{tag} t {join} vocab v ON v.word = t.word{sub} GROUP BY t.line_no, t.sent_id, t.cat_id)",
+        f"lines{tag} AS (SELECT l.line_no, {sent_col} AS sent_no, {cat_col} AS cat_no, l.idxs "
+        f"FROM lines0{tag} l {sent_join} {cat_join})",
     ]
 
 
-def pos_sql(spec: TrainSpec, epoch: int = 0) -> list[str]:
+def pos_sql(spec: TrainSpec, epoch: int = 0, tag: str = "", lines: str = "lines") -> list[str]:
+    """Positions with reduced windows (pos0/pos1/pos/ctxx + tag); NULL
+    (out-of-vocabulary) tokens are neither centres nor context."""
     w = spec.window
     b = "floor(" + u(spec.seed, "'win'", str(epoch), "line_no", "i") + f" * {w})"
     return [
-        "pos0 AS (SELECT line_no, sent_no, cat_no, idxs, unnest(range(0, len(idxs))) AS i "
-        "FROM lines WHERE len(idxs) > 0)",
-        f"pos1 AS (SELECT line_no, sent_no, cat_no, idxs, i, CAST(greatest(0, i - {w} + {b}) AS BIGINT) AS lo, "
-        f"CAST(least(len(idxs) - 1, i + {w} - {b}) AS BIGINT) AS hi FROM pos0)",
-        "pos AS (SELECT line_no, sent_no, cat_no, i, idxs[i + 1] AS word, lo, idxs[lo + 1:hi + 1] AS ctx, "
-        f"((line_no + floor(i / {spec.slice_len})) % {spec.batches}) AS batch FROM pos1)",
-        "ctxx AS (SELECT line_no, sent_no, cat_no, i, word, batch, unnest(ctx) AS cword, "
-        "lo + generate_subscripts(ctx, 1) - 1 AS j FROM pos)",
+        f"pos0{tag} AS (SELECT line_no, sent_no, cat_no, idxs, unnest(range(0, len(idxs))) AS i "
+        f"FROM {lines} WHERE len(idxs) > 0)",
+        f"pos1{tag} AS (SELECT line_no, sent_no, cat_no, idxs, i, CAST(greatest(0, i - {w} + {b}) AS BIGINT) AS lo, "
+        f"CAST(least(len(idxs) - 1, i + {w} - {b}) AS BIGINT) AS hi FROM pos0{tag})",
+        f"pos{tag} AS (SELECT line_no, sent_no, cat_no, i, idxs[i + 1] AS word, lo, idxs[lo + 1:hi + 1] AS ctx, "
+        f"((line_no + floor(i / {spec.slice_len})) % {spec.batches}) AS batch FROM pos1{tag} "
+        f"WHERE idxs[i + 1] IS NOT NULL)",
+        f"ctxx{tag} AS (SELECT * FROM (SELECT line_no, sent_no, cat_no, i, word, batch, unnest(ctx) AS cword, "
+        f"lo + generate_subscripts(ctx, 1) - 1 AS j FROM pos{tag}) WHERE cword IS NOT NULL)",
     ]
 
 
-def examples_sql(spec: TrainSpec, b: int) -> list[str]:
+def examples_sql(spec: TrainSpec, b: int, tag: str = "", epoch: int = 0) -> list[str]:
     bf = f"batch = {b}"
+    pos, ctxx = f"pos{tag}", f"ctxx{tag}"
+    n = f"{tag}{b}"
     if spec.arch == "sg":
         if spec.family == "word":
             ins = (f"SELECT line_no, i, j, 'syn0' AS in_kind, cword AS in_id, {fl(1.0)} AS in_w "
-                   f"FROM ctxx WHERE j <> i AND {bf}")
-            tg = f"SELECT line_no, i, j, word AS target FROM ctxx WHERE j <> i AND {bf}"
+                   f"FROM {ctxx} WHERE j <> i AND {bf}")
+            tg = f"SELECT line_no, i, j, word AS target FROM {ctxx} WHERE j <> i AND {bf}"
         else:
             ins = (f"SELECT line_no, i, j, 'sent' AS in_kind, sent_no AS in_id, {fl(1.0)} AS in_w "
-                   f"FROM ctxx WHERE {bf}")
+                   f"FROM {ctxx} WHERE {bf}")
             if spec.family == "cat":
                 ins += (f" UNION ALL SELECT line_no, i, j, 'cat' AS in_kind, cat_no AS in_id, "
-                        f"{fl(1.0)} AS in_w FROM ctxx WHERE {bf}")
-            tg = f"SELECT line_no, i, j, cword AS target FROM ctxx WHERE {bf}"
+                        f"{fl(1.0)} AS in_w FROM {ctxx} WHERE {bf}")
+            tg = f"SELECT line_no, i, j, cword AS target FROM {ctxx} WHERE {bf}"
     else:
         extra = {"word": 0, "sent": 1, "cat": 2}[spec.family]
-        nctx = "(len(ctx) - 1)"
+        nctx = "(len(list_filter(ctx, lambda x: x IS NOT NULL)) - 1)"
         wexpr = (f"CASE WHEN {nctx} + {extra} > 0 THEN {fl(1.0)} / ({nctx} + {extra}) ELSE {fl(1.0)} END"
                  if spec.cbow_mean else fl(1.0))
-        pw = f"(SELECT line_no, i, sent_no, cat_no, word, {wexpr} AS in_w FROM pos WHERE {bf})"
+        pw = f"(SELECT line_no, i, sent_no, cat_no, word, {wexpr} AS in_w FROM {pos} WHERE {bf})"
         ins = (f"SELECT c.line_no, c.i, CAST(-1 AS BIGINT) AS j, 'syn0' AS in_kind, c.cword AS in_id, p.in_w "
-               f"FROM ctxx c JOIN {pw} p ON p.line_no = c.line_no AND p.i = c.i WHERE c.j <> c.i")
+               f"FROM {ctxx} c JOIN {pw} p ON p.line_no = c.line_no AND p.i = c.i WHERE c.j <> c.i")
         if extra >= 1:
             ins += (f" UNION ALL SELECT line_no, i, CAST(-1 AS BIGINT) AS j, 'sent' AS in_kind, "
                     f"sent_no AS in_id, in_w FROM {pw}")
         if extra == 2:
             ins += (f" UNION ALL SELECT line_no, i, CAST(-1 AS BIGINT) AS j, 'cat' AS in_kind, "
                     f"cat_no AS in_id, in_w FROM {pw}")
-        tg = f"SELECT line_no, i, CAST(-1 AS BIGINT) AS j, word AS target FROM pos WHERE {bf}"
+        tg = f"SELECT line_no, i, CAST(-1 AS BIGINT) AS j, word AS target FROM {pos} WHERE {bf}"
     outs = []
     if spec.hs:
         outs.append(f"SELECT line_no, i, j, 'syn1' AS out_kind, CAST(pt AS BIGINT) AS out_id, "
                     f"{fl(1.0)} - cd AS label FROM (SELECT t.line_no, t.i, t.j, unnest(v.point) AS pt, "
-                    f"unnest(v.code) AS cd FROM tg{b} t JOIN vocab v ON v.idx = t.target)")
+                    f"unnest(v.code) AS cd FROM tg{n} t JOIN vocab v ON v.idx = t.target)")
     if spec.negative:
         outs.append(f"SELECT line_no, i, j, 'syn1neg' AS out_kind, target AS out_id, {fl(1.0)} AS label "
-                    f"FROM tg{b}")
+                    f"FROM tg{n}")
         draws = (f"(SELECT line_no, i, j, target, "
-                 + u(spec.seed, "'neg'", "0", "line_no", "i", "j", "d") + " AS u FROM "
-                 f"(SELECT *, unnest(range(1, {spec.negative + 1})) AS d FROM tg{b}))")
+                 + u(spec.seed, "'neg'", str(epoch), "line_no", "i", "j", "d") + " AS u FROM "
+                 f"(SELECT *, unnest(range(1, {spec.negative + 1})) AS d FROM tg{n}))")
         outs.append(f"SELECT r.line_no, r.i, r.j, 'syn1neg' AS out_kind, v.idx AS out_id, {fl(0.0)} AS label "
                     f"FROM {draws} r JOIN vocab v ON r.u >= v.noise_lo AND r.u < v.noise_hi "
                     f"WHERE v.idx <> r.target")
-    return [f"ins{b} AS ({ins})", f"tg{b} AS ({tg})", f"outs{b} AS ({' UNION ALL '.join(outs)})"]
+    return [f"ins{n} AS ({ins})", f"tg{n} AS ({tg})", f"outs{n} AS ({' UNION ALL '.join(outs)})"]
 
 
-def step_sql(spec: TrainSpec, b: int, p_in: str, p_out: str, alpha_sql: str) -> list[str]:
+def step_sql(spec: TrainSpec, b: int, p_in: str, p_out: str, alpha_sql: str, tag: str = "",
+             epoch: int = 0, p_lookup: str | None = None) -> list[str]:
+    """One synchronous step: parameters are read from ``p_lookup`` (default
+    ``p_in``) and the update is applied to the rows of ``p_in``."""
     key = ["line_no", "i", "j"]
-    ctes = examples_sql(spec, b)
-    ctes.append(f"l1p{b} AS (SELECT x.line_no, x.i, x.j, list_transform(p.vec, lambda z: z * x.in_w) AS wv "
-                f"FROM ins{b} x JOIN {p_in} p ON p.kind = x.in_kind AND p.id = x.in_id)")
-    ctes.append(f"l1{b} AS {sqlh.vec_agg(f'l1p{b}', key, 'wv', 'sum', 'l1')}")
-    ctes.append(f"rows{b} AS (SELECT *, {fl(1.0)} * label - {fl(1.0)} / ({fl(1.0)} + exp(-dt)) AS g FROM ("
+    lk = p_lookup or p_in
+    n = f"{tag}{b}"
+    ctes = examples_sql(spec, b, tag, epoch)
+    ctes.append(f"l1p{n} AS (SELECT x.line_no, x.i, x.j, list_transform(p.vec, lambda z: z * x.in_w) AS wv "
+                f"FROM ins{n} x JOIN {lk} p ON p.kind = x.in_kind AND p.id = x.in_id)")
+    ctes.append(f"l1{n} AS {sqlh.vec_agg(f'l1p{n}', key, 'wv', 'sum', 'l1')}")
+    ctes.append(f"rows{n} AS (SELECT *, {fl(1.0)} * label - {fl(1.0)} / ({fl(1.0)} + exp(-dt)) AS g FROM ("
                 f"SELECT o.line_no, o.i, o.j, o.out_kind, o.out_id, o.label, l.l1, p.vec AS ovec, "
-                f"list_dot_product(l.l1, p.vec) AS dt FROM outs{b} o "
-                f"JOIN l1{b} l ON l.line_no = o.line_no AND l.i = o.i AND l.j = o.j "
-                f"JOIN {p_in} p ON p.kind = o.out_kind AND p.id = o.out_id) WHERE abs(dt) < {fl(MAX_EXP)})")
+                f"list_dot_product(l.l1, p.vec) AS dt FROM outs{n} o "
+                f"JOIN l1{n} l ON l.line_no = o.line_no AND l.i = o.i AND l.j = o.j "
+                f"JOIN {lk} p ON p.kind = o.out_kind AND p.id = o.out_id) WHERE abs(dt) < {fl(MAX_EXP)})")
     parts = []
     if spec.word_learn:
-        ctes.append(f"gop{b} AS (SELECT out_kind AS kind, out_id AS id, list_transform(l1, lambda z: z * g) AS gv "
-                    f"FROM rows{b})")
-        ctes.append(f"gout{b} AS {sqlh.vec_agg(f'gop{b}', ['kind', 'id'], 'gv', 'sum', 'grad')}")
-        parts.append(f"SELECT kind, id, grad FROM gout{b}")
-    ctes.append(f"ep{b} AS (SELECT line_no, i, j, list_transform(ovec, lambda z: z * g) AS gv FROM rows{b})")
-    ctes.append(f"e{b} AS {sqlh.vec_agg(f'ep{b}', key, 'gv', 'sum', 'e')}")
+        ctes.append(f"gop{n} AS (SELECT out_kind AS kind, out_id AS id, list_transform(l1, lambda z: z * g) AS gv "
+                    f"FROM rows{n})")
+        ctes.append(f"gout{n} AS {sqlh.vec_agg(f'gop{n}', ['kind', 'id'], 'gv', 'sum', 'grad')}")
+        parts.append(f"SELECT kind, id, grad FROM gout{n}")
+    ctes.append(f"ep{n} AS (SELECT line_no, i, j, list_transform(ovec, lambda z: z * g) AS gv FROM rows{n})")
+    ctes.append(f"e{n} AS {sqlh.vec_agg(f'ep{n}', key, 'gv', 'sum', 'e')}")
     learn = ["'sent'"] + (["'syn0'"] if spec.word_learn else []) + (["'cat'"] if spec.cat_learn else [])
-    ctes.append(f"gip{b} AS (SELECT x.in_kind AS kind, x.in_id AS id, e.e FROM ins{b} x JOIN e{b} e "
+    ctes.append(f"gip{n} AS (SELECT x.in_kind AS kind, x.in_id AS id, e.e FROM ins{n} x JOIN e{n} e "
                 f"ON e.line_no = x.line_no AND e.i = x.i AND e.j = x.j WHERE x.in_kind IN ({', '.join(learn)}))")
-    ctes.append(f"gin{b} AS {sqlh.vec_agg(f'gip{b}', ['kind', 'id'], 'e', 'sum', 'grad')}")
-    parts.append(f"SELECT kind, id, grad FROM gin{b}")
-    ctes.append(f"grads{b} AS ({' UNION ALL '.join(parts)})")
-    ctes.append(f"{p_out} AS ({update_sql(spec, f'grads{b}', p_in, alpha_sql)})")
+    ctes.append(f"gin{n} AS {sqlh.vec_agg(f'gip{n}', ['kind', 'id'], 'e', 'sum', 'grad')}")
+    parts.append(f"SELECT kind, id, grad FROM gin{n}")
+    ctes.append(f"grads{n} AS ({' UNION ALL '.join(parts)})")
+    ctes.append(f"{p_out} AS ({update_sql(spec, f'grads{n}', p_in, alpha_sql)})")
     return ctes
 
 
@@ -222,32 +242,37 @@ def update_sql(spec: TrainSpec, grads: str, p_in: str, alpha_from: str) -> str:
             f"({alpha_from}) al")
 
 
-def init_params_sql(spec: TrainSpec) -> str:
+def rand_vec_sql(spec: TrainSpec, kind: str, idcol: str, denom: float) -> str:
+    return (f"list_transform(range(0, {spec.size}), lambda k: ({u(spec.seed, repr(kind), idcol, 'k')} "
+            f"- {fl(0.5)}) / {fl(denom)})")
+
+
+def state_sql(spec: TrainSpec) -> str:
     d = spec.size
+    return {"sgd": "[]::DOUBLE[]",
+            "adagrad": f"list_transform(range(0, {d}), lambda k: {fl(0.0)})",
+            "adadelta": f"list_transform(range(0, {2 * d}), lambda k: {fl(0.0)})",
+            "adam": f"list_concat(list_transform(range(0, {2 * d}), lambda k: {fl(0.0)}), "
+                    f"[{fl(ADAM_B1)}, {fl(ADAM_B1)}, {fl(ADAM_B2)}])"}[spec.optimizer]
 
-    def rnd(kind, idcol, denom):
-        return (f"list_transform(range(0, {d}), lambda k: ({u(spec.seed, repr(kind), idcol, 'k')} "
-                f"- {fl(0.5)}) / {fl(denom)})")
 
-    st = {"sgd": "[]::DOUBLE[]",
-          "adagrad": f"list_transform(range(0, {d}), lambda k: {fl(0.0)})",
-          "adadelta": f"list_transform(range(0, {2 * d}), lambda k: {fl(0.0)})",
-          "adam": f"list_concat(list_transform(range(0, {2 * d}), lambda k: {fl(0.0)}), "
-                  f"[{fl(ADAM_B1)}, {fl(ADAM_B1)}, {fl(ADAM_B2)}])"}[spec.optimizer]
+def init_params_sql(spec: TrainSpec) -> str:
+    d = spec.size
     zero = f"list_transform(range(0, {d}), lambda k: {fl(0.0)})"
-    parts = [f"SELECT 'syn0' AS kind, idx AS id, {rnd('syn0', 'idx', word_denominator(spec))} AS vec FROM vocab"]
+    parts = [f"SELECT 'syn0' AS kind, idx AS id, {rand_vec_sql(spec, 'syn0', 'idx', word_denominator(spec))} "
+             f"AS vec FROM vocab"]
     if spec.hs:
         parts.append(f"SELECT 'syn1' AS kind, idx AS id, {zero} AS vec FROM vocab "
                      f"WHERE idx < (SELECT max(idx) FROM vocab)")
     if spec.negative:
         parts.append(f"SELECT 'syn1neg' AS kind, idx AS id, {zero} AS vec FROM vocab")
     if spec.family in ("sent", "cat"):
-        parts.append(f"SELECT 'sent' AS kind, sent_no AS id, {rnd('sent', 'sent_no', doc_denominator(spec))} "
-                     f"AS vec FROM docs")
+        parts.append(f"SELECT 'sent' AS kind, sent_no AS id, "
+                     f"{rand_vec_sql(spec, 'sent', 'sent_no', doc_denominator(spec))} AS vec FROM docs")
     if spec.family == "cat":
-        parts.append(f"SELECT 'cat' AS kind, cat_no AS id, {rnd('cat', 'cat_no', doc_denominator(spec))} "
-                     f"AS vec FROM cats")
-    return f"SELECT kind, id, vec, {st} AS state FROM ({' UNION ALL '.join(parts)})"
+        parts.append(f"SELECT 'cat' AS kind, cat_no AS id, "
+                     f"{rand_vec_sql(spec, 'cat', 'cat_no', doc_denominator(spec))} AS vec FROM cats")
+    return f"SELECT kind, id, vec, {state_sql(spec)} AS state FROM ({' UNION ALL '.join(parts)})"
 
 
 def alphas_sql(spec: TrainSpec) -> list[str]:
