@@ -46,9 +46,11 @@ def infer_vectors(new_corpus: DataFrame, params: DataFrame, vocab: DataFrame, sp
     frozen = params.filter(F.col("kind") != "sent")
     d = ispec.size
     rows = docs.select(F.lit("sent").alias("kind"), F.col("sent_no").alias("id"),
-                       T._init_vec("inf", F.col("sent_no"), d, ispec.seed,
+                       T._init_vec("inf", F.col("sent_id"), d, ispec.seed,
                                    T.doc_denominator(ispec)).alias("vec"),
                        T.init_state(ispec).alias("state"))
+    # initial vectors are keyed by the document id, so a document gets the
+    # same vector whichever batch or stream trigger it arrives in
     for i, alpha in enumerate(pass_alphas(ispec, iterations)):
         pos = T.positions(lines, ispec, epoch=i)
         ins, tg = T.examples(pos, ispec)

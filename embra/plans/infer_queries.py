@@ -35,7 +35,7 @@ def infer_ctes(spec, cat_fixed="NULL"):
     ctes += lines_sql(ispec, tag="2", corpus="corpus2", docs="docs2", keep_oov=True, cat_fixed=cat_fixed)
     ctes.append(f"wrows AS (SELECT * FROM {final} WHERE kind <> 'sent')")
     ctes.append(f"d0 AS (SELECT 'sent' AS kind, sent_no AS id, "
-                f"{rand_vec_sql(ispec, 'inf', 'sent_no', doc_denominator(ispec))} AS vec, "
+                f"{rand_vec_sql(ispec, 'inf', 'sent_id', doc_denominator(ispec))} AS vec, "
                 f"{state_sql(ispec)} AS state FROM docs2)")
     for i, a in enumerate(pass_alphas(ispec, ITERS)):
         tag = f"_i{i}"

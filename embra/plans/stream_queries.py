@@ -1,3 +1,69 @@
-"""Registered queries."""
+"""Streaming queries: run with trigger(availableNow=True)
+over a file stream of a driver table, then read the sink table."""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.text import simple_preprocess
+from ..functions.vectors import r6
+from ..operators import train as T
+from ..operators import vocab as V
+from ..session import scratch_path
+from ..streaming.infer import stream_infer
+from ..streaming.word_count import run_to_table, stream_word_count
+from ..tables import benchmark_corpus, conversations_corpus, table
+from . import sqlh
+from .infer_queries import CAT_SPEC, ITERS, K, _C, _PAIRS
+from .registry import register
+from .vocab_queries import DOC_CORPUS, WC
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"stream/{name}-{uuid.uuid4().hex[:12]}")
+
+
+def stream_path(spark, path: str) -> str:
+    """A file stream source needs a folder or a glob: a single-file table
+    is addressed by a glob that matches just that file."""
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path if fs.getFileStatus(jp).isDirectory() else path[:-1] + "[" + path[-1] + "]"
+
+
+def _file_stream(spark, sf, name, max_files=1):
+    schema = table(spark, sf, name).schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .parquet(stream_path(spark, f"{sf.rstrip('/')}/{name}.parquet")))
+
+
+@register("stream_word_count", sql=f"WITH {DOC_CORPUS}, {WC} SELECT word, cnt FROM wc")
+def q_stream_word_count(spark, sf):
+    """Vocabulary counts of the documents table read as a file stream."""
+    s = _file_stream(spark, sf, "documents").select(simple_preprocess("text").alias("words"))
+    out, ck = _scratch(spark, "wc"), _scratch(spark, "wc_ckpt")
+    run_to_table(stream_word_count(s), out, ck)
+    return spark.read.parquet(out)
+
+
+@register("stream_infer", sql="WITH RECURSIVE " + ",\n".join(_C) + ",\n" + _PAIRS + f"""
+SELECT d2.sent_id, r.rank, cats.cat_id, {sqlh.r6('r.sim')} AS sim
+FROM r JOIN docs2 d2 ON d2.sent_no = r.q_id JOIN cats ON cats.cat_no = r.grp""")
+def q_stream_infer(spark, sf):
+    """Benchmark texts arriving as a stream, each inferred against the
+    category model and given its top-2 categories; equals the batch answer."""
+    corpus = conversations_corpus(spark, sf)
+    params, vocab, docs, cats = T.train(corpus, CAT_SPEC)
+    pairs = V.sent_cat_pairs(corpus, docs, cats)
+    b = benchmark_corpus(spark, sf)  # to reuse the corpus projection on the stream
+    s = _file_stream(spark, sf, "benchmark").select(
+        F.col("item_id").alias("line_no"), F.lit(None).cast("string").alias("cat_id"),
+        F.col("item_id").cast("string").alias("sent_id"), simple_preprocess("text").alias("words"))
+    assert s.columns == b.columns
+    out, ck = _scratch(spark, "infer"), _scratch(spark, "infer_ckpt")
+    stream_infer(s, params, vocab, pairs, CAT_SPEC, out, ck, k=K, iterations=ITERS)
+    res = spark.read.parquet(out)
+    return (res.join(cats.select("cat_no", "cat_id"), "cat_no")
+            .select("sent_id", "rank", "cat_id", r6("sim").alias("sim")))
