@@ -63,6 +63,7 @@ class TrainSpec:
     min_count: int = 5
     init_adjust: bool = True
     batches: int = 1             # K mini-batches per epoch
+    combine: str = "sum"         # per-row gradient: exact sum of touches, or their mean
     slice_len: int = 10000       # B: positions of one line per batch slice
     epochs: int = 1
     normalize_each_epoch: bool = False
@@ -70,6 +71,8 @@ class TrainSpec:
     def validate(self):
         if not self.hs and not self.negative:
             raise ValueError("either hs or negative must be enabled")
+        if self.combine not in ("sum", "mean"):
+            raise ValueError("combine must be 'sum' or 'mean'")
         if self.optimizer not in OPTIMIZERS:
             raise ValueError(f"unknown optimizer {self.optimizer}")
         if self.family not in ("word", "sent", "cat") or self.arch not in ("sg", "cbow"):
@@ -339,7 +342,7 @@ def gradients(params: DataFrame, ins: DataFrame, outs: DataFrame, spec: TrainSpe
     grads = []
     if spec.word_learn:
         go = rows.select("out_kind", "out_id", F.transform("l1", lambda x: x * F.col("g")).alias("gv"))
-        grads.append(sum_vectors(go, ["out_kind", "out_id"], "gv", out="grad")
+        grads.append(sum_vectors(go, ["out_kind", "out_id"], "gv", out="grad", how=spec.combine)
                      .select(F.col("out_kind").alias("kind"), F.col("out_id").alias("id"), "grad"))
     e = sum_vectors(rows.select(*key, F.transform("ovec", lambda x: x * F.col("g")).alias("gv")),
                     key, "gv", out="e")
@@ -350,7 +353,7 @@ def gradients(params: DataFrame, ins: DataFrame, outs: DataFrame, spec: TrainSpe
         learn.append("cat")
     gi = (ins.filter(F.col("in_kind").isin(learn)).select(*key, "in_kind", "in_id")
           .join(e, key))
-    grads.append(sum_vectors(gi, ["in_kind", "in_id"], "e", out="grad")
+    grads.append(sum_vectors(gi, ["in_kind", "in_id"], "e", out="grad", how=spec.combine)
                  .select(F.col("in_kind").alias("kind"), F.col("in_id").alias("id"), "grad"))
     out = grads[0]
     for g in grads[1:]:
@@ -358,6 +361,21 @@ def gradients(params: DataFrame, ins: DataFrame, outs: DataFrame, spec: TrainSpe
     return out
 
 
+def batch_loss(params: DataFrame, ins: DataFrame, outs: DataFrame) -> DataFrame:
+    """Mean negative log-likelihood of the example targets (one row)."""
+    key = ["line_no", "i", "j"]
+    pv = params.select("kind", "id", "vec")
+    l1p = (ins.join(pv.withColumnRenamed("kind", "in_kind").withColumnRenamed("id", "in_id"),
+                    ["in_kind", "in_id"])
+           .withColumn("wv", F.transform("vec", lambda x: x * F.col("in_w"))))
+    l1 = sum_vectors(l1p, key, "wv", out="l1")
+    rows = (outs.join(l1, key)
+            .join(pv.withColumnRenamed("kind", "out_kind").withColumnRenamed("id", "out_id")
+                  .withColumnRenamed("vec", "ovec"), ["out_kind", "out_id"]))
+    z = dot("l1", "ovec") * (F.lit(2.0) * F.col("label") - F.lit(1.0))
+    return rows.agg(F.avg(F.log1p(F.exp(-z))).alias("loss"))
+
+
 def apply_update(params: DataFrame, grads: DataFrame, spec: TrainSpec, alpha: float) -> DataFrame:
     """Run the optimizer once on every touched row; untouched rows pass."""
     d = spec.size

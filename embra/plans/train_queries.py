@@ -104,3 +104,10 @@ def q_words_trained(spark, sf):
     spec = T.TrainSpec(family="sent", min_count=2)
     _, _, _, _, lines = build_model_inputs(spark, sf, spec, benchmark_corpus)
     return lines.agg(F.sum(F.size("idxs")).cast("long").alias("words_trained"))
+
+
+# the 'mean' combination (each touched row moves by its mean gradient)
+_register("c2v_dbow_hs_sgd_mean", T.TrainSpec(family="cat", arch="sg", hs=True, combine="mean",
+                                              **{**BASE, "alpha": 0.5}))
+_register("d2v_dm_neg_adam_mean", T.TrainSpec(family="sent", arch="cbow", hs=False, optimizer="adam",
+                                              combine="mean", **{**BASE, "negative": NEG}))

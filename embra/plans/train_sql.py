@@ -179,6 +179,7 @@ def step_sql(spec: TrainSpec, b: int, p_in: str, p_out: str, alpha_sql: str, tag
     """One synchronous step: parameters are read from ``p_lookup`` (default
     ``p_in``) and the update is applied to the rows of ``p_in``."""
     key = ["line_no", "i", "j"]
+    agg = "avg" if spec.combine == "mean" else "sum"
     lk = p_lookup or p_in
     n = f"{tag}{b}"
     ctes = examples_sql(spec, b, tag, epoch)
@@ -194,14 +195,14 @@ def step_sql(spec: TrainSpec, b: int, p_in: str, p_out: str, alpha_sql: str, tag
     if spec.word_learn:
         ctes.append(f"gop{n} AS (SELECT out_kind AS kind, out_id AS id, list_transform(l1, lambda z: z * g) AS gv "
                     f"FROM rows{n})")
-        ctes.append(f"gout{n} AS {sqlh.vec_agg(f'gop{n}', ['kind', 'id'], 'gv', 'sum', 'grad')}")
+        ctes.append(f"gout{n} AS {sqlh.vec_agg(f'gop{n}', ['kind', 'id'], 'gv', agg, 'grad')}")
         parts.append(f"SELECT kind, id, grad FROM gout{n}")
     ctes.append(f"ep{n} AS (SELECT line_no, i, j, list_transform(ovec, lambda z: z * g) AS gv FROM rows{n})")
     ctes.append(f"e{n} AS {sqlh.vec_agg(f'ep{n}', key, 'gv', 'sum', 'e')}")
     learn = ["'sent'"] + (["'syn0'"] if spec.word_learn else []) + (["'cat'"] if spec.cat_learn else [])
     ctes.append(f"gip{n} AS (SELECT x.in_kind AS kind, x.in_id AS id, e.e FROM ins{n} x JOIN e{n} e "
                 f"ON e.line_no = x.line_no AND e.i = x.i AND e.j = x.j WHERE x.in_kind IN ({', '.join(learn)}))")
-    ctes.append(f"gin{n} AS {sqlh.vec_agg(f'gip{n}', ['kind', 'id'], 'e', 'sum', 'grad')}")
+    ctes.append(f"gin{n} AS {sqlh.vec_agg(f'gip{n}', ['kind', 'id'], 'e', agg, 'grad')}")
     parts.append(f"SELECT kind, id, grad FROM gin{n}")
     ctes.append(f"grads{n} AS ({' UNION ALL '.join(parts)})")
     ctes.append(f"{p_out} AS ({update_sql(spec, f'grads{n}', p_in, alpha_sql)})")
