@@ -31,7 +31,7 @@ def pass_alphas(spec: T.TrainSpec, iterations: int) -> list[float]:
 
 def infer_vectors(new_corpus: DataFrame, params: DataFrame, vocab: DataFrame, spec: T.TrainSpec,
                   iterations: int = 5, cat_no: int | None = None,
-                  checkpoint: bool = True) -> DataFrame:
+                  checkpoint: bool = True, vectorised: bool = True) -> DataFrame:
     """(sent_id, sent_no, vec) for the documents of ``new_corpus``.
 
     ``cat_no`` holds the category vector at a model category (frozen);
@@ -51,11 +51,20 @@ def infer_vectors(new_corpus: DataFrame, params: DataFrame, vocab: DataFrame, sp
                        T.init_state(ispec).alias("state"))
     # initial vectors are keyed by the document id, so a document gets the
     # same vector whichever batch or stream trigger it arrives in
+    from .train_vec import MAX_BROADCAST_BYTES, gradients_vec, word_side, word_side_bytes
+    bc = None
+    if vectorised:
+        n_cats = frozen.filter(F.col("kind") == "cat").count()
+        if word_side_bytes(vocab, ispec, n_cats) <= MAX_BROADCAST_BYTES:
+            bc = frozen.sparkSession.sparkContext.broadcast(word_side(frozen, vocab, ispec))
     for i, alpha in enumerate(pass_alphas(ispec, iterations)):
-        pos = T.positions(lines, ispec, epoch=i)
-        ins, tg = T.examples(pos, ispec)
-        outs = T.targets_out(tg, vocab, ispec, epoch=i)
-        grads = T.gradients(frozen.unionByName(rows), ins, outs, ispec)
+        if bc is not None:
+            grads = gradients_vec(frozen.unionByName(rows), lines, bc, ispec, epoch=i)
+        else:
+            pos = T.positions(lines, ispec, epoch=i)
+            ins, tg = T.examples(pos, ispec)
+            outs = T.targets_out(tg, vocab, ispec, epoch=i)
+            grads = T.gradients(frozen.unionByName(rows), ins, outs, ispec)
         rows = T.apply_update(rows, grads, ispec, alpha)
         if checkpoint:
             rows = rows.checkpoint(eager=True)

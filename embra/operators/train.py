@@ -477,10 +477,14 @@ def batch_alpha_frame(lines: DataFrame, vocab: DataFrame, spec: TrainSpec,
                     .alias("alpha")))
 
 
-def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None):
+def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None,
+          vectorised: bool = True):
     """Build vocabulary and ids, then ``spec.epochs`` epochs.  Returns
-    (params, vocab, docs, cats); every epoch ends with a checkpoint."""
+    (params, vocab, docs, cats); every epoch ends with a checkpoint.  The
+    vectorised step is used while the word side fits its broadcast bound,
+    the relational step otherwise (same results)."""
     from . import vocab as V
+    from .train_vec import train_epoch_vec
     spec.validate()
     if vocab is None:
         vocab = V.build_vocab(corpus, spec.min_count, spec.sample, hs=spec.hs,
@@ -491,7 +495,8 @@ def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None):
     params = init_params(spec, vocab, docs, cats)
     for ep in range(spec.epochs):
         lines = prepare_lines(corpus, vocab, spec, ep, docs, cats).checkpoint(eager=True)
-        params = train_epoch(params, lines, vocab, spec, ep)
+        step = train_epoch_vec if vectorised else train_epoch
+        params = step(params, lines, vocab, spec, ep)
         if spec.normalize_each_epoch:
             params = normalize_params(params).checkpoint(eager=True)
     return params, vocab, docs, cats

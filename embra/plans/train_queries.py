@@ -15,6 +15,7 @@ from ..operators import vocab as V
 from ..tables import (benchmark_corpus, benchmark_corpus_sql, conversations_corpus,
                       conversations_corpus_sql)
 from .registry import register
+from ..operators.train_vec import train_epoch_vec
 from .train_sql import train_sql
 
 D = 4
@@ -38,10 +39,11 @@ def build_model_inputs(spark, sf, spec: T.TrainSpec, corpus_fn):
     return corpus, vocab, docs, cats, lines
 
 
-def train_once(spark, sf, spec: T.TrainSpec, corpus_fn):
+def train_once(spark, sf, spec: T.TrainSpec, corpus_fn, vectorised: bool = True):
     _, vocab, docs, cats, lines = build_model_inputs(spark, sf, spec, corpus_fn)
     params = T.init_params(spec, vocab, docs, cats)
-    params = T.train_epoch(params, lines, vocab, spec, 0)
+    step = train_epoch_vec if vectorised else T.train_epoch
+    params = step(params, lines, vocab, spec, 0)
     return params.select("kind", "id", r6_array("vec").alias("vec"), r6_array("state").alias("state"))
 
 
@@ -111,3 +113,15 @@ _register("c2v_dbow_hs_sgd_mean", T.TrainSpec(family="cat", arch="sg", hs=True,
                                               **{**BASE, "alpha": 0.5}))
 _register("d2v_dm_neg_adam_mean", T.TrainSpec(family="sent", arch="cbow", hs=False, optimizer="adam",
                                               combine="mean", **{**BASE, "negative": NEG}))
+
+
+# the relational form of the same step (no broadcast bound), kept in the gate
+_REL = T.with_spec(T.TrainSpec(family="cat", arch="cbow", hs=True, negative=NEG, optimizer="adagrad",
+                               cbow_mean=True, **{k: v for k, v in BASE.items() if k != "negative"}),
+                   min_count=20).validate()
+
+
+@register("c2v_dm_hsneg_adagrad_relational", sql=train_sql(_REL, conversations_corpus_sql()))
+def q_relational(spark, sf):
+    """Category DM with both objectives, computed with the relational step."""
+    return train_once(spark, sf, _REL, conversations_corpus, vectorised=False)
