@@ -172,7 +172,8 @@ def prepare_lines(corpus: DataFrame, vocab: DataFrame, spec: TrainSpec, epoch: i
     bounded by one input row (a line's own tokens).  With ``keep_oov``
     (inference) OOV tokens stay as null and nothing is sub-sampled.
     """
-    toks = corpus.select("line_no", "sent_id", "cat_id", F.posexplode("words").alias("opos", "word"))
+    from .vocab import explode_tokens
+    toks = explode_tokens(corpus.select("line_no", "sent_id", "cat_id", "words"), "words", pos="opos")
     v = vocab.select("word", "idx", "sample_prob")
     if keep_oov:
         j = toks.join(v, "word", "left")

@@ -26,10 +26,22 @@ DEFAULT_SAMPLE = 0.0
 
 def word_count(corpus: DataFrame, words: str = "words") -> DataFrame:
     """(word, cnt) over all tokens."""
-    return (corpus.select(F.explode(words).alias("word"))
+    return (explode_tokens(corpus.select(words), words)
             .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def explode_tokens(df: DataFrame, words: str = "words", pos: str | None = None) -> DataFrame:
+    """One row per token.  ``explode_outer`` + a null filter instead of
+    ``explode``: for ``explode`` the optimizer infers a ``size(words) > 0``
+    filter that re-evaluates the whole tokenizer expression a second time."""
+    keep = [c for c in df.columns if c != words]
+    if pos:
+        out = df.select(*keep, F.posexplode_outer(words).alias(pos, "word"))
+    else:
+        out = df.select(*keep, F.explode_outer(words).alias("word"))
+    return out.filter(F.col("word").isNotNull())
+
+
 def corpus_stats(corpus: DataFrame, approx: bool = False) -> DataFrame:
     """One row: n_words, n_types, n_lines, n_sents, n_cats."""
     distinct = F.approx_count_distinct if approx else F.countDistinct

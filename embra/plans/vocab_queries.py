@@ -146,7 +146,7 @@ SELECT w.word, (v.word IS NOT NULL) AS in_vocab FROM words w LEFT JOIN vocab v U
 def q_membership(spark, sf):
     """``word in model``: every word of the conversations against the
     documents vocabulary (left join, no collect)."""
-    words = conversations_corpus(spark, sf).select(F.explode("words").alias("word")).distinct()
+    words = V.explode_tokens(conversations_corpus(spark, sf).select("words")).distinct()
     v = doc_vocab(spark, sf).select("word", F.lit(True).alias("_hit"))
     return (words.join(v, "word", "left")
             .select("word", F.coalesce("_hit", F.lit(False)).alias("in_vocab")))

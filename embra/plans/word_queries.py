@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, r6
 from ..operators import train as T
 from ..operators.similarity import knn
+from ..operators.vocab import explode_tokens
 from ..operators.words import analogy_accuracy, analogy_vectors, doesnt_match, word_vectors
 from ..tables import benchmark_corpus, benchmark_corpus_sql, part_corpus, part_corpus_sql, table
 from . import sqlh
@@ -130,7 +131,7 @@ SELECT line_no, arg_min(word, struct_pack(d := d, w := word)) AS word FROM s GRO
 def q_doesnt_match(spark, sf):
     """The in-vocabulary word of each benchmark text farthest from the mean of its words."""
     w = trained_words(spark, sf, B_SPEC, benchmark_corpus)
-    toks = benchmark_corpus(spark, sf).select("line_no", F.explode("words").alias("word"))
+    toks = explode_tokens(benchmark_corpus(spark, sf).select("line_no", "words"))
     return doesnt_match(toks, w)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def stream_word_count(stream: DataFrame, words: str = "words") -> DataFrame:
     """Streaming (word, cnt): a stateful aggregation over arriving rows;
     the final answer equals the batch ``word_count``."""
-    return (stream.select(F.explode(words).alias("word"))
+    from ..operators.vocab import explode_tokens
+    return (explode_tokens(stream.select(words), words)
             .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
 
 
