@@ -145,3 +145,14 @@ def chunk_rows(df: DataFrame, order: list, n: int, id_col: str) -> DataFrame:
     return (ix.groupBy(F.floor(F.col("_ix") / n).cast("long").alias("chunk"))
             .agg(F.count(F.lit(1)).alias("n"),
                  F.sort_array(F.collect_list(id_col)).alias("ids")))
+
+
+def is_corpus(df: DataFrame) -> bool:
+    """True when ``df`` has the sparse-corpus shape (doc_no integral,
+    term_id integral, weight numeric) and at least one row."""
+    t = dict(df.dtypes)
+    integral = ("int", "bigint", "smallint", "tinyint")
+    weight = t.get("weight", "")
+    numeric = weight in integral + ("double", "float") or weight.startswith("decimal")
+    ok = t.get("doc_no") in integral and t.get("term_id") in integral and numeric
+    return ok and not df.limit(1).isEmpty()

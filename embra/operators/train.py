@@ -159,6 +159,18 @@ def init_params(spec: TrainSpec, vocab: DataFrame, docs: DataFrame | None = None
     return out.withColumn("state", st)
 
 
+def reuse_word_vectors(params: DataFrame, vocab: DataFrame, stored_words: DataFrame) -> DataFrame:
+    """Start a model from stored word vectors: syn0 rows of words present in
+    ``stored_words`` (word, vec) take the stored vector (equi-join on the
+    word); the others keep their initial vector."""
+    sw = stored_words.select("word", F.col("vec").alias("_sv"))
+    s0 = (params.filter(F.col("kind") == "syn0")
+          .join(vocab.select(F.col("idx").alias("id"), "word"), "id")
+          .join(sw, "word", "left")
+          .select("kind", "id", F.coalesce("_sv", "vec").alias("vec"), "state"))
+    return params.filter(F.col("kind") != "syn0").unionByName(s0)
+
+
 # --------------------------------------------------------------------------
 # lines and examples
 

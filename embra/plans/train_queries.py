@@ -125,3 +125,44 @@ _REL = T.with_spec(T.TrainSpec(family="cat", arch="cbow", hs=True, negative=NEG,
 def q_relational(spark, sf):
     """Category DM with both objectives, computed with the relational step."""
     return train_once(spark, sf, _REL, conversations_corpus, vectorised=False)
+
+
+# vocab_reuse: a category model on conversations whose word vectors start
+# from a word model stored earlier (here: initial word vectors of benchmark)
+REUSE_SPEC = T.TrainSpec(family="cat", size=D, min_count=20, hs=True, seed=7)
+OLD_SPEC = T.TrainSpec(family="word", size=D, min_count=2, hs=True, seed=11)
+
+
+def _reuse_sql():
+    from . import sqlh
+    from .train_sql import ids_sql, init_params_sql, rand_vec_sql, vocab_sql, word_denominator
+    ctes = [f"corpus AS ({conversations_corpus_sql()})"] + vocab_sql(REUSE_SPEC) + ids_sql(REUSE_SPEC)
+    ctes.append(f"p0 AS ({init_params_sql(REUSE_SPEC)})")
+    ctes.append(f"ocorpus AS ({benchmark_corpus_sql()})")
+    ctes.append("owc AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(words) AS word FROM ocorpus) "
+                "GROUP BY word)")
+    ctes.append(f"ovocab AS (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) - 1 AS idx FROM owc "
+                f"WHERE cnt >= {OLD_SPEC.min_count})")
+    ctes.append(f"old AS (SELECT word, {rand_vec_sql(OLD_SPEC, 'syn0', 'idx', word_denominator(OLD_SPEC))} "
+                f"AS vec FROM ovocab)")
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT v.word, p.id AS idx, {sqlh.r6_list('coalesce(o.vec, p.vec)')} AS vec, o.word IS NOT NULL AS reused
+FROM p0 p JOIN vocab v ON v.idx = p.id LEFT JOIN old o ON o.word = v.word WHERE p.kind = 'syn0'""")
+
+
+@register("vocab_reuse", sql=_reuse_sql())
+def q_vocab_reuse(spark, sf):
+    """Word vectors of a new model taken from a stored model where the word
+    is known (equi-join on the word), initialised otherwise."""
+    conv = conversations_corpus(spark, sf)
+    vocab = V.build_vocab(conv, REUSE_SPEC.min_count, hs=True)
+    p = T.init_params(REUSE_SPEC, vocab, V.doc_ids(conv), V.cat_ids(conv))
+    bench = benchmark_corpus(spark, sf)
+    ov = V.build_vocab(bench, OLD_SPEC.min_count, hs=True)
+    old = T.init_params(OLD_SPEC, ov).filter(F.col("kind") == "syn0").join(
+        ov.select(F.col("idx").alias("id"), "word"), "id").select("word", "vec")
+    p2 = T.reuse_word_vectors(p, vocab, old).filter(F.col("kind") == "syn0")
+    hit = old.select("word", F.lit(True).alias("_h"))
+    return (p2.join(vocab.select(F.col("idx").alias("id"), "word"), "id").join(hit, "word", "left")
+            .select("word", F.col("id").alias("idx"), r6_array("vec").alias("vec"),
+                    F.coalesce("_h", F.lit(False)).alias("reused")))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import r6
 from ..operators import vocab as V
 from ..tables import (conversations_corpus, conversations_corpus_sql, documents_corpus,
-                      documents_corpus_sql, table)
+                      documents_corpus_sql, part_corpus, part_corpus_sql, table)
 from . import sqlh
 from .registry import register
+from .train_sql import huffman_sql
 
 MIN_COUNT = 5
 SAMPLE = 1e-3
@@ -150,3 +151,17 @@ def q_membership(spark, sf):
     v = doc_vocab(spark, sf).select("word", F.lit(True).alias("_hit"))
     return (words.join(v, "word", "left")
             .select("word", F.coalesce("_hit", F.lit(False)).alias("in_vocab")))
+
+
+@register("huffman_part", sql="""
+WITH RECURSIVE corpus AS (""" + part_corpus_sql() + """),
+wc AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(words) AS word FROM corpus) GROUP BY word),
+vocab0 AS (SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word) - 1 AS idx FROM wc),
+nv AS (SELECT count(*) AS V FROM vocab0),
+""" + ",\n".join(huffman_sql("vocab0")) + """
+SELECT v.word, v.idx, v.cnt, h.code, h.point FROM vocab0 v JOIN hpaths h ON h.node = v.idx""")
+def q_huffman_part(spark, sf):
+    """Huffman codes of the part-name vocabulary (the SQL twin builds the
+    tree with a recursive CTE, practical on a small vocabulary)."""
+    v = V.vocab_prune(V.word_count(part_corpus(spark, sf)), 1)
+    return V.huffman(v).select("word", "idx", "cnt", "code", "point")

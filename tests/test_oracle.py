@@ -11,7 +11,8 @@ NAMES = [
     "ctx_window", "neg_sample", "lr_schedule", "d2v_dm_neg_adadelta", "c2v_dbow_hs_adam", "w2v_cbow_hs",
     "knn_pair_sum_ident", "knn_joint_sum_sent", "eval_cat", "confusion", "corpus_to_dense", "sparse_clip",
     "sparse_cosine", "knn_word_analogy", "analogy_accuracy", "infer_category", "src_wiki_sampled",
-    "src_text8", "src_questions", "w2v_binary", "mm_roundtrip", "stream_word_count",
+    "src_text8", "src_questions", "w2v_binary", "mm_roundtrip", "stream_word_count", "huffman_part",
+    "vocab_reuse", "c2v_dbow_hs_sgd_mean",
 ]
 
 

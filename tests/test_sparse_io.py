@@ -50,3 +50,24 @@ def test_binary_reader_reference_layout(spark):
     got = read_word2vec_binary(spark, path).orderBy("idx").collect()
     assert [(r["word"], r["idx"], r["cnt"], r["vec"]) for r in got] == [
         ("alpha", 0, 3, [1.5, -2.0]), ("beta", 1, 2, [0.25, 4.0]), ("gammaé", 2, 1, [0.0, 1.0])]
+
+
+def test_is_corpus(spark):
+    sp = spark.createDataFrame([(0, 1, 1.0)], "doc_no long, term_id int, weight double")
+    assert S.is_corpus(sp)
+    assert not S.is_corpus(sp.limit(0))
+    assert not S.is_corpus(spark.createDataFrame([("a", 1, 1.0)], "doc_no string, term_id int, weight double"))
+
+
+def test_mm_metadata_side_table(spark):
+    from embra.sinks.mm import write_mm
+    from embra.sources.mm import read_mm
+    d = tempfile.mkdtemp(prefix="embra-mm-")
+    sp = spark.createDataFrame([(0, 2, 1.5), (2, 0, -2.0), (2, 1, 1e-13)], "doc_no long, term_id int, weight double")
+    meta = spark.createDataFrame([(0, "first"), (2, "third")], "doc_no long, metadata string")
+    write_mm(sp, d + "/m", metadata=meta, metadata_path=d + "/meta")
+    docs, head = read_mm(spark, d + "/m")
+    assert head.first().asDict() == {"num_docs": 3, "num_terms": 3, "num_nnz": 2}
+    assert [(r["doc_no"], r["terms"], r["weights"]) for r in docs.orderBy("doc_no").collect()] == \
+        [(0, [2], [1.5]), (1, [], []), (2, [0], [-2.0])]
+    assert sorted(tuple(r) for r in spark.read.parquet(d + "/meta").collect()) == [(0, "first"), (2, "third")]
