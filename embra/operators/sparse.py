@@ -17,10 +17,6 @@ from .ordering import dense_index
 EPS = 1e-9
 
 
-def _one(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
-
-
 def num_terms(sparse: DataFrame) -> DataFrame:
     """One row: num_terms = max term id + 1 (0 when empty)."""
     return sparse.agg((F.coalesce(F.max("term_id"), F.lit(-1)) + 1).alias("num_terms"))

@@ -138,8 +138,7 @@ def init_params(spec: TrainSpec, vocab: DataFrame, docs: DataFrame | None = None
     parts = [vocab.select(F.lit("syn0").alias("kind"), F.col("idx").alias("id"),
                           _init_vec("syn0", F.col("idx"), d, seed, word_denominator(spec)).alias("vec"))]
     if spec.hs:
-        n = vocab.agg(F.max("idx").alias("_m"))
-        inner = vocab.select("idx").join(n, F.col("idx") < F.col("_m"))
+        inner = vocab.select("idx").filter(F.col("idx") < vocab.agg(F.max("idx")).scalar())
         parts.append(inner.select(F.lit("syn1").alias("kind"), F.col("idx").alias("id"),
                                   zero.alias("vec")))
     if spec.negative:
@@ -480,14 +479,13 @@ def batch_alpha_frame(lines: DataFrame, vocab: DataFrame, spec: TrainSpec,
     from pyspark.sql import Window
     cnt = positions(lines, spec, epoch).groupBy(batch_of(spec).alias("batch")).agg(
         F.count(F.lit(1)).alias("n"))
-    tw = vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob")).alias("total"))
+    tw = vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob"))).scalar()
     w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # K rows only
     done = (bs.join(cnt, "batch", "left").fillna(0, ["n"])
             .withColumn("done", F.coalesce(F.sum("n").over(w), F.lit(0))))
-    return (done.join(tw, how="left")
-            .select("batch", F.greatest(F.lit(float(spec.min_alpha)),
-                                        F.lit(float(spec.alpha)) * (F.lit(1.0) - F.col("done") / F.col("total")))
-                    .alias("alpha")))
+    return done.select("batch", F.greatest(F.lit(float(spec.min_alpha)),
+                                           F.lit(float(spec.alpha)) * (F.lit(1.0) - F.col("done") / tw))
+                       .alias("alpha"))
 
 
 def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None,

@@ -49,13 +49,8 @@ def corpus_stats(corpus: DataFrame, approx: bool = False) -> DataFrame:
                        F.sum(F.size("words")).cast("long").alias("n_words"),
                        distinct("sent_id").alias("n_sents"),
                        distinct("cat_id").alias("n_cats"))
-    types = word_count(corpus).agg(F.count(F.lit(1)).alias("n_types"))
-    return _one_row_join(lines, types)
-
-
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    # both sides are single-row aggregates: join on a constant key
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    types = word_count(corpus).agg(F.count(F.lit(1))).scalar()
+    return lines.withColumn("n_types", types)
 
 
 def vocab_prune(counts: DataFrame, min_count: int = DEFAULT_MIN_COUNT) -> DataFrame:
@@ -128,24 +123,24 @@ def huffman(vocab: DataFrame) -> DataFrame:
 def noise_dist(vocab: DataFrame, power: float = NOISE_POWER) -> DataFrame:
     """Add [noise_lo, noise_hi): cumulative share of cnt^power in idx order."""
     w = vocab.withColumn("_w", F.pow(F.col("cnt").cast("double"), F.lit(power)))
-    total = w.agg(F.sum("_w").alias("_z"), F.max("idx").alias("_mx"))
+    # totals are scalar subqueries (one value each), not joins
+    z = w.agg(F.sum("_w")).scalar()
+    mx = w.agg(F.max("idx")).scalar()
     cum = running_sum_dense(w, "idx", F.col("_w"), "_cum")
     # the last interval ends at exactly 1.0 so that no draw falls past it
-    return (_one_row_join(cum, total)
-            .withColumn("noise_lo", (F.col("_cum") - F.col("_w")) / F.col("_z"))
-            .withColumn("noise_hi", F.when(F.col("idx") == F.col("_mx"), F.lit(1.0))
-                        .otherwise(F.col("_cum") / F.col("_z")))
-            .drop("_w", "_cum", "_z", "_mx"))
+    return (cum.withColumn("noise_lo", (F.col("_cum") - F.col("_w")) / z)
+            .withColumn("noise_hi", F.when(F.col("idx") == mx, F.lit(1.0)).otherwise(F.col("_cum") / z))
+            .drop("_w", "_cum"))
 
 
 def subsample_prob(vocab: DataFrame, sample: float = DEFAULT_SAMPLE) -> DataFrame:
     """p = min(1, (sqrt(c/t) + 1) * t/c), t = sample * total count; 1 if sample=0."""
     if not sample:
         return vocab.withColumn("sample_prob", F.lit(1.0))
-    t = vocab.agg((F.sum("cnt") * F.lit(float(sample))).alias("_t"))
+    t = vocab.agg(F.sum("cnt") * F.lit(float(sample))).scalar()
     c = F.col("cnt").cast("double")
-    p = (F.sqrt(c / F.col("_t")) + 1) * (F.col("_t") / c)
-    return _one_row_join(vocab, t).withColumn("sample_prob", F.least(p, F.lit(1.0))).drop("_t")
+    p = (F.sqrt(c / t) + 1) * (t / c)
+    return vocab.withColumn("sample_prob", F.least(p, F.lit(1.0)))
 
 
 def expected_words(vocab: DataFrame) -> DataFrame:

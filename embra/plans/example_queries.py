@@ -158,13 +158,13 @@ def q_sanity(spark, sf):
     cn = p.filter(F.col("kind") == "cat").agg(F.max(norm("vec")).alias("max_cat_norm"))
     w = unit_vectors(p.filter(F.col("kind") == "syn0").select("id", "vec"))
     n = w.agg(F.count(F.lit(1)).alias("n"))
-    picks = (p.sparkSession.range(10).select(F.col("id").alias("r")).join(n, how="left")
-             .select("r", F.floor(keyed_uniform(7, F.lit("sanity"), F.col("r")) * F.col("n"))
+    picks = (p.sparkSession.range(10).select(F.col("id").alias("r"))
+             .select("r", F.floor(keyed_uniform(7, F.lit("sanity"), F.col("r")) * n.scalar())
                      .cast("long").alias("wid")))
     q = picks.join(w, picks.wid == w.id).select(F.col("r").alias("q_id"), "uvec", F.array("wid").alias("ex"))
     nn = knn(q, w.select(F.col("id").alias("i_id"), "uvec"), 10, q_vec="uvec", i_vec="uvec", exclude="ex")
     s10 = nn.filter(F.col("rank") == 10).agg(F.avg("sim").alias("sim10"))
-    out = cn.join(s10, how="left")
+    out = cn.withColumn("sim10", s10.scalar())
     return out.select(r6("max_cat_norm").alias("max_cat_norm"), r6("sim10").alias("sim10"),
                       ((F.col("max_cat_norm") <= 100000) & (F.col("sim10") <= 0.9)).alias("ok"))
 

@@ -76,18 +76,16 @@ SELECT doc_no, {sqlh.r6_list('list(w ORDER BY i)')} AS vec FROM g GROUP BY doc_n
 @register("corpus_to_dense", sql=_DENSE_SQL.format(extra=0))
 def q_corpus_to_dense(spark, sf):
     sp = event_corpus(spark, sf)
-    d = S.to_docs(sp).withColumn("_k", F.lit(1)).join(
-        S.num_terms(sp).withColumn("_k", F.lit(1)), "_k")
-    return S.to_full(d, F.col("num_terms")).select("doc_no", r6_array("vec").alias("vec"))
+    d = S.to_docs(sp).withColumn("_nt", S.num_terms(sp).scalar())
+    return S.to_full(d, F.col("_nt")).select("doc_no", r6_array("vec").alias("vec"))
 
 
 @register("sparse_to_full", sql=_DENSE_SQL.format(extra=3))
 def q_sparse_to_full(spark, sf):
     """sparse2full with a length 3 beyond the number of terms (zeros)."""
     sp = event_corpus(spark, sf)
-    d = S.to_docs(sp).withColumn("_k", F.lit(1)).join(
-        S.num_terms(sp).withColumn("_k", F.lit(1)), "_k")
-    return S.to_full(d, F.col("num_terms") + 3).select("doc_no", r6_array("vec").alias("vec"))
+    d = S.to_docs(sp).withColumn("_nt", S.num_terms(sp).scalar() + 3)
+    return S.to_full(d, F.col("_nt")).select("doc_no", r6_array("vec").alias("vec"))
 
 
 @register("full_to_sparse", sql=f"""

@@ -23,13 +23,12 @@ def read_mm(spark, source, transposed: bool = True) -> tuple[DataFrame, DataFram
                          .otherwise(F.raise_error(F.lit("not in Matrix Market coordinate real general format")))
                          .alias("ok"))
     data = lines.filter(~F.col("value").startswith("%"))
-    stats_line = data.agg(F.min("line_no").alias("_sl"))
-    data = (data.withColumn("_k", F.lit(1)).join(stats_line.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    data = data.withColumn("_sl", data.agg(F.min("line_no")).scalar())
     st = data.filter(F.col("line_no") == F.col("_sl")).select(F.split(F.trim("value"), WS).alias("p"))
     a, b = st.p[0].cast("long"), st.p[1].cast("long")
     header = st.select((a if transposed else b).alias("num_docs"), (b if transposed else a).alias("num_terms"),
                        st.p[2].cast("long").alias("num_nnz"))
-    header = header.withColumn("_k", F.lit(1)).join(first.withColumn("_k", F.lit(1)), "_k").drop("_k", "ok")
+    header = header.filter(first.select("ok").scalar() == 1)
     ent = data.filter(F.col("line_no") > F.col("_sl")).select("line_no", F.split(F.trim("value"), WS).alias("p"))
     d, t = ent.p[0].cast("long") - 1, ent.p[1].cast("int") - 1
     ent = ent.select("line_no", (d if transposed else t.cast("long")).alias("doc_no"),

@@ -152,8 +152,8 @@ def repeat_corpus(df: DataFrame, order: list, reps: int) -> DataFrame:
     is replicated by a generator (no cross join), then rows past ``reps``
     are cut: (row_no, *columns)."""
     ix = dense_index(df, order, "_ix")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    j = ix.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    n = df.agg(F.count(F.lit(1))).scalar()
+    j = ix.withColumn("_n", n)
     copies = F.ceil(F.lit(float(reps)) / F.col("_n")).cast("int")
     r = j.withColumn("_rep", F.explode(F.sequence(F.lit(0), copies - 1)))
     r = r.withColumn("row_no", (F.col("_rep") * F.col("_n") + F.col("_ix")).cast("long"))

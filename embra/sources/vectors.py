@@ -13,10 +13,6 @@ from ..operators.ordering import dense_index
 from .text import WS, read_lines
 
 
-def _one(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
-
-
 def read_vocab(spark, source) -> DataFrame:
     """``word count`` lines -> (word, cnt)."""
     lines = read_lines(spark, source)
@@ -34,10 +30,10 @@ def _counts(words: DataFrame, vocab: DataFrame | None) -> DataFrame:
 def read_word2vec_text(spark, source, fvocab=None, norm_only: bool = False) -> DataFrame:
     """(word, idx, cnt, vec).  Width other than d+1 raises an error."""
     lines = read_lines(spark, source)
-    hdr = lines.filter(F.col("line_no") == 0).select(
-        F.split(F.trim("value"), WS)[0].cast("long").alias("_V"),
-        F.split(F.trim("value"), WS)[1].cast("int").alias("_d"))
-    body = _one(lines.filter(F.col("line_no") > 0), hdr)
+    first = lines.filter(F.col("line_no") == 0)
+    v_total = first.select(F.split(F.trim("value"), WS)[0].cast("long")).scalar()
+    dim = first.select(F.split(F.trim("value"), WS)[1].cast("int")).scalar()
+    body = lines.filter(F.col("line_no") > 0).withColumn("_V", v_total).withColumn("_d", dim)
     parts = F.split(F.trim("value"), WS)
     body = body.withColumn("_p", parts).withColumn(
         "_p", F.when(F.size("_p") == F.col("_d") + 1, F.col("_p")).otherwise(
