@@ -39,7 +39,9 @@ def infer_vectors(new_corpus: DataFrame, params: DataFrame, vocab: DataFrame, sp
     """
     ispec = inference_spec(spec)
     docs = V.doc_ids(new_corpus)
-    lines = T.prepare_lines(new_corpus, vocab, ispec, 0, docs, None, keep_oov=True)
+    longest = new_corpus.agg(F.max(F.size("words"))).first()[0] or 0
+    seg = T.SEGMENT_LEN if longest > T.SEGMENT_AUTO else None
+    lines = T.prepare_lines(new_corpus, vocab, ispec, 0, docs, None, keep_oov=True, segment_len=seg)
     lines = lines.withColumn("cat_no", F.lit(cat_no).cast("long"))
     if checkpoint:
         lines = lines.checkpoint(eager=True)

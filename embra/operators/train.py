@@ -42,6 +42,9 @@ ADAM_A = 0.001
 
 OPTIMIZERS = ("sgd", "adagrad", "adadelta", "adam")
 NOISE_BUCKETS = 1 << 16
+# lines longer than SEGMENT_AUTO tokens are trained as segments of SEGMENT_LEN
+SEGMENT_AUTO = 200_000
+SEGMENT_LEN = 10_000
 
 
 @dataclass(frozen=True)
@@ -176,12 +179,14 @@ def reuse_word_vectors(params: DataFrame, vocab: DataFrame, stored_words: DataFr
 
 def prepare_lines(corpus: DataFrame, vocab: DataFrame, spec: TrainSpec, epoch: int = 0,
                   docs: DataFrame | None = None, cats: DataFrame | None = None,
-                  keep_oov: bool = False) -> DataFrame:
+                  keep_oov: bool = False, segment_len: int | None = None) -> DataFrame:
     """In-vocabulary token ids of every line, sub-sampled, positions compacted.
 
-    token -> vocab is an equi-join on ``word``; the regrouping by line is
-    bounded by one input row (a line's own tokens).  With ``keep_oov``
-    (inference) OOV tokens stay as null and nothing is sub-sampled.
+    token -> vocab is an equi-join on ``word``.  Without ``segment_len`` the
+    tokens are regrouped per line (bounded by one input row); with it, long
+    lines are cut into segments (see :func:`segment_lines`) so no task holds
+    a whole line.  With ``keep_oov`` (inference) OOV tokens stay as null and
+    nothing is sub-sampled.
     """
     from .vocab import explode_tokens
     toks = explode_tokens(corpus.select("line_no", "sent_id", "cat_id", "words"), "words", pos="opos")
@@ -193,9 +198,13 @@ def prepare_lines(corpus: DataFrame, vocab: DataFrame, spec: TrainSpec, epoch: i
         if spec.sample:
             u = keyed_uniform(spec.seed, F.lit("sub"), F.lit(epoch), F.col("line_no"), F.col("opos"))
             j = j.filter((F.col("sample_prob") >= 1.0) | (F.col("sample_prob") >= u))
-    lines = (j.groupBy("line_no", "sent_id", "cat_id")
-             .agg(F.array_sort(F.collect_list(F.struct("opos", "idx"))).alias("_t"))
-             .withColumn("idxs", F.transform("_t", lambda t: t["idx"])).drop("_t"))
+    if segment_len:
+        lines = segment_lines(j.select("line_no", "sent_id", "cat_id", "opos", "idx"), spec.window,
+                              segment_len, compact=not keep_oov)
+    else:
+        lines = (j.groupBy("line_no", "sent_id", "cat_id")
+                 .agg(F.array_sort(F.collect_list(F.struct("opos", "idx"))).alias("_t"))
+                 .withColumn("idxs", F.transform("_t", lambda t: t["idx"])).drop("_t"))
     if docs is not None:
         lines = lines.join(docs.select("sent_id", "sent_no"), "sent_id", "left")
     else:
@@ -204,7 +213,17 @@ def prepare_lines(corpus: DataFrame, vocab: DataFrame, spec: TrainSpec, epoch: i
         lines = lines.join(cats.select("cat_id", "cat_no"), "cat_id", "left")
     else:
         lines = lines.withColumn("cat_no", F.lit(None).cast("long"))
-    return lines.select("line_no", "sent_no", "cat_no", "idxs")
+    extra = ["base", "c_lo", "c_hi", "n"] if segment_len else []
+    return lines.select("line_no", "sent_no", "cat_no", "idxs", *extra)
+
+
+def with_segment_cols(lines: DataFrame) -> DataFrame:
+    """Whole lines as one segment: base 0, centres [0, n), n = line length."""
+    if "base" in lines.columns:
+        return lines
+    n = F.size("idxs").cast("long")
+    return (lines.withColumn("base", F.lit(0).cast("long")).withColumn("c_lo", F.lit(0).cast("long"))
+            .withColumn("c_hi", n).withColumn("n", n))
 
 
 def positions(lines: DataFrame, spec: TrainSpec, epoch: int = 0,
@@ -215,21 +234,26 @@ def positions(lines: DataFrame, spec: TrainSpec, epoch: int = 0,
     to the line.  ``ctx`` holds the token ids of the whole window (centre
     included) and ``lo`` its first position, built inside the row with
     ``slice`` (no self-join).  Batch of a position:
-    pmod(line_no + floor(i / slice_len), K).
+    pmod(line_no + floor(i / slice_len), K).  A row may be a segment of a
+    long line (centres [c_lo, c_hi), tokens from position ``base``, line
+    length ``n``); positions are always line positions.
     """
     w, seed = spec.window, spec.seed
+    lines = with_segment_cols(lines)
 
-    def one(i):
-        n = F.size("idxs")
+    def one(k):
+        i = F.col("c_lo") + k
+        n = F.col("n")
         b = F.floor(keyed_uniform(seed, F.lit("win"), F.lit(epoch), F.col("line_no"), i) * w)
-        lo = F.greatest(F.lit(0), i - w + b)
+        lo = F.greatest(F.lit(0).cast("long"), i - w + b)
         hi = F.least(n - 1, i + w - b)
-        return F.struct(i.alias("i"), F.element_at("idxs", i + 1).alias("word"), lo.alias("lo"),
-                        F.slice("idxs", lo + 1, hi - lo + 1).alias("ctx"))
+        return F.struct(i.alias("i"), F.element_at("idxs", (i - F.col("base") + 1).cast("int")).alias("word"),
+                        lo.alias("lo"),
+                        F.slice("idxs", (lo - F.col("base") + 1).cast("int"), (hi - lo + 1).cast("int")).alias("ctx"))
 
-    p = lines.filter(F.size("idxs") > 0).select(
+    p = lines.filter(F.col("c_hi") > F.col("c_lo")).select(
         "line_no", "sent_no", "cat_no",
-        F.explode(F.transform(F.sequence(F.lit(0), F.size("idxs") - 1), one)).alias("p"))
+        F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c_hi") - F.col("c_lo") - 1), one)).alias("p"))
     p = p.select("line_no", "sent_no", "cat_no", F.col("p.i").cast("long").alias("i"),
                  F.col("p.word").alias("word"), F.col("p.lo").cast("long").alias("lo"),
                  F.col("p.ctx").alias("ctx")).filter(F.col("word").isNotNull())
@@ -238,6 +262,43 @@ def positions(lines: DataFrame, spec: TrainSpec, epoch: int = 0,
     return p
 
 
+def segment_lines(tokens: DataFrame, window: int, segment_len: int, compact: bool = True) -> DataFrame:
+    """Lines as segments, without gathering a whole line anywhere.
+
+    tokens: (line_no, sent_id, cat_id, opos, idx).  Compacted positions come
+    from a range-partitioned running count over (line_no, opos) minus the
+    line's start (``compact``; else the original positions).  A token goes
+    to its segment and, when it lies within ``window`` of a boundary, to the
+    neighbouring segment as margin; a segment row then holds at most
+    ``segment_len + 2 * window`` tokens, whatever the line length."""
+    from .ordering import running_sum
+    if segment_len <= window:
+        raise ValueError("segment_len must exceed the window")
+    S, w = int(segment_len), int(window)
+    if compact:
+        cum = running_sum(tokens.withColumn("_one", F.lit(1).cast("long")),
+                          [F.col("line_no"), F.col("opos")], F.col("_one"), "_cum")
+        start = cum.groupBy("line_no").agg(F.min("_cum").alias("_st"))
+        t = cum.join(start, "line_no").withColumn("pos", F.col("_cum") - F.col("_st")).drop("_cum", "_st", "_one")
+    else:
+        t = tokens.withColumn("pos", F.col("opos").cast("long"))
+    seg = F.floor(F.col("pos") / S)
+    t = t.withColumn("_seg", seg)
+    near_lo = F.col("pos") - F.col("_seg") * S < w
+    near_hi = (F.col("_seg") + 1) * S - 1 - F.col("pos") < w
+    t = t.withColumn("_to", F.explode(F.array(F.col("_seg"), F.when(near_lo, F.col("_seg") - 1),
+                                              F.when(near_hi, F.col("_seg") + 1))))
+    t = t.filter(F.col("_to").isNotNull() & (F.col("_to") >= 0))
+    lens = t.filter(F.col("_to") == F.col("_seg")).groupBy("line_no").agg((F.max("pos") + 1).alias("n"))
+    g = (t.groupBy("line_no", "sent_id", "cat_id", F.col("_to").alias("seg"))
+         .agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_t")))
+    g = g.join(lens, "line_no").filter(F.col("seg") * S < F.col("n"))
+    return g.select("line_no", "sent_id", "cat_id",
+                    F.transform("_t", lambda x: x["idx"]).alias("idxs"),
+                    F.col("_t")[0]["pos"].alias("base"), (F.col("seg") * S).alias("c_lo"),
+                    F.least(F.col("n"), (F.col("seg") + 1) * S).alias("c_hi"), "n")
+
+
 def batch_of(spec: TrainSpec) -> Column:
     return F.pmod(F.col("line_no") + F.floor(F.col("i") / F.lit(spec.slice_len)),
                   F.lit(spec.batches))
@@ -504,8 +565,10 @@ def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None,
     docs = V.doc_ids(corpus) if spec.family != "word" else None
     cats = V.cat_ids(corpus) if spec.family == "cat" else None
     params = init_params(spec, vocab, docs, cats)
+    longest = corpus.agg(F.max(F.size("words"))).first()[0] or 0
+    seg = SEGMENT_LEN if longest > SEGMENT_AUTO else None
     for ep in range(spec.epochs):
-        lines = prepare_lines(corpus, vocab, spec, ep, docs, cats).checkpoint(eager=True)
+        lines = prepare_lines(corpus, vocab, spec, ep, docs, cats, segment_len=seg).checkpoint(eager=True)
         step = train_epoch_vec if vectorised else train_epoch
         params = step(params, lines, vocab, spec, ep)
         if spec.normalize_each_epoch:

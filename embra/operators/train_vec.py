@@ -81,42 +81,44 @@ def _partials(it, ws, spec: T.TrainSpec, epoch: int, batch: int | None):
         ex_line, ex_i, ex_j, ex_tgt = [], [], [], []
         in_ex, in_kind, in_id, in_w = [], [], [], []
         sent_vecs = {}
-        for line_no, sent_no, cat_no, idxs, svec in zip(pdf["line_no"], pdf["sent_no"], pdf["cat_no"],
-                                                        pdf["idxs"], pdf["svec"]):
+        for line_no, sent_no, cat_no, idxs, svec, base, c_lo, c_hi, n in zip(
+                pdf["line_no"], pdf["sent_no"], pdf["cat_no"], pdf["idxs"], pdf["svec"],
+                pdf["base"], pdf["c_lo"], pdf["c_hi"], pdf["n"]):
+            base, c_lo, c_hi, n = int(base), int(c_lo), int(c_hi), int(n)
             # out-of-vocabulary gaps (inference) become -1: neither centre nor context
             # (Arrow hands arrays with nulls over as floats with NaN)
             fx = np.asarray([np.nan if x is None else x for x in idxs], dtype=np.float64)
-            idxs = np.where(np.isnan(fx), -1, fx).astype(np.int64)
-            n = len(idxs)
+            # segment tokens start at line position ``base``: sg[p - base] is position p
+            sg = np.where(np.isnan(fx), -1, fx).astype(np.int64)
             if fam != "word" and svec is not None:
                 sent_vecs[int(sent_no)] = np.asarray(svec, dtype=np.float64)
-            for i in range(n):
-                if idxs[i] < 0 or (K > 1 and batch is not None and (line_no + i // B) % K != batch):
+            for i in range(c_lo, c_hi):
+                if sg[i - base] < 0 or (K > 1 and batch is not None and (line_no + i // B) % K != batch):
                     continue
                 b = int(np.floor(keyed_u(seed, "win", epoch, line_no, i) * w))
                 lo, hi = max(0, i - w + b), min(n - 1, i + w - b)
                 if spec.arch == "sg":
                     for j in range(lo, hi + 1):
-                        if (fam == "word" and j == i) or idxs[j] < 0:
+                        if (fam == "word" and j == i) or sg[j - base] < 0:
                             continue
                         e = len(ex_line)
                         ex_line.append(line_no); ex_i.append(i); ex_j.append(j)
                         if fam == "word":
-                            ex_tgt.append(idxs[i])
-                            in_ex.append(e); in_kind.append(SYN0); in_id.append(idxs[j]); in_w.append(1.0)
+                            ex_tgt.append(sg[i - base])
+                            in_ex.append(e); in_kind.append(SYN0); in_id.append(sg[j - base]); in_w.append(1.0)
                         else:
-                            ex_tgt.append(idxs[j])
+                            ex_tgt.append(sg[j - base])
                             in_ex.append(e); in_kind.append(SENT); in_id.append(sent_no); in_w.append(1.0)
                             if fam == "cat" and cat_no is not None and not pd.isna(cat_no):
                                 in_ex.append(e); in_kind.append(CAT); in_id.append(int(cat_no)); in_w.append(1.0)
                 else:
-                    nctx = int((idxs[lo:hi + 1] >= 0).sum()) - 1
+                    nctx = int((sg[lo - base:hi - base + 1] >= 0).sum()) - 1
                     wt = 1.0 / (nctx + extra) if (spec.cbow_mean and nctx + extra > 0) else 1.0
                     e = len(ex_line)
-                    ex_line.append(line_no); ex_i.append(i); ex_j.append(-1); ex_tgt.append(idxs[i])
+                    ex_line.append(line_no); ex_i.append(i); ex_j.append(-1); ex_tgt.append(sg[i - base])
                     for m in range(lo, hi + 1):
-                        if m != i and idxs[m] >= 0:
-                            in_ex.append(e); in_kind.append(SYN0); in_id.append(idxs[m]); in_w.append(wt)
+                        if m != i and sg[m - base] >= 0:
+                            in_ex.append(e); in_kind.append(SYN0); in_id.append(sg[m - base]); in_w.append(wt)
                     if extra >= 1:
                         in_ex.append(e); in_kind.append(SENT); in_id.append(sent_no); in_w.append(wt)
                     if extra == 2 and cat_no is not None and not pd.isna(cat_no):
@@ -208,7 +210,8 @@ def gradients_vec(params: DataFrame, lines: DataFrame, ws_bc, spec: T.TrainSpec,
         lv = lines.join(sv, "sent_no", "left")
     else:
         lv = lines.withColumn("svec", F.lit(None).cast("array<double>"))
-    lv = lv.select("line_no", "sent_no", "cat_no", "idxs", "svec")
+    lv = T.with_segment_cols(lv).select("line_no", "sent_no", "cat_no", "idxs", "svec", "base", "c_lo",
+                                        "c_hi", "n")
     spec_, ep, b = spec, epoch, batch
 
     def run(it):

@@ -44,3 +44,20 @@ def test_vectorised_falls_back_beyond_bound(spark, sf):
     p0 = T.init_params(spec, vocab, docs).checkpoint(eager=True)
     a = train_epoch_vec(p0, lines, vocab, spec, 0, max_broadcast_bytes=1)
     assert _rows(a) == _rows(T.train_epoch(p0, lines, vocab, spec, 0))
+
+
+@pytest.mark.parametrize("kw", [SPECS[0], SPECS[1], SPECS[5]], ids=["cat-sg", "cat-cbow", "word-cbow"])
+def test_segmented_lines_give_the_same_step(spark, sf, kw):
+    """Long lines cut into segments (with window margins) train exactly like whole lines."""
+    spec = T.TrainSpec(size=4, window=2, min_count=3, batches=2, slice_len=7, seed=11, **kw).validate()
+    corpus = (conversations_corpus if spec.family == "cat" else benchmark_corpus)(spark, sf)
+    vocab = V.build_vocab(corpus, spec.min_count, hs=spec.hs, negative=spec.negative).checkpoint(eager=True)
+    docs = V.doc_ids(corpus) if spec.family != "word" else None
+    cats = V.cat_ids(corpus) if spec.family == "cat" else None
+    whole = T.prepare_lines(corpus, vocab, spec, 0, docs, cats).checkpoint(eager=True)
+    segs = T.prepare_lines(corpus, vocab, spec, 0, docs, cats, segment_len=5).checkpoint(eager=True)
+    assert segs.count() > whole.count()
+    p0 = T.init_params(spec, vocab, docs, cats).checkpoint(eager=True)
+    ref = _rows(T.train_epoch(p0, whole, vocab, spec, 0))
+    assert _rows(T.train_epoch(p0, segs, vocab, spec, 0)) == ref
+    assert _rows(train_epoch_vec(p0, segs, vocab, spec, 0)) == ref
