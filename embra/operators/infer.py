@@ -59,9 +59,13 @@ def infer_vectors(new_corpus: DataFrame, params: DataFrame, vocab: DataFrame, sp
         n_cats = frozen.filter(F.col("kind") == "cat").count()
         if word_side_bytes(vocab, ispec, n_cats) <= MAX_BROADCAST_BYTES:
             bc = frozen.sparkSession.sparkContext.broadcast(word_side(frozen, vocab, ispec))
+    parts = None
+    if bc is not None:
+        from .train_vec import spread_lines
+        lines, parts = spread_lines(lines, ispec)
     for i, alpha in enumerate(pass_alphas(ispec, iterations)):
         if bc is not None:
-            grads = gradients_vec(frozen.unionByName(rows), lines, bc, ispec, epoch=i)
+            grads = gradients_vec(frozen.unionByName(rows), lines, bc, ispec, epoch=i, partitions=parts)
         else:
             pos = T.positions(lines, ispec, epoch=i)
             ins, tg = T.examples(pos, ispec)

@@ -77,14 +77,15 @@ def _partials(it, ws, spec: T.TrainSpec, epoch: int, batch: int | None):
     learn = [SENT] + ([SYN0] if spec.word_learn else []) + ([CAT] if spec.cat_learn else [])
     d = spec.size
     for pdf in it:
-        # ---- examples: inputs (ex, kind, id, weight, vector) and targets
-        ex_line, ex_i, ex_j, ex_tgt = [], [], [], []
-        in_ex, in_kind, in_id, in_w = [], [], [], []
+        # ---- examples: inputs (ex, kind, id, weight) and targets, vectorised per line
+        E_line, E_i, E_j, E_tgt = [], [], [], []
+        I_ex, I_kind, I_id, I_w = [], [], [], []
         sent_vecs = {}
+        n_ex = 0
         for line_no, sent_no, cat_no, idxs, svec, base, c_lo, c_hi, n in zip(
                 pdf["line_no"], pdf["sent_no"], pdf["cat_no"], pdf["idxs"], pdf["svec"],
                 pdf["base"], pdf["c_lo"], pdf["c_hi"], pdf["n"]):
-            base, c_lo, c_hi, n = int(base), int(c_lo), int(c_hi), int(n)
+            base, c_lo, c_hi, n, line_no = int(base), int(c_lo), int(c_hi), int(n), int(line_no)
             # out-of-vocabulary gaps (inference) become -1: neither centre nor context
             # (Arrow hands arrays with nulls over as floats with NaN)
             fx = np.asarray([np.nan if x is None else x for x in idxs], dtype=np.float64)
@@ -92,44 +93,70 @@ def _partials(it, ws, spec: T.TrainSpec, epoch: int, batch: int | None):
             sg = np.where(np.isnan(fx), -1, fx).astype(np.int64)
             if fam != "word" and svec is not None:
                 sent_vecs[int(sent_no)] = np.asarray(svec, dtype=np.float64)
-            for i in range(c_lo, c_hi):
-                if sg[i - base] < 0 or (K > 1 and batch is not None and (line_no + i // B) % K != batch):
-                    continue
-                b = int(np.floor(keyed_u(seed, "win", epoch, line_no, i) * w))
-                lo, hi = max(0, i - w + b), min(n - 1, i + w - b)
-                if spec.arch == "sg":
-                    for j in range(lo, hi + 1):
-                        if (fam == "word" and j == i) or sg[j - base] < 0:
-                            continue
-                        e = len(ex_line)
-                        ex_line.append(line_no); ex_i.append(i); ex_j.append(j)
-                        if fam == "word":
-                            ex_tgt.append(sg[i - base])
-                            in_ex.append(e); in_kind.append(SYN0); in_id.append(sg[j - base]); in_w.append(1.0)
-                        else:
-                            ex_tgt.append(sg[j - base])
-                            in_ex.append(e); in_kind.append(SENT); in_id.append(sent_no); in_w.append(1.0)
-                            if fam == "cat" and cat_no is not None and not pd.isna(cat_no):
-                                in_ex.append(e); in_kind.append(CAT); in_id.append(int(cat_no)); in_w.append(1.0)
+            has_cat = fam == "cat" and cat_no is not None and not pd.isna(cat_no)
+            ii = np.arange(c_lo, c_hi, dtype=np.int64)
+            keep = sg[ii - base] >= 0
+            if K > 1 and batch is not None:
+                keep &= (line_no + ii // B) % K == batch
+            ii = ii[keep]
+            if len(ii) == 0:
+                continue
+            b = np.floor(np.array([keyed_u(seed, "win", epoch, line_no, int(i)) for i in ii]) * w).astype(np.int64)
+            lo = np.maximum(0, ii - w + b)
+            hi = np.minimum(n - 1, ii + w - b)
+            cnt = hi - lo + 1
+            owner = np.repeat(np.arange(len(ii)), cnt)          # centre of each window slot
+            jj = np.repeat(lo, cnt) + (np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt))
+            tok = sg[jj - base]
+            if spec.arch == "sg":
+                m = tok >= 0
+                if fam == "word":
+                    m &= jj != ii[owner]
+                ei, ej = ii[owner[m]], jj[m]
+                k = len(ei)
+                ex = n_ex + np.arange(k)
+                E_line.append(np.full(k, line_no)); E_i.append(ei); E_j.append(ej)
+                if fam == "word":
+                    E_tgt.append(sg[ei - base])
+                    I_ex.append(ex); I_kind.append(np.full(k, SYN0)); I_id.append(tok[m]); I_w.append(np.ones(k))
                 else:
-                    nctx = int((sg[lo - base:hi - base + 1] >= 0).sum()) - 1
-                    wt = 1.0 / (nctx + extra) if (spec.cbow_mean and nctx + extra > 0) else 1.0
-                    e = len(ex_line)
-                    ex_line.append(line_no); ex_i.append(i); ex_j.append(-1); ex_tgt.append(sg[i - base])
-                    for m in range(lo, hi + 1):
-                        if m != i and sg[m - base] >= 0:
-                            in_ex.append(e); in_kind.append(SYN0); in_id.append(sg[m - base]); in_w.append(wt)
-                    if extra >= 1:
-                        in_ex.append(e); in_kind.append(SENT); in_id.append(sent_no); in_w.append(wt)
-                    if extra == 2 and cat_no is not None and not pd.isna(cat_no):
-                        in_ex.append(e); in_kind.append(CAT); in_id.append(int(cat_no)); in_w.append(wt)
-        n_ex = len(ex_line)
+                    E_tgt.append(tok[m])
+                    I_ex.append(ex); I_kind.append(np.full(k, SENT)); I_id.append(np.full(k, int(sent_no)))
+                    I_w.append(np.ones(k))
+                    if has_cat:
+                        I_ex.append(ex); I_kind.append(np.full(k, CAT)); I_id.append(np.full(k, int(cat_no)))
+                        I_w.append(np.ones(k))
+            else:
+                k = len(ii)
+                ex = n_ex + np.arange(k)
+                E_line.append(np.full(k, line_no)); E_i.append(ii); E_j.append(np.full(k, -1))
+                E_tgt.append(sg[ii - base])
+                m = (tok >= 0) & (jj != ii[owner])
+                nctx = np.bincount(owner[m], minlength=k)
+                if spec.cbow_mean:
+                    den = nctx + extra
+                    wt = np.where(den > 0, 1.0 / np.maximum(den, 1), 1.0)
+                else:
+                    wt = np.ones(k)
+                I_ex.append(ex[owner[m]]); I_kind.append(np.full(int(m.sum()), SYN0)); I_id.append(tok[m])
+                I_w.append(wt[owner[m]])
+                if extra >= 1:
+                    I_ex.append(ex); I_kind.append(np.full(k, SENT)); I_id.append(np.full(k, int(sent_no)))
+                    I_w.append(wt)
+                if extra == 2 and has_cat:
+                    I_ex.append(ex); I_kind.append(np.full(k, CAT)); I_id.append(np.full(k, int(cat_no)))
+                    I_w.append(wt)
+            n_ex += k
         if n_ex == 0:
             continue
-        in_ex = np.asarray(in_ex, dtype=np.int64)
-        in_id = np.asarray(in_id, dtype=np.int64)
-        in_w = np.asarray(in_w)
-        in_kind = np.asarray(in_kind, dtype=np.int64)
+        ex_line = np.concatenate(E_line)
+        ex_i = np.concatenate(E_i)
+        ex_j = np.concatenate(E_j)
+        ex_tgt = np.concatenate(E_tgt)
+        in_ex = np.concatenate(I_ex).astype(np.int64)
+        in_id = np.concatenate(I_id).astype(np.int64)
+        in_w = np.concatenate(I_w).astype(np.float64)
+        in_kind = np.concatenate(I_kind).astype(np.int64)
         vec_in = np.zeros((len(in_ex), d))
         for k, name in ((SYN0, "syn0"), (CAT, "cat")):
             m = in_kind == k
@@ -157,7 +184,7 @@ def _partials(it, ws, spec: T.TrainSpec, epoch: int, batch: int | None):
             nex, nid = [], []
             for e in range(n_ex):
                 for dd in range(1, spec.negative + 1):
-                    u = keyed_u(seed, "neg", epoch, ex_line[e], ex_i[e], ex_j[e], dd)
+                    u = keyed_u(seed, "neg", epoch, int(ex_line[e]), int(ex_i[e]), int(ex_j[e]), dd)
                     k = int(np.searchsorted(lo_arr, u, side="right")) - 1
                     if k >= 0 and u < hi_arr[k] and k != tgt[e]:
                         nex.append(e); nid.append(k)
@@ -202,11 +229,24 @@ def _partials(it, ws, spec: T.TrainSpec, epoch: int, batch: int | None):
                             "grad": list(out_g), "n": np.concatenate(out_n)})
 
 
+def spread_lines(lines: DataFrame, spec: T.TrainSpec) -> tuple[DataFrame, int]:
+    """Hash-partition the lines by document into at least the default
+    parallelism and write them once: the kernel is CPU-bound, so the stage
+    must not be coalesced into a few tasks, and the document vectors can
+    then be joined without moving the lines again."""
+    sc = lines.sparkSession.sparkContext
+    p = max(sc.defaultParallelism, lines.rdd.getNumPartitions())
+    key = "sent_no" if spec.family != "word" else "line_no"
+    return lines.repartition(p, key).checkpoint(eager=True), p
+
+
 def gradients_vec(params: DataFrame, lines: DataFrame, ws_bc, spec: T.TrainSpec, epoch: int = 0,
-                  batch: int | None = None) -> DataFrame:
+                  batch: int | None = None, partitions: int | None = None) -> DataFrame:
     """Summed (or mean) gradients per parameter row: (kind, id, grad)."""
     if spec.family != "word":
         sv = params.filter(F.col("kind") == "sent").select(F.col("id").alias("sent_no"), F.col("vec").alias("svec"))
+        if partitions:
+            sv = sv.repartition(partitions, "sent_no")
         lv = lines.join(sv, "sent_no", "left")
     else:
         lv = lines.withColumn("svec", F.lit(None).cast("array<double>"))
@@ -239,9 +279,10 @@ def train_epoch_vec(params: DataFrame, lines: DataFrame, vocab: DataFrame, spec:
     if total_words is None:
         total_words = float(vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob"))).first()[0])
     alphas = T.batch_alphas(pos_all, spec, total_words)
+    lines, parts = spread_lines(lines, spec)
     for b in range(spec.batches):
         bc = sc.broadcast(word_side(params, vocab, spec))
-        grads = gradients_vec(params, lines, bc, spec, epoch, b if spec.batches > 1 else None)
+        grads = gradients_vec(params, lines, bc, spec, epoch, b if spec.batches > 1 else None, parts)
         params = T.apply_update(params, grads, spec, alphas[b])
         if checkpoint:
             params = params.checkpoint(eager=True)
