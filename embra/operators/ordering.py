@@ -77,3 +77,15 @@ def running_sum_dense(df: DataFrame, idx: str, value, name: str,
     return (b.join(off, "_b")
             .withColumn(name, F.col("_off") + F.sum(value).over(w))
             .drop("_b", "_off"))
+
+
+def running_max(df: DataFrame, order: list, value, name: str) -> DataFrame:
+    """Inclusive running max in ``order`` (range partitioned, as running_sum)."""
+    s = _range_parts(df, order, None)
+    tot = s.groupBy("_pid").agg(F.max(value).alias("_mx"))
+    w0 = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = F.broadcast(tot.withColumn("_off", F.max("_mx").over(w0)).select("_pid", "_off"))
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (s.join(off, "_pid")
+            .withColumn(name, F.greatest(F.col("_off"), F.max(value).over(w)))
+            .drop("_mid", "_pid", "_off"))

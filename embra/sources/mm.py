@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import WS, read_lines, running_max
+from ..operators.ordering import running_max
+from .text import WS, read_lines
 
 HEADER = "%%matrixmarket matrix coordinate real general"
 

@@ -8,11 +8,11 @@ Compressed files (.gz, .bz2) are decoded by the Hadoop codecs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import keyed_uniform
-from ..operators.ordering import dense_index, running_sum
+from ..operators.ordering import dense_index, running_max, running_sum
 
 WS = r"(?U)\s+"
 
@@ -114,19 +114,6 @@ def read_brown(spark, source) -> DataFrame:
     return out.filter(F.size("words") > 0)
 
 
-def running_max(df: DataFrame, order: list, value, name: str) -> DataFrame:
-    """Inclusive running max in ``order`` (range partitioned; see ordering)."""
-    from ..operators.ordering import _range_parts
-    s = _range_parts(df, order, None)
-    tot = s.groupBy("_pid").agg(F.max(value).alias("_mx"))
-    w0 = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.broadcast(tot.withColumn("_off", F.max("_mx").over(w0)).select("_pid", "_off"))
-    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (s.join(off, "_pid")
-            .withColumn(name, F.greatest(F.col("_off"), F.max(value).over(w)))
-            .drop("_mid", "_pid", "_off"))
-
-
 def read_questions(spark, source) -> DataFrame:
     """Analogy questions: ``: SECTION`` opens a section, other lines are
     four lower-cased words.  A line before any section is an error; a

@@ -36,15 +36,17 @@ def pair_vectors(params: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def stream_infer(stream: DataFrame, params: DataFrame, vocab: DataFrame, pairs: DataFrame,
                  spec: TrainSpec, out_path: str, checkpoint: str, k: int = 1, iterations: int = 5):
-    """Infer every arriving document (corpus rows) and append its top-k
-    categories to the Parquet table ``out_path``."""
+    """Infer every arriving document (corpus rows) and write its top-k
+    categories to the Parquet table ``out_path`` (partitioned by batch_id)."""
     pv = pair_vectors(params, pairs).checkpoint(eager=True)
 
-    def each(batch: DataFrame, _epoch: int):
+    def each(batch: DataFrame, batch_id: int):
         if batch.isEmpty():
             return
         inf = infer_vectors(batch, params, vocab, spec, iterations)
-        top_categories(inf, pv, k).write.mode("append").parquet(out_path)
+        # one folder per micro-batch, overwritten if the batch is re-executed
+        # after a failure: the output stays exactly-once
+        top_categories(inf, pv, k).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
