@@ -488,14 +488,26 @@ def apply_update(params: DataFrame, grads: DataFrame, spec: TrainSpec, alpha: fl
                     F.when(touched, ns).otherwise(s).alias("state"))
 
 
-def batch_alphas(pos_all: DataFrame, spec: TrainSpec, total_words: float) -> list[float]:
+def batch_sizes(lines: DataFrame, spec: TrainSpec) -> DataFrame:
+    """(batch, n): centre positions per mini-batch, counted from the lines
+    directly (batch ids only, no windows or draws)."""
+    lines = with_segment_cols(lines)
+    centres = F.filter(F.sequence(F.col("c_lo"), F.col("c_hi") - 1),
+                       lambda i: F.element_at("idxs", (i - F.col("base") + 1).cast("int")).isNotNull())
+    b = F.transform(centres, lambda i: F.pmod(F.col("line_no") + F.floor(i / F.lit(spec.slice_len)),
+                                              F.lit(spec.batches)))
+    return (lines.filter(F.col("c_hi") > F.col("c_lo")).select(F.explode(b).alias("batch"))
+            .groupBy("batch").agg(F.count(F.lit(1)).alias("n")))
+
+
+def batch_alphas(lines: DataFrame, spec: TrainSpec, total_words: float) -> list[float]:
     """Learning rate per batch: linear decay by words done before it (SGD);
     constant for the adaptive optimizers.  Restarts every epoch."""
     if spec.optimizer != "sgd":
         return [spec.alpha] * spec.batches
     if spec.batches == 1:
         return [spec.alpha]
-    counts = dict(pos_all.groupBy(batch_of(spec).alias("b")).count().collect())
+    counts = {int(r["batch"]): r["n"] for r in batch_sizes(lines, spec).collect()}
     out, done = [], 0
     for b in range(spec.batches):
         out.append(max(spec.min_alpha, spec.alpha * (1 - done / total_words)))
@@ -507,10 +519,9 @@ def train_epoch(params: DataFrame, lines: DataFrame, vocab: DataFrame, spec: Tra
                 epoch: int = 0, total_words: float | None = None,
                 checkpoint: bool = True) -> DataFrame:
     """K synchronous mini-batch steps over one epoch."""
-    pos_all = positions(lines, spec, epoch)
     if total_words is None:
         total_words = float(vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob"))).first()[0])
-    alphas = batch_alphas(pos_all, spec, total_words)
+    alphas = batch_alphas(lines, spec, total_words)
     for b in range(spec.batches):
         pos = positions(lines, spec, epoch, batch=b)
         ins, tg = examples(pos, spec)
@@ -538,8 +549,7 @@ def batch_alpha_frame(lines: DataFrame, vocab: DataFrame, spec: TrainSpec,
     if spec.optimizer != "sgd" or spec.batches == 1:
         return bs.withColumn("alpha", F.lit(float(spec.alpha)))
     from pyspark.sql import Window
-    cnt = positions(lines, spec, epoch).groupBy(batch_of(spec).alias("batch")).agg(
-        F.count(F.lit(1)).alias("n"))
+    cnt = batch_sizes(lines, spec)
     tw = vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob"))).scalar()
     w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # K rows only
     done = (bs.join(cnt, "batch", "left").fillna(0, ["n"])

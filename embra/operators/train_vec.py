@@ -46,13 +46,14 @@ def word_side_bytes(vocab: DataFrame, spec: T.TrainSpec, n_cats: int = 0) -> int
 def word_side(params: DataFrame, vocab: DataFrame, spec: T.TrainSpec) -> dict:
     """Dense numpy copies of the frozen word-side rows (size already checked)."""
     d = spec.size
-    rows = params.filter(F.col("kind").isin("syn0", "syn1", "syn1neg", "cat")).select("kind", "id", "vec").collect()
+    # Arrow transfer of the (size-checked) word side
+    rows = params.filter(F.col("kind").isin("syn0", "syn1", "syn1neg", "cat")).select("kind", "id", "vec").toPandas()
     v = vocab.count()
     out = {"syn0": np.zeros((v, d)), "syn1": np.zeros((max(v - 1, 1), d)), "syn1neg": np.zeros((v, d))}
-    ncat = max([r["id"] for r in rows if r["kind"] == "cat"], default=-1) + 1
-    out["cat"] = np.zeros((max(ncat, 1), d))
-    for r in rows:
-        out[r["kind"]][r["id"]] = r["vec"]
+    cat_ids = rows.loc[rows["kind"] == "cat", "id"]
+    out["cat"] = np.zeros((max(int(cat_ids.max()) + 1 if len(cat_ids) else 0, 1), d))
+    for kind, grp in rows.groupby("kind"):
+        out[kind][grp["id"].to_numpy()] = np.stack(grp["vec"].to_numpy())
     cols = ["idx"] + (["code", "point"] if spec.hs else []) + (["noise_lo", "noise_hi"] if spec.negative else [])
     vv = vocab.select(*cols).orderBy("idx").collect()
     if spec.hs:
@@ -275,10 +276,9 @@ def train_epoch_vec(params: DataFrame, lines: DataFrame, vocab: DataFrame, spec:
     if word_side_bytes(vocab, spec, n_cats) > max_broadcast_bytes:
         return T.train_epoch(params, lines, vocab, spec, epoch, total_words, checkpoint)
     sc = params.sparkSession.sparkContext
-    pos_all = T.positions(lines, spec, epoch)
     if total_words is None:
         total_words = float(vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob"))).first()[0])
-    alphas = T.batch_alphas(pos_all, spec, total_words)
+    alphas = T.batch_alphas(lines, spec, total_words)
     lines, parts = spread_lines(lines, spec)
     for b in range(spec.batches):
         bc = sc.broadcast(word_side(params, vocab, spec))
