@@ -89,3 +89,17 @@ def running_max(df: DataFrame, order: list, value, name: str) -> DataFrame:
     return (s.join(off, "_pid")
             .withColumn(name, F.greatest(F.col("_off"), F.max(value).over(w)))
             .drop("_mid", "_pid", "_off"))
+
+
+def running_max_dense(df: DataFrame, idx: str, value, name: str,
+                      bucket_rows: int = DENSE_BUCKET_ROWS) -> DataFrame:
+    """Inclusive running max in the order of a dense 0-based ``idx``
+    (fixed-width buckets, nothing written)."""
+    b = df.withColumn("_b", F.floor(F.col(idx) / F.lit(bucket_rows)))
+    tot = b.groupBy("_b").agg(F.max(value).alias("_mx"))
+    w0 = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = F.broadcast(tot.withColumn("_off", F.max("_mx").over(w0)).select("_b", "_off"))
+    w = Window.partitionBy("_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    return (b.join(off, "_b")
+            .withColumn(name, F.greatest(F.col("_off"), F.max(value).over(w)))
+            .drop("_b", "_off"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import running_max
+from ..operators.ordering import running_max_dense
 from .text import WS, read_lines
 
 HEADER = "%%matrixmarket matrix coordinate real general"
@@ -17,7 +17,7 @@ def read_mm(spark, source, transposed: bool = True) -> tuple[DataFrame, DataFram
 
     Entries are 1-based ``doc term weight`` lines; ``transposed=False``
     swaps documents and terms.  Document ids must not decrease along the
-    file (checked with a range-partitioned running max)."""
+    file (checked with a bucketed running max over line numbers)."""
     lines = read_lines(spark, source)
     first = lines.filter(F.col("line_no") == 0).select(F.lower(F.trim("value")).alias("h"))
     first = first.select(F.when(F.col("h").startswith(HEADER), F.lit(1))
@@ -35,7 +35,7 @@ def read_mm(spark, source, transposed: bool = True) -> tuple[DataFrame, DataFram
     ent = ent.select("line_no", (d if transposed else t.cast("long")).alias("doc_no"),
                      (t if transposed else d.cast("int")).alias("term_id"),
                      ent.p[2].cast("double").alias("weight"))
-    chk = running_max(ent, [F.col("line_no")], F.col("doc_no"), "_mx")
+    chk = running_max_dense(ent, "line_no", F.col("doc_no"), "_mx")
     ent = chk.withColumn("doc_no", F.when(F.col("doc_no") >= F.col("_mx"), F.col("doc_no")).otherwise(
         F.raise_error(F.lit("matrix columns must come in ascending order")))).drop("_mx")
     docs = (ent.groupBy("doc_no")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import keyed_uniform
-from ..operators.ordering import dense_index, running_max, running_sum
+from ..operators.ordering import dense_index, running_max_dense, running_sum_dense
 
 WS = r"(?U)\s+"
 
@@ -89,7 +89,8 @@ def read_text8(spark, source, sentence_len: int = 1000) -> DataFrame:
     ``sentence_len`` tokens."""
     lines = read_lines(spark, source).select("line_no", _ws_split(F.col("value")).alias("toks"))
     lines = lines.withColumn("n", F.size("toks").cast("long"))
-    cum = running_sum(lines, [F.col("line_no")], F.col("n"), "cum")
+    # line_no is already a dense 0-based index: deterministic buckets, nothing written
+    cum = running_sum_dense(lines, "line_no", F.col("n"), "cum")
     toks = cum.select(F.posexplode("toks").alias("k", "w"), (F.col("cum") - F.col("n")).alias("off"))
     toks = toks.withColumn("pos", F.col("off") + F.col("k"))
     g = (toks.groupBy(F.floor(F.col("pos") / sentence_len).cast("long").alias("line_no"))
@@ -121,7 +122,7 @@ def read_questions(spark, source) -> DataFrame:
     lines = read_lines(spark, source)
     is_head = F.col("value").startswith(": ")
     hdr = lines.withColumn("_h", F.when(is_head, F.col("line_no")))
-    filled = running_max(hdr, [F.col("line_no")], F.col("_h"), "_sec_line")
+    filled = running_max_dense(hdr, "line_no", F.col("_h"), "_sec_line")
     heads = lines.filter(is_head).select(F.col("line_no").alias("_sec_line"),
                                          F.trim(F.regexp_replace("value", r"^[: ]+", "")).alias("section"))
     q = filled.filter(~is_head).join(heads, "_sec_line", "left")
