@@ -71,3 +71,44 @@ def test_mm_metadata_side_table(spark):
     assert [(r["doc_no"], r["terms"], r["weights"]) for r in docs.orderBy("doc_no").collect()] == \
         [(0, [2], [1.5]), (1, [], []), (2, [0], [-2.0])]
     assert sorted(tuple(r) for r in spark.read.parquet(d + "/meta").collect()) == [(0, "first"), (2, "third")]
+
+
+def _write(path, text):
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def test_word2vec_text_width_error(spark):
+    import pytest
+    from embra.sources.vectors import read_word2vec_text
+    d = tempfile.mkdtemp(prefix="embra-w2v-")
+    _write(os.path.join(d, "v.txt"), "2 3\nalpha 1.0 2.0 3.0\nbeta 1.0 2.0\n")
+    with pytest.raises(Exception, match="invalid vector on line"):
+        read_word2vec_text(spark, os.path.join(d, "v.txt")).collect()
+    _write(os.path.join(d, "ok.txt"), "2 2\nalpha 1.0 2.0\nbeta 3.0 4.0\n")
+    got = read_word2vec_text(spark, os.path.join(d, "ok.txt")).orderBy("idx").collect()
+    assert [(r["word"], r["cnt"], r["vec"]) for r in got] == [("alpha", 2, [1.0, 2.0]), ("beta", 1, [3.0, 4.0])]
+
+
+def test_questions_need_a_section(spark):
+    import pytest
+    from embra.sources.text import read_questions
+    d = tempfile.mkdtemp(prefix="embra-q-")
+    _write(os.path.join(d, "bad.txt"), "a b c d\n: s1\nA B C D\n")
+    with pytest.raises(Exception, match="missing section header"):
+        read_questions(spark, os.path.join(d, "bad.txt")).collect()
+    _write(os.path.join(d, "ok.txt"), ": s1\nA B C D\nbroken line\n: s2\ne f g h\n")
+    got = read_questions(spark, os.path.join(d, "ok.txt")).orderBy("line_no").collect()
+    assert [(r["section"], r["wa"], r["expected"]) for r in got] == [("s1", "a", "d"), ("s2", "e", "h")]
+
+
+def test_split_reader_file_order(spark):
+    from embra.sources.text import read_cat_tsv
+    d = tempfile.mkdtemp(prefix="embra-split-")
+    _write(os.path.join(d, "src.aa"), "c1\ts1\tx\ty\n")
+    _write(os.path.join(d, "src.ab"), "c2\ts2\tz\n")
+    _write(os.path.join(d, "src.txt"), "c3\ts3\tnot part of the split\n")
+    plain = read_cat_tsv(spark, os.path.join(d, "src"), split=True).orderBy("line_no").collect()
+    assert [(r["cat_id"], r["words"]) for r in plain] == [("c1", ["x", "y"]), ("c2", ["z"])]
+    shuffled = read_cat_tsv(spark, os.path.join(d, "src"), split=True, rand=True, seed=3).collect()
+    assert sorted(r["sent_id"] for r in shuffled) == ["s1", "s2"]
