@@ -70,7 +70,7 @@ def infer_vectors(new_corpus: DataFrame, params: DataFrame, vocab: DataFrame, sp
             pos = T.positions(lines, ispec, epoch=i)
             ins, tg = T.examples(pos, ispec)
             outs = T.targets_out(tg, vocab, ispec, epoch=i)
-            grads = T.gradients(frozen.unionByName(rows), ins, outs, ispec)
+            grads = T.gradients(frozen.unionByName(rows), ins, outs, ispec, lines)
         rows = T.apply_update(rows, grads, ispec, alpha)
         if checkpoint:
             rows = rows.checkpoint(eager=True)

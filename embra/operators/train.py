@@ -399,8 +399,66 @@ def targets_out(tg: DataFrame, vocab: DataFrame, spec: TrainSpec, epoch: int = 0
 # one step
 
 
-def gradients(params: DataFrame, ins: DataFrame, outs: DataFrame, spec: TrainSpec) -> DataFrame:
+def _score(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("dt", dot("l1", "ovec")).filter(F.abs("dt") < MAX_EXP)
+    return rows.withColumn("g", F.col("label") - F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("dt"))))
+
+
+def _out_vectors(params: DataFrame) -> DataFrame:
+    return params.select(F.col("kind").alias("out_kind"), F.col("id").alias("out_id"), F.col("vec").alias("ovec"))
+
+
+def _sum_rows(rows: DataFrame, kind: str, id_col: str) -> DataFrame:
+    gv = rows.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.transform("ovec", lambda x: x * F.col("g")).alias("gv"))
+    return sum_vectors(gv, ["id"], "gv", out="grad").select(F.lit(kind).alias("kind"), "id", "grad")
+
+
+def _gradients_single_input(params: DataFrame, ins: DataFrame, outs: DataFrame, spec: TrainSpec,
+                            lines: DataFrame | None) -> DataFrame:
+    """Skip-gram / DBoW with summed gradients: an example's input is one word
+    vector (skip-gram) or its line's document (+ category) vector (DBoW), so
+    l1 needs no aggregation and the input gradients are sums of the scored
+    rows themselves - no per-example aggregation and no join back."""
+    key = ["line_no", "i", "j"]
+    pv = params.select("kind", "id", "vec")
+    if spec.family == "word":
+        l1 = (ins.select(*key, F.col("in_id").alias("w_in"))
+              .join(pv.filter(F.col("kind") == "syn0").select(F.col("id").alias("w_in"), F.col("vec").alias("l1")),
+                    "w_in"))
+        rows = _score(outs.join(l1, key).join(_out_vectors(params), ["out_kind", "out_id"]))
+        parts = [_sum_rows(rows, "syn0", "w_in")] if spec.word_learn else []
+    else:
+        lv = lines.select("line_no", "sent_no", "cat_no").dropDuplicates(["line_no"])
+        sv = pv.filter(F.col("kind") == "sent").select(F.col("id").alias("sent_no"), F.col("vec").alias("sv"))
+        lv = lv.join(sv, "sent_no")
+        if spec.family == "cat":
+            cv = pv.filter(F.col("kind") == "cat").select(F.col("id").alias("cat_no"), F.col("vec").alias("cv"))
+            lv = lv.join(cv, "cat_no", "left").withColumn(
+                "l1", F.when(F.col("cv").isNull(), F.col("sv")).otherwise(
+                    F.zip_with("sv", "cv", lambda a, b: a + b)))
+        else:
+            lv = lv.withColumn("l1", F.col("sv"))
+        rows = _score(outs.join(lv.select("line_no", "sent_no", "cat_no", "l1"), "line_no")
+                      .join(_out_vectors(params), ["out_kind", "out_id"]))
+        parts = [_sum_rows(rows, "sent", "sent_no")]
+        if spec.family == "cat" and spec.cat_learn:
+            parts.append(_sum_rows(rows, "cat", "cat_no"))
+    if spec.word_learn:
+        go = rows.select("out_kind", "out_id", F.transform("l1", lambda x: x * F.col("g")).alias("gv"))
+        parts.append(sum_vectors(go, ["out_kind", "out_id"], "gv", out="grad")
+                     .select(F.col("out_kind").alias("kind"), F.col("out_id").alias("id"), "grad"))
+    out = parts[0]
+    for g in parts[1:]:
+        out = out.unionByName(g)
+    return out
+
+
+def gradients(params: DataFrame, ins: DataFrame, outs: DataFrame, spec: TrainSpec,
+              lines: DataFrame | None = None) -> DataFrame:
     """Summed gradients (kind, id, grad) of one mini-batch; g excludes alpha."""
+    if spec.arch == "sg" and spec.combine == "sum" and (spec.family == "word" or lines is not None):
+        return _gradients_single_input(params, ins, outs, spec, lines)
     key = ["line_no", "i", "j"]
     pv = params.select("kind", "id", "vec")
     l1_parts = (ins.join(pv.withColumnRenamed("kind", "in_kind").withColumnRenamed("id", "in_id"),
@@ -526,7 +584,7 @@ def train_epoch(params: DataFrame, lines: DataFrame, vocab: DataFrame, spec: Tra
         pos = positions(lines, spec, epoch, batch=b)
         ins, tg = examples(pos, spec)
         outs = targets_out(tg, vocab, spec, epoch)
-        grads = gradients(params, ins, outs, spec)
+        grads = gradients(params, ins, outs, spec, lines)
         params = apply_update(params, grads, spec, alphas[b])
         if checkpoint:
             params = params.checkpoint(eager=True)

@@ -166,3 +166,14 @@ def q_vocab_reuse(spark, sf):
     return (p2.join(vocab.select(F.col("idx").alias("id"), "word"), "id").join(hit, "word", "left")
             .select("word", F.col("id").alias("idx"), r6_array("vec").alias("vec"),
                     F.coalesce("_h", F.lit(False)).alias("reused")))
+
+
+_REL_DBOW = T.with_spec(T.TrainSpec(family="cat", arch="sg", hs=True, negative=NEG, optimizer="sgd",
+                                    **{k: v for k, v in BASE.items() if k != "negative"}),
+                        min_count=20).validate()
+
+
+@register("c2v_dbow_hsneg_sgd_relational", sql=train_sql(_REL_DBOW, conversations_corpus_sql()))
+def q_relational_dbow(spark, sf):
+    """Category DBoW with both objectives, relational step (single-input shortcut)."""
+    return train_once(spark, sf, _REL_DBOW, conversations_corpus, vectorised=False)
