@@ -36,5 +36,6 @@ def test_matches_duckdb(spark, sf, con, registry, name):
 
 
 def test_every_query_has_a_twin_or_is_documented(registry):
-    qs, sqls = registry
-    assert sorted(set(qs) - set(sqls)) == ["decode_html", "huffman"]
+    from embra.plans.registry import ORACLE, QUERIES
+    assert sorted(set(QUERIES) - set(ORACLE)) == ["decode_html", "huffman"]
+    assert set(QUERIES) <= set(registry[0])
