@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
+from . import simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +30,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix_op.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return m.select("row.doc_id", "size", "source_size", "target",
                     (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op4_simhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
+    return near.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                       F.col("component").alias("component_id"))
+
+
+@query("op10_embedding_near_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+    AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_dot_product(e, e) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.a = v.vec_id) AS n_links, comp.c AS component_id,
+    v.vec_id = comp.c AS kept FROM v JOIN comp ON comp.a = v.vec_id""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return near.select(F.col("key").alias("vec_id"), "n_links",
+                       F.col("component").alias("component_id"), "kept")
