@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
-from . import simhash, vectors
+from . import simhash, tokens, vectors
+from .common import scratch_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +55,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
     return near.select(F.col("key").alias("vec_id"), "n_links",
                        F.col("component").alias("component_id"), "kept")
+
+
+def tokenizer_json(path: str | None = None) -> str:
+    """Text of a vocabulary file; by default the installed byte-level BPE."""
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    folder = scratch_uri(spark, "tokens")
+    files = tokens.write_token_files(docs, folder, tokenizer_json(), end_id=2)
+    return tokens.read_token_files(spark, folder, files).withColumnRenamed("key", "doc_id")
+
+
+@query("op7_token_id_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(spark, table(spark, sf_dir, "documents"))
