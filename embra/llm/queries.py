@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
-from . import simhash, tokens, vectors
+from . import decontam, simhash, tokens, vectors
 from .common import scratch_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("size") * F.col("copies")).alias("taken"))
 
 
+AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERMS_SQL = f"regexp_extract_all({AZ}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op2_benchmark_decontamination", f"""
+WITH d AS (SELECT doc_id, {TERMS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {TERMS_SQL} AS w FROM benchmark),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, len(x) AS n, array_to_string(x, ' ') AS words FROM (
+    SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 13, 0) + 2), lambda s: w[s:s + 12])) AS x
+    FROM i WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens),
+occ AS (SELECT p.doc_id, p.s, p.n, win.item FROM pos p
+    JOIN win ON win.n = p.n AND win.words = array_to_string(p.w[p.s:p.s + p.n - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+    SELECT doc_id, unnest(range(s, s + n)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                               length=13, share=20)
+    return c.select(F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
