@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
-from . import decontam, simhash, tokens, vectors
+from . import decontam, simhash, substring, tokens, vectors
 from .common import scratch_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+WORDS_SQL = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+@query("op3_substring_dedup", f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+pos AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS x
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
+low AS (SELECT x, min(doc_id) AS m FROM pos GROUP BY x),
+cover AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM pos JOIN low USING (x) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN cover USING (doc_id, p) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM cover GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = substring.remove_repeats(table(spark, sf_dir, "documents"), k=13)
+    return r.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
