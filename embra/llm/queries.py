@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
-from . import decontam, simhash, substring, tokens, vectors
+from . import decontam, simhash, substring, tokens, vectors, warc
 from .common import scratch_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("component").alias("component_id"))
 
 
+@query("op8_warc_archives", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last, count(*) AS n FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+    CASE WHEN n > 1 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n > 1 AND page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_uri(spark, "warc")
+    files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, files).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_embedding_near_dedup", """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 ok AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL
