@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
-from . import decontam, simhash, substring, tokens, vectors, warc
+from . import decontam, langid, simhash, substring, tokens, vectors, warc
 from .common import scratch_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = langid.fold(F.col("doc_id")) == 0
+    model = langid.train(docs.filter(~held))
+    out = langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model,
+                         keep=["doc_id", "held_out"])
+    return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 @query("op10_embedding_near_dedup", """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 ok AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL
