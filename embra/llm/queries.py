@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
-from . import decontam, langid, simhash, substring, tokens, vectors, warc
-from .common import scratch_uri
+from . import decontam, langid, quotes, rollup, simhash, substring, tokens, vectors, warc
+from .common import scratch_uri, stage, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,6 +128,81 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("component").alias("component_id"), "kept")
 
 
+# the same class of characters for Java; lower-casing beyond A-Z doesn't change it
+TERMS_JAVA = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query("op5_quotation_linking", r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations
+    WHERE turn IS NOT NULL GROUP BY conv_id, turn),
+line AS (SELECT conv_id, turn, x FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '
+||
+')) AS x FROM t)),
+own AS (SELECT conv_id, turn, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS clean, length(x) AS size FROM line
+    WHERE trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''),
+first AS (SELECT conv_id, clean, min(turn) AS origin FROM own GROUP BY conv_id, clean),
+quoted AS (SELECT o.conv_id, o.turn + k AS turn, k AS level, o.size,
+    CASE WHEN f.origin < o.turn + k THEN f.origin END AS origin
+    FROM own o, (SELECT unnest([1, 2]) AS k) ks, t, first f
+    WHERE t.conv_id = o.conv_id AND t.turn = o.turn + k AND f.conv_id = o.conv_id AND f.clean = o.clean),
+cnt AS (SELECT conv_id, turn, max(level) AS quote_levels, count(*) AS n_quoted, count(origin) AS n_linked
+    FROM quoted GROUP BY conv_id, turn),
+votes AS (SELECT conv_id, turn, level, origin, sum(size) AS size FROM quoted WHERE origin IS NOT NULL
+    GROUP BY conv_id, turn, level, origin),
+best AS (SELECT conv_id, turn, origin AS reply_to FROM (SELECT *, row_number() OVER (
+    PARTITION BY conv_id, turn ORDER BY level, size DESC, origin) AS r FROM votes) WHERE r = 1),
+m AS (SELECT t.conv_id, t.turn, t.text, b.reply_to, coalesce(quote_levels, 0) AS quote_levels,
+    coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked
+    FROM t LEFT JOIN cnt USING (conv_id, turn) LEFT JOIN best b USING (conv_id, turn)),
+chain AS (SELECT conv_id, turn, turn AS thread, 0 AS depth FROM m WHERE reply_to IS NULL
+    UNION ALL SELECT m.conv_id, m.turn, c.thread, c.depth + 1 FROM m JOIN chain c
+    ON c.conv_id = m.conv_id AND c.turn = m.reply_to)
+SELECT m.conv_id, m.turn, m.reply_to, c.thread, CAST(c.depth AS BIGINT) AS depth,
+    row_number() OVER (PARTITION BY m.conv_id, c.thread ORDER BY c.depth, m.turn) - 1 AS position,
+    m.quote_levels, m.n_quoted, m.n_linked,
+    sha256(regexp_replace(regexp_replace(array_to_string(string_split_regex(m.text, '
+||
+'), chr(10)),
+        '^\s*
+', ''), '\s+$', '')) AS own_sha256
+FROM m JOIN chain c ON c.conv_id = m.conv_id AND c.turn = m.turn""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mails = quotes.as_quoted_mail(table(spark, sf_dir, "conversations"), levels=2)
+    out = quotes.link_quotes(mails)
+    return out.select(F.col("scope").alias("conv_id"), F.col("order").alias("turn"), "reply_to", "thread", "depth",
+                      "position", "quote_levels", "n_quoted", "n_linked", F.sha2("own", 256).alias("own_sha256"))
+
+
+@query("op6_token_rollups", f"""
+WITH d AS (SELECT doc_id, source, lang, len({WORDS_SQL}) AS n1, len({TERMS_SQL}) AS n2,
+    CASE WHEN text IS NULL THEN TRUE ELSE doc_id = min(doc_id) OVER (PARTITION BY text) END AS stays FROM documents),
+c AS (SELECT source, lang, CASE WHEN lang IS DISTINCT FROM 'en' THEN 'terms-2' ELSE 'words-1' END AS tokenizer,
+    CASE WHEN lang IS DISTINCT FROM 'en' THEN n2 ELSE n1 END AS n FROM d WHERE stays)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents: load, removal of exact copies, recounting of what
+    isn't English under a new tokenizer version, and the second batch once more."""
+    docs = table(spark, sf_dir, "documents")
+    d = docs.select("doc_id", "source", "lang", F.md5("text").alias("same"), word_count(F.col("text")).alias("words"),
+                    F.coalesce(F.regexp_count(F.lower("text"), F.lit(TERMS_JAVA)), F.lit(0)).cast("long").alias("terms"))
+    d = stage(d, "counts")
+    first = d.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("first"))
+    d = stage(d.join(first, "same", "left").withColumn(
+        "copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))), "counts")
+
+    def counted(rows, version, column):
+        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(column).alias("tokens"))
+
+    store = rollup.TokenRollup(spark, scratch_uri(spark, "rollup"))
+    anew = d.filter(~F.col("copy") & ~F.col("lang").eqNullSafe(F.lit("en")))
+    removal = rollup.deletes(counted(d.filter("copy"), "words-1", "words"))
+    store.apply("load", rollup.inserts(counted(d, "words-1", "words")))
+    store.apply("copies", removal)
+    store.apply("recount", rollup.revisions(counted(anew, "words-1", "words"), counted(anew, "terms-2", "terms")))
+    store.apply("copies", removal)
+    return store.totals()
+
+
 def tokenizer_json(path: str | None = None) -> str:
     """Text of a vocabulary file; by default the installed byte-level BPE."""
     if path is None:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import stage
 from .components import Forest, connected_components
 
-TILE = 2048          # members of a tile of a large cell
+TILE = 4096          # members of a tile of a large cell
 ROWS_AT_ONCE = 256   # rows of a tile compared with the other tile at once
 SLACK = 1e-9         # widens ranges, so that rounding never loses a candidate
 
