@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -234,21 +235,23 @@ def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text",
     calibrated probability ``score``; ``und`` with score 0 where the text is null or has
     no letter.  Rows depend on nothing but their text; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"),
-                       F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"))
+    cols = keep or docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"),
+                       *([] if text in cols else [F.col(f"`{text}`").alias("text")]))
     schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
+    at = cols.index(text) if text in cols else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             names, scores = [], []
-            for t in b.column(0):
+            for t in b.column(1) if at is None else pc.struct_field(b.column(0), at):
                 p = m.scores(t.as_py())
                 best = None if p is None else int(np.argmax(p))
                 names.append(UNKNOWN if p is None else m.languages[best])
                 scores.append(0.0 if p is None else min(1.0, float(p[best])))
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=["row", "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
