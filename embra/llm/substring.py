@@ -73,8 +73,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a buffer of words with one separator between."""
-    sep = np.flatnonzero(buf <= 32)
+    """Starts and ends of the words of a buffer of words with one blank or line break
+    between (words may hold other control characters)."""
+    sep = np.flatnonzero((buf == 32) | (buf == 10))
     return np.concatenate(([0], sep + 1)), np.concatenate((sep, [len(buf)]))
 
 
