@@ -34,7 +34,7 @@ def quoted_lines(text: Column) -> Column:
 def own_text(lines: Column) -> Column:
     """The unquoted lines, joined again; a line that announces the quotation below it
     goes, and so do empty lines at both ends."""
-    following = F.concat(F.slice(lines, 2, 2147483647), F.array(F.struct(F.lit(0).alias("level"),
+    following = F.concat(F.slice(lines, F.lit(2), F.size(lines)), F.array(F.struct(F.lit(0).alias("level"),
                                                                         F.lit("").alias("body"))))
     pairs = F.filter(F.arrays_zip(lines.alias("line"), following.alias("next")),
                      lambda p: (p["line"]["level"] == 0)
