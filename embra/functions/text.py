@@ -3,13 +3,16 @@
 ``tokenize``/``simple_preprocess`` are pure JVM expressions (regex +
 higher-order ``filter``).  ``deaccent`` and ``decode_html`` need Unicode
 normalisation / entity tables that Spark has no built-in for, so they are
-Arrow-batched pandas UDFs (one Python call per batch, not per row).
+pandas UDFs over Arrow batches.
 """
 
 from __future__ import annotations
 
+import codecs
+import functools
 import html.entities
 import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -23,8 +26,8 @@ from pyspark.sql import types as T
 TOKEN_PATTERN = r"([\p{L}\p{Nl}\p{No}_]+)"
 MIN_TOKEN_LEN = 2
 MAX_TOKEN_LEN = 15
-# an entity: '&', optional '#', optional lower-case 'x', word characters, ';'
-ENTITY_PATTERN = re.compile(r"&(#?)(x?)(\w+);", re.UNICODE)
+# what may stand between '&#' and ';'
+ENTITY_NUMBER = re.compile(r"\w+")
 
 
 def _c(x) -> Column:
@@ -60,31 +63,57 @@ def simple_preprocess_sql(expr: str, min_len: int = MIN_TOKEN_LEN,
 
 # --- Python helpers (used inside pandas UDFs and unit tests) -----------------
 
+@functools.cache
+def _combining_marks() -> dict[int, None]:
+    """Translation table that deletes every non-spacing mark."""
+    marks = filter(lambda cp: unicodedata.category(chr(cp)) == "Mn", range(sys.maxunicode + 1))
+    return dict.fromkeys(marks)
+
+
 def deaccent_py(text: str | None) -> str | None:
-    if text is None:
-        return None
-    nfd = unicodedata.normalize("NFD", text)
-    return unicodedata.normalize(
-        "NFC", "".join(ch for ch in nfd if unicodedata.category(ch) != "Mn"))
+    """Text without non-spacing marks, composed again."""
+    if text is None or text.isascii():
+        return text
+    bare = unicodedata.normalize("NFD", text).translate(_combining_marks())
+    return unicodedata.normalize("NFC", bare)
+
+
+@functools.cache
+def _entity_names() -> dict[str, str]:
+    """What stands between '&' and ';' -> character.  A leading 'x' belongs to the
+    mark-up, not to the name: names that begin with it aren't known, and a known
+    name may carry one in front."""
+    table = {n: chr(cp) for n, cp in html.entities.name2codepoint.items() if not n.startswith("x")}
+    return table | {"x" + n: c for n, c in table.items()}
+
+
+def _numeric_entity(digits: str) -> str:
+    """Character of the part after '#'; ValueError if there is none."""
+    hexadecimal = len(digits) > 1 and digits[0] == "x"
+    cp = int(digits[1:], 16) if hexadecimal else int(digits)
+    if not 0 <= cp <= sys.maxunicode or 0xD800 <= cp < 0xE000:
+        raise ValueError(digits)
+    return chr(cp)
 
 
 def decode_html_py(text: str | None) -> str | None:
-    if text is None:
-        return None
-    n2cp = html.entities.name2codepoint
-
-    def sub(m):
-        ent = m.group(3)
-        if m.group(1) == "#":
-            return chr(int(ent)) if m.group(2) == "" else chr(int("0x" + ent, 16))
-        cp = n2cp.get(ent)
-        return chr(cp) if cp else m.group()
-
-    try:
-        return ENTITY_PATTERN.sub(sub, text)
-    except (ValueError, OverflowError):
-        # any undecodable entity returns the input whole
+    """Text with its entities decoded.  Unknown names stay as they are; one number
+    that is no character leaves the whole text as it was."""
+    if text is None or "&" not in text:
         return text
+    names = _entity_names()
+    pieces = text.split("&")
+    out = pieces[:1]
+    for piece in pieces[1:]:
+        body, end, rest = piece.partition(";")
+        char = names.get(body) if end else None
+        if end and body[:1] == "#" and ENTITY_NUMBER.fullmatch(body, 1):
+            try:
+                char = _numeric_entity(body[1:])
+            except ValueError:
+                return text
+        out.append("&" + piece if char is None else char + rest)
+    return "".join(out)
 
 
 @F.pandas_udf(T.StringType())
@@ -105,14 +134,29 @@ def decode_html(text) -> Column:
     return _decode_html_udf(_c(text))
 
 
-def to_unicode(binary_col, errors: str = "strict") -> Column:
-    """bytes -> string; ``errors='strict'`` fails on invalid UTF-8,
-    ``'ignore'``/``'replace'`` repairs it."""
-    b = _c(binary_col)
-    if errors == "strict":
-        return F.validate_utf8(F.decode(b, "UTF-8"))
-    return F.make_valid_utf8(F.decode(b, "UTF-8"))
+def to_unicode(binary_col, errors: str = "strict", encoding: str = "utf8") -> Column:
+    """bytes -> string.
+
+    ``errors``: ``'strict'`` fails on invalid bytes, ``'ignore'`` drops them,
+    ``'replace'`` puts U+FFFD in their place.  ``encoding`` is any codec name.
+    Strict UTF-8 is a JVM expression; the other policies and codecs, which Spark
+    has no expression for, decode Arrow batches.
+    """
+    if errors not in ("strict", "ignore", "replace"):
+        raise ValueError(f"unknown policy {errors!r}")
+    codec = codecs.lookup(encoding).name
+    if codec == "utf-8" and errors == "strict":
+        return F.validate_utf8(F.decode(_c(binary_col), "UTF-8"))
+
+    @F.pandas_udf(T.StringType())
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: bytes(b).decode(codec, errors), na_action="ignore")
+
+    return decode(_c(binary_col))
 
 
-def to_utf8(text) -> Column:
-    return F.encode(_c(text), "UTF-8")
+def to_utf8(col, errors: str = "strict", encoding: str | None = None) -> Column:
+    """UTF-8 bytes of a string or, with ``encoding``, of bytes in that encoding
+    (``errors`` as in :func:`to_unicode`)."""
+    text = _c(col) if encoding is None else to_unicode(col, errors, encoding)
+    return F.encode(text, "UTF-8")

@@ -1,11 +1,12 @@
 """Top-k cosine search and the vector lookups built on it.
 
-Exact brute-force search without a cross join: queries and items are cut
-into hash blocks; every query block is paired with every item block by an
+Exact brute-force search: queries and items are cut into hash blocks; every query block is paired with every item block by an
 ``explode`` of block numbers and a co-grouped ``applyInPandas``.  Each
 group multiplies one query block by one item block with numpy and emits
 only its local top-k (plus ties), so the shuffle carries
-``queries x item_blocks x k`` rows instead of all pairs.  A final
+``queries x item_blocks x k`` rows (with groups: the best item of the k
+best groups of each block).  The blocks are compared in full: this is an
+exact search of a stated query set against all items, in blocks.  A final
 ``row_number`` window (planned as a WindowGroupLimit) keeps the global
 top-k per query.  Ties are broken by item id, after rounding the score to
 9 decimals so that summation order does not change the ranking.
@@ -119,6 +120,11 @@ def knn(queries: DataFrame, items: DataFrame, k: int | None, *,
                     # keep the best item(s) of every group (ties kept for the final ranking)
                     masked = np.where(mask, row, -np.inf)
                     gmax = np.maximum.reduceat(masked, starts)
+                    if kk is not None and len(gmax) > kk:
+                        # a group of the global top k is among the k best of the
+                        # block that holds its best item
+                        kth = np.partition(gmax, len(gmax) - kk)[len(gmax) - kk]
+                        gmax = np.where(gmax >= kth - 1e-9, gmax, np.inf)
                     idx = idx[row[idx] >= gmax[seg[idx]] - 1e-9]
                 elif kk is not None and len(idx) > kk:
                     vals = row[idx]

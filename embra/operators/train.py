@@ -88,15 +88,17 @@ class TrainSpec:
         return {"sgd": 0, "adagrad": d, "adadelta": 2 * d, "adam": 2 * d + 3}[self.optimizer]
 
     def identifier(self) -> str:
-        """Model id: kind+size, arch, objective, alpha, epochs, normalise flag, optimizer."""
-        name = f"{self.family}{self.size}"
-        name += "_sg" if self.arch == "sg" else "_cb"
-        name += "_hs" if self.hs else f"_neg{self.negative}"
-        name += f"_a{self.alpha:g}_it{self.epochs}"
-        if self.normalize_each_epoch:
-            name += "_n"
-        name += {"sgd": "_sgd", "adagrad": "_adagrad", "adadelta": "_adadel", "adam": "_adam"}[self.optimizer]
-        return name
+        """Model id: the fields of the format in their fixed order, joined by '_'."""
+        fields = [
+            f"{self.family}{self.size}",
+            {"sg": "sg"}.get(self.arch, "cb"),
+            "hs" if self.hs else f"neg{self.negative}",
+            f"a{self.alpha:g}",
+            f"it{self.epochs}",
+            "n" * self.normalize_each_epoch,
+            {"adadelta": "adadel"}.get(self.optimizer, self.optimizer),
+        ]
+        return "_".join(filter(None, fields))
 
 
 # --------------------------------------------------------------------------

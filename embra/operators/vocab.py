@@ -2,19 +2,18 @@
 
 All counting is a distributed ``groupBy`` with partial aggregation; all
 global orderings use :mod:`ordering` (range partitioning, no single-task
-window).  The only step that sees the whole pruned vocabulary in one task
-is the Huffman tree: merging the two lightest nodes is inherently
-sequential.  It reads just ``(idx, cnt)`` of the pruned vocabulary, whose
-size is a model dimension (one row per kept word type), not a data one.
+window).  The Huffman tree is merged on the histogram of counts (one row per
+distinct count) and words get their codes from it in parallel.
 """
 
 from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordering import dense_index, running_sum_dense
 
@@ -81,43 +80,99 @@ def sent_cat_pairs(corpus: DataFrame, docs: DataFrame, cats: DataFrame) -> DataF
     return dense_index(p, [F.col("cat_no"), F.col("sent_no")], "pair_no")
 
 
-def _huffman_codes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Codes and inner-node paths; ties broken by (count, node id)."""
-    idx = pdf["idx"].to_numpy()
-    cnt = pdf["cnt"].to_numpy()
-    v = len(idx)
-    if v == 0:
-        return pd.DataFrame({"idx": [], "code": [], "point": []})
-    left, right = {}, {}
-    heap = [(int(c), int(i)) for i, c in zip(idx, cnt)]
-    heapq.heapify(heap)
-    for i in range(v - 1):
-        c1, n1 = heapq.heappop(heap)
-        c2, n2 = heapq.heappop(heap)
-        node = v + i
-        left[node], right[node] = n1, n2
-        heapq.heappush(heap, (c1 + c2, node))
-    codes, points = {}, {}
-    stack = [(heap[0][1], [], [])]
-    while stack:
-        node, code, point = stack.pop()
-        if node < v:
-            codes[node], points[node] = code, point
-        else:
-            p = point + [node - v]
-            stack.append((left[node], code + [0], p))
-            stack.append((right[node], code + [1], p))
-    order = list(idx)
-    return pd.DataFrame({"idx": order,
-                         "code": [codes[int(i)] for i in order],
-                         "point": [points[int(i)] for i in order]})
+class HuffmanRuns:
+    """The Huffman tree of a vocabulary, built from its histogram of counts.
+
+    Nodes of one weight are merged as runs: the j-th node of a run becomes child
+    ``j % 2`` of the run's (j // 2)-th parent, so a run of any length is one merge
+    step and its parents are one run of twice the weight.  Ties go by (count, node
+    number); leaf numbers are vocabulary indexes, inner nodes follow in the order
+    in which they are made.  There are no more runs than a few per distinct count,
+    and a corpus of N tokens has at most sqrt(2N) distinct counts.
+    """
+
+    def __init__(self, histogram: list[tuple[int, int, int]]):
+        """``histogram``: (count, smallest index, words) of every distinct count."""
+        self.leaves = made = sum(n for _, _, n in histogram)
+        waiting: dict[int, list[tuple[int, int]]] = {c: [(first, n)] for c, first, n in histogram}
+        weights = list(waiting)
+        heapq.heapify(weights)
+        # child runs: first child, children, their place in the merged sequence, first parent
+        steps: list[tuple[int, int, int, int]] = []
+
+        def add(weight: int, first: int, n: int) -> None:
+            if weight not in waiting:
+                waiting[weight] = []
+                heapq.heappush(weights, weight)
+            waiting[weight].append((first, n))
+
+        odd = None  # (weight, node) left over from the weight before
+        while weights:
+            weight = heapq.heappop(weights)
+            runs = waiting.pop(weight)
+            if odd is not None:
+                first, n = runs[0]
+                steps += [(odd[1], 1, 0, made), (first, 1, 1, made)]
+                add(odd[0] + weight, made, 1)
+                made, odd = made + 1, None
+                runs = runs[1:] if n == 1 else [(first + 1, n - 1), *runs[1:]]
+            total = sum(n for _, n in runs)
+            if total % 2:
+                first, n = runs.pop()
+                odd = (weight, first + n - 1)
+                if n > 1:
+                    runs.append((first, n - 1))
+            at = 0
+            for first, n in runs:
+                steps.append((first, n, at, made))
+                at += n
+            if at:
+                add(2 * weight, made, at // 2)
+                made += at // 2
+        self.root = odd[1] if odd else None
+        cols = np.array(sorted(steps), dtype=np.int64).reshape(-1, 4)
+        self.first, _, self.place, self.parent = cols.T
+
+    def codes(self, idx: np.ndarray) -> tuple[list, list]:
+        """Codes and inner-node paths (root first) of some leaves, all climbing at once."""
+        node = np.asarray(idx, dtype=np.int64).copy()
+        bits, path = [], []
+        while True:
+            live = node != self.root
+            if not live.any():
+                break
+            run = np.searchsorted(self.first, node, side="right") - 1
+            run = np.maximum(run, 0)
+            seq = node - self.first[run] + self.place[run]
+            up = self.parent[run] + seq // 2
+            bits.append(np.where(live, seq % 2, -1))
+            path.append(np.where(live, up - self.leaves, -1))
+            node = np.where(live, up, node)
+        if not bits:
+            return [[] for _ in idx], [[] for _ in idx]
+        bits, path = np.array(bits)[::-1].T, np.array(path)[::-1].T
+        return [b[b >= 0].tolist() for b in bits], [p[p >= 0].tolist() for p in path]
 
 
 def huffman(vocab: DataFrame) -> DataFrame:
-    """Add ``code`` (array<tinyint>) and ``point`` (array<int>) to vocab."""
-    tree = (vocab.select("idx", "cnt").groupBy(F.lit(0).alias("_g"))
-            .applyInPandas(_huffman_codes, schema="idx long, code array<tinyint>, point array<int>"))
-    return vocab.join(tree, "idx")
+    """Add ``code`` (array<tinyint>) and ``point`` (array<int>) to vocab, whose idx must be
+    in descending order of cnt.  Only the histogram of counts reaches the driver; words
+    get their codes in parallel."""
+    hist = vocab.groupBy("cnt").agg(F.min("idx").alias("first"), F.max("idx").alias("last"),
+                                    F.count(F.lit(1)).alias("n")).collect()
+    if any(r["last"] - r["first"] + 1 != r["n"] for r in hist):
+        raise ValueError("words of one count must have consecutive idx")
+    runs = vocab.sparkSession.sparkContext.broadcast(
+        HuffmanRuns([(r["cnt"], r["first"], r["n"]) for r in hist]))
+    schema = T.StructType([*vocab.schema.fields, T.StructField("code", T.ArrayType(T.ByteType())),
+                           T.StructField("point", T.ArrayType(T.IntegerType()))])
+
+    def assign(batches):
+        for pdf in batches:
+            code, point = runs.value.codes(pdf["idx"].to_numpy())
+            yield pdf.assign(code=code, point=point)
+
+    return vocab.mapInPandas(assign, schema)
 
 
 def noise_dist(vocab: DataFrame, power: float = NOISE_POWER) -> DataFrame:

@@ -15,21 +15,45 @@ def word_vectors(params: DataFrame, vocab: DataFrame) -> DataFrame:
     return vocab.select("word", "idx", "cnt").join(p, "idx").withColumn("uvec", unit("vec"))
 
 
-def query_vectors(queries: DataFrame, words: DataFrame, positive: list[str],
-                  negative: list[str] = ()) -> DataFrame:
-    """Weighted sum (+1 / -1) of the unit vectors of the named word columns,
-    normalised: (q_id, uvec, ex = ids of the input words).  A query with an
-    out-of-vocabulary word is dropped (the batch form of the KeyError)."""
-    cols = [F.struct(F.col(c).alias("w"), F.lit(1.0).alias("s")) for c in positive]
-    cols += [F.struct(F.col(c).alias("w"), F.lit(-1.0).alias("s")) for c in negative]
-    ex = queries.select("q_id", F.explode(F.array(*cols)).alias("t")).select("q_id", "t.w", "t.s")
-    wv = words.select(F.col("word").alias("w"), "idx", "uvec")
-    j = ex.join(wv, "w", "left")
-    ok = j.groupBy("q_id").agg(F.min(F.col("idx").isNotNull()).alias("_ok"),
-                               F.collect_set("idx").alias("ex"))
-    sv = sum_vectors(j.filter(F.col("idx").isNotNull())
-                     .withColumn("sv", F.transform("uvec", lambda x: x * F.col("s"))), ["q_id"], "sv")
-    return ok.filter("_ok").join(sv, "q_id").select("q_id", unit("vec").alias("uvec"), "ex")
+def query_vectors(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """Weighted query vectors: ``terms (q_id, word, vec, weight)``, one row per input, which
+    is either a word or a raw vector (the other one null).
+
+    -> ``(q_id, uvec, ex, missing)``: unit sum of weight x unit vector, the ids of the
+    input words (never answers) and the words that aren't in the vocabulary.  A query
+    with a missing word has no vector; its row stays, with null.
+    """
+    wv = words.select("word", "idx", F.col("uvec").alias("_wv"))
+    j = terms.join(wv, "word", "left").withColumn("_v", F.coalesce("_wv", unit("vec")))
+    ok = j.groupBy("q_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("_v").isNull(), F.col("word")))).alias("missing"),
+        F.array_sort(F.collect_set("idx")).alias("ex"))
+    sv = sum_vectors(j.filter(F.col("_v").isNotNull())
+                     .withColumn("sv", F.transform("_v", lambda x: x * F.col("weight"))), ["q_id"], "sv")
+    return ok.join(sv, "q_id", "left").select(
+        "q_id", F.when(F.size("missing") == 0, unit("vec")).alias("uvec"), "ex", "missing")
+
+
+def most_similar(terms: DataFrame, words: DataFrame, topn: int = 10) -> DataFrame:
+    """Nearest words of every weighted query (see :func:`query_vectors`), the input words
+    left out: ``(q_id, nbr, rank, sim, missing)``.  A query that can't be answered is one
+    row with a null neighbour and its missing words."""
+    q = query_vectors(terms, words)
+    r = knn(q.filter("uvec is not null").select("q_id", "uvec", "ex"),
+            words.select(F.col("idx").alias("i_id"), "uvec"), topn, q_vec="uvec", i_vec="uvec", exclude="ex")
+    named = r.join(words.select(F.col("idx").alias("i_id"), F.col("word").alias("nbr")), "i_id")
+    return q.select("q_id", "missing").join(named.select("q_id", "nbr", "rank", "sim"), "q_id", "left") \
+        .select("q_id", "nbr", "rank", "sim", "missing")
+
+
+def word_similarity(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """``pairs (w1, w2, ...)`` -> all their columns with ``sim`` and ``missing``: null and the
+    words that aren't in the vocabulary where one isn't."""
+    a = words.select(F.col("word").alias("w1"), F.col("uvec").alias("_u1"))
+    b = words.select(F.col("word").alias("w2"), F.col("uvec").alias("_u2"))
+    lost = F.array_compact(F.array(F.when(F.col("_u1").isNull(), F.col("w1")), F.when(F.col("_u2").isNull(), F.col("w2"))))
+    return (pairs.join(a, "w1", "left").join(b, "w2", "left")
+            .withColumn("sim", dot("_u1", "_u2")).withColumn("missing", lost).drop("_u1", "_u2"))
 
 
 def analogy_vectors(questions: DataFrame, words: DataFrame) -> DataFrame:
@@ -43,11 +67,13 @@ def analogy_vectors(questions: DataFrame, words: DataFrame) -> DataFrame:
 
 def doesnt_match(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """tokens (line_no, word) -> (line_no, word) farthest from the mean of
-    the line's in-vocabulary unit vectors; ties by word."""
-    tw = tokens.join(words.select("word", "uvec"), "word")
-    m = sum_vectors(tw, ["line_no"], "uvec", out="mv").withColumn("mu", unit("mv"))
-    s = tw.join(m.select("line_no", "mu"), "line_no").withColumn("d", F.round(dot("uvec", "mu"), 9))
-    return s.groupBy("line_no").agg(F.min_by("word", F.struct("d", "word")).alias("word"))
+    the line's in-vocabulary unit vectors; ties by word; null for a line
+    without any word of the vocabulary."""
+    tw = tokens.join(words.select("word", "uvec"), "word", "left")
+    m = sum_vectors(tw.filter("uvec is not null"), ["line_no"], "uvec", out="mv").withColumn("mu", unit("mv"))
+    s = tw.join(m.select("line_no", "mu"), "line_no", "left").withColumn("d", F.round(dot("uvec", "mu"), 9))
+    known = F.when(F.col("uvec").isNotNull(), F.struct("d", "word"))
+    return s.groupBy("line_no").agg(F.min(known).alias("_b")).select("line_no", F.col("_b.word").alias("word"))
 
 
 def analogy_accuracy(questions: DataFrame, words: DataFrame, restrict_vocab: int = 30000) -> DataFrame:

@@ -28,11 +28,12 @@ PAIRS = (f"(SELECT e.vec_id, e.label, {sqlh.unit(sqlh.vadd('e.vec', 'c.vec'))} A
 DOCS_U = f"(SELECT vec_id, label, {sqlh.unit('vec')} AS uvec FROM {E})"
 
 
-def half_sql(lo: int, hi: int) -> str:
+def half_sql(lo: str, hi: str) -> str:
     return f"(SELECT vec_id, label, embedding[{lo}:{hi}]::DOUBLE[] AS vec FROM embeddings)"
 
 
-HA, HB = half_sql(1, 32), half_sql(33, 64)
+# the two models are the two halves of each vector, whatever its length
+HA, HB = half_sql("1", "len(embedding) // 2"), half_sql("len(embedding) // 2 + 1", "len(embedding)")
 CA, CB = sqlh.vec_agg(HA, ["label"], "vec", "avg"), sqlh.vec_agg(HB, ["label"], "vec", "avg")
 JOINT = (f"(SELECT a.vec_id, a.label, {sqlh.unit(sqlh.vadd('a.vec', 'ca.vec'))} AS ua, "
          f"{sqlh.unit(sqlh.vadd('b.vec', 'cb.vec'))} AS ub, "
@@ -60,8 +61,9 @@ def _pairs(spark, sf):
 
 def _halves(spark, sf):
     e = embedding_vectors(spark, sf)
-    a = e.select("vec_id", "label", F.slice("vec", 1, 32).alias("vec"))
-    b = e.select("vec_id", "label", F.slice("vec", 33, 32).alias("vec"))
+    half = F.floor(F.size("vec") / 2).cast("int")
+    a = e.select("vec_id", "label", F.slice("vec", F.lit(1), half).alias("vec"))
+    b = e.select("vec_id", "label", F.slice("vec", half + 1, F.size("vec") - half).alias("vec"))
     ca = sum_vectors(a, ["label"], "vec", how="mean").withColumnRenamed("vec", "cvec")
     cb = sum_vectors(b, ["label"], "vec", how="mean").withColumnRenamed("vec", "cvec")
     ja = a.join(ca, "label").select("vec_id", "label", vadd("vec", "cvec").alias("pa"),

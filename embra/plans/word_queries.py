@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, r6
+from ..functions.vectors import r6
 from ..operators import train as T
 from ..operators.similarity import knn
 from ..operators.vocab import explode_tokens
-from ..operators.words import analogy_accuracy, analogy_vectors, doesnt_match, word_vectors
+from ..operators.words import (analogy_accuracy, analogy_vectors, doesnt_match, most_similar, word_similarity,
+                               word_vectors)
 from ..tables import benchmark_corpus, benchmark_corpus_sql, part_corpus, part_corpus_sql, table
 from . import sqlh
 from .registry import register
@@ -95,13 +96,21 @@ def q_knn_word_analogy(spark, sf):
             .select("q_id", "nbr", "rank", r6("sim").alias("sim")))
 
 
-@register("word_dists", sql=_sql(P_SPEC, part_corpus_sql(), """
+# a stated list of query words: those of the parts of one brand
+DIST_WORDS_SQL = """SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS word FROM part WHERE p_brand = 'Brand#11'"""
+
+
+@register("word_dists", sql=_sql(P_SPEC, part_corpus_sql(), f"""
+qw AS ({DIST_WORDS_SQL})
 SELECT q.word, i.word AS other, """ + sqlh.r6("list_dot_product(q.uvec, i.uvec)") + """ AS sim
-FROM wv q, wv i"""))
+FROM qw JOIN wv q USING (word), wv i"""))
 def q_word_dists(spark, sf):
-    """most_similar(word, topn=False): similarity of every word to every vocabulary word."""
+    """most_similar(word, topn=False): similarity of every word of a given list to every
+    vocabulary word."""
     w = trained_words(spark, sf, P_SPEC, part_corpus)
-    r = knn(w.select(F.col("idx").alias("q_id"), "uvec"), w.select(F.col("idx").alias("i_id"), "uvec"), None,
+    p = table(spark, sf, "part").filter("p_brand = 'Brand#11'")
+    q = w.join(p.select(F.lower(F.split("p_name", " ").getItem(0)).alias("word")), "word", "left_semi")
+    r = knn(q.select(F.col("idx").alias("q_id"), "uvec"), w.select(F.col("idx").alias("i_id"), "uvec"), None,
             q_vec="uvec", i_vec="uvec")
     names = w.select("idx", "word")
     return (r.join(names.withColumnRenamed("idx", "q_id"), "q_id")
@@ -109,25 +118,63 @@ def q_word_dists(spark, sf):
             .select("word", "other", r6("sim").alias("sim")))
 
 
+@register("most_similar", sql=_sql(P_SPEC, part_corpus_sql(), QUESTIONS_SQL + """,
+terms AS (SELECT q_id, wb AS word, 1.0::DOUBLE AS weight FROM questions UNION ALL
+          SELECT q_id, CASE WHEN wa = wc THEN wc || 'zz' ELSE wc END, 0.5 FROM questions UNION ALL
+          SELECT q_id, wa, -1.0 FROM questions),
+tv AS (SELECT t.q_id, t.word, w.idx, list_transform(w.uvec, lambda x: x * t.weight) AS v
+       FROM terms t LEFT JOIN wv w USING (word)),
+qs AS (SELECT q_id, list_sort(coalesce(list(DISTINCT word) FILTER (idx IS NULL), [])) AS missing, list(idx) AS ex
+       FROM tv GROUP BY q_id),
+sv AS (SELECT q_id, """ + sqlh.unit("vec") + """ AS uvec FROM """ + sqlh.vec_agg(
+    "(SELECT * FROM tv WHERE idx IS NOT NULL)", ["q_id"], "v", "sum") + """),
+sc AS (SELECT s.q_id, w.word AS nbr, w.idx, list_dot_product(s.uvec, w.uvec) AS sim FROM sv s
+       JOIN qs ON qs.q_id = s.q_id AND len(qs.missing) = 0, wv w WHERE NOT list_contains(qs.ex, w.idx)),
+r AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY round(sim, 9) DESC, idx) AS INTEGER)
+      AS rank FROM sc) WHERE rank <= 3)
+SELECT qs.q_id, r.nbr, r.rank, CASE WHEN r.sim IS NOT NULL THEN """ + sqlh.r6("r.sim") + """ END AS sim, qs.missing
+FROM qs LEFT JOIN r USING (q_id)"""))
+def q_most_similar(spark, sf):
+    """most_similar with weights 1, 0.5 and -1; where the two adjectives agree, one of them is
+    replaced by a word that isn't in the vocabulary."""
+    w = trained_words(spark, sf, P_SPEC, part_corpus)
+    q = questions(spark, sf)
+    strange = F.when(F.col("wa") == F.col("wc"), F.concat("wc", F.lit("zz"))).otherwise(F.col("wc"))
+
+    def term(word, weight):
+        return q.select("q_id", word.alias("word"), F.lit(None).cast("array<double>").alias("vec"),
+                        F.lit(weight).alias("weight"))
+
+    terms = term(F.col("wb"), 1.0).unionByName(term(strange, 0.5)).unionByName(term(F.col("wa"), -1.0))
+    return most_similar(terms, w, 3).withColumn("sim", r6("sim"))
+
+
 @register("word_similarity", sql=_sql(P_SPEC, part_corpus_sql(), """
-SELECT p.p_partkey, """ + sqlh.r6("list_dot_product(a.uvec, b.uvec)") + """ AS sim FROM part p
-JOIN wv a ON a.word = lower(split_part(p.p_name, ' ', 1)) JOIN wv b ON b.word = lower(split_part(p.p_name, ' ', 2))"""))
+pairs AS (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS w1,
+    lower(split_part(p_name, ' ', 2)) || CASE WHEN p_size = 1 THEN 'zz' ELSE '' END AS w2 FROM part)
+SELECT p.p_partkey, CASE WHEN a.word IS NOT NULL AND b.word IS NOT NULL THEN """
+                                  + sqlh.r6("list_dot_product(a.uvec, b.uvec)") + """ END AS sim,
+    list_filter([CASE WHEN a.word IS NULL THEN p.w1 END, CASE WHEN b.word IS NULL THEN p.w2 END],
+                lambda x: x IS NOT NULL) AS missing
+FROM pairs p LEFT JOIN wv a ON a.word = p.w1 LEFT JOIN wv b ON b.word = p.w2"""))
 def q_word_similarity(spark, sf):
-    """similarity(w1, w2) of the two words of every part name."""
+    """similarity(w1, w2) of the two words of every part name; the second word of parts of
+    size 1 is altered, so that it isn't in the vocabulary."""
     w = trained_words(spark, sf, P_SPEC, part_corpus).select("word", "uvec")
-    p = table(spark, sf, "part").select("p_partkey", F.lower(F.split("p_name", " ").getItem(0)).alias("w1"),
-                                         F.lower(F.split("p_name", " ").getItem(1)).alias("w2"))
-    a = w.select(F.col("word").alias("w1"), F.col("uvec").alias("u1"))
-    b = w.select(F.col("word").alias("w2"), F.col("uvec").alias("u2"))
-    return p.join(a, "w1").join(b, "w2").select("p_partkey", r6(dot("u1", "u2")).alias("sim"))
+    p = table(spark, sf, "part").select(
+        "p_partkey", F.lower(F.split("p_name", " ").getItem(0)).alias("w1"),
+        F.concat(F.lower(F.split("p_name", " ").getItem(1)),
+                 F.when(F.col("p_size") == 1, F.lit("zz")).otherwise(F.lit(""))).alias("w2"))
+    return word_similarity(p, w).select("p_partkey", r6("sim").alias("sim"), "missing")
 
 
 @register("doesnt_match", sql=_sql(B_SPEC, benchmark_corpus_sql(), f"""
 wtoks AS (SELECT line_no, unnest(words) AS word FROM corpus),
 wtv AS (SELECT t.line_no, t.word, w.uvec FROM wtoks t JOIN wv w USING (word)),
 m AS (SELECT line_no, {sqlh.unit('vec')} AS mu FROM {sqlh.vec_agg('wtv', ['line_no'], 'uvec', 'sum')}),
-s AS (SELECT wtv.line_no, wtv.word, round(list_dot_product(wtv.uvec, m.mu), 9) AS d FROM wtv JOIN m USING (line_no))
-SELECT line_no, arg_min(word, struct_pack(d := d, w := word)) AS word FROM s GROUP BY line_no"""))
+s AS (SELECT wtv.line_no, wtv.word, round(list_dot_product(wtv.uvec, m.mu), 9) AS d FROM wtv JOIN m USING (line_no)),
+best AS (SELECT line_no, arg_min(word, struct_pack(d := d, w := word)) AS word FROM s GROUP BY line_no)
+SELECT t.line_no, b.word FROM (SELECT DISTINCT line_no FROM wtoks) t LEFT JOIN best b USING (line_no)"""))
 def q_doesnt_match(spark, sf):
     """The in-vocabulary word of each benchmark text farthest from the mean of its words."""
     w = trained_words(spark, sf, B_SPEC, benchmark_corpus)

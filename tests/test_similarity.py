@@ -54,3 +54,41 @@ def test_grouped_knn_best_per_group(spark, sf):
                 best[lab[i]] = key
         want = [g for g, _ in sorted(best.items(), key=lambda t: t[1])[:3]]
         assert got[q] == want
+
+
+def test_grouped_candidates_per_block_are_bounded(spark):
+    """A block sends the best items of its k best groups, not one of every group."""
+    import numpy as np
+
+    from embra.operators.similarity import knn
+    rng = np.random.default_rng(3)
+    items = spark.createDataFrame([(i, rng.standard_normal(4).tolist(), i % 200) for i in range(1000)],
+                                  "i_id long, vec array<double>, grp long")
+    queries = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(20)], "q_id long, vec array<double>")
+    got = knn(queries, items, 5, i_group="grp", item_block_rows=250, query_block_rows=10)
+    rows = {(r["q_id"], r["rank"]): (r["i_id"], r["grp"]) for r in got.collect()}
+    iv = {r["i_id"]: (np.array(r["vec"]), r["grp"]) for r in items.collect()}
+    for q in queries.collect():
+        best = {}
+        for i, (v, g) in iv.items():
+            s = round(float(v @ np.array(q["vec"])), 9)
+            if g not in best or (s, -i) > (best[g][0], -best[g][1]):
+                best[g] = (s, i)
+        order = sorted(best.items(), key=lambda x: (-x[1][0], x[1][1]))[:5]
+        assert [rows[q["q_id"], k + 1] for k in range(5)] == [(i, g) for g, (_, i) in order]
+    assert len(rows) == 100
+
+
+def test_unknown_words_keep_their_rows(spark):
+    from embra.operators.words import doesnt_match, most_similar, word_similarity
+    words = spark.createDataFrame([("a", 0, 1, [1.0, 0.0]), ("b", 1, 1, [0.6, 0.8]), ("c", 2, 1, [0.0, 1.0])],
+                                  "word string, idx long, cnt long, uvec array<double>")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "x"), ("y", "x")], "w1 string, w2 string")
+    got = {(r["w1"], r["w2"]): (r["sim"], r["missing"]) for r in word_similarity(pairs, words).collect()}
+    assert got == {("a", "b"): (0.6, []), ("a", "x"): (None, ["x"]), ("y", "x"): (None, ["y", "x"])}
+    lines = spark.createDataFrame([(1, "a"), (1, "b"), (1, "x"), (2, "x")], "line_no long, word string")
+    assert {r[0]: r[1] for r in doesnt_match(lines, words).collect()}[2] is None
+    terms = spark.createDataFrame([(1, "a", None, 1.0), (1, None, [0.0, 5.0], 2.0), (2, "x", None, 1.0), (2, "a", None, 1.0)],
+                                  "q_id long, word string, vec array<double>, weight double")
+    got = sorted((r["q_id"], r["nbr"], r["rank"], r["missing"]) for r in most_similar(terms, words, 2).collect())
+    assert got == [(1, "b", 1, []), (1, "c", 2, []), (2, None, None, ["x"])]

@@ -39,3 +39,31 @@ def test_decode_html_docstring(spark):
     assert decode_html_py("&unknown;") == "&unknown;"
     df = spark.createDataFrame([("l&#39;eau",), (None,)], "t string")
     assert [r[0] for r in df.select(decode_html("t")).collect()] == ["l'eau", None]
+
+
+def test_entities_that_are_no_characters_leave_the_text_alone():
+    from embra.functions.text import decode_html_py as d
+    assert d("&#65;&#x42;&#0067;") == "ABC"
+    assert d("&lt;&#99999999999;") == "&lt;&#99999999999;"
+    assert d("&lt;&#x;") == "&lt;&#x;"
+    assert d("&lt;&#xD800;") == "&lt;&#xD800;"
+    assert d("&# 65; &#; & a;b &&amp;; &ampx; &xamp;") == "&# 65; &#; & a;b &&; &ampx; &"
+    assert d("&amp;lt;") == "&lt;"
+    assert d("") == "" and d(None) is None and d("no mark-up; at all") == "no mark-up; at all"
+
+
+def test_to_unicode_policies(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from embra.functions.text import to_unicode, to_utf8
+    df = spark.createDataFrame([(bytearray(b"ab\xffcd"),), (bytearray("é€".encode()),), (None,)], "b binary")
+    assert [r[0] for r in df.select(to_unicode("b", "ignore")).collect()] == ["abcd", "é€", None]
+    assert [r[0] for r in df.select(to_unicode("b", "replace")).collect()] == ["ab�cd", "é€", None]
+    assert [r[0] for r in df.select(to_unicode("b", encoding="latin-1")).collect()][0] == "abÿcd"
+    assert bytes(df.select(to_utf8("b", "strict", "latin-1")).collect()[0][0]) == "abÿcd".encode()
+    assert bytes(df.limit(1).select(to_utf8(F.lit("é"))).collect()[0][0]) == "é".encode()
+    with pytest.raises(Exception):
+        df.select(to_unicode("b")).collect()
+    with pytest.raises(ValueError):
+        to_unicode("b", "other")

@@ -62,3 +62,33 @@ def test_subsample_prob_formula(spark):
     for w, c in (("a", 900), ("b", 100)):
         assert abs(got[w] - min(1.0, ((c / t) ** 0.5 + 1) * t / c)) < 1e-12
     assert V.subsample_prob(df, 0.0).first()["sample_prob"] == 1.0
+
+
+def test_huffman_codes_equal_those_of_single_merges():
+    import heapq
+    import random
+
+    import numpy as np
+
+    from embra.operators.vocab import HuffmanRuns
+    rng = random.Random(1)
+    for _ in range(300):
+        v = rng.choice([0, 1, 2, 3, 7, 40])
+        cnt = sorted((rng.choice([1, 1, 2, 3, rng.randint(1, 30)]) for _ in range(v)), reverse=True)
+        heap = sorted((c, i) for i, c in enumerate(cnt))
+        parent = {}
+        for node in range(v, 2 * v - 1):
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[x], parent[y] = (node, 0), (node, 1)
+            heapq.heappush(heap, (a + b, node))
+        want = []
+        for node in range(v):
+            code, path = [], []
+            while node in parent:
+                node, bit = parent[node]
+                code.insert(0, bit)
+                path.insert(0, node - v)
+            want.append((code, path))
+        first = {c: cnt.index(c) for c in cnt}
+        runs = HuffmanRuns([(c, i, cnt.count(c)) for c, i in first.items()])
+        assert list(zip(*runs.codes(np.arange(v)))) == want
