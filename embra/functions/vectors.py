@@ -6,6 +6,7 @@ the work stays inside whole-stage code generation.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,3 +89,46 @@ def keyed_uniform_sql(seed, *keys: str) -> str:
     """DuckDB twin of :func:`keyed_uniform`; ``keys`` are SQL expressions."""
     inner = ", ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
     return f"(('0x' || substr(md5(concat_ws('|', {inner})), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+# Keyed draws over whole numbers: one quadratic step modulo a prime per key.
+# All intermediate values stay below 2^63, so Spark, numpy and DuckDB agree,
+# and numpy draws whole arrays at once.
+_PRIME, _MUL, _ADD = (1 << 31) - 1, 48271, 1013904223
+
+
+def _fold(h, k):
+    """One step for the running value h and a key k (both below the prime)."""
+    return (h * h + k * _MUL + _ADD) % _PRIME
+
+
+def _draw_start(seed: int, kind: str, epoch: int) -> int:
+    h = 0
+    for k in (seed, *kind.encode(), epoch):
+        h = _fold(h, k % _PRIME)
+    return h
+
+
+def keyed_draw(seed: int, kind: str, epoch: int, *keys) -> Column:
+    """Deterministic uniform in [0, 1) from whole numbers (columns); see :func:`keyed_draw_np`."""
+    h = F.lit(_draw_start(seed, kind, epoch)).cast("long")
+    for k in (*keys, F.lit(0)):
+        h = _fold(h, F.pmod(_c(k).cast("long"), F.lit(_PRIME).cast("long")))
+    return h / F.lit(float(_PRIME))
+
+
+def keyed_draw_np(seed: int, kind: str, epoch: int, *keys) -> np.ndarray:
+    """The same draws for numpy arrays (or numbers) of keys, broadcast together."""
+    h = np.int64(_draw_start(seed, kind, epoch))
+    for k in (*keys, 0):
+        h = _fold(h, np.mod(np.asarray(k, dtype=np.int64), _PRIME))
+    return h / float(_PRIME)
+
+
+def keyed_draw_sql(seed: int, kind: str, epoch: int, *keys: str) -> str:
+    """The same draws in DuckDB; ``keys`` are SQL expressions of whole numbers."""
+    h = f"{_draw_start(seed, kind, epoch)}::BIGINT"
+    for k in (*keys, "0"):
+        m = f"(((CAST({k} AS BIGINT) % {_PRIME}) + {_PRIME}) % {_PRIME})"
+        h = f"(({h} * {h} + {m} * {_MUL} + {_ADD}) % {_PRIME})"
+    return f"({h} / {float(_PRIME)!r}::DOUBLE)"

@@ -39,9 +39,7 @@ def infer_vectors(new_corpus: DataFrame, params: DataFrame, vocab: DataFrame, sp
     """
     ispec = inference_spec(spec)
     docs = V.doc_ids(new_corpus)
-    longest = new_corpus.agg(F.max(F.size("words"))).first()[0] or 0
-    seg = T.SEGMENT_LEN if longest > T.SEGMENT_AUTO else None
-    lines = T.prepare_lines(new_corpus, vocab, ispec, 0, docs, None, keep_oov=True, segment_len=seg)
+    lines = T.prepare_lines(new_corpus, vocab, ispec, 0, docs, None, keep_oov=True, segment_len=T.SEGMENT_LEN)
     lines = lines.withColumn("cat_no", F.lit(cat_no).cast("long"))
     if checkpoint:
         lines = lines.checkpoint(eager=True)
@@ -53,19 +51,21 @@ def infer_vectors(new_corpus: DataFrame, params: DataFrame, vocab: DataFrame, sp
                        T.init_state(ispec).alias("state"))
     # initial vectors are keyed by the document id, so a document gets the
     # same vector whichever batch or stream trigger it arrives in
-    from .train_vec import MAX_BROADCAST_BYTES, gradients_vec, word_side, word_side_bytes
+    from .train_vec import MAX_BROADCAST_BYTES, gradients_vec, matrix_side, vocab_side, word_side_bytes
     bc = None
     if vectorised:
         n_cats = frozen.filter(F.col("kind") == "cat").count()
         if word_side_bytes(vocab, ispec, n_cats) <= MAX_BROADCAST_BYTES:
-            bc = frozen.sparkSession.sparkContext.broadcast(word_side(frozen, vocab, ispec))
-    parts = None
+            side = vocab_side(vocab, ispec)
+            words = frozen.sparkSession.sparkContext.broadcast(side)
+            bc = frozen.sparkSession.sparkContext.broadcast(matrix_side(frozen, side["v"], ispec))
+    parts, hot = None, None
     if bc is not None:
         from .train_vec import spread_lines
-        lines, parts = spread_lines(lines, ispec)
+        lines, parts, hot = spread_lines(lines, ispec)
     for i, alpha in enumerate(pass_alphas(ispec, iterations)):
         if bc is not None:
-            grads = gradients_vec(frozen.unionByName(rows), lines, bc, ispec, epoch=i, partitions=parts)
+            grads = gradients_vec(rows, lines, words, bc, ispec, epoch=i, partitions=parts, hot=hot)
         else:
             pos = T.positions(lines, ispec, epoch=i)
             ins, tg = T.examples(pos, ispec)

@@ -24,10 +24,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, keyed_uniform
+from ..functions.vectors import dot, keyed_draw, keyed_uniform
 from .similarity import sum_vectors
 
 # Fixed values that must equal the reference's settings
@@ -42,8 +42,7 @@ ADAM_A = 0.001
 
 OPTIMIZERS = ("sgd", "adagrad", "adadelta", "adam")
 NOISE_BUCKETS = 1 << 16
-# lines longer than SEGMENT_AUTO tokens are trained as segments of SEGMENT_LEN
-SEGMENT_AUTO = 200_000
+# lines are trained in pieces of so many tokens
 SEGMENT_LEN = 10_000
 
 
@@ -185,27 +184,47 @@ def prepare_lines(corpus: DataFrame, vocab: DataFrame, spec: TrainSpec, epoch: i
     """In-vocabulary token ids of every line, sub-sampled, positions compacted.
 
     token -> vocab is an equi-join on ``word``.  Without ``segment_len`` the
-    tokens are regrouped per line (bounded by one input row); with it, long
-    lines are cut into segments (see :func:`segment_lines`) so no task holds
-    a whole line.  With ``keep_oov`` (inference) OOV tokens stay as null and
-    nothing is sub-sampled.
+    tokens are regrouped per line (bounded by one input row).  With it, every
+    line is cut into pieces of that many tokens before anything is exploded:
+    tokens are regrouped per piece, and the pieces of longer lines become
+    segments with margins (see :func:`segment_lines`), so no task holds a
+    whole long line; training and inference always do this.  With
+    ``keep_oov`` (inference) OOV tokens stay as null and nothing is
+    sub-sampled.
     """
     from .vocab import explode_tokens
-    toks = explode_tokens(corpus.select("line_no", "sent_id", "cat_id", "words"), "words", pos="opos")
+    lines = corpus.select("line_no", "sent_id", "cat_id", "words")
+    keys = ["line_no", "sent_id", "cat_id"]
+    if segment_len:
+        if segment_len <= spec.window:
+            raise ValueError("segment_len must exceed the window")
+        S = int(segment_len)
+        parts = F.greatest(F.ceil(F.size("words") / S), F.lit(1)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(
+            k.alias("piece"), F.slice("words", k * S + 1, F.lit(S)).alias("words"), parts.alias("pieces")))
+        lines = lines.select(*keys, F.explode_outer(cut).alias("_p")).select(
+            *keys, "_p.piece", "_p.pieces", "_p.words")
+    toks = explode_tokens(lines, "words", pos="opos")
+    if segment_len:
+        toks = toks.withColumn("opos", F.col("opos") + F.col("piece").cast("long") * S)
     v = vocab.select("word", "idx", "sample_prob")
     if keep_oov:
         j = toks.join(v, "word", "left")
     else:
         j = toks.join(v, "word")
         if spec.sample:
-            u = keyed_uniform(spec.seed, F.lit("sub"), F.lit(epoch), F.col("line_no"), F.col("opos"))
+            u = keyed_draw(spec.seed, "sub", epoch, F.col("line_no"), F.col("opos"))
             j = j.filter((F.col("sample_prob") >= 1.0) | (F.col("sample_prob") >= u))
+    found = F.array_sort(F.collect_list(F.struct("opos", "idx"))).alias("_t")
     if segment_len:
-        lines = segment_lines(j.select("line_no", "sent_id", "cat_id", "opos", "idx"), spec.window,
-                              segment_len, compact=not keep_oov)
+        # the number of pieces is an aggregate, not a key: both branches below then
+        # share one shuffle of the tokens
+        g = j.groupBy(*keys, "piece").agg(found, F.max("pieces").alias("pieces"))
+        whole = with_segment_cols(g.filter("pieces = 1").select(
+            *keys, F.transform("_t", lambda t: t["idx"]).alias("idxs")))
+        lines = whole.unionByName(segment_lines(g.filter("pieces > 1"), spec.window, S, compact=not keep_oov))
     else:
-        lines = (j.groupBy("line_no", "sent_id", "cat_id")
-                 .agg(F.array_sort(F.collect_list(F.struct("opos", "idx"))).alias("_t"))
+        lines = (j.groupBy(*keys).agg(found)
                  .withColumn("idxs", F.transform("_t", lambda t: t["idx"])).drop("_t"))
     if docs is not None:
         lines = lines.join(docs.select("sent_id", "sent_no"), "sent_id", "left")
@@ -246,7 +265,7 @@ def positions(lines: DataFrame, spec: TrainSpec, epoch: int = 0,
     def one(k):
         i = F.col("c_lo") + k
         n = F.col("n")
-        b = F.floor(keyed_uniform(seed, F.lit("win"), F.lit(epoch), F.col("line_no"), i) * w)
+        b = F.floor(keyed_draw(seed, "win", epoch, F.col("line_no"), i) * w)
         lo = F.greatest(F.lit(0).cast("long"), i - w + b)
         hi = F.least(n - 1, i + w - b)
         return F.struct(i.alias("i"), F.element_at("idxs", (i - F.col("base") + 1).cast("int")).alias("word"),
@@ -264,26 +283,27 @@ def positions(lines: DataFrame, spec: TrainSpec, epoch: int = 0,
     return p
 
 
-def segment_lines(tokens: DataFrame, window: int, segment_len: int, compact: bool = True) -> DataFrame:
-    """Lines as segments, without gathering a whole line anywhere.
+def segment_lines(pieces: DataFrame, window: int, segment_len: int, compact: bool = True) -> DataFrame:
+    """Pieces of long lines as segments, without gathering a whole line anywhere.
 
-    tokens: (line_no, sent_id, cat_id, opos, idx).  Compacted positions come
-    from a range-partitioned running count over (line_no, opos) minus the
-    line's start (``compact``; else the original positions).  A token goes
-    to its segment and, when it lies within ``window`` of a boundary, to the
-    neighbouring segment as margin; a segment row then holds at most
-    ``segment_len + 2 * window`` tokens, whatever the line length."""
-    from .ordering import running_sum
-    if segment_len <= window:
-        raise ValueError("segment_len must exceed the window")
+    pieces: (line_no, sent_id, cat_id, piece, _t array of (opos, idx) in order).
+    Compacted positions (``compact``; else the original ones) are the place in
+    the piece plus the tokens of the pieces before, summed over one row per
+    piece.  A token goes to its segment and, when it lies within ``window`` of a
+    boundary, to the neighbouring segment as margin; a segment row then holds at
+    most ``segment_len + 2 * window`` tokens, whatever the line length."""
     S, w = int(segment_len), int(window)
+    p = pieces
     if compact:
-        cum = running_sum(tokens.withColumn("_one", F.lit(1).cast("long")),
-                          [F.col("line_no"), F.col("opos")], F.col("_one"), "_cum")
-        start = cum.groupBy("line_no").agg(F.min("_cum").alias("_st"))
-        t = cum.join(start, "line_no").withColumn("pos", F.col("_cum") - F.col("_st")).drop("_cum", "_st", "_one")
+        before = Window.partitionBy("line_no").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+        start = pieces.select("line_no", "piece", F.size("_t").cast("long").alias("_c")).withColumn(
+            "_st", F.coalesce(F.sum("_c").over(before), F.lit(0).cast("long"))).drop("_c")
+        p = pieces.join(start, ["line_no", "piece"])
+        t = p.select("line_no", "sent_id", "cat_id", "_st", F.posexplode("_t").alias("_k", "_x")).select(
+            "line_no", "sent_id", "cat_id", "_x.idx", (F.col("_st") + F.col("_k")).alias("pos"))
     else:
-        t = tokens.withColumn("pos", F.col("opos").cast("long"))
+        t = p.select("line_no", "sent_id", "cat_id", F.explode("_t").alias("_x")).select(
+            "line_no", "sent_id", "cat_id", "_x.idx", F.col("_x.opos").cast("long").alias("pos"))
     seg = F.floor(F.col("pos") / S)
     t = t.withColumn("_seg", seg)
     near_lo = F.col("pos") - F.col("_seg") * S < w
@@ -382,8 +402,8 @@ def targets_out(tg: DataFrame, vocab: DataFrame, spec: TrainSpec, epoch: int = 0
                                F.col("target").alias("out_id"), F.lit(1.0).alias("label")))
         draws = tg.select("line_no", "i", "j", "target",
                           F.explode(F.sequence(F.lit(1), F.lit(spec.negative))).alias("d"))
-        draws = draws.withColumn("u", keyed_uniform(spec.seed, F.lit("neg"), F.lit(epoch), F.col("line_no"),
-                                                    F.col("i"), F.col("j"), F.col("d")))
+        draws = draws.withColumn("u", keyed_draw(spec.seed, "neg", epoch, F.col("line_no"),
+                                                 F.col("i"), F.col("j"), F.col("d")))
         draws = draws.withColumn("nb", F.floor(F.col("u") * NOISE_BUCKETS).cast("long"))
         nz = noise_buckets(vocab)
         hit = (draws.join(nz, "nb")
@@ -608,7 +628,6 @@ def batch_alpha_frame(lines: DataFrame, vocab: DataFrame, spec: TrainSpec,
     bs = spark.range(spec.batches).select(F.col("id").alias("batch"))
     if spec.optimizer != "sgd" or spec.batches == 1:
         return bs.withColumn("alpha", F.lit(float(spec.alpha)))
-    from pyspark.sql import Window
     cnt = batch_sizes(lines, spec)
     tw = vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob"))).scalar()
     w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # K rows only
@@ -635,10 +654,8 @@ def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None,
     docs = V.doc_ids(corpus) if spec.family != "word" else None
     cats = V.cat_ids(corpus) if spec.family == "cat" else None
     params = init_params(spec, vocab, docs, cats)
-    longest = corpus.agg(F.max(F.size("words"))).first()[0] or 0
-    seg = SEGMENT_LEN if longest > SEGMENT_AUTO else None
     for ep in range(spec.epochs):
-        lines = prepare_lines(corpus, vocab, spec, ep, docs, cats, segment_len=seg).checkpoint(eager=True)
+        lines = prepare_lines(corpus, vocab, spec, ep, docs, cats, segment_len=SEGMENT_LEN).checkpoint(eager=True)
         step = train_epoch_vec if vectorised else train_epoch
         params = step(params, lines, vocab, spec, ep)
         if spec.normalize_each_epoch:

@@ -2,22 +2,22 @@
 relational form in :mod:`train`, much fewer rows).
 
 Lines (with their document / category vectors joined) stay partitioned;
-every task generates the examples of its lines with numpy, scores them
-against the word-side matrices and emits one partial gradient row per
-parameter row it touched.  Spark sums the partials per row (map-side
-partial aggregation) and the update runs as in the relational form.
-
-The word-side matrices (syn0 / syn1 / syn1neg, Huffman paths, noise
-intervals, category vectors) are broadcast, so their size is checked
-against ``max_broadcast_bytes`` first; beyond it the relational form,
-which has no such bound, is used.  The keyed draws are the same md5
-uniforms the relational form and the SQL twins use.
+every task generates the examples of its lines with numpy, in pieces of a
+fixed number of bytes, scores them against the word-side matrices and adds
+their gradients to one array per matrix.  A task emits one partial gradient
+row per parameter row it touched; Spark sums the partials per row and the
+update runs as in the relational form.
+
+The word-side matrices (syn0 / syn1 / syn1neg, category vectors) are
+broadcast for every mini-batch and the tables that never change (Huffman
+paths, noise intervals) once per epoch, so their size is checked against
+``max_broadcast_bytes`` first; beyond it the relational form, which has no
+such bound, is used.  The keyed draws are those of the relational form and
+the SQL twins, drawn for whole arrays.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,42 +25,36 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import keyed_draw_np
 from . import train as T
 
 MAX_BROADCAST_BYTES = 256 << 20
+PIECE_BYTES = 32 << 20   # of one (rows x size) array inside the step; a few are alive at once
+HOT_TOKENS = 1 << 20     # a document with more tokens is dealt over several partitions
+DOCS_HELD = 4096         # document gradients a task keeps before it emits them
 KINDS = ("syn0", "syn1", "syn1neg", "sent", "cat")  # integer codes 0..4 inside tasks
 SYN0, SYN1, SYN1NEG, SENT, CAT = range(5)
 
 
-def keyed_u(seed, *keys) -> float:
-    s = "|".join([str(seed)] + [str(k) for k in keys])
-    return int(hashlib.md5(s.encode()).hexdigest()[:8], 16) / 4294967296.0
-
-
 def word_side_bytes(vocab: DataFrame, spec: T.TrainSpec, n_cats: int = 0) -> int:
-    v = vocab.count()
+    """Bytes of what is broadcast: the matrices and, per word, its padded Huffman path
+    (16 bytes a level) and noise interval."""
+    longest = F.max(F.size("point")) if spec.hs else F.lit(0)
+    r = vocab.agg(F.count(F.lit(1)).alias("v"), longest.alias("path")).first()
     mats = 1 + (1 if spec.hs else 0) + (1 if spec.negative else 0)
-    return int((mats * v + n_cats) * spec.size * 8 + v * 64)
+    return int((mats * r["v"] + n_cats) * spec.size * 8 + r["v"] * (16 * (r["path"] or 0) + 24))
 
 
-def word_side(params: DataFrame, vocab: DataFrame, spec: T.TrainSpec) -> dict:
-    """Dense numpy copies of the frozen word-side rows (size already checked)."""
-    d = spec.size
-    # Arrow transfer of the (size-checked) word side
-    rows = params.filter(F.col("kind").isin("syn0", "syn1", "syn1neg", "cat")).select("kind", "id", "vec").toPandas()
-    v = vocab.count()
-    out = {"syn0": np.zeros((v, d)), "syn1": np.zeros((max(v - 1, 1), d)), "syn1neg": np.zeros((v, d))}
-    cat_ids = rows.loc[rows["kind"] == "cat", "id"]
-    out["cat"] = np.zeros((max(int(cat_ids.max()) + 1 if len(cat_ids) else 0, 1), d))
-    for kind, grp in rows.groupby("kind"):
-        out[kind][grp["id"].to_numpy()] = np.stack(grp["vec"].to_numpy())
+def vocab_side(vocab: DataFrame, spec: T.TrainSpec) -> dict:
+    """Huffman paths and noise intervals as arrays by word index (size already checked)."""
     cols = ["idx"] + (["code", "point"] if spec.hs else []) + (["noise_lo", "noise_hi"] if spec.negative else [])
     vv = vocab.select(*cols).orderBy("idx").collect()
+    out = {"v": len(vv)}
     if spec.hs:
-        lens = np.array([len(r["point"]) for r in vv])
+        lens = np.array([len(r["point"]) for r in vv], dtype=np.int64)
         L = int(lens.max()) if len(lens) else 1
-        pts = np.zeros((v, L), dtype=np.int64)
-        cds = np.zeros((v, L), dtype=np.float64)
+        pts = np.zeros((len(vv), L), dtype=np.int64)
+        cds = np.zeros((len(vv), L), dtype=np.float64)
         for r in vv:
             pts[r["idx"], :len(r["point"])] = r["point"]
             cds[r["idx"], :len(r["code"])] = r["code"]
@@ -71,184 +65,278 @@ def word_side(params: DataFrame, vocab: DataFrame, spec: T.TrainSpec) -> dict:
     return out
 
 
-def _partials(it, ws, spec: T.TrainSpec, epoch: int, batch: int | None):
-    w, seed, K, B = spec.window, spec.seed, spec.batches, spec.slice_len
-    fam = spec.family
-    extra = {"word": 0, "sent": 1, "cat": 2}[fam]
-    learn = [SENT] + ([SYN0] if spec.word_learn else []) + ([CAT] if spec.cat_learn else [])
+def matrix_side(params: DataFrame, v: int, spec: T.TrainSpec) -> dict:
+    """Dense numpy copies of the frozen word-side rows (size already checked)."""
     d = spec.size
+    # Arrow transfer of the (size-checked) word side
+    rows = params.filter(F.col("kind").isin("syn0", "syn1", "syn1neg", "cat")).select("kind", "id", "vec").toPandas()
+    out = {"syn0": np.zeros((v, d)), "syn1": np.zeros((max(v - 1, 1), d)), "syn1neg": np.zeros((v, d))}
+    cat_ids = rows.loc[rows["kind"] == "cat", "id"]
+    out["cat"] = np.zeros((max(int(cat_ids.max()) + 1 if len(cat_ids) else 0, 1), d))
+    for kind, grp in rows.groupby("kind"):
+        out[kind][grp["id"].to_numpy()] = np.stack(grp["vec"].to_numpy())
+    return out
+
+
+def _sum_rows(ids: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, sums of their rows and how many there were."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    start = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return ids[start], np.add.reduceat(vecs[order], start, axis=0), np.diff(np.append(start, len(ids)))
+
+
+class _Step:
+    """Gradients of one task: examples wait until a piece is full, are scored together
+    and added up.  Nothing grows with the length of a line or of a batch."""
+
+    def __init__(self, words: dict, mats: dict, spec: T.TrainSpec, epoch: int):
+        self.words, self.mats, self.spec, self.epoch = words, mats, spec, epoch
+        self.extra = {"word": 0, "sent": 1, "cat": 2}[spec.family]
+        self.learn = {SENT} | ({SYN0} if spec.word_learn else set()) | ({CAT} if spec.cat_learn else set())
+        # rows of size d that one centre makes at most, on either side of the network
+        path = words["hs_pts"].shape[1] if spec.hs else 0
+        outs = path + (1 + spec.negative if spec.negative else 0)
+        slots = 2 * spec.window + 1
+        rows = slots * max(outs, 2) if spec.arch == "sg" else max(outs, slots + 2)
+        self.piece = max(1, PIECE_BYTES // (8 * spec.size * rows))
+        self.sums: dict[int, np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
+        self.docs: dict[int, list] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.line, self.i, self.j, self.target = [], [], [], []
+        self.in_ex, self.in_kind, self.in_id, self.in_w = [], [], [], []
+        self.doc_vecs: list[np.ndarray] = []
+        self.doc_nos: list[int] = []
+        self.n, self.centres = 0, 0
+
+    def add(self, line_no: int, sent_no, svec, cat_no, tokens: np.ndarray, base: int, n: int, ii: np.ndarray):
+        """Examples of the centre positions ``ii`` of a line whose position p is
+        ``tokens[p - base]`` (-1: no word of the vocabulary)."""
+        spec, w = self.spec, self.spec.window
+        b = np.floor(keyed_draw_np(spec.seed, "win", self.epoch, line_no, ii) * w).astype(np.int64)
+        lo = np.maximum(0, ii - w + b)
+        hi = np.minimum(n - 1, ii + w - b)
+        cnt = hi - lo + 1
+        owner = np.repeat(np.arange(len(ii)), cnt)  # centre of each window slot
+        jj = np.repeat(lo, cnt) + (np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt))
+        tok = tokens[jj - base]
+        doc = None
+        if spec.family != "word" and svec is not None:
+            doc = len(self.doc_vecs)  # place of the document vector in this piece
+            self.doc_vecs.append(svec)
+            self.doc_nos.append(int(sent_no))
+        if spec.arch == "sg":
+            m = tok >= 0
+            if spec.family == "word":
+                m &= jj != ii[owner]
+            ei, ej = ii[owner[m]], jj[m]
+            ex = self.n + np.arange(len(ei))
+            self._examples(line_no, ei, ej, tokens[ei - base] if spec.family == "word" else tok[m])
+            if spec.family == "word":
+                self._inputs(ex, SYN0, tok[m], 1.0)
+            else:
+                self._inputs(ex, SENT, doc, 1.0)
+                if spec.family == "cat" and cat_no is not None:
+                    self._inputs(ex, CAT, cat_no, 1.0)
+        else:
+            ex = self.n + np.arange(len(ii))
+            self._examples(line_no, ii, -1, tokens[ii - base])
+            m = (tok >= 0) & (jj != ii[owner])
+            wt = np.ones(len(ii))
+            if spec.cbow_mean:
+                wt = 1.0 / np.maximum(np.bincount(owner[m], minlength=len(ii)) + self.extra, 1)
+            self._inputs(ex[owner[m]], SYN0, tok[m], wt[owner[m]])
+            if self.extra >= 1:
+                self._inputs(ex, SENT, doc, wt)
+            if self.extra == 2 and cat_no is not None:
+                self._inputs(ex, CAT, cat_no, wt)
+        self.centres += len(ii)
+
+    def _examples(self, line_no, i, j, target) -> None:
+        k = len(i)
+        self.line.append(np.full(k, line_no, np.int64))
+        self.i.append(i)
+        self.j.append(np.broadcast_to(np.asarray(j, np.int64), k))
+        self.target.append(target)
+        self.n += k
+
+    def _inputs(self, ex, kind, ids, weight) -> None:
+        if ids is None:
+            return
+        k = len(ex)
+        self.in_ex.append(ex)
+        self.in_kind.append(np.full(k, kind))
+        self.in_id.append(np.broadcast_to(np.asarray(ids, np.int64), k))
+        self.in_w.append(np.broadcast_to(np.asarray(weight, np.float64), k))
+
+    def score(self) -> None:
+        """Score the waiting examples and add their gradients."""
+        if not self.n or not self.in_ex:
+            self._reset()
+            return
+        spec, n, mats = self.spec, self.n, self.mats
+        in_ex, in_kind, in_id, in_w = (np.concatenate(x) for x in (self.in_ex, self.in_kind, self.in_id, self.in_w))
+        vec_in = np.zeros((len(in_ex), spec.size))
+        for kind, name in ((SYN0, "syn0"), (CAT, "cat")):
+            m = in_kind == kind
+            if m.any():
+                vec_in[m] = mats[name][in_id[m]]
+        m = in_kind == SENT
+        if m.any():
+            vec_in[m] = np.stack(self.doc_vecs)[in_id[m]]
+        l1 = np.zeros((n, spec.size))
+        at, sums, _ = _sum_rows(in_ex, vec_in * in_w[:, None])
+        l1[at] = sums
+        del vec_in, sums
+        has_in = np.zeros(n, dtype=bool)
+        has_in[at] = True
+        target = np.concatenate(self.target)
+        e_vec = np.zeros((n, spec.size))
+        has_e = np.zeros(n, dtype=bool)
+        for kind, name, r_ex, r_id, label in self._outputs(target):
+            keep = has_in[r_ex]
+            r_ex, r_id, label = r_ex[keep], r_id[keep], label[keep]
+            ovec = mats[name][r_id]
+            dt = np.einsum("ij,ij->i", l1[r_ex], ovec)
+            ok = np.abs(dt) < T.MAX_EXP
+            r_ex, r_id, ovec = r_ex[ok], r_id[ok], ovec[ok]
+            if not len(r_ex):
+                continue
+            g = label[ok] - 1.0 / (1.0 + np.exp(-dt[ok]))
+            at, sums, _ = _sum_rows(r_ex, g[:, None] * ovec)
+            e_vec[at] += sums
+            has_e[at] = True
+            del ovec, sums
+            if spec.word_learn:
+                self._gather(kind, r_id, g[:, None] * l1[r_ex])
+        for kind in self.learn:
+            m = (in_kind == kind) & has_e[in_ex]
+            if m.any():
+                self._gather(kind, in_id[m], e_vec[in_ex[m]])
+        self._reset()
+
+    def _outputs(self, target: np.ndarray):
+        """(kind, matrix, example, row, label) of the output rows of every example."""
+        spec, words, n = self.spec, self.words, self.n
+        if spec.hs:
+            lens = words["hs_len"][target]
+            ex = np.repeat(np.arange(n), lens)
+            pos = np.arange(len(ex)) - np.repeat(np.cumsum(lens) - lens, lens)
+            t = target[ex]
+            yield SYN1, "syn1", ex, words["hs_pts"][t, pos], 1.0 - words["hs_codes"][t, pos]
+        if spec.negative:
+            line, i, j = (np.concatenate(x)[:, None] for x in (self.line, self.i, self.j))
+            u = keyed_draw_np(spec.seed, "neg", self.epoch, line, i, j, np.arange(1, spec.negative + 1)[None, :])
+            k = np.searchsorted(words["noise_lo"], u.ravel(), side="right") - 1
+            ex = np.repeat(np.arange(n), spec.negative)
+            ok = (k >= 0) & (u.ravel() < words["noise_hi"][np.maximum(k, 0)]) & (k != target[ex])
+            yield (SYN1NEG, "syn1neg", np.concatenate((np.arange(n), ex[ok])), np.concatenate((target, k[ok])),
+                   np.concatenate((np.ones(n), np.zeros(int(ok.sum())))))
+
+    def _gather(self, kind: int, ids: np.ndarray, vecs: np.ndarray) -> None:
+        at, sums, n = _sum_rows(ids, vecs)
+        if kind == SENT:
+            for place, g, k in zip(at.tolist(), sums, n.tolist()):
+                have = self.docs.get(self.doc_nos[place])
+                self.docs[self.doc_nos[place]] = [g, k] if have is None else [have[0] + g, have[1] + k]
+            return
+        if kind not in self.sums:
+            self.sums[kind] = np.zeros_like(self.mats[KINDS[kind]])
+            self.counts[kind] = np.zeros(len(self.sums[kind]), np.int64)
+        self.sums[kind][at] += sums
+        self.counts[kind][at] += n
+
+    def doc_rows(self):
+        if self.docs:
+            ids = list(self.docs)
+            yield pd.DataFrame({"kind": "sent", "id": ids, "grad": [self.docs[x][0] for x in ids],
+                                "n": [self.docs[x][1] for x in ids]})
+            self.docs = {}
+
+    def rows(self):
+        """One row per touched parameter row of the word side."""
+        for kind, counts in self.counts.items():
+            at = np.flatnonzero(counts)
+            for k in range(0, len(at), 4096):
+                part = at[k:k + 4096]
+                yield pd.DataFrame({"kind": KINDS[kind], "id": part, "grad": list(self.sums[kind][part]),
+                                    "n": counts[part]})
+
+
+def _partials(it, words: dict, mats: dict, spec: T.TrainSpec, epoch: int, batch: int | None):
+    step = _Step(words, mats, spec, epoch)
+    K, B = spec.batches, spec.slice_len
     for pdf in it:
-        # ---- examples: inputs (ex, kind, id, weight) and targets, vectorised per line
-        E_line, E_i, E_j, E_tgt = [], [], [], []
-        I_ex, I_kind, I_id, I_w = [], [], [], []
-        sent_vecs = {}
-        n_ex = 0
         for line_no, sent_no, cat_no, idxs, svec, base, c_lo, c_hi, n in zip(
                 pdf["line_no"], pdf["sent_no"], pdf["cat_no"], pdf["idxs"], pdf["svec"],
                 pdf["base"], pdf["c_lo"], pdf["c_hi"], pdf["n"]):
-            base, c_lo, c_hi, n, line_no = int(base), int(c_lo), int(c_hi), int(n), int(line_no)
             # out-of-vocabulary gaps (inference) become -1: neither centre nor context
             # (Arrow hands arrays with nulls over as floats with NaN)
-            fx = np.asarray([np.nan if x is None else x for x in idxs], dtype=np.float64)
-            # segment tokens start at line position ``base``: sg[p - base] is position p
-            sg = np.where(np.isnan(fx), -1, fx).astype(np.int64)
-            if fam != "word" and svec is not None:
-                sent_vecs[int(sent_no)] = np.asarray(svec, dtype=np.float64)
-            has_cat = fam == "cat" and cat_no is not None and not pd.isna(cat_no)
-            ii = np.arange(c_lo, c_hi, dtype=np.int64)
-            keep = sg[ii - base] >= 0
+            fx = np.asarray(idxs, dtype=np.float64)
+            tokens = np.where(np.isnan(fx), -1, fx).astype(np.int64)
+            vec = None if svec is None else np.asarray(svec, dtype=np.float64)
+            cat = None if cat_no is None or pd.isna(cat_no) else int(cat_no)
+            base, line_no = int(base), int(line_no)
+            ii = np.arange(int(c_lo), int(c_hi), dtype=np.int64)
+            keep = tokens[ii - base] >= 0
             if K > 1 and batch is not None:
                 keep &= (line_no + ii // B) % K == batch
             ii = ii[keep]
-            if len(ii) == 0:
-                continue
-            b = np.floor(np.array([keyed_u(seed, "win", epoch, line_no, int(i)) for i in ii]) * w).astype(np.int64)
-            lo = np.maximum(0, ii - w + b)
-            hi = np.minimum(n - 1, ii + w - b)
-            cnt = hi - lo + 1
-            owner = np.repeat(np.arange(len(ii)), cnt)          # centre of each window slot
-            jj = np.repeat(lo, cnt) + (np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt))
-            tok = sg[jj - base]
-            if spec.arch == "sg":
-                m = tok >= 0
-                if fam == "word":
-                    m &= jj != ii[owner]
-                ei, ej = ii[owner[m]], jj[m]
-                k = len(ei)
-                ex = n_ex + np.arange(k)
-                E_line.append(np.full(k, line_no)); E_i.append(ei); E_j.append(ej)
-                if fam == "word":
-                    E_tgt.append(sg[ei - base])
-                    I_ex.append(ex); I_kind.append(np.full(k, SYN0)); I_id.append(tok[m]); I_w.append(np.ones(k))
-                else:
-                    E_tgt.append(tok[m])
-                    I_ex.append(ex); I_kind.append(np.full(k, SENT)); I_id.append(np.full(k, int(sent_no)))
-                    I_w.append(np.ones(k))
-                    if has_cat:
-                        I_ex.append(ex); I_kind.append(np.full(k, CAT)); I_id.append(np.full(k, int(cat_no)))
-                        I_w.append(np.ones(k))
-            else:
-                k = len(ii)
-                ex = n_ex + np.arange(k)
-                E_line.append(np.full(k, line_no)); E_i.append(ii); E_j.append(np.full(k, -1))
-                E_tgt.append(sg[ii - base])
-                m = (tok >= 0) & (jj != ii[owner])
-                nctx = np.bincount(owner[m], minlength=k)
-                if spec.cbow_mean:
-                    den = nctx + extra
-                    wt = np.where(den > 0, 1.0 / np.maximum(den, 1), 1.0)
-                else:
-                    wt = np.ones(k)
-                I_ex.append(ex[owner[m]]); I_kind.append(np.full(int(m.sum()), SYN0)); I_id.append(tok[m])
-                I_w.append(wt[owner[m]])
-                if extra >= 1:
-                    I_ex.append(ex); I_kind.append(np.full(k, SENT)); I_id.append(np.full(k, int(sent_no)))
-                    I_w.append(wt)
-                if extra == 2 and has_cat:
-                    I_ex.append(ex); I_kind.append(np.full(k, CAT)); I_id.append(np.full(k, int(cat_no)))
-                    I_w.append(wt)
-            n_ex += k
-        if n_ex == 0:
-            continue
-        ex_line = np.concatenate(E_line)
-        ex_i = np.concatenate(E_i)
-        ex_j = np.concatenate(E_j)
-        ex_tgt = np.concatenate(E_tgt)
-        in_ex = np.concatenate(I_ex).astype(np.int64)
-        in_id = np.concatenate(I_id).astype(np.int64)
-        in_w = np.concatenate(I_w).astype(np.float64)
-        in_kind = np.concatenate(I_kind).astype(np.int64)
-        vec_in = np.zeros((len(in_ex), d))
-        for k, name in ((SYN0, "syn0"), (CAT, "cat")):
-            m = in_kind == k
-            vec_in[m] = ws[name][in_id[m]]
-        m = in_kind == SENT
-        if m.any():
-            vec_in[m] = np.stack([sent_vecs[int(s)] for s in in_id[m]])
-        has_in = np.zeros(n_ex, dtype=bool)
-        has_in[in_ex] = True
-        l1 = np.zeros((n_ex, d))
-        np.add.at(l1, in_ex, vec_in * in_w[:, None])
-        # ---- output rows
-        tgt = np.asarray(ex_tgt, dtype=np.int64)
-        r_ex, r_kind, r_id, r_lab = [], [], [], []
-        if spec.hs:
-            lens = ws["hs_len"][tgt]
-            ex_rep = np.repeat(np.arange(n_ex), lens)
-            pos = np.arange(len(ex_rep)) - np.repeat(np.cumsum(lens) - lens, lens)
-            r_ex.append(ex_rep); r_id.append(ws["hs_pts"][tgt[ex_rep], pos])
-            r_lab.append(1.0 - ws["hs_codes"][tgt[ex_rep], pos]); r_kind.append(np.full(len(ex_rep), SYN1, dtype=np.int64))
-        if spec.negative:
-            r_ex.append(np.arange(n_ex)); r_id.append(tgt); r_lab.append(np.ones(n_ex))
-            r_kind.append(np.full(n_ex, SYN1NEG, dtype=np.int64))
-            lo_arr, hi_arr = ws["noise_lo"], ws["noise_hi"]
-            nex, nid = [], []
-            for e in range(n_ex):
-                for dd in range(1, spec.negative + 1):
-                    u = keyed_u(seed, "neg", epoch, int(ex_line[e]), int(ex_i[e]), int(ex_j[e]), dd)
-                    k = int(np.searchsorted(lo_arr, u, side="right")) - 1
-                    if k >= 0 and u < hi_arr[k] and k != tgt[e]:
-                        nex.append(e); nid.append(k)
-            r_ex.append(np.asarray(nex, dtype=np.int64)); r_id.append(np.asarray(nid, dtype=np.int64))
-            r_lab.append(np.zeros(len(nex))); r_kind.append(np.full(len(nex), SYN1NEG, dtype=np.int64))
-        r_ex = np.concatenate(r_ex); r_id = np.concatenate(r_id).astype(np.int64)
-        r_lab = np.concatenate(r_lab); r_kind = np.concatenate(r_kind)
-        keep = has_in[r_ex]
-        r_ex, r_id, r_lab, r_kind = r_ex[keep], r_id[keep], r_lab[keep], r_kind[keep]
-        ovec = np.where(r_kind[:, None] == SYN1, ws["syn1"][np.minimum(r_id, len(ws["syn1"]) - 1)],
-                        ws["syn1neg"][r_id]) if spec.hs and spec.negative else \
-            (ws["syn1"][r_id] if spec.hs else ws["syn1neg"][r_id])
-        dt = np.einsum("ij,ij->i", l1[r_ex], ovec)
-        ok = np.abs(dt) < T.MAX_EXP
-        r_ex, r_id, r_lab, r_kind, ovec, dt = r_ex[ok], r_id[ok], r_lab[ok], r_kind[ok], ovec[ok], dt[ok]
-        g = r_lab - 1.0 / (1.0 + np.exp(-dt))
-        out_k, out_i, out_g, out_n = [], [], [], []
-
-        def emit(kind_arr, id_arr, vecs):
-            if len(id_arr) == 0:
-                return
-            uk, inv = np.unique((kind_arr << 40) | id_arr, return_inverse=True)
-            acc = np.zeros((len(uk), d))
-            np.add.at(acc, inv, vecs)
-            out_k.append(uk >> 40)
-            out_i.append(uk & ((1 << 40) - 1))
-            out_g.extend(acc)
-            out_n.append(np.bincount(inv, minlength=len(uk)))
-
-        if spec.word_learn:
-            emit(r_kind, r_id, g[:, None] * l1[r_ex])
-        e_vec = np.zeros((n_ex, d))
-        np.add.at(e_vec, r_ex, g[:, None] * ovec)
-        has_e = np.zeros(n_ex, dtype=bool)
-        has_e[r_ex] = True
-        sel = has_e[in_ex] & np.isin(in_kind, list(learn))
-        emit(in_kind[sel], in_id[sel], e_vec[in_ex[sel]])
-        if not out_k:
-            continue
-        names = np.array(KINDS)
-        yield pd.DataFrame({"kind": names[np.concatenate(out_k)], "id": np.concatenate(out_i),
-                            "grad": list(out_g), "n": np.concatenate(out_n)})
-
-
-def spread_lines(lines: DataFrame, spec: T.TrainSpec) -> tuple[DataFrame, int]:
+            for k in range(0, len(ii), step.piece):
+                part = ii[k:k + step.piece]
+                if step.centres and step.centres + len(part) > step.piece:
+                    step.score()
+                step.add(line_no, sent_no, vec, cat, tokens, base, int(n), part)
+            if len(step.docs) >= DOCS_HELD:
+                yield from step.doc_rows()
+    step.score()
+    yield from step.doc_rows()
+    yield from step.rows()
+
+
+def spread_lines(lines: DataFrame, spec: T.TrainSpec) -> tuple[DataFrame, int, DataFrame | None]:
     """Hash-partition the lines by document into at least the default
     parallelism and write them once: the kernel is CPU-bound, so the stage
     must not be coalesced into a few tasks, and the document vectors can
-    then be joined without moving the lines again."""
+    then be joined without moving the lines again.
+
+    The lines of a document with more than HOT_TOKENS tokens are dealt over several
+    partitions by a salt; its vector is joined to each of them.
+    -> lines with ``salt``, partitions, ``(sent_no, salts)`` of the hot documents."""
     sc = lines.sparkSession.sparkContext
     p = max(sc.defaultParallelism, lines.rdd.getNumPartitions())
-    key = "sent_no" if spec.family != "word" else "line_no"
-    return lines.repartition(p, key).checkpoint(eager=True), p
+    lines = T.with_segment_cols(lines)
+    if spec.family == "word":  # no vector to join: segments go anywhere
+        salted = lines.withColumn("salt", F.lit(0).cast("int"))
+        return salted.repartition(p, "line_no", "c_lo").checkpoint(eager=True), p, None
+    load = lines.groupBy("sent_no").agg(F.sum(F.col("c_hi") - F.col("c_lo")).alias("_n"))
+    hot = load.filter(F.col("_n") > HOT_TOKENS).select(
+        "sent_no", F.ceil(F.col("_n") / F.lit(HOT_TOKENS)).cast("int").alias("salts")).checkpoint(eager=True)
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("line_no", "c_lo"), F.col("salts"))).otherwise(0)
+    salted = lines.join(hot, "sent_no", "left").withColumn("salt", salt.cast("int")).drop("salts")
+    return salted.repartition(p, "sent_no", "salt").checkpoint(eager=True), p, hot
 
 
-def gradients_vec(params: DataFrame, lines: DataFrame, ws_bc, spec: T.TrainSpec, epoch: int = 0,
-                  batch: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Summed (or mean) gradients per parameter row: (kind, id, grad)."""
+def gradients_vec(params: DataFrame, lines: DataFrame, words_bc, mats_bc, spec: T.TrainSpec, epoch: int = 0,
+                  batch: int | None = None, partitions: int | None = None,
+                  hot: DataFrame | None = None) -> DataFrame:
+    """Summed (or mean) gradients per parameter row: (kind, id, grad).  ``lines``,
+    ``partitions`` and ``hot`` come from :func:`spread_lines`."""
     if spec.family != "word":
         sv = params.filter(F.col("kind") == "sent").select(F.col("id").alias("sent_no"), F.col("vec").alias("svec"))
+        if hot is not None:
+            copies = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+            sv = sv.join(hot, "sent_no", "left").select("sent_no", "svec", F.explode(copies).alias("salt"))
+        else:
+            sv = sv.withColumn("salt", F.lit(0))
+        if "salt" not in lines.columns:
+            lines = lines.withColumn("salt", F.lit(0))
         if partitions:
-            sv = sv.repartition(partitions, "sent_no")
-        lv = lines.join(sv, "sent_no", "left")
+            sv = sv.repartition(partitions, "sent_no", "salt")
+        lv = lines.join(sv, ["sent_no", "salt"], "left")
     else:
         lv = lines.withColumn("svec", F.lit(None).cast("array<double>"))
     lv = T.with_segment_cols(lv).select("line_no", "sent_no", "cat_no", "idxs", "svec", "base", "c_lo",
@@ -256,7 +344,7 @@ def gradients_vec(params: DataFrame, lines: DataFrame, ws_bc, spec: T.TrainSpec,
     spec_, ep, b = spec, epoch, batch
 
     def run(it):
-        yield from _partials(it, ws_bc.value, spec_, ep, b)
+        yield from _partials(it, words_bc.value, mats_bc.value, spec_, ep, b)
 
     part = lv.mapInPandas(run, "kind string, id long, grad array<double>, n long")
     agg = (part.groupBy("kind", "id")
@@ -279,12 +367,15 @@ def train_epoch_vec(params: DataFrame, lines: DataFrame, vocab: DataFrame, spec:
     if total_words is None:
         total_words = float(vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob"))).first()[0])
     alphas = T.batch_alphas(lines, spec, total_words)
-    lines, parts = spread_lines(lines, spec)
+    lines, parts, hot = spread_lines(lines, spec)
+    side = vocab_side(vocab, spec)
+    words = sc.broadcast(side)
     for b in range(spec.batches):
-        bc = sc.broadcast(word_side(params, vocab, spec))
-        grads = gradients_vec(params, lines, bc, spec, epoch, b if spec.batches > 1 else None, parts)
+        bc = sc.broadcast(matrix_side(params, side["v"], spec))
+        grads = gradients_vec(params, lines, words, bc, spec, epoch, b if spec.batches > 1 else None, parts, hot)
         params = T.apply_update(params, grads, spec, alphas[b])
         if checkpoint:
             params = params.checkpoint(eager=True)
         bc.unpersist()
+    words.unpersist()
     return params

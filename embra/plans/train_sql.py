@@ -8,6 +8,7 @@ per iteration), so it is only used on small vocabularies.
 
 from __future__ import annotations
 
+from ..functions.vectors import keyed_draw_sql
 from ..operators.train import (ADADELTA_EPS, ADADELTA_RHO, ADAGRAD_EPS, ADAM_A, ADAM_B1, ADAM_B2,
                                ADAM_L, MAX_EXP, TrainSpec, doc_denominator, word_denominator)
 from . import sqlh
@@ -17,8 +18,8 @@ def fl(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
-def u(seed, *keys: str) -> str:
-    return sqlh.keyed_uniform(seed, *keys)
+def u(seed, kind: str, epoch: int, *keys: str) -> str:
+    return keyed_draw_sql(seed, kind, epoch, *keys)
 
 
 def vocab_sql(spec: TrainSpec) -> list[str]:
@@ -88,7 +89,7 @@ def lines_sql(spec: TrainSpec, epoch: int = 0, tag: str = "", corpus: str = "cor
     sub = ""
     if spec.sample and not keep_oov:
         sub = (f" WHERE v.sample_prob >= 1.0 OR v.sample_prob >= "
-               + u(spec.seed, "'sub'", str(epoch), "t.line_no", "t.opos"))
+               + u(spec.seed, "sub", epoch, "t.line_no", "t.opos"))
     join = "LEFT JOIN" if keep_oov else "JOIN"
     if cat_fixed is not None:
         cat_join, cat_col = "", f"CAST({cat_fixed} AS BIGINT)"
@@ -112,7 +113,7 @@ def pos_sql(spec: TrainSpec, epoch: int = 0, tag: str = "", lines: str = "lines"
     """Positions with reduced windows (pos0/pos1/pos/ctxx + tag); NULL
     (out-of-vocabulary) tokens are neither centres nor context."""
     w = spec.window
-    b = "floor(" + u(spec.seed, "'win'", str(epoch), "line_no", "i") + f" * {w})"
+    b = "floor(" + u(spec.seed, "win", epoch, "line_no", "i") + f" * {w})"
     return [
         f"pos0{tag} AS (SELECT line_no, sent_no, cat_no, idxs, unnest(range(0, len(idxs))) AS i "
         f"FROM {lines} WHERE len(idxs) > 0)",
@@ -166,7 +167,7 @@ def examples_sql(spec: TrainSpec, b: int, tag: str = "", epoch: int = 0) -> list
         outs.append(f"SELECT line_no, i, j, 'syn1neg' AS out_kind, target AS out_id, {fl(1.0)} AS label "
                     f"FROM tg{n}")
         draws = (f"(SELECT line_no, i, j, target, "
-                 + u(spec.seed, "'neg'", str(epoch), "line_no", "i", "j", "d") + " AS u FROM "
+                 + u(spec.seed, "neg", epoch, "line_no", "i", "j", "d") + " AS u FROM "
                  f"(SELECT *, unnest(range(1, {spec.negative + 1})) AS d FROM tg{n}))")
         outs.append(f"SELECT r.line_no, r.i, r.j, 'syn1neg' AS out_kind, v.idx AS out_id, {fl(0.0)} AS label "
                     f"FROM {draws} r JOIN vocab v ON r.u >= v.noise_lo AND r.u < v.noise_hi "
@@ -244,7 +245,7 @@ def update_sql(spec: TrainSpec, grads: str, p_in: str, alpha_from: str) -> str:
 
 
 def rand_vec_sql(spec: TrainSpec, kind: str, idcol: str, denom: float) -> str:
-    return (f"list_transform(range(0, {spec.size}), lambda k: ({u(spec.seed, repr(kind), idcol, 'k')} "
+    return (f"list_transform(range(0, {spec.size}), lambda k: ({sqlh.keyed_uniform(spec.seed, repr(kind), idcol, 'k')} "
             f"- {fl(0.5)}) / {fl(denom)})")
 
 

@@ -61,3 +61,78 @@ def test_segmented_lines_give_the_same_step(spark, sf, kw):
     ref = _rows(T.train_epoch(p0, whole, vocab, spec, 0))
     assert _rows(T.train_epoch(p0, segs, vocab, spec, 0)) == ref
     assert _rows(train_epoch_vec(p0, segs, vocab, spec, 0)) == ref
+
+
+def _one_line_step(n_tokens, v=2000, size=100, negative=5):
+    """Gradients of one long line against random matrices -> rows, peak bytes."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from embra.operators import train_vec as X
+    rng = np.random.default_rng(1)
+    spec = T.TrainSpec(family="sent", arch="sg", hs=True, negative=negative, size=size, window=5, seed=3).validate()
+    words = {"v": v, "hs_len": np.full(v, 14), "hs_pts": rng.integers(0, v - 1, (v, 14)),
+             "hs_codes": rng.integers(0, 2, (v, 14)).astype(float), "noise_lo": np.arange(v) / v,
+             "noise_hi": np.arange(1, v + 1) / v}
+    mats = {k: rng.standard_normal((v, size)) / 10 for k in ("syn0", "syn1", "syn1neg", "cat")}
+    line = pd.DataFrame({"line_no": [4], "sent_no": [9], "cat_no": [None], "svec": [rng.standard_normal(size) / 10],
+                         "idxs": [rng.integers(0, v, n_tokens).tolist()], "base": [0], "c_lo": [0], "c_hi": [n_tokens],
+                         "n": [n_tokens]})
+    tracemalloc.start()
+    out = list(X._partials([line], words, mats, spec, 0, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return pd.concat(out).set_index(["kind", "id"]).sort_index(), peak
+
+
+def test_memory_does_not_grow_with_the_line():
+    _, small = _one_line_step(2000)
+    _, large = _one_line_step(12000)
+    assert large < small + 20e6 and large < 500e6
+
+
+def test_pieces_give_the_gradients_of_the_whole_line(monkeypatch):
+    import numpy as np
+
+    from embra.operators import train_vec as X
+    whole, _ = _one_line_step(300, v=50, size=8)
+    monkeypatch.setattr(X, "PIECE_BYTES", 20_000)
+    cut, _ = _one_line_step(300, v=50, size=8)
+    assert whole.index.equals(cut.index) and (whole["n"] == cut["n"]).all()
+    assert np.allclose(np.stack(whole["grad"]), np.stack(cut["grad"]), atol=1e-9)
+
+
+def test_keyed_draws_agree_and_are_uniform(spark):
+    import duckdb
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from embra.functions.vectors import keyed_draw, keyed_draw_np, keyed_draw_sql
+    keys = [(i * 10**11 + 5, i, -1, i % 5) for i in range(50)]
+    a = keyed_draw_np(7, "neg", 2, *np.array(keys).T)
+    df = spark.createDataFrame(keys, "a long, b long, c long, d int")
+    b = [r[0] for r in df.select(keyed_draw(7, "neg", 2, *map(F.col, "abcd"))).collect()]
+    c = [duckdb.sql(f"SELECT {keyed_draw_sql(7, 'neg', 2, *map(str, k))}").fetchall()[0][0] for k in keys[:5]]
+    assert a.tolist() == b and a[:5].tolist() == c
+    u = keyed_draw_np(7, "win", 0, np.arange(300)[:, None], np.arange(500)[None, :]).ravel()
+    assert 0 <= u.min() and u.max() < 1
+    h = np.histogram(u, 100, (0, 1))[0]
+    assert ((h - 1500) ** 2 / 1500).sum() < 160 and abs(np.corrcoef(u[:-1], u[1:])[0, 1]) < 0.01
+
+
+def test_hot_documents_are_dealt_over_partitions(spark, sf, monkeypatch):
+    from embra.operators import train_vec as X
+    spec = T.TrainSpec(family="cat", arch="cbow", hs=True, size=4, window=2, min_count=3, batches=2, slice_len=7,
+                       seed=11).validate()
+    corpus = conversations_corpus(spark, sf)
+    vocab = V.build_vocab(corpus, spec.min_count).checkpoint(eager=True)
+    docs, cats = V.doc_ids(corpus), V.cat_ids(corpus)
+    lines = T.prepare_lines(corpus, vocab, spec, 0, docs, cats, segment_len=T.SEGMENT_LEN).checkpoint(eager=True)
+    p0 = T.init_params(spec, vocab, docs, cats).checkpoint(eager=True)
+    ref = _rows(train_epoch_vec(p0, lines, vocab, spec, 0))
+    monkeypatch.setattr(X, "HOT_TOKENS", 40)
+    spread, _, hot = X.spread_lines(lines, spec)
+    assert hot.count() > 3 and spread.filter("salt > 0").count() > 3
+    assert _rows(train_epoch_vec(p0, lines, vocab, spec, 0)) == ref
