@@ -96,7 +96,7 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFram
         F.shiftleft(F.max("b") + 1, HASH_BITS - LEVEL_BITS).alias("edge"))
     out = t.join(cuts, "sk", "left").join(whole, "sk", "left").select(
         "sk", "target", F.col("size").alias("source_size"), "copies",
-        F.coalesce("cut", "edge", F.lit(0)).alias("cut"))
+        F.when(F.col("rest") > 0, F.coalesce("cut", "edge", F.lit(0))).otherwise(0).alias("cut"))
     return hist, stage(out, "mix-cuts")
 
 
