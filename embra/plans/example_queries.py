@@ -27,7 +27,7 @@ INIT_SPEC = T.TrainSpec(family="cat", size=4, min_count=20, hs=True, negative=3,
 
 
 def _with(ctes, select):
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
+    return sqlh.with_ctes(ctes) + "\n" + select
 
 
 def _lines(spark, sf, spec, corpus_fn, keep_oov=False):

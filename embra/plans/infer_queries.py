@@ -47,7 +47,7 @@ def infer_ctes(spec, cat_fixed="NULL"):
 
 
 def _w(ctes, body):
-    return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body
+    return sqlh.with_ctes(ctes) + ",\n" + body
 
 
 def _model(spark, sf, spec):

@@ -214,7 +214,7 @@ def _wv_sql(select):
                 f"ON p.kind = 'syn0' AND p.id = v.idx)")
     ctes.append("wo AS (SELECT *, row_number() OVER (ORDER BY cnt DESC, idx) - 1 AS rank, "
                 "count(*) OVER () AS V FROM wv)")
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
+    return sqlh.with_ctes(ctes) + "\n" + select
 
 
 @register("w2v_text", sql=_wv_sql(f"SELECT word, rank AS idx, cnt, {sqlh.r6_list('vec')} AS vec FROM wo"))
@@ -266,7 +266,7 @@ C_SPEC = T.TrainSpec(family="cat", arch="sg", hs=True, size=4, window=3, min_cou
 
 def _cv_sql(select):
     ctes, final = train_ctes(C_SPEC, conversations_corpus_sql())
-    return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + select.replace("{final}", final)
+    return sqlh.with_ctes(ctes) + ",\n" + select.replace("{final}", final)
 
 
 @register("doc_vectors_text", sql=_cv_sql(f"""
@@ -333,7 +333,7 @@ def q_mm_roundtrip(spark, sf):
 # ------------------------------------------------------------------- model
 def _init_model_sql():
     from .example_queries import _INIT
-    return ("WITH RECURSIVE " + ",\n".join(_INIT) +
+    return (sqlh.with_ctes(_INIT) +
             f"\nSELECT kind, id, {sqlh.r6_list('vec')} AS vec, {sqlh.r6_list('state')} AS state FROM p0")
 
 

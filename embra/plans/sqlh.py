@@ -2,6 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
+
+def with_ctes(ctes: list[str]) -> str:
+    """WITH clause over ``name AS (...)`` strings.  What several steps refer to is computed
+    once (MATERIALIZED); a recursive one, which refers to itself, stays as it is."""
+    out = []
+    for c in ctes:
+        head, found, body = c.partition(" AS (")
+        name = head.split("(")[0].strip()
+        once = found and not re.search(rf"\b{re.escape(name)}\b", body)
+        out.append(f"{head} AS MATERIALIZED ({body}" if once else c)
+    return "WITH RECURSIVE " + ",\n".join(out)
+
 
 def r6(expr: str) -> str:
     return f"(CASE WHEN round({expr}, 6) = 0 THEN 0.0::DOUBLE ELSE round({expr}, 6) END)"

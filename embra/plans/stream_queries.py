@@ -48,7 +48,7 @@ def q_stream_word_count(spark, sf):
     return spark.read.parquet(out)
 
 
-@register("stream_infer", sql="WITH RECURSIVE " + ",\n".join(_C) + ",\n" + _PAIRS + f"""
+@register("stream_infer", sql=sqlh.with_ctes(_C) + ",\n" + _PAIRS + f"""
 SELECT d2.sent_id, r.rank, cats.cat_id, {sqlh.r6('r.sim')} AS sim
 FROM r JOIN docs2 d2 ON d2.sent_no = r.q_id JOIN cats ON cats.cat_no = r.grp""")
 def q_stream_infer(spark, sf):

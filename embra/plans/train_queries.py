@@ -81,7 +81,7 @@ def _init_sql():
     from .train_sql import ids_sql, init_params_sql, vocab_sql
     ctes = [f"corpus AS ({conversations_corpus_sql()})"] + vocab_sql(INIT_SPEC) + ids_sql(INIT_SPEC)
     ctes.append(f"p0 AS ({init_params_sql(INIT_SPEC)})")
-    return ("WITH RECURSIVE " + ",\n".join(ctes) +
+    return (sqlh.with_ctes(ctes) +
             f"\nSELECT kind, id, {sqlh.r6_list('vec')} AS vec, {sqlh.r6_list('state')} AS state FROM p0")
 
 
@@ -145,7 +145,7 @@ def _reuse_sql():
                 f"WHERE cnt >= {OLD_SPEC.min_count})")
     ctes.append(f"old AS (SELECT word, {rand_vec_sql(OLD_SPEC, 'syn0', 'idx', word_denominator(OLD_SPEC))} "
                 f"AS vec FROM ovocab)")
-    return ("WITH RECURSIVE " + ",\n".join(ctes) + f"""
+    return (sqlh.with_ctes(ctes) + f"""
 SELECT v.word, p.id AS idx, {sqlh.r6_list('coalesce(o.vec, p.vec)')} AS vec, o.word IS NOT NULL AS reused
 FROM p0 p JOIN vocab v ON v.idx = p.id LEFT JOIN old o ON o.word = v.word WHERE p.kind = 'syn0'""")
 

@@ -315,4 +315,4 @@ def train_sql(spec: TrainSpec, corpus_sql: str) -> str:
     """Full SQL: params after one epoch of ``spec.batches`` mini-batches."""
     ctes, final = train_ctes(spec, corpus_sql)
     sel = (f"SELECT kind, id, {sqlh.r6_list('vec')} AS vec, {sqlh.r6_list('state')} AS state FROM {final}")
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + sel
+    return sqlh.with_ctes(ctes) + "\n" + sel

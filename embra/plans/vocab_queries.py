@@ -132,7 +132,7 @@ def q_rev_dict(spark, sf):
 
 @register("oov_words", sql=f"""
 WITH {DOC_CORPUS}, {WC}, {VOCAB}
-SELECT word, cnt FROM wc WHERE word NOT IN (SELECT word FROM vocab)""")
+SELECT wc.word, wc.cnt FROM wc ANTI JOIN vocab USING (word)""")
 def q_oov_words(spark, sf):
     wc = V.word_count(documents_corpus(spark, sf))
     return wc.join(doc_vocab(spark, sf).select("word"), "word", "left_anti")

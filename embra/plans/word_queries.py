@@ -37,7 +37,7 @@ def _sql(spec, corpus_sql, body):
     ctes, final = train_ctes(spec, corpus_sql)
     ctes.append(f"wv AS (SELECT v.word, v.idx, v.cnt, p.vec, {sqlh.unit('p.vec')} AS uvec FROM vocab v "
                 f"JOIN {final} p ON p.kind = 'syn0' AND p.id = v.idx)")
-    return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body
+    return sqlh.with_ctes(ctes) + ",\n" + body
 
 
 # analogy-style questions from consecutive parts: (adj_k, noun_k, adj_k+1, noun_k+1)
