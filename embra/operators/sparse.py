@@ -28,10 +28,9 @@ def max_term(sparse: DataFrame) -> DataFrame:
 
 def term_dict(sparse: DataFrame) -> DataFrame:
     """id -> str(id) for 0..max term id."""
-    return (max_term(sparse)
-            .select(F.explode(F.sequence(F.lit(0), F.col("max_term"))).alias("id"))
-            .filter(F.col("id") >= 0)
-            .select("id", F.col("id").cast("string").alias("name")))
+    last = max_term(sparse).first()["max_term"]
+    return sparse.sparkSession.range(last + 1).select(
+        F.col("id").cast("int").alias("id"), F.col("id").cast("string").alias("name"))
 
 
 def to_csc(sparse: DataFrame) -> DataFrame:
@@ -100,14 +99,19 @@ def argsort_topn(vec: Column, topn: int) -> Column:
 
 
 def veclen(sparse: DataFrame) -> DataFrame:
-    return sparse.groupBy("doc_no").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("len"))
+    """(doc_no, len): Euclidean length of every document with entries. A document whose
+    entries are all zero is an error: sparse documents hold no explicit zeros."""
+    ln = F.sqrt(F.sum(F.col("weight") * F.col("weight")))
+    zero = F.raise_error(F.concat(F.lit("document with explicit zero entries only: "),
+                                  F.col("doc_no").cast("string"))).cast("double")
+    return sparse.groupBy("doc_no").agg(ln.alias("len")).withColumn(
+        "len", F.when(F.col("len") > 0, F.col("len")).otherwise(zero))
 
 
 def unitvec(sparse: DataFrame) -> DataFrame:
     ln = veclen(sparse)
     return (sparse.join(ln, "doc_no")
-            .withColumn("weight", F.when(F.col("len") > 0, F.col("weight") / F.col("len"))
-                        .otherwise(F.col("weight"))).drop("len"))
+            .withColumn("weight", F.col("weight") / F.col("len")).drop("len"))
 
 
 def cossim(pairs: DataFrame, sparse: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators import vocab as V
 from ..operators.words import word_vectors
 from ..session import scratch_path
 from ..sinks.eval import append_results
-from ..sinks.mm import write_mm
+from ..sinks.mm import HEADER_LINE, write_mm
 from ..sinks.model import load_model, save_model
 from ..sinks.text import write_lines
 from ..sinks.vectors import save_doc_vectors, save_vocab, save_word2vec_binary, save_word2vec_text
@@ -122,6 +122,14 @@ def q_src_compressed(spark, sf):
     return read_line_sentences(spark, path).select("line_no", "words")
 
 
+@register("src_compressed_bz2", sql=_LINE_SQL)
+def q_src_compressed_bz2(spark, sf):
+    """The same written with bzip2 (a splittable codec)."""
+    path = _scratch(spark, "line_bz2")
+    write_lines(_doc_token_lines(spark, sf), path, ["doc_id"], compression="bzip2")
+    return read_line_sentences(spark, path).select("line_no", "words")
+
+
 @register("src_text8", sql=f"""
 WITH d AS (SELECT doc_id, {simple_preprocess_sql('text')} AS words FROM documents),
 c AS (SELECT doc_id, words, coalesce(sum(len(words)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING
@@ -309,7 +317,7 @@ def q_doc_vectors_header(spark, sf):
 
 
 # ------------------------------------------------------------ Matrix Market
-@register("mm_roundtrip", sql="""
+_MM_SQL = """
 WITH terms AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS term_id
                FROM (SELECT DISTINCT event_type FROM events)),
 sp AS (SELECT e.user_id AS doc_no, t.term_id, sum(e.value) AS weight FROM events e JOIN terms t USING (event_type)
@@ -319,7 +327,10 @@ dd AS (SELECT doc_no, list(term_id ORDER BY term_id) AS terms, list(weight ORDER
 alld AS (SELECT r.i AS doc_no FROM (SELECT max(doc_no) AS m FROM sp), range(0, m + 1) r(i))
 SELECT a.doc_no, coalesce(dd.terms, []::INTEGER[]) AS terms,
        """ + sqlh.r6_list("coalesce(dd.weights, []::DOUBLE[])") + """ AS weights
-FROM alld a LEFT JOIN dd USING (doc_no)""")
+FROM alld a LEFT JOIN dd USING (doc_no)"""
+
+
+@register("mm_roundtrip", sql=_MM_SQL)
 def q_mm_roundtrip(spark, sf):
     """Sparse event corpus written as Matrix Market and read back, with
     implicit empty documents up to the header's document count."""
@@ -330,6 +341,33 @@ def q_mm_roundtrip(spark, sf):
     return docs.select("doc_no", "terms", r6_array("weights").alias("weights"))
 
 
+@register("mm_transposed", sql=_MM_SQL)
+def q_mm_transposed(spark, sf):
+    """The same corpus as a term-document file (``term doc weight``), read with
+    ``transposed=False``."""
+    from .sparse_queries import event_corpus
+    s = event_corpus(spark, sf).filter(F.abs("weight") > 1e-12)
+    head = s.agg(F.format_string("%d %d %d", F.max("term_id") + 1, F.max("doc_no") + 1, F.count(F.lit(1))).alias("n"))
+    rows = s.select("doc_no", "term_id", F.format_string(
+        "%d %d %s", F.col("term_id") + 1, F.col("doc_no") + 1, F.col("weight").cast("string")).alias("value"))
+    path = _scratch(spark, "mm_t")
+    write_lines(rows, path, ["doc_no", "term_id"],
+                header=head.select(F.explode(F.array(F.lit(HEADER_LINE), "n")).alias("value")))
+    docs, _ = read_mm(spark, path, transposed=False)
+    return docs.select("doc_no", "terms", r6_array("weights").alias("weights"))
+
+
+@register("mm_metadata", sql="SELECT DISTINCT user_id AS doc_no, 'user ' || user_id AS metadata FROM events")
+def q_mm_metadata(spark, sf):
+    """Document metadata written beside the matrix and read back."""
+    from .sparse_queries import event_corpus
+    s = event_corpus(spark, sf)
+    meta = s.select("doc_no").distinct().withColumn(
+        "metadata", F.concat(F.lit("user "), F.col("doc_no").cast("string")))
+    write_mm(s, _scratch(spark, "mm_m"), metadata=meta, metadata_path=(side := _scratch(spark, "mm_meta")))
+    return spark.read.parquet(side)
+
+
 # ------------------------------------------------------------------- model
 def _init_model_sql():
     from .example_queries import _INIT

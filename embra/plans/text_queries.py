@@ -25,6 +25,13 @@ def q_simple_preprocess(spark, sf):
     return d.select("doc_id", simple_preprocess("text").alias("words"))
 
 
+@register("simple_preprocess_deacc",
+          sql=f"SELECT doc_id, {simple_preprocess_sql('strip_accents(text)')} AS words FROM documents")
+def q_simple_preprocess_deacc(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", simple_preprocess("text", deacc=True).alias("words"))
+
+
 @register("deaccent", sql="SELECT doc_id, strip_accents(text) AS text FROM documents")
 def q_deaccent(spark, sf):
     d = table(spark, sf, "documents")

@@ -40,7 +40,9 @@ def read_mm(spark, source, transposed: bool = True) -> tuple[DataFrame, DataFram
         F.raise_error(F.lit("matrix columns must come in ascending order")))).drop("_mx")
     docs = (ent.groupBy("doc_no")
             .agg(F.array_sort(F.collect_list(F.struct("line_no", "term_id", "weight"))).alias("_e")))
-    all_docs = header.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("num_docs") - 1)).alias("doc_no"))
+    # the header's document count sizes a distributed range
+    n = header.first()["num_docs"]
+    all_docs = spark.range(n).select(F.col("id").alias("doc_no"))
     out = all_docs.join(docs, "doc_no", "left").select(
         "doc_no",
         F.coalesce(F.transform("_e", lambda e: e["term_id"]), F.array().cast("array<int>")).alias("terms"),

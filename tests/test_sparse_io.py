@@ -112,3 +112,13 @@ def test_split_reader_file_order(spark):
     assert [(r["cat_id"], r["words"]) for r in plain] == [("c1", ["x", "y"]), ("c2", ["z"])]
     shuffled = read_cat_tsv(spark, os.path.join(d, "src"), split=True, rand=True, seed=3).collect()
     assert sorted(r["sent_id"] for r in shuffled) == ["s1", "s2"]
+
+
+def test_explicit_zeros_are_rejected(spark):
+    import pytest
+    sp = spark.createDataFrame([(0, 1, 3.0), (0, 2, 4.0), (1, 0, 0.0)], "doc_no long, term_id int, weight double")
+    assert S.veclen(sp.filter("doc_no = 0")).collect()[0]["len"] == 5.0
+    with pytest.raises(Exception, match="explicit zero"):
+        S.veclen(sp).collect()
+    with pytest.raises(Exception, match="explicit zero"):
+        S.unitvec(sp).collect()
