@@ -13,7 +13,7 @@ from ..operators import train as T
 from ..operators import vocab as V
 from ..session import scratch_path
 from ..streaming.infer import stream_infer
-from ..streaming.word_count import run_to_table, stream_word_count
+from ..streaming.word_count import read_counts, run_to_table, stream_word_count
 from ..tables import benchmark_corpus, conversations_corpus, table
 from . import sqlh
 from .infer_queries import CAT_SPEC, ITERS, K, _C, _PAIRS
@@ -25,27 +25,22 @@ def _scratch(spark, name):
     return scratch_path(spark, f"stream/{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stream_path(spark, path: str) -> str:
-    """A file stream source needs a folder or a glob: a single-file table
-    is addressed by a glob that matches just that file."""
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jp.getFileSystem(spark._jsc.hadoopConfiguration())
-    return path if fs.getFileStatus(jp).isDirectory() else path[:-1] + "[" + path[-1] + "]"
-
-
-def _file_stream(spark, sf, name, max_files=1):
-    schema = table(spark, sf, name).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(stream_path(spark, f"{sf.rstrip('/')}/{name}.parquet")))
+def _file_stream(spark, sf, name, triggers):
+    """A driver table dealt into files that arrive one a trigger."""
+    t = table(spark, sf, name)
+    path = _scratch(spark, name)
+    t.repartition(triggers).write.parquet(path)
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @register("stream_word_count", sql=f"WITH {DOC_CORPUS}, {WC} SELECT word, cnt FROM wc")
 def q_stream_word_count(spark, sf):
-    """Vocabulary counts of the documents table read as a file stream."""
-    s = _file_stream(spark, sf, "documents").select(simple_preprocess("text").alias("words"))
+    """Vocabulary counts of the documents table arriving as a stream; the state is carried
+    over three triggers."""
+    s = _file_stream(spark, sf, "documents", 3).select(simple_preprocess("text").alias("words"))
     out, ck = _scratch(spark, "wc"), _scratch(spark, "wc_ckpt")
     run_to_table(stream_word_count(s), out, ck)
-    return spark.read.parquet(out)
+    return read_counts(spark, out)
 
 
 @register("stream_infer", sql=sqlh.with_ctes(_C) + ",\n" + _PAIRS + f"""
@@ -58,7 +53,7 @@ def q_stream_infer(spark, sf):
     params, vocab, docs, cats = T.train(corpus, CAT_SPEC)
     pairs = V.sent_cat_pairs(corpus, docs, cats)
     b = benchmark_corpus(spark, sf)  # to reuse the corpus projection on the stream
-    s = _file_stream(spark, sf, "benchmark").select(
+    s = _file_stream(spark, sf, "benchmark", 2).select(
         F.col("item_id").alias("line_no"), F.lit(None).cast("string").alias("cat_id"),
         F.col("item_id").cast("string").alias("sent_id"), simple_preprocess("text").alias("words"))
     assert s.columns == b.columns

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,13 +15,23 @@ def stream_word_count(stream: DataFrame, words: str = "words") -> DataFrame:
 
 
 def run_to_table(counts: DataFrame, table_path: str, checkpoint: str):
-    """Drain the available input (trigger availableNow) in complete mode;
-    every trigger overwrites the Parquet table with the full counts, so the
-    table always holds a consistent answer.  Returns the stopped query."""
-    def write(batch: DataFrame, _epoch: int):
-        batch.write.mode("overwrite").parquet(table_path)
+    """Drain the available input (trigger availableNow) in complete mode.
+
+    Every trigger writes the full counts to a folder of its own and, when that is
+    complete, a one-row marker; nothing that a reader may use is overwritten, and a
+    repeated trigger replaces only its own folder.  Returns the stopped query."""
+    def write(batch: DataFrame, epoch: int):
+        batch.write.mode("overwrite").parquet(f"{table_path}/counts/batch={epoch}")
+        batch.sparkSession.createDataFrame([(epoch,)], "done long").write.mode("overwrite").parquet(
+            f"{table_path}/markers/batch={epoch}")
 
     q = (counts.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def read_counts(spark: SparkSession, table_path: str) -> DataFrame:
+    """(word, cnt) of the last complete trigger."""
+    last = spark.read.parquet(f"{table_path}/markers").agg(F.max("done")).first()[0]
+    return spark.read.parquet(f"{table_path}/counts/batch={last}")
