@@ -88,6 +88,15 @@ def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Integers that mostly rise slowly, as compressed differences."""
+    return zstandard.ZstdCompressor(3).compress(np.diff(numbers, prepend=0).astype("<i8").tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8"))
+
+
 class Batch:
     """Some documents as one buffer of words: separated by a blank, documents by a line
     break.  Everything derived from it depends on nothing but its content."""
@@ -231,16 +240,17 @@ def _send(k: int, m: int, hot, buckets: int):
                 bucket[of] = (_mix(low) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                out = {"bucket": [], "batch": [], "keys": [], "packed": []}
+                out = {"bucket": [], "batch": [], "strings": [], "keys": [], "packed": []}
                 pack = zstandard.ZstdCompressor(3)
                 for part in np.split(order, cuts[1:]) if len(order) else []:
                     out["bucket"].append(int(bucket[part[0]]))
                     out["batch"].append(number)
-                    out["keys"].append(np.stack((part, best[part])).astype("<i8").tobytes())
+                    out["strings"].append(_pack(part))
+                    out["keys"].append(_pack(best[part]))
                     out["packed"].append(pack.compress(b"\n".join([strings[i] for i in part.tolist()])))
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema(
-                    [("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()),
-                     ("packed", pa.binary())]))
+                    [("bucket", pa.int64()), ("batch", pa.int64()), ("strings", pa.binary()),
+                     ("keys", pa.binary()), ("packed", pa.binary())]))
     return run
 
 
@@ -251,9 +261,10 @@ def _count(k: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor()
         data = b"\n".join([unpack.decompress(p) for p in g["packed"]])
-        ids = [np.frombuffer(x, "<i8").reshape(2, -1) for x in g["keys"]]
-        string, best = (np.concatenate([x[r] for x in ids]) for r in (0, 1))
-        batch = np.repeat(np.arange(len(ids)), [x.shape[1] for x in ids])
+        ids = [_unpack(x) for x in g["strings"]]
+        string = np.concatenate(ids)
+        best = np.concatenate([_unpack(x) for x in g["keys"]])
+        batch = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
         buf = np.frombuffer(data, np.uint8)
         start, end = _words(buf)
         breaks = np.flatnonzero(buf[end[:-1]] == 10) + 1
@@ -292,20 +303,18 @@ def _count(k: int):
         smaller = np.add.reduceat(low < key, begin) > 0 if len(begin) else np.zeros(0, bool)
         out = {"batch": [], "strings": [], "lows": []}
         names = g["batch"].to_numpy()
-        pack = zstandard.ZstdCompressor(3)
         for x in np.unique(batch[smaller]):
             mine = np.flatnonzero(smaller & (batch == x))
             take = np.repeat(smaller & (batch == x), windows)
             out["batch"].append(int(names[x]))
             out["strings"].append(np.stack((string[mine], windows[mine])).astype("<i8").tobytes())
-            out["lows"].append(pack.compress(low[take].astype("<i8").tobytes()))
+            out["lows"].append(_pack(low[take]))
         return pd.DataFrame(out)
     return run
 
 
 def _mark(k: int, m: int, hot):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for b in rows:
             for p, strings, lows in zip(b.column(0), b.column(1), b.column(2)):
                 batch = Batch.unpack(p.as_py())
@@ -322,7 +331,7 @@ def _mark(k: int, m: int, hot):
                 for s, low in zip(strings.as_py() or [], lows.as_py() or []):
                     number, n = np.frombuffer(s, "<i8").reshape(2, -1)
                     sent[number] = base + np.cumsum(n) - n
-                    back.append(np.frombuffer(unpack.decompress(low), "<i8"))
+                    back.append(_unpack(low))
                     base += len(back[-1])
                 back = np.concatenate(back)
                 run_of = np.repeat(np.arange(len(first)), length)
@@ -392,7 +401,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     hot = spark.sparkContext.broadcast(hot_runs(packed, m, words))  # at most 1 / HOT_SHARE
     buckets = max(1, -(-words // bucket_words))
     sent = packed.select("batch", "packed").mapInArrow(
-        _send(k, m, hot, buckets), "bucket long, batch long, keys binary, packed binary")
+        _send(k, m, hot, buckets), "bucket long, batch long, strings binary, keys binary, packed binary")
     back = sent.groupBy("bucket").applyInPandas(_count(k), "batch long, strings binary, lows binary")
     back = back.groupBy("batch").agg(F.collect_list(F.struct("strings", "lows")).alias("back"))
     joined = packed.select("batch", "packed").join(back, "batch", "left").select(

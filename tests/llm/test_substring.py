@@ -60,9 +60,10 @@ def test_bucket_compares_words_when_hashes_collide(monkeypatch):
     texts = [b"a b c d", b"a b c e", b"z b c d"]
     pack = zstandard.ZstdCompressor().compress
     g = pd.DataFrame({"batch": [1, 2, 3], "packed": [pack(t) for t in texts],
-                      "keys": [np.array([[0], [k]], "<i8").tobytes() for k in (5, 3, 4)]})
+                      "strings": [substring._pack(np.array([0]))] * 3,
+                      "keys": [substring._pack(np.array([k])) for k in (5, 3, 4)]})
     out = substring._count(3)(g)
-    lows = {b: np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<i8").tolist()
+    lows = {b: substring._unpack(x).tolist()
             for b, x in zip(out["batch"], out["lows"])}
     # "a b c" belongs to 3, "b c d" to 4: only batch 1 has windows that others own
     assert lows == {1: [3, 4]}
