@@ -3,7 +3,7 @@ paragraph and category vector text files."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import commit_parts, open_fs
 from .text import write_lines
 
 
@@ -40,32 +41,32 @@ def save_vocab(words: DataFrame, path: str) -> None:
 def save_word2vec_binary(words: DataFrame, path: str) -> list:
     """``V d\\n`` then per word ``word<space>`` + d float32 (little endian).
 
-    Rows are range-sorted by descending count and every partition writes
-    its own part file from the executor (``path`` must be a folder on a
-    file system the executors mount); part 0 carries the header.  Returns
-    the per-part summary (part, rows)."""
+    Rows are range-sorted by descending count and every task writes a part file on
+    the shared storage; part 0 carries the header.  Attempts write under temporary
+    names, and only the files of the attempts that Spark counts are moved to their
+    final names.  Returns the per-part summary (part, rows)."""
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    os.makedirs(path, exist_ok=True)
-    header = f"{n} {d}\n".encode()
-    target = path
+    header = f"{stats['n']} {stats['d'] or 0}\n".encode()
+    folder = path
 
     def write_part(it):
-        pid = TaskContext.get().partitionId()
-        fname = os.path.join(target, f"part-{pid:05d}.bin")
-        rows = 0
-        with open(fname, "wb") as f:
+        fs, base = open_fs(folder)
+        fs.create_dir(f"{base}/_temporary", recursive=True)
+        pid, tmp, rows = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.tmp", 0
+        with fs.open_output_stream(f"{base}/_temporary/{tmp}", compression=None) as f:
             if pid == 0:
                 f.write(header)
             for pdf in it:
                 for w, v in zip(pdf["word"], pdf["vec"]):
                     f.write(w.encode("utf-8") + b" " + np.asarray(v, dtype="<f4").tobytes())
-                    rows += 1
-        yield pd.DataFrame({"part": [pid], "rows": [rows]})
+                rows += len(pdf)
+        yield pd.DataFrame({"part": [pid], "rows": [rows], "tmp": [tmp]})
 
     ordered = words.select((-F.col("cnt")).alias("_nc"), "idx", "word", "vec").orderBy("_nc", "idx")
     # the action: one summary row per part file
-    return ordered.select("word", "vec").mapInPandas(write_part, "part int, rows long").collect()
+    parts = ordered.select("word", "vec").mapInPandas(write_part, "part int, rows long, tmp string").collect()
+    commit_parts(folder, {r["tmp"]: f"part-{r['part']:05d}.bin" for r in parts})
+    return [(r["part"], r["rows"]) for r in parts]
 
 
 def save_doc_vectors(vectors: DataFrame, path: str, kind: str, size: int, sg: int, hs: int,

@@ -3,6 +3,8 @@ paragraph and category vector text files."""
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
 from ..operators.ordering import dense_index
+from ..storage import open_fs
 from .text import WS, read_lines
 
 
@@ -45,37 +48,55 @@ def read_word2vec_text(spark, source, fvocab=None, norm_only: bool = False) -> D
     return out.withColumn("vec", unit("vec")) if norm_only else out
 
 
+READ_BYTES = 8 << 20   # of a binary file held at once
+
+
+def _binary_records(stream, d: int):
+    """(word, vector) of a binary stream after its header, a block at a time."""
+    buf, done = b"", False
+    while not done:
+        block = stream.read(READ_BYTES)
+        done, buf, pos = not block, buf + block, 0
+        while True:
+            while buf[pos:pos + 1] == b"\n":
+                pos += 1
+            space = buf.find(b" ", pos)
+            if space < 0 or space + 1 + 4 * d > len(buf):
+                break
+            yield buf[pos:space].decode("utf-8"), np.frombuffer(buf, "<f4", d, space + 1).astype("float64")
+            pos = space + 1 + 4 * d
+        buf = buf[pos:]
+    if buf.strip(b"\n"):
+        raise ValueError("the last vector is cut off")
+
+
 def read_word2vec_binary(spark, source, fvocab=None) -> DataFrame:
     """Binary word2vec: header ``V d\\n`` then ``word<space>`` + d float32,
     newlines before a word ignored.  One file or a folder of part files
-    (header in the first); each file is parsed by one task."""
-    files = spark.read.format("binaryFile").load(source).select("path", "content")
-    first = files.orderBy("path").select(F.substring("content", 1, 64).alias("h")).first()["h"]
-    head = bytes(first).split(b"\n", 1)[0].split()
-    n, d = int(head[0]), int(head[1])
-    first_path = files.agg(F.min("path")).first()[0]
+    (header in the first).  Files are streamed in blocks, so their size is not
+    limited; records have no marks to split at, so a file is read by one task."""
+    # paths only: the content column isn't read
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(source).select("path")
+    first = paths.agg(F.min("path")).first()[0]
+    fs, name = open_fs(first)
+    with fs.open_input_stream(name, compression=None) as f:
+        head = f.read(64).split(b"\n", 1)[0]
+    n, d = (int(x) for x in head.split())
 
     def parse(it):
         for pdf in it:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                buf = bytes(content)
-                pos = buf.index(b"\n") + 1 if path == first_path else 0
-                words, vecs, recs = [], [], []
-                r = 0
-                while pos < len(buf):
-                    while pos < len(buf) and buf[pos:pos + 1] == b"\n":
-                        pos += 1
-                    if pos >= len(buf):
-                        break
-                    sp = buf.index(b" ", pos)
-                    words.append(buf[pos:sp].decode("utf-8"))
-                    vecs.append(np.frombuffer(buf, dtype="<f4", count=d, offset=sp + 1).astype("float64"))
-                    recs.append(r)
-                    r += 1
-                    pos = sp + 1 + 4 * d
-                yield pd.DataFrame({"path": path, "rec": recs, "word": words, "vec": vecs})
-
-    recs = files.mapInPandas(parse, "path string, rec long, word string, vec array<double>")
+            for path in pdf["path"]:
+                fs, name = open_fs(path)
+                with fs.open_input_stream(name, compression=None) as f:
+                    if path == first:
+                        f.read(len(head) + 1)
+                    recs = enumerate(_binary_records(f, d))
+                    while part := list(itertools.islice(recs, 4096)):
+                        yield pd.DataFrame({"path": path, "rec": [r for r, _ in part],
+                                            "word": [w for _, (w, _) in part], "vec": [v for _, (_, v) in part]})
+
+    files = max(1, paths.count())
+    recs = paths.repartition(files).mapInPandas(parse, "path string, rec long, word string, vec array<double>")
     ix = dense_index(recs, [F.col("path"), F.col("rec")], "idx")
     words = ix.withColumn("_V", F.lit(n))
     out = _counts(words, read_vocab(spark, fvocab) if fvocab else None)

@@ -122,3 +122,29 @@ def test_explicit_zeros_are_rejected(spark):
         S.veclen(sp).collect()
     with pytest.raises(Exception, match="explicit zero"):
         S.unitvec(sp).collect()
+
+
+def test_binary_vectors_across_blocks(spark, tmp_path, monkeypatch):
+    """A file is streamed: records may lie on block borders; line ends before words and
+    spaces inside vectors do no harm; a cut-off record is an error."""
+    import io
+
+    import numpy as np
+    import pytest
+
+    from embra.sinks.vectors import save_word2vec_binary
+    from embra.sources import vectors as R
+    rng = np.random.default_rng(5)
+    words = [(f"wörd{i}", i, 100 - i, rng.standard_normal(3).astype("float32").astype(float).tolist()) for i in range(40)]
+    words[7] = ("seven", 7, 93, np.frombuffer(b"    \n\n\n\n    ", "<f4").astype(float).tolist())
+    df = spark.createDataFrame(words, "word string, idx long, cnt long, vec array<double>")
+    folder = str(tmp_path / "w2v")
+    parts = save_word2vec_binary(df, folder)
+    assert sum(r for _, r in parts) == 40 and not (tmp_path / "w2v" / "_temporary").exists()
+    got = [(r["word"], r["vec"]) for r in R.read_word2vec_binary(spark, folder).orderBy("idx").collect()]
+    assert got == [(w, v) for w, _, _, v in words]
+    data = b"".join(b"\n" * (i % 2) + w.encode() + b" " + np.array(v, "<f4").tobytes() for w, i, _, v in words)
+    monkeypatch.setattr(R, "READ_BYTES", 7)
+    assert [(w, v.tolist()) for w, v in R._binary_records(io.BytesIO(data), 3)] == [(w, v) for w, _, _, v in words]
+    with pytest.raises(ValueError, match="cut off"):
+        list(R._binary_records(io.BytesIO(data[:-1]), 3))
