@@ -96,19 +96,23 @@ def link_quotes(messages: DataFrame, *, scope: str = "conv_id", order: str = "tu
 
 def reply_roots(replies: DataFrame) -> DataFrame:
     """``(sk, at, reply_to)`` -> ``(sk, at, thread, depth)``.  Every round doubles the distance
-    that each message has looked up, so the rounds grow with the logarithm of the
-    longest chain; links lead to earlier messages only, so there is no circle."""
-    up = stage(replies.select("sk", "at", F.coalesce("reply_to", "at").alias("up"),
-                              F.col("reply_to").isNotNull().cast("long").alias("depth")), "replies")
+    that a message has looked up, so the rounds grow with the logarithm of the longest
+    chain; a message that has found its root takes no part in later rounds.  Links
+    lead to earlier messages only, so there is no circle."""
+    # up: the farthest message known above this one; found: that one is a root
+    known = stage(replies.select("sk", "at", F.coalesce("reply_to", "at").alias("up"),
+                                 F.col("reply_to").isNotNull().cast("long").alias("depth"),
+                                 F.col("reply_to").isNull().alias("found")), "replies")
     while True:
-        top = up.select("sk", F.col("at").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
-        nxt = up.join(top, ["sk", "up"]).select(
+        open_ = known.filter("not found")
+        if open_.isEmpty():
+            return known.select("sk", "at", F.col("up").alias("thread"), "depth")
+        top = known.select("sk", F.col("at").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"),
+                           F.col("found").alias("ends"))
+        moved = open_.drop("found").join(top, ["sk", "up"]).select(
             "sk", "at", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
-            (F.col("more") > 0).alias("moved"))
-        nxt = stage(nxt, "replies")
-        up = nxt.drop("moved")
-        if nxt.filter("moved").isEmpty():
-            return up.select("sk", "at", F.col("up").alias("thread"), "depth")
+            F.col("ends").alias("found"))
+        known = stage(known.filter("found").unionByName(moved), "replies")
 
 
 def _positions(roots: DataFrame) -> DataFrame:
