@@ -35,6 +35,7 @@ BUCKET_WORDS = 1 << 19    # words of the corpus for each bucket
 RUN_WINDOWS = 64          # windows of a super-k-mer at most
 HOT_SHARE = 1 / 4096      # of all words: a run this frequent ranks last
 HASH_WORDS = 1 << 16
+TEXT_LEVEL = 6            # compression of packed words
 NULL_KEY = (1 << 63) - 1  # a null key ranks behind every other
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -118,7 +119,7 @@ class Batch:
         keys = np.array([0 if k is None else k for k in self.keys], "<i8").tobytes()
         nulls = np.array([k is None for k in self.keys], np.uint8).tobytes()
         body = len(self.keys).to_bytes(8, "little") + keys + nulls + b"\n".join(self.texts)
-        return zstandard.ZstdCompressor(3).compress(body)
+        return zstandard.ZstdCompressor(TEXT_LEVEL).compress(body)
 
     @classmethod
     def unpack(cls, packed: bytes) -> Batch:
@@ -241,7 +242,7 @@ def _send(k: int, m: int, hot, buckets: int):
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 out = {"bucket": [], "batch": [], "strings": [], "keys": [], "packed": []}
-                pack = zstandard.ZstdCompressor(3)
+                pack = zstandard.ZstdCompressor(TEXT_LEVEL)
                 for part in np.split(order, cuts[1:]) if len(order) else []:
                     out["bucket"].append(int(bucket[part[0]]))
                     out["batch"].append(number)
