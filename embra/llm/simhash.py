@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, stage
@@ -250,30 +250,41 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     empty table gives an empty result.  Other columns are not read.
     """
     fp = stage(fingerprints(docs, key=key, text=text, shingle=shingle), "simhash")
+    named, low = _groups(fp, bits)
+    return fp.join(named.join(low, "root").select("fp", "component"), "fp")
+
+
+def _groups(fp: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """``fp (key, fp)`` -> the group of every fingerprint ``(fp, root)`` and the smallest
+    key of every group ``(root, component)``."""
     distinct = stage(fp.groupBy("fp").agg(F.min("key").alias("low")), "simhash-distinct")
     roots = connected_components(fingerprint_links(distinct.select("fp"), bits))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
-    low = named.groupBy("root").agg(F.min("low").alias("component"))
-    return fp.join(named.select("fp", "root").join(low, "root").select("fp", "component"), "fp")
+    return named.select("fp", "root"), named.groupBy("root").agg(F.min("low").alias("component"))
+
+
+def _row_hash(cols: list[str]) -> Column:
+    """128 bits over all columns; rows share them exactly when they are identical."""
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+             "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]), exact)))
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
+def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
+                    shingle: int = 3, bits: int = 3) -> DataFrame:
     """``docs`` with one row of every near-duplicate group: the one with the smallest
-    key (any one row where several carry it; a group without keys keeps one row)."""
-    key, text = options.get("key", "doc_id"), options.get("text", "text")
-    cols = docs.columns
-    near = near_duplicates(docs, **options)
-    first = near.filter("key = component").select(F.col("key").alias("_first")).distinct()
-    hit = docs.join(first, docs[key] == first["_first"], "left_semi").dropDuplicates([key])
-    # groups in which every key is null: one row each
-    lost = near.filter("component is null").select("fp").distinct()
-    if lost.isEmpty():
-        return hit
-    blank = docs.filter(docs[key].isNull()).select(
-        F.to_json(F.struct(*cols)).alias("_json"), F.struct(*cols).alias("_row"),
-        docs[text].alias("_text"))
-    groups = fingerprints(blank, key="_json", text="_text", shingle=options.get("shingle", 3)) \
-        .join(lost, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("_json"))
-    rest = blank.join(groups, "_json", "left_semi").dropDuplicates(["_json"]).select("_row.*")
-    return hit.unionByName(rest)
+    key, null after any other, then with the smallest hash of the whole row.
+
+    A key that several documents carry can stand for several groups; every group
+    keeps a row of its own.  Groups of null keys only keep one row each.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       _row_hash(docs.columns).alias("tag"))
+    k = F.col("row").getField(key)
+    order = rows.select(F.struct(k.isNull().alias("blank"), k.alias("key"), "tag").alias("order"),
+                        F.col("row").getField(text).alias("text"))
+    fp = stage(fingerprints(order, key="order", text="text", shingle=shingle), "simhash-rows")
+    first = _groups(fp, bits)[1].select("component.tag")
+    # only identical rows share a hash, and they are of one group
+    return rows.join(first, "tag", "left_semi").dropDuplicates(["tag"]).select("row.*")
