@@ -21,7 +21,7 @@ from embra.llm.common import scratch_uri  # noqa: E402
 from embra.session import ensure_checkpoint_dir, ship_package  # noqa: E402
 from embra.tables import table  # noqa: E402
 
-MIN_SCORE = 0.5   # calibrated probability below which a language is not accepted
+MIN_SCORE = 0.5   # calibrated probability below which a prediction doesn't fill a missing language
 
 
 def _ready(spark: SparkSession) -> None:
@@ -30,12 +30,14 @@ def _ready(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters and those of no known language go; a missing ``lang`` is
-    filled with the prediction.  The model learns from the folds that op9 learns from."""
+    """Documents without letters and those of no known language go: ``lang`` is missing and
+    the prediction, which fills it otherwise, is unsure.  A given ``lang`` stays, however
+    sure the model is.  The model learns from the folds that op9 learns from."""
     _ready(spark)
     cols = docs.columns
     model = langid.train(docs.filter(langid.fold(F.col("doc_id")) != 0))
-    out = langid.predict(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    out = langid.predict(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (
+        F.col("row.lang").isNotNull() | (F.col("score") >= MIN_SCORE)))
     return out.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang"
                         else F.col("row").getField(c).alias(c) for c in cols])
 

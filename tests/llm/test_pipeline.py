@@ -112,6 +112,19 @@ def test_stages(spark, sf_dir):
     assert sorted(map(tuple, p.run(spark, sf_dir).collect())) == want
 
 
+def test_an_unsure_model_removes_no_document_with_a_given_language(spark, sf_dir, monkeypatch):
+    import corpus_pipeline as p
+    from embra.llm import langid
+    n = 1 << langid.DIM_BITS
+    unsure = langid.LanguageModel(["aa", "bb", "cc"], np.ones(n), np.zeros((n + 1, 3)), 1.0, langid.DIM_BITS)
+    monkeypatch.setattr(langid, "train", lambda docs: unsure)  # every score is 1/3
+    rows = [(1, "lo mi ra", "aa"), (2, "ka", "bb"), (3, "ra lo", None), (4, "12 !", "aa"), (5, None, "aa")]
+    docs = spark.createDataFrame([(i, t, g, "s1", 3) for i, t, g in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang"] for r in p.identify_language(spark, docs, sf_dir).collect()}
+    assert got == {1: "aa", 2: "bb"}
+
+
 def test_empty_documents(spark, sf_dir, tmp_path):
     import corpus_pipeline as p
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
