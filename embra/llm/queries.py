@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
-from . import decontam, langid, quotes, rollup, simhash, substring, tokens, vectors, warc
+from . import decontam, langid, quotes, rollup, simhash, substring, tokens, vectors, warc, whiten
 from .common import scratch_uri, stage, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,8 +135,9 @@ TERMS_JAVA = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 @query("op5_quotation_linking", r"""
 WITH RECURSIVE t AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations
     WHERE turn IS NOT NULL GROUP BY conv_id, turn),
-line AS (SELECT conv_id, turn, x FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '
-||
+line AS (SELECT conv_id, turn, x FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '
+|
+|
 ')) AS x FROM t)),
 own AS (SELECT conv_id, turn, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS clean, length(x) AS size FROM line
     WHERE trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''),
@@ -160,8 +161,9 @@ chain AS (SELECT conv_id, turn, turn AS thread, 0 AS depth FROM m WHERE reply_to
 SELECT m.conv_id, m.turn, m.reply_to, c.thread, CAST(c.depth AS BIGINT) AS depth,
     row_number() OVER (PARTITION BY m.conv_id, c.thread ORDER BY c.depth, m.turn) - 1 AS position,
     m.quote_levels, m.n_quoted, m.n_linked,
-    sha256(regexp_replace(regexp_replace(array_to_string(string_split_regex(m.text, '
-||
+    sha256(regexp_replace(regexp_replace(array_to_string(string_split_regex(m.text, '
+|
+|
 '), chr(10)),
         '^\s*
 ', ''), '\s+$', '')) AS own_sha256
@@ -221,3 +223,12 @@ def token_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op7_token_id_files")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = whiten.whiten_vectors(table(spark, sf_dir, "embeddings"), components=32, weights="counts")
+    return w.select(F.col("key").alias("vec_id"), "n", "deviation", "identity_error",
+                    F.posexplode(F.arrays_zip("z", "explained")).alias("c", "v")).select(
+        "vec_id", (F.col("c") + 1).alias("component"), "n", "deviation", F.col("v.z").alias("whitened"),
+        F.col("v.explained").alias("explained"), "identity_error")
