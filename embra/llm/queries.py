@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
-from . import decontam, langid, quotes, rollup, simhash, substring, tokens, vectors, warc, whiten
+from . import decontam, langid, quality, quotes, rollup, simhash, substring, tokens, vectors, warc, whiten
 from .common import scratch_uri, stage, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,32 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.posexplode(F.arrays_zip("z", "explained")).alias("c", "v")).select(
         "vec_id", (F.col("c") + 1).alias("component"), "n", "deviation", F.col("v.z").alias("whitened"),
         F.col("v.explained").alias("explained"), "identity_error")
+
+
+@query("op11_quality_rules", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+    FROM documents),
+pos AS (SELECT doc_id, s, array_to_string(w[s:s + 4], ' ') AS x
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d)),
+twice AS (SELECT doc_id, x FROM pos GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS r FROM (
+    SELECT doc_id, unnest(range(s, s + 5)) AS p FROM pos JOIN twice USING (doc_id, x)) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, len(l) AS n_lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_cut,
+    len(list_filter(w, lambda x: regexp_matches(x, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]'))) AS n_alpha
+    FROM d LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words
+        AND n_symbols <= n_words AND 2 * n_dup_lines <= n_lines AND 10 * n_cut <= 3 * n_lines
+        AND 2 * n_alpha >= n_words AS kept
+FROM m""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of every document and the verdict of the cascade, of which the two base rules are part."""
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    q = quality.quality_cascade(table(spark, sf_dir, "documents"), report=base)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return q.select(F.col("key").alias("doc_id"), *base, failed.alias("base_failed"), "kept")
