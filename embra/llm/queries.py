@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import table
 from . import mix as mix_op
-from . import decontam, langid, quality, quotes, rollup, simhash, substring, tokens, vectors, warc, whiten
+from . import align, decontam, langid, quality, quotes, rollup, simhash, substring, tokens, vectors, warc, whiten
 from .common import scratch_uri, stage, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +261,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.quality_cascade(table(spark, sf_dir, "documents"), report=base)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return q.select(F.col("key").alias("doc_id"), *base, failed.alias("base_failed"), "kept")
+
+
+def public_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_file("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    out = align.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_json(), model)
+    return out.withColumnRenamed("key", "doc_id")
