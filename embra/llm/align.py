@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_uri, shuffle_partitions, stage
 from .files import TempFiles, commit, open_fs
+from .tokens import byte_alphabet
 
 RADIX = 32                # radix partitions of the A ids
 RUN_RECORDS = 1 << 21     # records sorted together
@@ -54,14 +55,6 @@ PLAIN = re.compile(r" [\S\x1c-\x1f]+")  # one space, then solid characters only
 # encoding and aligning
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Characters that byte-level vocabularies write for the 256 bytes: printable ones for themselves, the others
-    for 256, 257, ... in order."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Aligner:
     """Encodes and aligns chunks; remembers them in numbered slots."""
 

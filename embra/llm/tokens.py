@@ -13,7 +13,6 @@ Files are committed with a manifest (:mod:`.files`).
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
@@ -22,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,67 +33,151 @@ MAGIC = b"EMBRAS8B"
 FLUSH_IDS = 1 << 20      # ids held before they are coded
 FILE_IDS = 1 << 27       # a file is closed at the first document end beyond this
 READ_BLOCKS = 1 << 10    # blocks decoded at once
-CACHE_ENTRIES = 600_000  # text chunks a worker remembers; the cache restarts beyond
-GROUP_CHARS = 1 << 20    # characters of text encoded together
-
-# A text is cut where the pre-tokenizer's pattern always ends a piece, so chunks
-# encode independently: after a run of Latin letters that meets another ASCII
-# character or the end, and before white space that follows something else.
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-_SPACE, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-LATIN_RUN = re.compile(f" ?[{_LATIN}]+")
-CHUNK = re.compile(rf" ?[{_LATIN}]++(?=[\x00-\x7f]|\Z)|{_SPACE}*{_SOLID}+|{_SPACE}+")
-
-
-class ChunkEncoder(dict):
-    """Encodes texts; remembers the ids of text chunks (as little-endian uint32 bytes).
-
-    Chunks are cut only for byte-level vocabularies with that pattern and without
-    normalizer or post-processor; others encode whole texts.
+CACHE_ENTRIES = 300_000  # words of a generation: a worker remembers two
+LINES = 100              # pieces encoded in one call
+GROUP_BYTES = 8 << 20    # bytes of text encoded together
+
+# Latin letters that a piece may consist of
+LATIN_RUN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_LETTER, _PUNCT, _SPACE = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PUNCT[33:127] = ~_LETTER[33:127]
+_ASCII_OTHER = (np.arange(256) < 128) & ~_LETTER
+
+
+def cuts_inside(b: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where the pre-tokenizer's pattern always ends a piece, whatever stands around: after a
+    Latin letter that meets another ASCII character; after ASCII punctuation or a digit that meets ASCII white
+    space; and after a single line break so preceded that meets a letter."""
+    if len(b) < 2:
+        return np.zeros(0, np.int64)
+    # two-byte letters: U+00C0 to U+024F without the two signs in between
+    tail, lead = b[1:], b[:-1]
+    two = (lead >= 0xC3) & (lead <= 0xC9) & (tail >= 0x80) & (tail < 0xC0)
+    two &= ~((lead == 0xC3) & ((tail == 0x97) | (tail == 0xB7))) & ~((lead == 0xC9) & (tail > 0x8F))
+    letter = _LETTER[b]
+    letter[1:] |= two
+    cut = letter[:-1] & _ASCII_OTHER[tail] | _PUNCT[lead] & _SPACE[tail]   # between bytes i and i + 1
+    solid = _LETTER[tail] | (tail == 0xC3)
+    cut[1:] |= cut[:-1] & (lead[1:] == 10) & solid[1:]
+    return np.flatnonzero(cut) + 1
+
+
+class ChunkEncoder:
+    """Encodes texts; remembers the ids (as little-endian uint32 bytes) of the pieces they are cut into
+    (:func:`cuts_inside`): ``words``, and ``older`` ones until they come again.  A text with the string of an added
+    token is one piece.
+
+    Texts are cut only for byte-level vocabularies with that pattern and without
+    normalizer or post-processor; others are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
         pre = spec.get("pre_tokenizer") or {}
         self.chunked = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                         and not pre.get("add_prefix_space") and not spec.get("normalizer")
                         and not spec.get("post_processor"))
-        self.newline = self._ids("\n")
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+        if self.chunked:  # the same model alone, for runs of Latin letters: one piece each, a line break between
+            lines = {"type": "Split", "pattern": {"String": self.shown[10]}, "behavior": "Isolated", "invert": False}
+            alone = spec | {"pre_tokenizer": lines, "post_processor": None, "added_tokens": []}
+            self.pieces = Tokenizer.from_str(json.dumps(alone))
+            self.newline = self._ids("\n")[0]
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if not self.chunked:
-            return [self._ids(t or "") for t in texts]
-        cut = [CHUNK.findall(t or "") for t in texts]
-        seen = set(itertools.chain.from_iterable(cut))
-        new = [c for c in seen if c not in self]
-        if len(self) + len(new) > CACHE_ENTRIES:
-            self.clear()
-            new = list(seen)
-        self._add_words([c for c in new if LATIN_RUN.fullmatch(c)])
-        for c in new:
-            if c not in self:
-                self[c] = self._ids(c).tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, c)), "<u4") for c in cut]
-
-    def _add_words(self, words: list[str]) -> None:
-        """Encode many one-piece chunks in one call: a line break between them is a
-        piece of its own, so its id marks the ends."""
-        ids = self._ids("\n".join(words))
-        ends = np.flatnonzero(ids == self.newline[0])
-        if len(self.newline) != 1 or len(ends) != max(0, len(words) - 1):
-            raise ValueError("the vocabulary doesn't keep line breaks apart")
-        data = ids.tobytes()
-        at = 0
-        for w, end in zip(words, [*ends.tolist(), len(ids)]):
-            self[w] = data[4 * at:4 * end]
-            at = end + 1
+        ids, counts = self.encode_together(pa.array(texts, pa.string()), [])
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
+
+    def encode_together(self, texts: pa.Array, tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, ``tail`` after each, and how many each has.  The pieces are numbered, so only
+        distinct ones are looked at one by one."""
+        n = len(texts)
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        if not n or not self.chunked:
+            parts = [np.concatenate((self._ids(t), np.array(tail, "<u4"))) for t in texts.to_pylist()]
+            return (np.concatenate(parts) if parts else np.zeros(0, "<u4")), np.array([len(x) for x in parts], np.int64)
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + n + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+        mark = np.zeros(len(raw) + 1, bool)
+        mark[cuts_inside(raw)] = True
+        for token in self.added:  # strings that the tokenizer looks for first: no cuts in such texts
+            for k in np.flatnonzero(pc.match_substring(texts, token)).tolist():
+                mark[at[k] - at[0]:at[k + 1] - at[0]] = False
+        mark[at - at[0]] = True
+        cuts = np.flatnonzero(mark) + at[0]
+        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)),
+                                             data or pa.py_buffer(b"")).dictionary_encode()
+        entries = self._entries(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        entries.append(np.array(tail, "<u4").tobytes())
+        # entry numbers in order, the tail after each text's last
+        first = np.searchsorted(cuts, at)
+        order = np.insert(pieces.indices.to_numpy().astype(np.int64), first[1:], len(entries) - 1)
+        lens = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        start = np.cumsum(lens) - lens
+        size = lens[order]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) - np.repeat(ends - size - start[order], size)
+        ids = np.frombuffer(b"".join(entries), "<u4")[place]
+        return ids, np.diff(ends[first[1:] + np.arange(n)], prepend=0)
+
+    def _entries(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        if len(self.words) > CACHE_ENTRIES:
+            self.words, self.older = {}, self.words
+        out = list(map(self.words.get, pieces))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        self._encode_many([pieces[i] for i in new if pieces[i] not in self.older])
+        for i in new:
+            out[i] = self.words.get(pieces[i])
+            if out[i] is None:
+                out[i] = self.words[pieces[i]] = self.older[pieces[i]]
+        return out
+
+    def _encode_many(self, pieces: list[str]) -> None:
+        latin = []
+        for p in pieces:
+            if LATIN_RUN.fullmatch(p):
+                latin.append(p)
+            else:
+                self.words[p] = self._ids(p).tobytes()
+        lines = [latin[k:k + LINES] for k in range(0, len(latin), LINES)]
+        done = self.pieces.encode_batch_fast([self._shown("\n".join(x)) for x in lines], add_special_tokens=False)
+        for some, e in zip(lines, done):
+            ids = np.array(e.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)]
+            data = ids.tobytes()
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary doesn't keep line breaks apart")
+            at = 0
+            for p, end in zip(some, ends):
+                self.words[p] = data[4 * at:4 * end]
+                at = end + 1
+
+    def _shown(self, text: str) -> str:
+        """Letters, spaces and line breaks in the characters of a byte-level vocabulary."""
+        if text.isascii():
+            return text.replace(" ", self.shown[32]).replace("\n", self.shown[10])
+        return text.encode().decode("latin-1").translate(self.shown)
+
+
+def byte_alphabet() -> dict[str, int]:
+    """Characters that byte-level vocabularies write for the 256 bytes: printable ones for themselves, the others
+    for 256, 257, ... in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
@@ -108,18 +192,15 @@ def _encoder(tokenizer_json: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
-    """Runs of (keys, texts) of about GROUP_CHARS characters, texts whole."""
-    keys, texts, size = [], [], 0
-    for k, t in zip(batch.column(0), batch.column(1)):
-        keys.append(k.as_py())
-        texts.append(t.as_py())
-        size += len(texts[-1] or "")
-        if size >= GROUP_CHARS:
-            yield keys, texts
-            keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Runs of (keys, texts) of about GROUP_BYTES, texts whole."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(size):
+        before = int(size[at - 1]) if at else 0
+        end = min(int(np.searchsorted(size, before + GROUP_BYTES)) + 1, len(size))
+        yield batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at)
+        at = end
 
 
 class TokenFile:
@@ -132,9 +213,10 @@ class TokenFile:
         self.ids, self.words = 0, 0
         self.offsets, self.escapes, self.escaped = [np.zeros(1, np.int64)], [], []
 
-    def add(self, key, ids: np.ndarray) -> None:
-        self.keys.append(key)
-        self.counts.append(len(ids))
+    def add(self, keys: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents whose ids follow one another."""
+        self.keys.append(keys)
+        self.counts.append(counts)
         self.held.append(ids)
         self.held_ids += len(ids)
         if self.held_ids >= FLUSH_IDS:
@@ -156,14 +238,15 @@ class TokenFile:
         meta = {"offsets": np.concatenate(self.offsets).astype("<i8").tobytes(),
                 "escapes": np.concatenate(self.escapes).astype("<i8").tobytes(),
                 "escaped": np.concatenate(self.escaped).astype("<u8").tobytes()}
-        table = pa.table({"key": pa.array(self.keys, key_type), "n": pa.array(self.counts, pa.int64())})
+        table = pa.table({"key": pa.chunked_array(self.keys, key_type),
+                          "n": pa.array(np.concatenate(self.counts), pa.int64())})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema.with_metadata(meta)) as w:
             w.write_table(table)
         footer = sink.getvalue().to_pybytes()
         self.out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
         self.out.close()
-        return {"tmp": self.name, "docs": len(self.keys), "ids": self.ids,
+        return {"tmp": self.name, "docs": len(table), "ids": self.ids,
                 "bytes": 8 * self.words + len(footer) + 24}
 
 
@@ -178,8 +261,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, *, key:
     in all files before it.
 
     Defined cases: null and empty texts encode to nothing but the end id; repeated
-    rows are written as often as they occur; rows of one key are ordered by text, so
-    the files don't depend on the input order; an empty table writes no file.
+    rows are written as often as they occur; rows of one key are ordered by text; where a
+    file ends depends on sampled range bounds, the order and the ids don't; an empty table writes no file.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -189,13 +272,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, *, key:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, temp = _encoder(tokenizer.value), TempFiles(folder)
         part, done, file, key_type = TaskContext.get().partitionId(), [], None, None
-        tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
+        tail = [] if end_id is None else [end_id]
         for b in batches:
             key_type = b.schema.field(0).type
             for keys, texts in _groups(b):
-                for k, ids in zip(keys, encoder.encode(texts)):
+                ids, counts = encoder.encode_together(texts, tail)
+                ends, at, used = np.cumsum(counts), 0, 0
+                while at < len(keys):
                     file = file or TokenFile(temp)
-                    file.add(k, np.concatenate((ids, tail)))
+                    room = FILE_IDS - file.ids - file.held_ids
+                    end = min(int(np.searchsorted(ends, used + room)) + 1, len(keys))
+                    upto = int(ends[end - 1])
+                    file.add(keys.slice(at, end - at), counts[at:end], ids[used:upto])
+                    at, used = end, upto
                     if file.ids + file.held_ids >= FILE_IDS:
                         done.append(file.close(key_type))
                         file = None
