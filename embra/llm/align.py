@@ -513,7 +513,9 @@ def align_tokenizers(docs: DataFrame, a_json: str, b_model: bytes, *, key: str =
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast((a_json, b_model))  # two vocabulary files
     parts = shuffle_partitions(spark)
-    spread = F.pmod(F.xxhash64("run"), F.lit(-(-4 * parts // RADIX)))
+    # pieces of a radix stay in few partitions, documents go anywhere
+    spread = F.when(F.col("radix") < 0, F.pmod(F.xxhash64("run", "at"), F.lit(16 * parts))).otherwise(
+        F.pmod(F.xxhash64("run"), F.lit(-(-4 * parts // RADIX))))
     done = stage(_tokenise(rows, shared).repartition(parts, "radix", spread).sortWithinPartitions("radix", "run"),
                  "align-runs")
     pieces = done.filter("radix >= 0").select("run", "radix", "payload")
