@@ -44,6 +44,8 @@ OPTIMIZERS = ("sgd", "adagrad", "adadelta", "adam")
 NOISE_BUCKETS = 1 << 16
 # lines are trained in pieces of so many tokens
 SEGMENT_LEN = 10_000
+# words whose tokens are kept from gathering; any other has less than a thousandth of them
+HOT_WORDS = 1_000
 
 
 @dataclass(frozen=True)
@@ -208,10 +210,11 @@ def prepare_lines(corpus: DataFrame, vocab: DataFrame, spec: TrainSpec, epoch: i
     if segment_len:
         toks = toks.withColumn("opos", F.col("opos") + F.col("piece").cast("long") * S)
     v = vocab.select("word", "idx", "sample_prob")
-    if keep_oov:
-        j = toks.join(v, "word", "left")
+    if keep_oov:  # another corpus: its frequent words needn't be the vocabulary's
+        many = toks.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(HOT_WORDS).select("word")
+        j = lookup_words(toks, v, many.join(v, "word", "left"))
     else:
-        j = toks.join(v, "word")
+        j = lookup_words(toks, v, v.filter(F.col("idx") < HOT_WORDS)).filter("idx is not null")
         if spec.sample:
             u = keyed_draw(spec.seed, "sub", epoch, F.col("line_no"), F.col("opos"))
             j = j.filter((F.col("sample_prob") >= 1.0) | (F.col("sample_prob") >= u))
@@ -238,6 +241,24 @@ def prepare_lines(corpus: DataFrame, vocab: DataFrame, spec: TrainSpec, epoch: i
     return lines.select("line_no", "sent_no", "cat_no", "idxs", *extra)
 
 
+def lookup_words(tokens: DataFrame, words: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Tokens (line_no, opos, word, ...) with the columns of ``words`` (word, idx, sample_prob); null for what isn't
+    there.
+
+    ``frequent``: at most HOT_WORDS rows of the same columns, words of which there may be very many tokens (idx null
+    for one that isn't in the vocabulary).  They are looked up in a broadcast; their tokens pass the join of the
+    others under scattered keys that match nothing, so no word gathers its tokens in one partition."""
+    hot = F.broadcast(frequent.select("word", F.col("idx").alias("_i"), F.col("sample_prob").alias("_p"),
+                                      F.lit(True).alias("_hot")))
+    t = tokens.join(hot, "word", "left")
+    scattered = F.pmod(F.xxhash64("line_no", "opos"), F.lit(1 << 20)).cast("string")
+    t = t.withColumn("_rare", F.col("_hot").isNull()).withColumn(
+        "_key", F.when(F.col("_rare"), F.col("word")).otherwise(scattered))
+    rare = words.select(F.col("word").alias("_key"), "idx", "sample_prob", F.lit(True).alias("_rare"))
+    return t.join(rare, ["_key", "_rare"], "left").select(
+        *tokens.columns, F.coalesce("_i", "idx").alias("idx"), F.coalesce("_p", "sample_prob").alias("sample_prob"))
+
+
 def with_segment_cols(lines: DataFrame) -> DataFrame:
     """Whole lines as one segment: base 0, centres [0, n), n = line length."""
     if "base" in lines.columns:
@@ -531,8 +552,12 @@ def batch_loss(params: DataFrame, ins: DataFrame, outs: DataFrame) -> DataFrame:
 
 def apply_update(params: DataFrame, grads: DataFrame, spec: TrainSpec, alpha: float) -> DataFrame:
     """Run the optimizer once on every touched row; untouched rows pass."""
-    d = spec.size
-    j = params.join(grads, ["kind", "id"], "left")
+    return updated_rows(params.join(grads, ["kind", "id"], "left"), spec, alpha)
+
+
+def updated_rows(rows: DataFrame, spec: TrainSpec, alpha: float) -> DataFrame:
+    """The optimizer's step on rows with ``grad`` (kind, id, vec, state, grad); null passes a row."""
+    d, j = spec.size, rows
     G = F.col("grad")
     v, s = F.col("vec"), F.col("state")
     a = F.lit(float(alpha))
@@ -569,15 +594,20 @@ def apply_update(params: DataFrame, grads: DataFrame, spec: TrainSpec, alpha: fl
 
 
 def batch_sizes(lines: DataFrame, spec: TrainSpec) -> DataFrame:
-    """(batch, n): centre positions per mini-batch, counted from the lines
-    directly (batch ids only, no windows or draws)."""
-    lines = with_segment_cols(lines)
-    centres = F.filter(F.sequence(F.col("c_lo"), F.col("c_hi") - 1),
-                       lambda i: F.element_at("idxs", (i - F.col("base") + 1).cast("int")).isNotNull())
-    b = F.transform(centres, lambda i: F.pmod(F.col("line_no") + F.floor(i / F.lit(spec.slice_len)),
-                                              F.lit(spec.batches)))
-    return (lines.filter(F.col("c_hi") > F.col("c_lo")).select(F.explode(b).alias("batch"))
-            .groupBy("batch").agg(F.count(F.lit(1)).alias("n")))
+    """(batch, n): centre positions per mini-batch, counted slice by slice (batch ids
+    only, no windows or draws)."""
+    lines, B = with_segment_cols(lines), F.lit(spec.slice_len)
+
+    def count(k):
+        first = F.greatest(F.col("c_lo"), k * B)
+        size = F.least(F.col("c_hi"), (k + 1) * B) - first
+        own = F.slice("idxs", (first - F.col("base") + 1).cast("int"), size.cast("int"))
+        return F.struct(F.pmod(F.col("line_no") + k, F.lit(spec.batches)).alias("batch"),
+                        F.size(F.filter(own, lambda x: x.isNotNull())).alias("n"))
+
+    slices = F.sequence(F.floor(F.col("c_lo") / B), F.floor((F.col("c_hi") - 1) / B))
+    return (lines.filter(F.col("c_hi") > F.col("c_lo")).select(F.inline(F.transform(slices, count)))
+            .groupBy("batch").agg(F.sum("n").alias("n")))
 
 
 def batch_alphas(lines: DataFrame, spec: TrainSpec, total_words: float) -> list[float]:
@@ -638,12 +668,9 @@ def batch_alpha_frame(lines: DataFrame, vocab: DataFrame, spec: TrainSpec,
                        .alias("alpha"))
 
 
-def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None,
-          vectorised: bool = True):
+def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None):
     """Build vocabulary and ids, then ``spec.epochs`` epochs.  Returns
-    (params, vocab, docs, cats); every epoch ends with a checkpoint.  The
-    vectorised step is used while the word side fits its broadcast bound,
-    the relational step otherwise (same results)."""
+    (params, vocab, docs, cats); every epoch ends with a checkpoint."""
     from . import vocab as V
     from .train_vec import train_epoch_vec
     spec.validate()
@@ -656,10 +683,10 @@ def train(corpus: DataFrame, spec: TrainSpec, vocab: DataFrame | None = None,
     params = init_params(spec, vocab, docs, cats)
     for ep in range(spec.epochs):
         lines = prepare_lines(corpus, vocab, spec, ep, docs, cats, segment_len=SEGMENT_LEN).checkpoint(eager=True)
-        step = train_epoch_vec if vectorised else train_epoch
-        params = step(params, lines, vocab, spec, ep)
+        params = train_epoch_vec(params, lines, vocab, spec, ep)
         if spec.normalize_each_epoch:
-            params = normalize_params(params).checkpoint(eager=True)
+            params = normalize_params(params)
+        params = params.checkpoint(eager=True)
     return params, vocab, docs, cats
 
 

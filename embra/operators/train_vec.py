@@ -1,81 +1,42 @@
 """Vectorised form of the synchronous training step (same results as the
 relational form in :mod:`train`, much fewer rows).
 
-Lines (with their document / category vectors joined) stay partitioned;
-every task generates the examples of its lines with numpy, in pieces of a
-fixed number of bytes, scores them against the word-side matrices and adds
-their gradients to one array per matrix.  A task emits one partial gradient
-row per parameter row it touched; Spark sums the partials per row and the
-update runs as in the relational form.
-
-The word-side matrices (syn0 / syn1 / syn1neg, category vectors) are
-broadcast for every mini-batch and the tables that never change (Huffman
-paths, noise intervals) once per epoch, so their size is checked against
-``max_broadcast_bytes`` first; beyond it the relational form, which has no
-such bound, is used.  The keyed draws are those of the relational form and
-the SQL twins, drawn for whole arrays.
+One plan serves every size.  Lines are dealt into groups (a document's lines
+together, a very long document's over several groups).  Once per epoch the keys
+each group reads in each mini-batch are listed: its words, the nodes on their
+Huffman paths, the words its noise draws can hit, its documents and categories.
+A mini-batch then fetches those rows from the block-partitioned store
+(:mod:`param_store`), brings them to their groups by one shuffle, and every
+group scores its examples with numpy, in pieces of a fixed number of bytes.  It
+emits one partial gradient per row it touched; Spark sums them by key, and the
+updated rows, only these, are appended to the store.  Nothing passes through the
+driver, and a group holds the rows it reads, never a whole matrix.
+
+The keyed draws are those of the relational form and the SQL twins, drawn for
+whole arrays.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import keyed_draw_np
 from . import train as T
+from .param_store import ParamStore
 
-MAX_BROADCAST_BYTES = 256 << 20
-PIECE_BYTES = 32 << 20   # of one (rows x size) array inside the step; a few are alive at once
-HOT_TOKENS = 1 << 20     # a document with more tokens is dealt over several partitions
-DOCS_HELD = 4096         # document gradients a task keeps before it emits them
+PIECE_BYTES = 32 << 20    # of one (rows x size) array inside the step; a few are alive at once
+HOT_TOKENS = 1 << 20      # a document with more tokens is dealt over several groups
+GROUP_TOKENS = 1 << 20    # tokens of a group at most
+GROUP_BYTES = 256 << 20   # parameter rows of a group, about
 KINDS = ("syn0", "syn1", "syn1neg", "sent", "cat")  # integer codes 0..4 inside tasks
 SYN0, SYN1, SYN1NEG, SENT, CAT = range(5)
-
-
-def word_side_bytes(vocab: DataFrame, spec: T.TrainSpec, n_cats: int = 0) -> int:
-    """Bytes of what is broadcast: the matrices and, per word, its padded Huffman path
-    (16 bytes a level) and noise interval."""
-    longest = F.max(F.size("point")) if spec.hs else F.lit(0)
-    r = vocab.agg(F.count(F.lit(1)).alias("v"), longest.alias("path")).first()
-    mats = 1 + (1 if spec.hs else 0) + (1 if spec.negative else 0)
-    return int((mats * r["v"] + n_cats) * spec.size * 8 + r["v"] * (16 * (r["path"] or 0) + 24))
-
-
-def vocab_side(vocab: DataFrame, spec: T.TrainSpec) -> dict:
-    """Huffman paths and noise intervals as arrays by word index (size already checked)."""
-    cols = ["idx"] + (["code", "point"] if spec.hs else []) + (["noise_lo", "noise_hi"] if spec.negative else [])
-    vv = vocab.select(*cols).orderBy("idx").collect()
-    out = {"v": len(vv)}
-    if spec.hs:
-        lens = np.array([len(r["point"]) for r in vv], dtype=np.int64)
-        L = int(lens.max()) if len(lens) else 1
-        pts = np.zeros((len(vv), L), dtype=np.int64)
-        cds = np.zeros((len(vv), L), dtype=np.float64)
-        for r in vv:
-            pts[r["idx"], :len(r["point"])] = r["point"]
-            cds[r["idx"], :len(r["code"])] = r["code"]
-        out.update(hs_len=lens, hs_pts=pts, hs_codes=cds)
-    if spec.negative:
-        out["noise_lo"] = np.array([r["noise_lo"] for r in vv])
-        out["noise_hi"] = np.array([r["noise_hi"] for r in vv])
-    return out
-
-
-def matrix_side(params: DataFrame, v: int, spec: T.TrainSpec) -> dict:
-    """Dense numpy copies of the frozen word-side rows (size already checked)."""
-    d = spec.size
-    # Arrow transfer of the (size-checked) word side
-    rows = params.filter(F.col("kind").isin("syn0", "syn1", "syn1neg", "cat")).select("kind", "id", "vec").toPandas()
-    out = {"syn0": np.zeros((v, d)), "syn1": np.zeros((max(v - 1, 1), d)), "syn1neg": np.zeros((v, d))}
-    cat_ids = rows.loc[rows["kind"] == "cat", "id"]
-    out["cat"] = np.zeros((max(int(cat_ids.max()) + 1 if len(cat_ids) else 0, 1), d))
-    for kind, grp in rows.groupby("kind"):
-        out[kind][grp["id"].to_numpy()] = np.stack(grp["vec"].to_numpy())
-    return out
+LINE_COLS = ["line_no", "sent_no", "cat_no", "idxs", "base", "c_lo", "c_hi", "n"]
+GRAD_SCHEMA = "kind string, id long, grad array<double>, n long"
 
 
 def _sum_rows(ids: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,8 +48,8 @@ def _sum_rows(ids: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class _Step:
-    """Gradients of one task: examples wait until a piece is full, are scored together
-    and added up.  Nothing grows with the length of a line or of a batch."""
+    """Gradients of one group: examples wait until a piece is full, are scored together
+    and added up.  Words, nodes and categories have the numbers of :class:`Fetched`."""
 
     def __init__(self, words: dict, mats: dict, spec: T.TrainSpec, epoch: int):
         self.words, self.mats, self.spec, self.epoch = words, mats, spec, epoch
@@ -229,13 +190,18 @@ class _Step:
             yield SYN1, "syn1", ex, words["hs_pts"][t, pos], 1.0 - words["hs_codes"][t, pos]
         if spec.negative:
             line, i, j = (np.concatenate(x)[:, None] for x in (self.line, self.i, self.j))
-            u = keyed_draw_np(spec.seed, "neg", self.epoch, line, i, j, np.arange(1, spec.negative + 1)[None, :])
-            k = np.searchsorted(words["noise_lo"], u.ravel(), side="right") - 1
+            u = self.draws(line, i, j)
+            at = np.searchsorted(words["noise_lo"], u.ravel(), side="right") - 1
             ex = np.repeat(np.arange(n), spec.negative)
-            ok = (k >= 0) & (u.ravel() < words["noise_hi"][np.maximum(k, 0)]) & (k != target[ex])
+            k = words["noise_word"][np.maximum(at, 0)]
+            ok = (at >= 0) & (u.ravel() < words["noise_hi"][np.maximum(at, 0)]) & (k != target[ex])
             yield (SYN1NEG, "syn1neg", np.concatenate((np.arange(n), ex[ok])), np.concatenate((target, k[ok])),
                    np.concatenate((np.ones(n), np.zeros(int(ok.sum())))))
 
+    def draws(self, line, i, j) -> np.ndarray:
+        return keyed_draw_np(self.spec.seed, "neg", self.epoch, line, i, j,
+                             np.arange(1, self.spec.negative + 1)[None, :])
+
     def _gather(self, kind: int, ids: np.ndarray, vecs: np.ndarray) -> None:
         at, sums, n = _sum_rows(ids, vecs)
         if kind == SENT:
@@ -249,104 +215,291 @@ class _Step:
         self.sums[kind][at] += sums
         self.counts[kind][at] += n
 
-    def doc_rows(self):
-        if self.docs:
-            ids = list(self.docs)
-            yield pd.DataFrame({"kind": "sent", "id": ids, "grad": [self.docs[x][0] for x in ids],
-                                "n": [self.docs[x][1] for x in ids]})
-            self.docs = {}
-
-    def rows(self):
-        """One row per touched parameter row of the word side."""
-        for kind, counts in self.counts.items():
-            at = np.flatnonzero(counts)
-            for k in range(0, len(at), 4096):
-                part = at[k:k + 4096]
-                yield pd.DataFrame({"kind": KINDS[kind], "id": part, "grad": list(self.sums[kind][part]),
-                                    "n": counts[part]})
-
-
-def _partials(it, words: dict, mats: dict, spec: T.TrainSpec, epoch: int, batch: int | None):
-    step = _Step(words, mats, spec, epoch)
-    K, B = spec.batches, spec.slice_len
-    for pdf in it:
-        for line_no, sent_no, cat_no, idxs, svec, base, c_lo, c_hi, n in zip(
-                pdf["line_no"], pdf["sent_no"], pdf["cat_no"], pdf["idxs"], pdf["svec"],
-                pdf["base"], pdf["c_lo"], pdf["c_hi"], pdf["n"]):
-            # out-of-vocabulary gaps (inference) become -1: neither centre nor context
-            # (Arrow hands arrays with nulls over as floats with NaN)
-            fx = np.asarray(idxs, dtype=np.float64)
-            tokens = np.where(np.isnan(fx), -1, fx).astype(np.int64)
-            vec = None if svec is None else np.asarray(svec, dtype=np.float64)
-            cat = None if cat_no is None or pd.isna(cat_no) else int(cat_no)
-            base, line_no = int(base), int(line_no)
-            ii = np.arange(int(c_lo), int(c_hi), dtype=np.int64)
-            keep = tokens[ii - base] >= 0
+class _Draws(_Step):
+    """Only the noise buckets that the examples' draws fall into."""
+
+    def __init__(self, spec: T.TrainSpec, epoch: int, buckets: int):
+        super().__init__({"hs_pts": np.zeros((0, 0), np.int64)}, {}, spec, epoch)
+        self.buckets, self.hit = buckets, np.zeros(0, np.int64)
+
+    def score(self) -> None:
+        if self.n:
+            u = self.draws(*(np.concatenate(x)[:, None] for x in (self.line, self.i, self.j)))
+            self.hit = np.union1d(self.hit, np.floor(u * self.buckets).astype(np.int64))
+        self._reset()
+
+
+class Fetched:
+    """The parameter rows of a group as matrices over its own numbering of words, nodes, documents and categories."""
+
+    def __init__(self, rows: pa.Table, spec: T.TrainSpec):
+        kinds = rows["kind"].to_numpy(zero_copy_only=False)
+        ids = rows["id"].to_numpy()
+        at = {k: np.flatnonzero(kinds == k) for k in (*KINDS, "path", "noise")}
+        self.words = np.unique(np.concatenate([ids[at[k]] for k in ("syn0", "syn1neg", "path", "noise")]))
+        self.ids = {SYN0: self.words, SYN1NEG: self.words,
+                    **{c: np.sort(ids[at[KINDS[c]]]) for c in (SYN1, SENT, CAT)}}
+        self.mats = {}
+        for code, name in enumerate(KINDS):
+            m = np.zeros((max(len(self.ids[code]), 1), spec.size))
+            if len(at[name]):
+                vec = rows["vec"].take(pa.array(at[name])).combine_chunks()
+                m[np.searchsorted(self.ids[code], ids[at[name]])] = vec.flatten().to_numpy().reshape(-1, spec.size)
+            self.mats[name] = m
+        self.side: dict = {}
+        if spec.hs:
+            paths = rows.take(pa.array(at["path"]))
+            lens = pa.compute.list_value_length(paths["point"]).to_numpy()
+            longest = int(lens.max(initial=1))
+            inside = np.arange(longest)[None, :] < lens[:, None]
+            place = np.searchsorted(self.words, ids[at["path"]])
+            pts = np.zeros((len(self.words), longest), np.int64)
+            codes = np.zeros((len(self.words), longest))
+            both = [paths[c].combine_chunks().flatten().to_numpy() for c in ("point", "code")]
+            pts[place[:, None].repeat(longest, 1)[inside], np.nonzero(inside)[1]] = np.searchsorted(
+                self.ids[SYN1], both[0])
+            codes[place[:, None].repeat(longest, 1)[inside], np.nonzero(inside)[1]] = both[1]
+            n = np.zeros(len(self.words), np.int64)
+            n[place] = lens
+            self.side.update(hs_len=n, hs_pts=pts, hs_codes=codes)
+        if spec.negative:
+            noise = at["noise"]
+            lo, hi = (rows[c].to_numpy()[noise] for c in ("lo", "hi"))
+            order = np.argsort(lo)
+            # at least one interval, which nothing falls into
+            self.side.update(noise_lo=np.append(lo[order], 2.0), noise_hi=np.append(hi[order], 2.0),
+                             noise_word=np.append(np.searchsorted(self.words, ids[noise][order]), -1))
+
+    def local(self, code: int, ids: np.ndarray) -> np.ndarray:
+        """Numbers of global ids; -1 for what isn't here."""
+        known = self.ids[code]
+        if not len(known):
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        return np.where(known[at] == ids, at, -1)
+
+
+class Lines:
+    """The lines of a group, their tokens as one array."""
+
+    def __init__(self, table: pa.Table):
+        idxs = table["idxs"].combine_chunks()
+        self.tokens = pa.compute.fill_null(idxs.flatten(), -1).to_numpy().astype(np.int64)
+        self.ends = np.cumsum(pa.compute.list_value_length(idxs).to_numpy())
+        self.starts = np.append(0, self.ends[:-1]).astype(np.int64)
+        self.cols = {c: table[c].to_pylist() for c in LINE_COLS if c != "idxs"}
+        self.doc = np.array([-1 if d is None else d for d in self.cols["sent_no"]], np.int64)
+        self.cat = np.array([-1 if c is None else c for c in self.cols["cat_no"]], np.int64)
+
+    def feed(self, step: _Step, spec: T.TrainSpec, batch: int | None, rows: Fetched | None = None,
+             docs: np.ndarray | None = None) -> None:
+        """Give the lines' examples to ``step``; with ``rows``, in their numbering, with the documents' vectors from
+        ``docs`` or else as fetched."""
+        K, B = spec.batches, spec.slice_len
+        tokens, doc, cat = self.tokens, np.full(len(self.doc), -1), np.full(len(self.cat), -1)
+        if rows is not None:
+            tokens = np.where(tokens >= 0, rows.local(SYN0, tokens), -1)
+            doc, cat = rows.local(SENT, self.doc), rows.local(CAT, self.cat)
+            docs = rows.mats["sent"] if docs is None else docs
+        c = self.cols
+        for k in range(len(self.starts)):
+            line_no, base = c["line_no"][k], c["base"][k]
+            own = tokens[self.starts[k]:self.ends[k]]
+            ii = np.arange(c["c_lo"][k], c["c_hi"][k], dtype=np.int64)
+            keep = own[ii - base] >= 0
             if K > 1 and batch is not None:
                 keep &= (line_no + ii // B) % K == batch
             ii = ii[keep]
-            for k in range(0, len(ii), step.piece):
-                part = ii[k:k + step.piece]
+            vec = docs[doc[k]] if doc[k] >= 0 else None
+            for i in range(0, len(ii), step.piece):
+                part = ii[i:i + step.piece]
                 if step.centres and step.centres + len(part) > step.piece:
                     step.score()
-                step.add(line_no, sent_no, vec, cat, tokens, base, int(n), part)
-            if len(step.docs) >= DOCS_HELD:
-                yield from step.doc_rows()
-    step.score()
-    yield from step.doc_rows()
-    yield from step.rows()
-
-
-def spread_lines(lines: DataFrame, spec: T.TrainSpec) -> tuple[DataFrame, int, DataFrame | None]:
-    """Hash-partition the lines by document into at least the default
-    parallelism and write them once: the kernel is CPU-bound, so the stage
-    must not be coalesced into a few tasks, and the document vectors can
-    then be joined without moving the lines again.
-
-    The lines of a document with more than HOT_TOKENS tokens are dealt over several
-    partitions by a salt; its vector is joined to each of them.
-    -> lines with ``salt``, partitions, ``(sent_no, salts)`` of the hot documents."""
+                step.add(line_no, doc[k], vec, cat[k] if cat[k] >= 0 else None, own, base, c["n"][k], part)
+        step.score()
+
+
+def _gradient_rows(step: _Step, rows: Fetched) -> pa.Table:
+    """One row per touched parameter row."""
+    kinds, ids, grads, counts = [], [], [np.zeros((0, step.spec.size))], []
+    for code, n in step.counts.items():
+        at = np.flatnonzero(n)
+        kinds += [KINDS[code]] * len(at)
+        ids.append(rows.ids[code][at])
+        grads.append(step.sums[code][at])
+        counts.append(n[at])
+    if step.docs:
+        places = np.array(list(step.docs))
+        kinds += ["sent"] * len(places)
+        ids.append(rows.ids[SENT][places])
+        grads.append(np.stack([g for g, _ in step.docs.values()]))
+        counts.append(np.array([n for _, n in step.docs.values()]))
+    flat = np.concatenate(grads)
+    offsets = np.arange(len(flat) + 1, dtype=np.int32) * step.spec.size
+    none = np.zeros(0, np.int64)
+    return pa.table({"kind": pa.array(kinds, pa.string()), "id": pa.array(np.concatenate([none, *ids])),
+                     "grad": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel())),
+                     "n": pa.array(np.concatenate([none, *counts]))})
+
+
+# --------------------------------------------------------------------------
+# groups and what they read
+
+
+def group_count(lines: DataFrame, vocab: DataFrame, spec: T.TrainSpec) -> int:
+    """Groups such that none has more than GROUP_TOKENS tokens or reads much more than GROUP_BYTES: a token brings a
+    few rows, and all groups together read no row that isn't there."""
     sc = lines.sparkSession.sparkContext
-    p = max(sc.defaultParallelism, lines.rdd.getNumPartitions())
+    tokens = lines.agg(F.sum(F.col("c_hi") - F.col("c_lo"))).first()[0] or 0
+    per_token = 2 + 3 * spec.hs + spec.negative * (2 * spec.window if spec.arch == "sg" else 1)
+    room = GROUP_BYTES // (8 * spec.size)
+    all_rows = vocab.count() * (1 + spec.hs + (spec.negative > 0))
+    size = GROUP_TOKENS if all_rows <= room else min(GROUP_TOKENS, room // per_token)
+    return max(sc.defaultParallelism, -(-tokens // max(size, 1)))
+
+
+def group_labels(spark: SparkSession, groups: int, partitions: int) -> list[int]:
+    """Group labels that hash evenly over the partitions."""
+    want = -(-groups // partitions)
+    h = spark.range(8 * partitions * (want + 4)).select(
+        F.col("id").cast("int").alias("g"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(partitions)).alias("p"))
+    found: dict[int, list[int]] = {}
+    for r in h.orderBy("g").collect():
+        found.setdefault(r["p"], []).append(r["g"])
+    labels = [x for k in range(want) for p in range(partitions) for x in found.get(p, [])[k:k + 1]]
+    return labels[:max(groups, 1)]
+
+
+def spread_lines(lines: DataFrame, spec: T.TrainSpec, groups: int) -> tuple[DataFrame, int]:
+    """Deal the lines into groups and write them once: the kernel is CPU-bound, so every core gets some, and the
+    groups' rows then come to the lines without moving them again.
+
+    The lines of a document with more than HOT_TOKENS tokens are dealt over several groups by a salt; each of them
+    reads its vector.
+    -> lines with ``part``, number of partitions"""
+    spark = lines.sparkSession
+    partitions = min(groups, max(spark.sparkContext.defaultParallelism,
+                                 int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    labels = F.array(*[F.lit(g) for g in group_labels(spark, groups, partitions)])
     lines = T.with_segment_cols(lines)
-    if spec.family == "word":  # no vector to join: segments go anywhere
-        salted = lines.withColumn("salt", F.lit(0).cast("int"))
-        return salted.repartition(p, "line_no", "c_lo").checkpoint(eager=True), p, None
-    load = lines.groupBy("sent_no").agg(F.sum(F.col("c_hi") - F.col("c_lo")).alias("_n"))
-    hot = load.filter(F.col("_n") > HOT_TOKENS).select(
-        "sent_no", F.ceil(F.col("_n") / F.lit(HOT_TOKENS)).cast("int").alias("salts")).checkpoint(eager=True)
-    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("line_no", "c_lo"), F.col("salts"))).otherwise(0)
-    salted = lines.join(hot, "sent_no", "left").withColumn("salt", salt.cast("int")).drop("salts")
-    return salted.repartition(p, "sent_no", "salt").checkpoint(eager=True), p, hot
-
-
-def gradients_vec(params: DataFrame, lines: DataFrame, words_bc, mats_bc, spec: T.TrainSpec, epoch: int = 0,
-                  batch: int | None = None, partitions: int | None = None,
-                  hot: DataFrame | None = None) -> DataFrame:
-    """Summed (or mean) gradients per parameter row: (kind, id, grad).  ``lines``,
-    ``partitions`` and ``hot`` come from :func:`spread_lines`."""
-    if spec.family != "word":
-        sv = params.filter(F.col("kind") == "sent").select(F.col("id").alias("sent_no"), F.col("vec").alias("svec"))
-        if hot is not None:
-            copies = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
-            sv = sv.join(hot, "sent_no", "left").select("sent_no", "svec", F.explode(copies).alias("salt"))
-        else:
-            sv = sv.withColumn("salt", F.lit(0))
-        if "salt" not in lines.columns:
-            lines = lines.withColumn("salt", F.lit(0))
-        if partitions:
-            sv = sv.repartition(partitions, "sent_no", "salt")
-        lv = lines.join(sv, ["sent_no", "salt"], "left")
+    if spec.family == "word":  # no vector to share: segments go anywhere
+        number = F.xxhash64("line_no", "c_lo")
     else:
-        lv = lines.withColumn("svec", F.lit(None).cast("array<double>"))
-    lv = T.with_segment_cols(lv).select("line_no", "sent_no", "cat_no", "idxs", "svec", "base", "c_lo",
-                                        "c_hi", "n")
-    spec_, ep, b = spec, epoch, batch
-
-    def run(it):
-        yield from _partials(it, words_bc.value, mats_bc.value, spec_, ep, b)
-
-    part = lv.mapInPandas(run, "kind string, id long, grad array<double>, n long")
+        load = lines.groupBy("sent_no").agg(F.sum(F.col("c_hi") - F.col("c_lo")).alias("_n"))
+        hot = load.filter(F.col("_n") > HOT_TOKENS).select(
+            "sent_no", F.ceil(F.col("_n") / F.lit(HOT_TOKENS)).cast("int").alias("salts"))
+        lines = lines.join(hot, "sent_no", "left")
+        salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("line_no", "c_lo"), F.col("salts"))).otherwise(0)
+        number = F.xxhash64("sent_no", salt)
+    part = F.element_at(labels, (F.pmod(number, F.size(labels)) + 1).cast("int"))
+    return lines.select(*LINE_COLS, part.alias("part")).repartition(partitions, "part").checkpoint(eager=True), partitions
+
+
+def _batches(first, last, spec: T.TrainSpec):
+    """The mini-batches of the slices first..last of a line."""
+    if spec.batches == 1:
+        return F.array(F.lit(0))
+    return F.array_distinct(F.transform(
+        F.sequence(first, F.least(last, first + spec.batches - 1)),
+        lambda x: F.pmod(F.col("line_no") + x, F.lit(spec.batches)).cast("int")))
+
+
+def group_keys(lines: DataFrame, vocab: DataFrame, spec: T.TrainSpec, epochs: list[int],
+               store: ParamStore) -> tuple[DataFrame, DataFrame]:
+    """What the groups of :func:`spread_lines` read in each mini-batch of an epoch (or of several passes):
+    parameter keys ``(part, batch, kind, id)`` in the store's partitioning, and ``(part, batch, kind, id, point,
+    code, lo, hi)``, the paths and noise intervals they need."""
+    B, w = F.lit(spec.slice_len), spec.window
+    t = lines.filter(F.size("idxs") > 0).select("part", "line_no", "base", F.posexplode("idxs").alias("k", "id"))
+    pos = F.col("base") + F.col("k")
+    slices = (F.floor(F.greatest(pos - w, F.lit(0)) / B), F.floor((pos + w) / B))
+    words = t.filter("id is not null").select("part", "id", F.explode(_batches(*slices, spec)).alias("batch")).distinct()
+    reads = []
+    if spec.family == "word" or spec.arch == "cbow":
+        reads.append(words.withColumn("kind", F.lit("syn0")))
+    side = [words.select("part", "batch", F.lit("path").alias("kind"), "id")]
+    empty = {"point": "array<long>", "code": "array<double>", "lo": "double", "hi": "double"}
+    nothing = {c: F.lit(None).cast(d) for c, d in empty.items()}
+    if spec.hs:
+        paths = words.join(vocab.select(F.col("idx").alias("id"), F.col("point").cast("array<long>").alias("point"),
+                                        F.col("code").cast("array<double>").alias("code")), "id")
+        paths = paths.checkpoint(eager=True)
+        side = [paths.select("part", "batch", F.lit("path").alias("kind"), "id", "point", "code",
+                             *[nothing[c].alias(c) for c in ("lo", "hi")])]
+        reads.append(paths.select("part", "batch", F.explode("point").alias("id")).distinct()
+                     .withColumn("kind", F.lit("syn1")))
+    else:
+        side = []
+    if spec.negative:
+        noise = _noise_of_groups(lines, vocab, spec, epochs).checkpoint(eager=True)
+        side.append(noise.select("part", "batch", F.lit("noise").alias("kind"), "id",
+                                 *[nothing[c].alias(c) for c in ("point", "code")], "lo", "hi"))
+        reads.append(words.select("part", "batch", "id").unionByName(noise.select("part", "batch", "id")).distinct()
+                     .withColumn("kind", F.lit("syn1neg")))
+    spans = (F.floor(F.col("c_lo") / B), F.floor(F.greatest(F.col("c_hi") - 1, F.col("c_lo")) / B))
+    for kind, col in (("sent", "sent_no"), ("cat", "cat_no")):
+        if spec.family == "cat" or kind == "sent" and spec.family == "sent":
+            reads.append(lines.filter(F.col(col).isNotNull()).select(
+                "part", F.col(col).alias("id"), F.explode(_batches(*spans, spec)).alias("batch")).distinct()
+                .withColumn("kind", F.lit(kind)))
+    keys, extra = reads[0], side[0]
+    for r in reads[1:]:
+        keys = keys.unionByName(r)
+    for s in side[1:]:
+        extra = extra.unionByName(s)
+    return store.place(keys.select("part", "batch", "kind", "id")).checkpoint(eager=True), extra
+
+
+def _noise_of_groups(lines: DataFrame, vocab: DataFrame, spec: T.TrainSpec, epochs: list[int]) -> DataFrame:
+    """(part, batch, id, lo, hi): the noise intervals that a group's draws can fall into.  Draws meet intervals by
+    bucket; there are about as many buckets as words."""
+    buckets = 1 << max(10, (max(vocab.count(), 1) - 1).bit_length())
+    plain = T.with_spec(spec, hs=False)
+
+    def run(table: pa.Table) -> pa.Table:
+        group, out = Lines(table), []
+        for batch in range(spec.batches):
+            draws = _Draws(plain, epochs[0], buckets)
+            for epoch in epochs:
+                draws.epoch = epoch
+                group.feed(draws, plain, batch if spec.batches > 1 else None)
+            out.append(draws.hit)
+        n = [len(x) for x in out]
+        return pa.table({"part": pa.array([table["part"][0].as_py()] * sum(n), pa.int32()),
+                         "batch": pa.array(np.repeat(np.arange(len(n)), n), pa.int32()),
+                         "nb": pa.array(np.concatenate(out))})
+
+    hits = lines.groupBy("part").applyInArrow(run, "part int, batch int, nb long")
+    return hits.join(T.noise_buckets(vocab, buckets), "nb").select(
+        "part", "batch", F.col("idx").alias("id"), F.col("noise_lo").alias("lo"), F.col("noise_hi").alias("hi")).distinct()
+
+
+def fetched(store: ParamStore, keys: DataFrame, side: DataFrame, batch: int) -> DataFrame:
+    """The rows that the groups read in a mini-batch."""
+    here = F.col("batch") == batch
+    rows = store.read(keys.filter(here).select("part", "kind", "id"))
+    return rows.unionByName(side.filter(here).drop("batch"), allowMissingColumns=True).select(
+        F.col("part").alias("group"), "kind", "id", "vec", "point", "code", "lo", "hi")
+
+
+# --------------------------------------------------------------------------
+# training
+
+
+def gradients_vec(store: ParamStore, lines: DataFrame, keys: DataFrame, side: DataFrame, spec: T.TrainSpec,
+                  epoch: int = 0, batch: int = 0) -> DataFrame:
+    """Summed (or mean) gradients per parameter row: (kind, id, grad)."""
+
+    def run(table: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(table):
+            return _gradient_rows(_Step({"hs_pts": np.zeros((0, 0))}, {}, spec, epoch), None)
+        have = Fetched(rows, spec)
+        step = _Step(have.side, have.mats, spec, epoch)
+        Lines(table).feed(step, spec, batch if spec.batches > 1 else None, have)
+        return _gradient_rows(step, have)
+
+    rows = fetched(store, keys, side, batch)
+    part = lines.groupBy("part").cogroup(rows.groupBy("group")).applyInArrow(run, GRAD_SCHEMA)
     agg = (part.groupBy("kind", "id")
            .agg(Summarizer.sum(array_to_vector("grad")).alias("_g"), F.sum("n").alias("_n")))
     g = vector_to_array("_g", "float64")
@@ -356,26 +509,18 @@ def gradients_vec(params: DataFrame, lines: DataFrame, words_bc, mats_bc, spec:
 
 
 def train_epoch_vec(params: DataFrame, lines: DataFrame, vocab: DataFrame, spec: T.TrainSpec,
-                    epoch: int = 0, total_words: float | None = None, checkpoint: bool = True,
-                    max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """One epoch of K synchronous steps with the vectorised gradients; falls
-    back to the relational form when the word side is too large to broadcast."""
-    n_cats = params.filter(F.col("kind") == "cat").count()
-    if word_side_bytes(vocab, spec, n_cats) > max_broadcast_bytes:
-        return T.train_epoch(params, lines, vocab, spec, epoch, total_words, checkpoint)
-    sc = params.sparkSession.sparkContext
+                    epoch: int = 0, total_words: float | None = None, groups: int | None = None,
+                    blocks: int | None = None) -> DataFrame:
+    """One epoch of K synchronous steps with the vectorised gradients.  ``groups`` and ``blocks`` (of the lines and
+    of the store) change how work is dealt, not the result."""
     if total_words is None:
         total_words = float(vocab.agg(F.sum(F.col("cnt") * F.col("sample_prob"))).first()[0])
+    lines = T.with_segment_cols(lines)
     alphas = T.batch_alphas(lines, spec, total_words)
-    lines, parts, hot = spread_lines(lines, spec)
-    side = vocab_side(vocab, spec)
-    words = sc.broadcast(side)
+    store = ParamStore(params, blocks)
+    lines, _ = spread_lines(lines, spec, groups or group_count(lines, vocab, spec))
+    keys, side = group_keys(lines, vocab, spec, [epoch], store)
     for b in range(spec.batches):
-        bc = sc.broadcast(matrix_side(params, side["v"], spec))
-        grads = gradients_vec(params, lines, words, bc, spec, epoch, b if spec.batches > 1 else None, parts, hot)
-        params = T.apply_update(params, grads, spec, alphas[b])
-        if checkpoint:
-            params = params.checkpoint(eager=True)
-        bc.unpersist()
-    words.unpersist()
-    return params
+        grads = gradients_vec(store, lines, keys, side, spec, epoch, b)
+        store.append(T.updated_rows(store.read(grads, state=True), spec, alphas[b]))
+    return store.latest()

@@ -16,7 +16,7 @@ from ..tables import (benchmark_corpus, benchmark_corpus_sql, conversations_corp
                       conversations_corpus_sql)
 from .registry import register
 from ..operators.train_vec import train_epoch_vec
-from .train_sql import train_sql
+from .train_sql import epochs_sql, train_sql
 
 D = 4
 BASE = dict(size=D, window=3, negative=0, batches=2, alpha=0.025, seed=7)
@@ -177,3 +177,14 @@ _REL_DBOW = T.with_spec(T.TrainSpec(family="cat", arch="sg", hs=True, negative=N
 def q_relational_dbow(spark, sf):
     """Category DBoW with both objectives, relational step (single-input shortcut)."""
     return train_once(spark, sf, _REL_DBOW, conversations_corpus, vectorised=False)
+
+
+_LOOP = T.TrainSpec(family="cat", arch="cbow", hs=True, negative=2, cbow_mean=True, size=D, window=3, min_count=20,
+                    sample=0.01, batches=3, epochs=2, slice_len=50, normalize_each_epoch=True, seed=7).validate()
+
+
+@register("epoch_loop", sql=epochs_sql(_LOOP, conversations_corpus_sql()))
+def q_epoch_loop(spark, sf):
+    """Two epochs of three mini-batches with sub-sampling, vectors normalised after each."""
+    params, *_ = T.train(conversations_corpus(spark, sf), _LOOP)
+    return params.select("kind", "id", r6_array("vec").alias("vec"), r6_array("state").alias("state"))

@@ -277,16 +277,16 @@ def init_params_sql(spec: TrainSpec) -> str:
     return f"SELECT kind, id, vec, {state_sql(spec)} AS state FROM ({' UNION ALL '.join(parts)})"
 
 
-def alphas_sql(spec: TrainSpec) -> list[str]:
+def alphas_sql(spec: TrainSpec, tag: str = "") -> list[str]:
     """Per-batch learning rates (SGD decay by words of earlier batches)."""
     if spec.optimizer != "sgd" or spec.batches == 1:
-        return [f"alphas AS (SELECT b, {fl(spec.alpha)} AS alpha FROM range(0, {spec.batches}) t(b))"]
+        return [f"alphas{tag} AS (SELECT b, {fl(spec.alpha)} AS alpha FROM range(0, {spec.batches}) t(b))"]
     return [
-        "tw AS (SELECT sum(cnt * sample_prob) AS total FROM vocab)",
-        f"bw AS (SELECT b, coalesce((SELECT count(*) FROM pos WHERE batch < b), 0) AS done "
+        f"tw{tag} AS (SELECT sum(cnt * sample_prob) AS total FROM vocab)",
+        f"bw{tag} AS (SELECT b, coalesce((SELECT count(*) FROM pos{tag} WHERE batch < b), 0) AS done "
         f"FROM range(0, {spec.batches}) t(b))",
-        f"alphas AS (SELECT b, greatest({fl(spec.min_alpha)}, {fl(spec.alpha)} * (1 - done / total)) AS alpha "
-        f"FROM bw, tw)",
+        f"alphas{tag} AS (SELECT b, greatest({fl(spec.min_alpha)}, {fl(spec.alpha)} * (1 - done / total)) AS alpha "
+        f"FROM bw{tag}, tw{tag})",
     ]
 
 
@@ -316,3 +316,20 @@ def train_sql(spec: TrainSpec, corpus_sql: str) -> str:
     ctes, final = train_ctes(spec, corpus_sql)
     sel = (f"SELECT kind, id, {sqlh.r6_list('vec')} AS vec, {sqlh.r6_list('state')} AS state FROM {final}")
     return sqlh.with_ctes(ctes) + "\n" + sel
+
+
+def epochs_sql(spec: TrainSpec, corpus_sql: str) -> str:
+    """Full SQL of ``spec.epochs`` epochs: lines, windows and draws anew in each, the learning rate starting anew,
+    vectors normalised after each if asked for."""
+    ctes = [f"corpus AS ({corpus_sql})"] + vocab_sql(spec) + (ids_sql(spec) if spec.family != "word" else [])
+    ctes.append(f"p_0_0 AS ({init_params_sql(spec)})")
+    for ep in range(spec.epochs):
+        tag = f"_e{ep}_"
+        ctes += lines_sql(spec, ep, tag=tag) + pos_sql(spec, ep, tag=tag, lines=f"lines{tag}") + alphas_sql(spec, tag)
+        for b in range(spec.batches):
+            ctes += step_sql(spec, b, f"p_{ep}_{b}", f"p_{ep}_{b + 1}",
+                             f"SELECT alpha FROM alphas{tag} WHERE b = {b}", tag=tag, epoch=ep)
+        vec = sqlh.unit("vec") if spec.normalize_each_epoch else "vec"
+        ctes.append(f"p_{ep + 1}_0 AS (SELECT kind, id, {vec} AS vec, state FROM p_{ep}_{spec.batches})")
+    return sqlh.with_ctes(ctes) + (f"\nSELECT kind, id, {sqlh.r6_list('vec')} AS vec, {sqlh.r6_list('state')} AS state "
+                                   f"FROM p_{spec.epochs}_0")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit, vadd
-from ..operators.infer import infer_vectors
+from ..operators.infer import frozen_store, infer_vectors
 from ..operators.similarity import knn
 from ..operators.train import TrainSpec
 
@@ -39,11 +39,13 @@ def stream_infer(stream: DataFrame, params: DataFrame, vocab: DataFrame, pairs:
     """Infer every arriving document (corpus rows) and write its top-k
     categories to the Parquet table ``out_path`` (partitioned by batch_id)."""
     pv = pair_vectors(params, pairs).checkpoint(eager=True)
+    store = frozen_store(params)  # placed once, read by every micro-batch
+    vocab = vocab.checkpoint(eager=True)
 
     def each(batch: DataFrame, batch_id: int):
         if batch.isEmpty():
             return
-        inf = infer_vectors(batch, params, vocab, spec, iterations)
+        inf = infer_vectors(batch, params, vocab, spec, iterations, store=store)
         # one folder per micro-batch, overwritten if the batch is re-executed
         # after a failure: the output stays exactly-once
         top_categories(inf, pv, k).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")

@@ -67,3 +67,32 @@ def test_inference_freezes_model_and_is_batch_free(spark, sf):
     part = new.filter(F.col("line_no") < 20)
     some = {r["sent_id"]: r["vec"] for r in infer_vectors(part, params, vocab, spec, 2).collect()}
     assert some and all(abs(a - b) < 1e-12 for k in some for a, b in zip(some[k], whole[k]))
+
+
+def test_frequent_words_do_not_gather_in_one_partition(spark):
+    """One word in the vocabulary and one outside it each make up 30% of the tokens; broadcasts by size are off."""
+    from pyspark.sql import functions as F
+
+    from embra.operators import vocab as V
+    rows = [(i, "c", str(i), [x for k in range(40) for x in ("the", "unseen", f"w{(i * 40 + k) % 3000}")]) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "line_no long, cat_id string, sent_id string, words array<string>")
+    vocab = V.build_vocab(corpus, 2).filter("word <> 'unseen'").checkpoint()
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        toks = V.explode_tokens(corpus.select("line_no", "words"), "words", pos="opos")
+        v = vocab.select("word", "idx", "sample_prob")
+        many = toks.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(T.HOT_WORDS).select("word")
+        for frequent in (v.filter(F.col("idx") < T.HOT_WORDS), many.join(v, "word", "left")):
+            j = T.lookup_words(toks, v, frequent)
+            sizes = [r["count"] for r in j.groupBy(F.spark_partition_id()).count().collect()]
+            if frequent.filter("word = 'unseen'").count():
+                assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+            got = {(r["word"], r["idx"]) for r in j.select("word", "idx").distinct().collect()}
+            assert got == {(r["word"], r["idx"]) for r in v.collect()} | {("unseen", None)}
+            assert sum(sizes) == 36000
+    finally:
+        for n, x in before.items():
+            spark.conf.set(n, x)

@@ -35,15 +35,18 @@ def test_vectorised_equals_relational(spark, sf, kw):
     assert _rows(rel) == _rows(vec)
 
 
-def test_vectorised_falls_back_beyond_bound(spark, sf):
-    spec = T.TrainSpec(family="sent", size=4, window=2, min_count=3, seed=1)
-    corpus = benchmark_corpus(spark, sf)
-    vocab = V.build_vocab(corpus, spec.min_count).checkpoint(eager=True)
-    docs = V.doc_ids(corpus)
-    lines = T.prepare_lines(corpus, vocab, spec, 0, docs).checkpoint(eager=True)
-    p0 = T.init_params(spec, vocab, docs).checkpoint(eager=True)
-    a = train_epoch_vec(p0, lines, vocab, spec, 0, max_broadcast_bytes=1)
-    assert _rows(a) == _rows(T.train_epoch(p0, lines, vocab, spec, 0))
+@pytest.mark.parametrize("kw", [SPECS[1], SPECS[2], SPECS[4]], ids=["cat-cbow", "sent-sg", "word-sg"])
+def test_groups_and_blocks_do_not_change_the_step(spark, sf, kw):
+    spec = T.TrainSpec(size=4, window=2, min_count=3, batches=3, slice_len=5, seed=11, **kw).validate()
+    corpus = (conversations_corpus if spec.family == "cat" else benchmark_corpus)(spark, sf)
+    vocab = V.build_vocab(corpus, spec.min_count, hs=spec.hs, negative=spec.negative).checkpoint(eager=True)
+    docs = V.doc_ids(corpus) if spec.family != "word" else None
+    cats = V.cat_ids(corpus) if spec.family == "cat" else None
+    lines = T.prepare_lines(corpus, vocab, spec, 0, docs, cats, segment_len=T.SEGMENT_LEN).checkpoint(eager=True)
+    p0 = T.init_params(spec, vocab, docs, cats).checkpoint(eager=True)
+    one = _rows(train_epoch_vec(p0, lines, vocab, spec, 0, groups=1, blocks=1))
+    assert one == _rows(train_epoch_vec(p0, lines, vocab, spec, 0, groups=50, blocks=50))
+    assert one == _rows(T.train_epoch(p0, lines, vocab, spec, 0))
 
 
 @pytest.mark.parametrize("kw", [SPECS[0], SPECS[1], SPECS[5]], ids=["cat-sg", "cat-cbow", "word-cbow"])
