@@ -1,31 +1,34 @@
-"""Top-k cosine search and the vector lookups built on it.
-
-Exact brute-force search: queries and items are cut into hash blocks; every query block is paired with every item block by an
-``explode`` of block numbers and a co-grouped ``applyInPandas``.  Each
-group multiplies one query block by one item block with numpy and emits
-only its local top-k (plus ties), so the shuffle carries
-``queries x item_blocks x k`` rows (with groups: the best item of the k
-best groups of each block).  The blocks are compared in full: this is an
-exact search of a stated query set against all items, in blocks.  A final
-``row_number`` window (planned as a WindowGroupLimit) keeps the global
-top-k per query.  Ties are broken by item id, after rounding the score to
-9 decimals so that summation order does not change the ranking.
+"""Top-k search by dot product and the vector lookups built on it.
+
+Exact search over Voronoi cells.  Items are cut into cells around pivots (items
+drawn by a hash of their id); with one more coordinate all items have the same
+length, so the nearest items are those of largest dot product and the triangle
+inequality holds.  From its distances to the pivots and the cells' radii a query
+knows how near its k-th item must be at the latest, and which cells can't hold
+one so near; it goes to the others only.  Inside a cell (cut into blocks if it
+is large) queries and items meet in a co-grouped task that multiplies matrices
+and emits the local top-k, with ties.  A final ``row_number`` window (planned as
+a WindowGroupLimit) keeps the global top-k.  Ties are broken by item id, after
+rounding the score to 9 decimals so that summation order does not change the
+ranking.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.vectors import dot, r6, unit, vadd
 
-ITEM_BLOCK_ROWS = 20_000
+CELL_ROWS = 4_096          # items of a cell, about
+MAX_PIVOTS = 1_024         # pivots and cell statistics are broadcast: this many vectors at most
+CELL_GROUPS = 32           # groups of a cell whose radius is kept
+ITEM_BLOCK_ROWS = 20_000   # of a large cell
 QUERY_BLOCK_ROWS = 2_000
 _CHUNK = 256
 
@@ -50,15 +53,119 @@ def top_k(df: DataFrame, part: list[str], order: list[Column], k: int | None,
     return ranked if k is None else ranked.filter(F.col(rank_col) <= k)
 
 
-def _block_count(df: DataFrame, rows_per_block: int) -> int:
-    n = df.count()
-    return max(1, math.ceil(n / rows_per_block))
+class Cells:
+    """Pivots and, per cell, its items' number and distances from the pivot; with groups also those of (some of) its
+    groups.  ``length``: the length that all items have with their extra coordinate."""
+
+    def __init__(self, pivots: np.ndarray, length: float):
+        self.pivots, self.length = pivots, length
+        # the extra coordinate of the pivots, which are items
+        self.rest = np.sqrt(np.maximum(length**2 - (pivots**2).sum(axis=1), 0.0))
+
+    def distances(self, v: np.ndarray, items: bool) -> np.ndarray:
+        """Rows x pivots; queries have 0 as extra coordinate."""
+        own = (v**2).sum(axis=1)
+        dots = v @ self.pivots.T
+        if items:
+            dots += np.sqrt(np.maximum(self.length**2 - own, 0.0))[:, None] * self.rest[None, :]
+            own = self.length**2
+        else:
+            own = own[:, None]
+        return np.sqrt(np.maximum(own + self.length**2 - 2 * dots, 0.0))
+
+    def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = self.distances(v, True)
+        cell = d.argmin(axis=1)
+        return cell, d[np.arange(len(v)), cell]
+
+    def describe(self, cells: pd.DataFrame, groups: pd.DataFrame | None) -> None:
+        """``cells``: cell, n, low, high; ``groups``: cell, grp, n, high."""
+        self.n, self.low, self.high = (np.zeros(len(self.pivots)) for _ in range(3))
+        self.low += np.inf  # an empty cell is never visited
+        at = cells["cell"].to_numpy()
+        self.n[at], self.low[at], self.high[at] = cells["n"], cells["low"], cells["high"]
+        self.groups = None
+        if groups is not None:
+            code = pd.factorize(groups["grp"])[0]
+            order = np.argsort(code, kind="stable")
+            self.groups = (groups["cell"].to_numpy()[order], groups["n"].to_numpy()[order],
+                           groups["high"].to_numpy()[order], np.flatnonzero(np.diff(code[order], prepend=-1)))
+
+    def visited(self, v: np.ndarray, k: int | None, left_out: np.ndarray) -> list[np.ndarray]:
+        """The cells that can hold one of the k best items (groups) of each query, of which ``left_out`` items don't
+        count."""
+        full = np.flatnonzero(self.n)
+        if k is None:
+            return [full] * len(v)
+        d = self.distances(v, False)
+        out = []
+        for row, x in zip(d, left_out):
+            if self.groups is None:
+                reach = row + self.high
+                order = np.argsort(reach)
+                enough = np.searchsorted(np.cumsum(self.n[order]), k + x)
+                bound = reach[order[enough]] if enough < len(order) else np.inf
+            else:
+                cell, n, high, first = self.groups
+                near = np.minimum.reduceat(np.where(n > x, row[cell] + high, np.inf), first)
+                bound = np.partition(near, k - 1)[k - 1] if len(near) >= k else np.inf
+            least = np.maximum(row - self.high, self.low - row)
+            # scores that are equal when rounded to 9 decimals, and rounded distances, must not lose a cell
+            out.append(full[least[full] <= np.sqrt(bound**2 + 4e-9) + 1e-6 * (self.length + 1)])
+        return out
+
+
+def _make_cells(items: DataFrame, k: int | None, grouped: bool, cell_rows: int) -> tuple[Cells | None, DataFrame]:
+    """Items (i_id, iv, grp), already written, with their ``cell``; None: one cell holds all."""
+    spark = items.sparkSession
+    square = F.aggregate("iv", F.lit(0.0), lambda a, x: a + x * x)
+    r = items.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m")).first()
+    count = min(MAX_PIVOTS, r["n"] // cell_rows)
+    if count < 2 or k is None:
+        return None, items.withColumn("cell", F.lit(0))
+    drawn = items.select(F.xxhash64("i_id").alias("h"), "iv").orderBy("h").limit(count).toPandas()
+    cells = Cells(np.stack(drawn["iv"].to_numpy()), float(np.sqrt(r["m"])) * (1 + 1e-12))
+    shared = spark.sparkContext.broadcast(cells)
+
+    def place(it):
+        for pdf in it:
+            cell, dist = shared.value.nearest(np.stack(pdf["iv"].to_numpy()))
+            yield pdf.assign(cell=cell.astype("int32"), dist=dist)
+
+    schema = StructType([*items.schema.fields, StructField("cell", IntegerType()), StructField("dist", DoubleType())])
+    placed = items.mapInPandas(place, schema).checkpoint(eager=True)
+    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"),
+                                       F.max("dist").alias("high")).toPandas()
+    groups = None
+    if grouped:
+        g = placed.groupBy("cell", "grp").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("high"))
+        groups = top_k(g, ["cell"], [F.col("n").desc(), F.col("grp")], CELL_GROUPS).drop("rank").toPandas()
+    cells.describe(stats, groups)
+    return cells, placed.drop("dist")
+
+
+def _visits(queries: DataFrame, cells: Cells | None, k: int | None, exclude_self: bool) -> DataFrame:
+    """Queries (q_id, qv, qx) with ``cells``, those that they go to."""
+    if cells is None:
+        return queries.withColumn("cells", F.array(F.lit(0)))
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def go(it):
+        for pdf in it:
+            if len(pdf):
+                left = np.array([0 if x is None else len(x) for x in pdf["qx"]]) + int(exclude_self)
+                to = shared.value.visited(np.stack(pdf["qv"].to_numpy()), k, left)
+                yield pdf.assign(cells=[x.astype("int32") for x in to])
+
+    schema = StructType([*queries.schema.fields, StructField("cells", ArrayType(IntegerType()))])
+    return queries.mapInPandas(go, schema).checkpoint(eager=True)
 
 
 def knn(queries: DataFrame, items: DataFrame, k: int | None, *,
         q_id: str = "q_id", i_id: str = "i_id", q_vec: str = "vec", i_vec: str = "vec",
         exclude: str | None = None, exclude_self: bool = False,
         i_group: str | None = None,
+        cell_rows: int = CELL_ROWS,
         item_block_rows: int = ITEM_BLOCK_ROWS,
         query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """Top-k items per query by dot product of the given vectors.
@@ -71,20 +178,31 @@ def knn(queries: DataFrame, items: DataFrame, k: int | None, *,
     """
     q_type = dict(queries.dtypes)[q_id]
     i_type = dict(items.dtypes)[i_id]
-    n_ib = _block_count(items, item_block_rows)
-    n_qb = _block_count(queries, query_block_rows)
-
-    qcols = [F.col(q_id).alias("q_id"), F.col(q_vec).cast("array<double>").alias("qv")]
-    qcols.append(F.col(exclude).cast(f"array<{i_type}>").alias("qx") if exclude
-                 else F.lit(None).cast(f"array<{i_type}>").alias("qx"))
-    qb = (queries.select(*qcols)
-          .withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(n_qb)))
-          .withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_ib - 1).cast("long")))))
+    qx = F.col(exclude).cast(f"array<{i_type}>") if exclude else F.lit(None).cast(f"array<{i_type}>")
     g_type = dict(items.dtypes)[i_group] if i_group else "long"
     gcol = (F.col(i_group) if i_group else F.lit(0).cast("long")).alias("grp")
-    ib = (items.select(F.col(i_id).alias("i_id"), F.col(i_vec).cast("array<double>").alias("iv"), gcol)
-          .withColumn("ib", F.pmod(F.xxhash64("i_id"), F.lit(n_ib)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_qb - 1).cast("long")))))
+    # written once: what they come from isn't run again for the statistics
+    items = items.select(F.col(i_id).alias("i_id"), F.col(i_vec).cast("array<double>").alias("iv"),
+                         gcol).checkpoint(eager=True)
+    queries = queries.select(F.col(q_id).alias("q_id"), F.col(q_vec).cast("array<double>").alias("qv"),
+                             qx.alias("qx")).checkpoint(eager=True)
+    cells, placed = _make_cells(items, k, i_group is not None, cell_rows)
+    visits = _visits(queries, cells, k, exclude_self)
+
+    # large cells are cut into blocks on both sides; counts have one row per cell
+    def blocks(df, rows, name):
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name))
+
+    goes = visits.select("q_id", "qv", "qx", F.explode("cells").alias("cell"))
+    cuts = blocks(placed, item_block_rows, "n_ib").join(
+        blocks(goes.select("cell"), query_block_rows, "n_qb"), "cell").checkpoint(eager=True)
+
+    def dealt(df, key, own, n_own, other, n_other):
+        df = df.join(cuts, "cell").withColumn(own, F.pmod(F.xxhash64(key), F.col(n_own)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("n_ib", "n_qb")
+
+    qb = dealt(goes, "q_id", "qb", "n_qb", "ib", "n_ib").withColumnRenamed("cell", "q_cell")
+    ib = dealt(placed, "i_id", "ib", "n_ib", "qb", "n_qb")
 
     kk = k
     self_ex = exclude_self
@@ -138,7 +256,7 @@ def knn(queries: DataFrame, items: DataFrame, k: int | None, *,
                              "grp": np.concatenate(out_g),
                              "sim": np.concatenate(out_s).astype("float64")})
 
-    cand = (qb.groupBy("qb", "ib").cogroup(ib.groupBy("qb", "ib"))
+    cand = (qb.groupBy("q_cell", "qb", "ib").cogroup(ib.groupBy("cell", "qb", "ib"))
             .applyInPandas(score, schema=f"q_id {q_type}, i_id {i_type}, grp {g_type}, sim double"))
     order = [F.round("sim", 9).desc(), F.col("i_id")]
     if grouped:

@@ -57,12 +57,15 @@ def word_similarity(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def analogy_vectors(questions: DataFrame, words: DataFrame) -> DataFrame:
-    """unit((b + c) - a) of unit word vectors for questions (q_id, wa, wb, wc, ...)."""
+    """unit((b + c) - a) of unit word vectors for questions (q_id, wa, wb, wc, ...), with the ids ``ex`` of the
+    three words; a question with an unknown word stays, with null for both."""
     def side(c, n):
         return words.select(F.col("word").alias(c), F.col("idx").alias(f"i{n}"), F.col("uvec").alias(f"u{n}"))
-    j = questions.join(side("wa", "a"), "wa").join(side("wb", "b"), "wb").join(side("wc", "c"), "wc")
+    j = questions.join(side("wa", "a"), "wa", "left").join(side("wb", "b"), "wb", "left").join(
+        side("wc", "c"), "wc", "left")
     s = F.zip_with(F.zip_with("ub", "uc", lambda x, y: x + y), "ua", lambda x, y: x - y)
-    return j.select("*", unit(s).alias("uvec"), F.array("ia", "ib", "ic").alias("ex"))
+    known = F.col("ia").isNotNull() & F.col("ib").isNotNull() & F.col("ic").isNotNull()
+    return j.select("*", F.when(known, unit(s)).alias("uvec"), F.when(known, F.array("ia", "ib", "ic")).alias("ex"))
 
 
 def doesnt_match(tokens: DataFrame, words: DataFrame) -> DataFrame:
@@ -94,8 +97,8 @@ def analogy_accuracy(questions: DataFrame, words: DataFrame, restrict_vocab: int
             .select("q_id", "predicted"))
     res = qq.select("q_id", "section", "expected").join(pred, "q_id", "left")
     hit = F.when(F.col("predicted") == F.col("expected"), 1).otherwise(0)
-    per = res.groupBy("section").agg(F.sum(hit).cast("long").alias("correct"),
-                                     F.sum(1 - hit).cast("long").alias("incorrect"))
-    total = per.agg(F.lit("total").alias("section"), F.sum("correct").cast("long").alias("correct"),
-                    F.sum("incorrect").cast("long").alias("incorrect"))
-    return per.unionByName(total)
+    # one pass for the sections and the total over them
+    return res.rollup("section").agg(F.sum(hit).cast("long").alias("correct"),
+                                     F.sum(1 - hit).cast("long").alias("incorrect"),
+                                     F.grouping("section").alias("_all")).select(
+        F.when(F.col("_all") == 1, "total").otherwise(F.col("section")).alias("section"), "correct", "incorrect")

@@ -83,16 +83,18 @@ r AS (SELECT * FROM (SELECT q_id, i_id, sim, CAST(row_number() OVER (PARTITION B
       ORDER BY round(sim, 9) DESC, i_id) AS INTEGER) AS rank FROM (SELECT q.q_id, w.idx AS i_id,
       list_dot_product(q.uvec, w.uvec) AS sim FROM aqu q, wv w WHERE w.idx NOT IN (q.ia, q.ib, q.ic)))
       WHERE rank <= 3)
-SELECT r.q_id, w.word AS nbr, r.rank, {sqlh.r6('r.sim')} AS sim FROM r JOIN wv w ON w.idx = r.i_id"""))
+SELECT q.q_id, w.word AS nbr, r.rank, {sqlh.r6('r.sim')} AS sim FROM questions q LEFT JOIN r ON r.q_id = q.q_id
+LEFT JOIN wv w ON w.idx = r.i_id"""))
 def q_knn_word_analogy(spark, sf):
     """most_similar(positive=[b, c], negative=[a], topn=3): unit vectors
-    weighted +1/+1/-1, input words excluded."""
+    weighted +1/+1/-1, input words excluded; a question with an unknown word is one row of nulls."""
     w = trained_words(spark, sf, P_SPEC, part_corpus)
     q = questions(spark, sf)
     qv = analogy_vectors(q, w)
-    r = knn(qv.select("q_id", "uvec", "ex"), w.select(F.col("idx").alias("i_id"), "uvec"), 3,
+    r = knn(qv.filter("uvec is not null").select("q_id", "uvec", "ex"), w.select(F.col("idx").alias("i_id"), "uvec"), 3,
             q_vec="uvec", i_vec="uvec", exclude="ex")
-    return (r.join(w.select(F.col("idx").alias("i_id"), F.col("word").alias("nbr")), "i_id")
+    named = r.join(w.select(F.col("idx").alias("i_id"), F.col("word").alias("nbr")), "i_id")
+    return (q.select("q_id").join(named.select("q_id", "nbr", "rank", "sim"), "q_id", "left")
             .select("q_id", "nbr", "rank", r6("sim").alias("sim")))
 
 

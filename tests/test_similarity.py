@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from embra.functions.vectors import unit
@@ -92,3 +93,80 @@ def test_unknown_words_keep_their_rows(spark):
                                   "q_id long, word string, vec array<double>, weight double")
     got = sorted((r["q_id"], r["nbr"], r["rank"], r["missing"]) for r in most_similar(terms, words, 2).collect())
     assert got == [(1, "b", 1, []), (1, "c", 2, []), (2, None, None, ["x"])]
+
+
+def _clustered(rng, n, clusters, dims, scale):
+    centre = rng.standard_normal((clusters, dims)) * scale
+    v = centre[np.arange(n) % clusters] + 0.1 * rng.standard_normal((n, dims))
+    v[n // 2:n // 2 + 30] = v[7]  # ties: many equal items
+    return v
+
+
+VARIANTS = [({}, lambda q: (), False), ({"exclude_self": True}, lambda q: (q,), False),
+            ({"exclude": "ex"}, lambda q: (q, (q + 24) % 1200), False),
+            ({"i_group": "grp", "exclude_self": True}, lambda q: (q,), True)]
+
+
+@pytest.mark.parametrize("unit_length", [True, False])
+def test_cells_give_the_exact_result(spark, monkeypatch, unit_length):
+    """On clustered unit vectors a query goes to few of 50 cells."""
+    from embra.operators import similarity as S
+    rng = np.random.default_rng(6)
+    v = _clustered(rng, 1200, 24, 6, 3.0)
+    v = v / np.linalg.norm(v, axis=1)[:, None] if unit_length else v * rng.uniform(0.5, 2, (1200, 1))
+    items = spark.createDataFrame([(i, x.tolist(), int(i % 7)) for i, x in enumerate(v)],
+                                  "i_id long, vec array<double>, grp long").checkpoint()
+    ask = list(range(0, 1200, 9)) + [607]
+    queries = spark.createDataFrame([(i, v[i].tolist(), [int(i), (i + 24) % 1200]) for i in ask],
+                                    "q_id long, vec array<double>, ex array<long>").checkpoint()
+    sims = np.round(v[ask] @ v.T, 9)
+    seen = []
+    real = S._visits
+    monkeypatch.setattr(S, "_visits", lambda *a: seen.append(real(*a)) or seen[-1])
+
+    def best(row, left, by_group):
+        order = sorted((i for i in range(1200) if i not in left), key=lambda i: (-row[i], i))
+        if by_group:
+            first = {}
+            for i in order:
+                first.setdefault(i % 7, i)
+            order = list(first.values())
+        return order[:5]
+
+    for kw, left, grouped in VARIANTS if unit_length else VARIANTS[1::2]:
+        got = {}
+        r = S.knn(queries, items, 5, cell_rows=24, item_block_rows=40, query_block_rows=30, **kw)
+        for x in r.orderBy("q_id", "rank").collect():
+            got.setdefault(x["q_id"], []).append(x["i_id"])
+        assert got == {q: best(row, left(q), grouped) for q, row in zip(ask, sims)}
+    if unit_length:
+        copies = [s.agg(F.avg(F.size("cells"))).first()[0] for s in seen]
+        assert max(copies) < 15 and copies[0] < 10, copies
+
+
+def test_cells_with_few_or_no_rows(spark):
+    schema = "i_id long, vec array<double>"
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])], schema)
+    q = items.withColumnRenamed("i_id", "q_id")
+    empty = spark.createDataFrame([], schema)
+    for cell_rows in (1, 4096):
+        got = knn(q, items, 2, exclude_self=True, cell_rows=cell_rows).collect()
+        assert {(r["q_id"], r["rank"]): r["i_id"] for r in got} == {
+            (1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 1, (3, 2): 2}
+        assert knn(q, empty, 2, cell_rows=cell_rows).collect() == []
+        assert knn(empty.withColumnRenamed("i_id", "q_id"), items, 2, cell_rows=cell_rows).collect() == []
+    assert knn(q, items, None).count() == 9
+
+
+def test_analogy_questions_with_unknown_words(spark):
+    from embra.operators.words import analogy_accuracy, analogy_vectors
+    words = spark.createDataFrame([("a", 0, 1, [1.0, 0.0]), ("b", 1, 1, [0.6, 0.8]), ("c", 2, 1, [0.0, 1.0]),
+                                   ("d", 3, 1, [-0.6, 0.8])], "word string, idx long, cnt long, uvec array<double>")
+    q = spark.createDataFrame([(1, "s1", "a", "b", "c", "d"), (2, "s1", "a", "x", "c", "d"), (3, "s2", "c", "b", "a", "d"),
+                               (4, "s2", "a", "b", "c", "x")],
+                              "q_id long, section string, wa string, wb string, wc string, expected string")
+    got = {r["q_id"]: (r["uvec"] is None, r["ex"]) for r in analogy_vectors(q, words).collect()}
+    assert got == {1: (False, [0, 1, 2]), 2: (True, None), 3: (False, [2, 1, 0]), 4: (False, [0, 1, 2])}
+    acc = analogy_accuracy(q, words)
+    assert {r["section"]: (r["correct"], r["incorrect"]) for r in acc.collect()} == {
+        "s1": (1, 0), "s2": (1, 0), "total": (2, 0)}
