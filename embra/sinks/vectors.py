@@ -3,15 +3,13 @@ paragraph and category vector text files."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import commit_parts, open_fs
+from ..storage import FolderWrite
 from .text import write_lines
 
 
@@ -41,31 +39,36 @@ def save_vocab(words: DataFrame, path: str) -> None:
 def save_word2vec_binary(words: DataFrame, path: str) -> list:
     """``V d\\n`` then per word ``word<space>`` + d float32 (little endian).
 
-    Rows are range-sorted by descending count and every task writes a part file on
-    the shared storage; part 0 carries the header.  Attempts write under temporary
-    names, and only the files of the attempts that Spark counts are moved to their
-    final names.  Returns the per-part summary (part, rows)."""
+    Rows are range-sorted by descending count and every task writes a part file; the
+    first carries the header.  The parts become readable together, by one manifest that
+    lists those of the attempts that Spark counts, in order; an earlier write of the folder
+    stays readable until then and is dropped afterwards, and a job that fails leaves nothing
+    readable of its own (:class:`storage.FolderWrite`).  Put end to end in the manifest's
+    order, the parts are one file of the format.  Returns the per-part summary (part, rows)."""
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     header = f"{stats['n']} {stats['d'] or 0}\n".encode()
-    folder = path
+    job = FolderWrite(path)
 
     def write_part(it):
-        fs, base = open_fs(folder)
-        fs.create_dir(f"{base}/_temporary", recursive=True)
-        pid, tmp, rows = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.tmp", 0
-        with fs.open_output_stream(f"{base}/_temporary/{tmp}", compression=None) as f:
+        pid, rows = TaskContext.get().partitionId(), 0
+        name, out = job.create()
+        with out as f:
             if pid == 0:
                 f.write(header)
             for pdf in it:
                 for w, v in zip(pdf["word"], pdf["vec"]):
                     f.write(w.encode("utf-8") + b" " + np.asarray(v, dtype="<f4").tobytes())
                 rows += len(pdf)
-        yield pd.DataFrame({"part": [pid], "rows": [rows], "tmp": [tmp]})
+        yield pd.DataFrame({"part": [pid], "rows": [rows], "name": [name]})
 
     ordered = words.select((-F.col("cnt")).alias("_nc"), "idx", "word", "vec").orderBy("_nc", "idx")
-    # the action: one summary row per part file
-    parts = ordered.select("word", "vec").mapInPandas(write_part, "part int, rows long, tmp string").collect()
-    commit_parts(folder, {r["tmp"]: f"part-{r['part']:05d}.bin" for r in parts})
+    try:  # the action: one summary row per part file
+        parts = ordered.select("word", "vec").mapInPandas(write_part, "part int, rows long, name string").collect()
+        parts.sort(key=lambda r: r["part"])
+        job.commit([r["name"] for r in parts])
+    except Exception:
+        job.abort()
+        raise
     return [(r["part"], r["rows"]) for r in parts]
 
 

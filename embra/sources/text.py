@@ -8,11 +8,11 @@ Compressed files (.gz, .bz2) are decoded by the Hadoop codecs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import keyed_uniform
-from ..operators.ordering import dense_index, running_max_dense, running_sum_dense
+from ..operators.ordering import dense_index, running_max_dense
 
 WS = r"(?U)\s+"
 
@@ -81,23 +81,37 @@ def read_line_sentences(spark, source) -> DataFrame:
                         F.lit(None).cast("string").alias("sent_id"), _ws_split(F.col("value")).alias("words"))
 
 
+def stream_tokens(spark, source) -> DataFrame:
+    """(file, split, m, word): the tokens of a stream, ``m`` ascending within a split.
+
+    Files are cut at single spaces, so one line of any length is read by many tasks."""
+    if isinstance(source, DataFrame):
+        rows = source.select(F.lit("").alias("file"), F.spark_partition_id().cast("long").alias("split"), "value")
+    else:
+        paths = [source] if isinstance(source, str) else list(source)
+        rows = spark.read.option("lineSep", " ").text(paths).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    toks = rows.select("file", "split", F.explode_outer(_ws_split(F.col("value"))).alias("word"))
+    return toks.filter("word is not null").withColumn("m", F.monotonically_increasing_id())
+
+
 def read_text8(spark, source, sentence_len: int = 1000) -> DataFrame:
     """One token stream cut into sentences of ``sentence_len`` tokens.
 
-    Global token positions = running sum of per-line token counts (range
-    partitioned, no single task); a sentence groups at most
-    ``sentence_len`` tokens."""
-    lines = read_lines(spark, source).select("line_no", _ws_split(F.col("value")).alias("toks"))
-    lines = lines.withColumn("n", F.size("toks").cast("long"))
-    # line_no is already a dense 0-based index: deterministic buckets, nothing written
-    cum = running_sum_dense(lines, "line_no", F.col("n"), "cum")
-    toks = cum.select(F.posexplode("toks").alias("k", "w"), (F.col("cum") - F.col("n")).alias("off"))
-    toks = toks.withColumn("pos", F.col("off") + F.col("k"))
-    g = (toks.groupBy(F.floor(F.col("pos") / sentence_len).cast("long").alias("line_no"))
-         .agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("_t")))
+    A token's position is its place in its split and the tokens of the splits before,
+    summed over one row per split; a sentence groups at most ``sentence_len`` tokens."""
+    # written once: places within a split must not change between the two uses
+    toks = stream_tokens(spark, source).checkpoint(eager=True)
+    splits = toks.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m0"))
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("m0")).alias("shift"))
+    pos = (F.col("m") + F.col("shift")).alias("pos")
+    g = (toks.join(splits, ["file", "split"]).select("word", pos)
+         .groupBy(F.floor(F.col("pos") / sentence_len).cast("long").alias("line_no"))
+         .agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_t")))
     return g.select("line_no", F.lit(None).cast("string").alias("cat_id"),
                     F.lit(None).cast("string").alias("sent_id"),
-                    F.transform("_t", lambda t: t["w"]).alias("words"))
+                    F.transform("_t", lambda t: t["word"]).alias("words"))
 
 
 def read_brown(spark, source) -> DataFrame:

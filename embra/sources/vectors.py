@@ -3,16 +3,14 @@ paragraph and category vector text files."""
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
 from ..operators.ordering import dense_index
-from ..storage import open_fs
+from ..storage import committed_files, open_fs
 from .text import WS, read_lines
 
 
@@ -48,12 +46,13 @@ def read_word2vec_text(spark, source, fvocab=None, norm_only: bool = False) -> D
     return out.withColumn("vec", unit("vec")) if norm_only else out
 
 
-READ_BYTES = 8 << 20   # of a binary file held at once
+READ_BYTES = 8 << 20      # of a binary file held at once
+RANGE_RECORDS = 1 << 16   # records that one task reads at a time
 
 
-def _binary_records(stream, d: int):
-    """(word, vector) of a binary stream after its header, a block at a time."""
-    buf, done = b"", False
+def _record_starts(stream, d: int, start: int):
+    """Places of the words of a binary file's records, from a stream at ``start``; at last the end of the last one."""
+    buf, done, at = b"", False, start
     while not done:
         block = stream.read(READ_BYTES)
         done, buf, pos = not block, buf + block, 0
@@ -63,43 +62,90 @@ def _binary_records(stream, d: int):
             space = buf.find(b" ", pos)
             if space < 0 or space + 1 + 4 * d > len(buf):
                 break
-            yield buf[pos:space].decode("utf-8"), np.frombuffer(buf, "<f4", d, space + 1).astype("float64")
+            yield at + pos
             pos = space + 1 + 4 * d
-        buf = buf[pos:]
+        buf, at = buf[pos:], at + pos
     if buf.strip(b"\n"):
         raise ValueError("the last vector is cut off")
-
-
-def read_word2vec_binary(spark, source, fvocab=None) -> DataFrame:
-    """Binary word2vec: header ``V d\\n`` then ``word<space>`` + d float32,
-    newlines before a word ignored.  One file or a folder of part files
-    (header in the first).  Files are streamed in blocks, so their size is not
-    limited; records have no marks to split at, so a file is read by one task."""
-    # paths only: the content column isn't read
-    paths = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(source).select("path")
-    first = paths.agg(F.min("path")).first()[0]
+    yield at
+
+
+def _records(data: bytes, d: int, n: int):
+    """(words, vectors) of n records."""
+    words, vecs, pos = [], np.empty((n, d), "<f4"), 0
+    for k in range(n):
+        while data[pos:pos + 1] == b"\n":
+            pos += 1
+        space = data.find(b" ", pos)
+        words.append(data[pos:space].decode("utf-8"))
+        vecs[k] = np.frombuffer(data, "<f4", d, space + 1)
+        pos = space + 1 + 4 * d
+    return words, vecs.astype("float64")
+
+
+def binary_ranges(spark, files: DataFrame, first: str, header: int, d: int,
+                  records: int = RANGE_RECORDS) -> DataFrame:
+    """Where every ``records``-th record of the files begins: (path, rec, n, start, size).  Records have no marks to
+    split at, so each file is gone through once, without making vectors."""
+    def scan(it):
+        for pdf in it:
+            for path in pdf["path"]:
+                fs, name = open_fs(path)
+                skip = header if path == first else 0
+                rows, begin, n, rec = [], skip, 0, 0
+                with fs.open_input_stream(name, compression=None) as f:
+                    f.read(skip)
+                    for at in _record_starts(f, d, skip):
+                        if n == records:
+                            rows.append((path, rec, n, begin, at - begin))
+                            begin, rec, n = at, rec + n, 0
+                        n += 1
+                    n -= 1  # the end isn't a record
+                    if n:
+                        rows.append((path, rec, n, begin, at - begin))
+                yield pd.DataFrame(rows, columns=["path", "rec", "n", "start", "size"])
+
+    count = max(1, files.count())
+    return files.repartition(count, "path").mapInPandas(scan, "path string, rec long, n long, start long, size long")
+
+
+def read_word2vec_binary(spark, source, fvocab=None, records: int = RANGE_RECORDS) -> DataFrame:
+    """Binary word2vec: header ``V d\\n`` then ``word<space>`` + d float32, newlines before a word ignored.  One file,
+    a folder of part files (header in the first) or a folder that the writer committed.
+
+    One pass notes where every ``records``-th record begins; then the ranges between are read in parallel, so one
+    file may be of any size and is decoded by many tasks."""
+    names = committed_files(source)
+    if names is not None:
+        paths = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "path string, file long")
+    else:  # paths only: the content column isn't read
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(source).select("path")
+        paths = found.withColumn("file", F.row_number().over(Window.orderBy("path")).cast("long"))
+    first = paths.orderBy("file").first()["path"]
     fs, name = open_fs(first)
     with fs.open_input_stream(name, compression=None) as f:
         head = f.read(64).split(b"\n", 1)[0]
     n, d = (int(x) for x in head.split())
+    ranges = binary_ranges(spark, paths.select("path"), first, len(head) + 1, d, records).checkpoint(eager=True)
+    # one row per range: its first record's number over all files
+    before = Window.orderBy("file", "rec").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.join(paths, "path").withColumn("idx", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
     def parse(it):
         for pdf in it:
-            for path in pdf["path"]:
+            for path, k, start, size, idx in zip(pdf["path"], pdf["n"], pdf["start"], pdf["size"], pdf["idx"]):
                 fs, name = open_fs(path)
-                with fs.open_input_stream(name, compression=None) as f:
-                    if path == first:
-                        f.read(len(head) + 1)
-                    recs = enumerate(_binary_records(f, d))
-                    while part := list(itertools.islice(recs, 4096)):
-                        yield pd.DataFrame({"path": path, "rec": [r for r, _ in part],
-                                            "word": [w for _, (w, _) in part], "vec": [v for _, (_, v) in part]})
-
-    files = max(1, paths.count())
-    recs = paths.repartition(files).mapInPandas(parse, "path string, rec long, word string, vec array<double>")
-    ix = dense_index(recs, [F.col("path"), F.col("rec")], "idx")
-    words = ix.withColumn("_V", F.lit(n))
-    out = _counts(words, read_vocab(spark, fvocab) if fvocab else None)
+                with fs.open_input_file(name) as f:
+                    f.seek(int(start))
+                    words, vecs = _records(f.read(int(size)), d, int(k))
+                for i in range(0, len(words), 4096):
+                    part = words[i:i + 4096]
+                    yield pd.DataFrame({"idx": idx + i + np.arange(len(part)), "word": part,
+                                        "vec": list(vecs[i:i + 4096])})
+
+    tasks = max(1, min(ranges.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    recs = ranges.repartition(tasks, "idx").mapInPandas(parse, "idx long, word string, vec array<double>")
+    out = _counts(recs.withColumn("_V", F.lit(n)), read_vocab(spark, fvocab) if fvocab else None)
     return out.select("word", "idx", "cnt", "vec")
 
 

@@ -140,11 +140,69 @@ def test_binary_vectors_across_blocks(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(words, "word string, idx long, cnt long, vec array<double>")
     folder = str(tmp_path / "w2v")
     parts = save_word2vec_binary(df, folder)
-    assert sum(r for _, r in parts) == 40 and not (tmp_path / "w2v" / "_temporary").exists()
+    assert sum(r for _, r in parts) == 40
     got = [(r["word"], r["vec"]) for r in R.read_word2vec_binary(spark, folder).orderBy("idx").collect()]
     assert got == [(w, v) for w, _, _, v in words]
-    data = b"".join(b"\n" * (i % 2) + w.encode() + b" " + np.array(v, "<f4").tobytes() for w, i, _, v in words)
+    data = b"40 3\n" + b"".join(b"\n" * (i % 2) + w.encode() + b" " + np.array(v, "<f4").tobytes() for w, i, _, v in words)
+    one = tmp_path / "one.bin"
+    one.write_bytes(data)
     monkeypatch.setattr(R, "READ_BYTES", 7)
-    assert [(w, v.tolist()) for w, v in R._binary_records(io.BytesIO(data), 3)] == [(w, v) for w, _, _, v in words]
+    starts = list(R._record_starts(io.BytesIO(data[5:]), 3, 5))
+    assert len(starts) == 41 and starts[-1] == len(data)
+    assert all(data[a:].startswith(w.encode()) for a, (w, *_) in zip(starts, words))
     with pytest.raises(ValueError, match="cut off"):
-        list(R._binary_records(io.BytesIO(data[:-1]), 3))
+        list(R._record_starts(io.BytesIO(data[5:-1]), 3, 5))
+    # one file, read by several tasks
+    found = R.read_word2vec_binary(spark, str(one), records=6)
+    assert found.rdd.getNumPartitions() == 7
+    assert [(r["word"], r["vec"]) for r in found.orderBy("idx").collect()] == [(w, v) for w, _, _, v in words]
+
+
+def test_binary_writes_are_all_or_nothing(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from embra.sinks.vectors import save_word2vec_binary
+    from embra.sources.vectors import read_word2vec_binary
+    folder = str(tmp_path / "w2v")
+
+    def words(n):
+        return spark.range(n).select(F.format_string("w%04d", "id").alias("word"), F.col("id").alias("idx"),
+                                     (n - F.col("id")).alias("cnt"), F.array(F.col("id").cast("double")).alias("vec"))
+
+    lost = F.array(F.raise_error(F.lit("lost")).cast("double"))
+    bad = words(500).withColumn("vec", F.when(F.col("idx") == 450, lost).otherwise(F.col("vec")))
+    with pytest.raises(Exception, match="lost"):
+        save_word2vec_binary(bad, folder)
+    assert not (tmp_path / "w2v" / "_manifest.json").exists()
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len(save_word2vec_binary(words(500), folder)) == 8
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    with pytest.raises(Exception, match="lost"):
+        save_word2vec_binary(bad, folder)
+    assert read_word2vec_binary(spark, folder).count() == 500   # the earlier write is still there
+    parts = save_word2vec_binary(words(30), folder)
+    assert len(parts) < 8 and read_word2vec_binary(spark, folder).count() == 30
+    (left,) = [p for p in (tmp_path / "w2v").iterdir() if p.is_dir()]
+    assert len(list(left.iterdir())) == len(parts)
+
+
+def test_one_line_token_stream_is_read_by_many_tasks(spark, tmp_path):
+    from embra.sources.text import read_text8, stream_tokens
+    words = [f"w{i}" for i in range(5000)]
+    path = tmp_path / "stream"
+    path.write_text(" ".join(words[:2000]) + "  \t" + " ".join(words[2000:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert stream_tokens(spark, str(path)).select("split").distinct().count() > 4
+        got = read_text8(spark, str(path), 300).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert [w for r in got for w in r["words"]] == words
+    assert [len(r["words"]) for r in got] == [300] * 16 + [200] and [r["line_no"] for r in got] == list(range(17))
