@@ -13,7 +13,7 @@ NAMES = [
     "sparse_cosine", "knn_word_analogy", "analogy_accuracy", "infer_category", "src_wiki_sampled",
     "src_text8", "src_questions", "w2v_binary", "mm_roundtrip", "stream_word_count", "huffman_part",
     "vocab_reuse", "c2v_dbow_hs_sgd_mean", "decode_html", "to_unicode_policies", "most_similar",
-    "word_similarity", "doesnt_match", "eval_limit", "word_dists",
+    "word_similarity", "doesnt_match", "eval_limit", "word_dists", "epoch_loop",
 ]
 
 
@@ -38,5 +38,6 @@ def test_matches_duckdb(spark, sf, con, registry, name):
 
 def test_every_query_has_a_twin_or_is_documented(registry):
     from embra.plans.registry import ORACLE, QUERIES
-    assert sorted(set(QUERIES) - set(ORACLE)) == ["huffman"]
+    assert sorted(set(QUERIES) - set(ORACLE)) == ["eval_cat_trained", "eval_joint_cat_trained",
+                                                  "eval_joint_sent_trained", "eval_sent_trained", "huffman"]
     assert set(QUERIES) <= set(registry[0])
