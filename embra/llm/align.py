@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -41,13 +42,12 @@ RUN_DOCS = 1 << 16        # documents of a run
 BLOCK = 1 << 14           # pairs of a block
 MERGE_BYTES = 32 << 20    # compressed pieces merged at once
 FAN_IN = 16               # and at least so many, so that rounds end
-GROUP_CHARS = 1 << 20     # text encoded together
+GROUP_CHARS = 4 << 20     # text encoded together
+LINES = 1000              # chunks encoded in one call
 CACHE_ENTRIES = 400_000   # chunks a worker remembers
 CACHE_CHARS = 32 << 20    # and their characters
 DOC_BITS = 17             # of a document's place in its run, in sort keys
 
-# a space and what follows, up to the next space after a solid character
-CHUNK = re.compile(r" +(?:[^ ]*+(?<=[^\S\x1c-\x1f]) +)*[^ ]*")
 PLAIN = re.compile(r" [\S\x1c-\x1f]+")  # one space, then solid characters only
 
 
@@ -55,6 +55,16 @@ PLAIN = re.compile(r" [\S\x1c-\x1f]+")  # one space, then solid characters only
 # encoding and aligning
 
 
+def chunk_starts(b: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where both tokenizers always begin a token: spaces after a character that is surely solid
+    (printable ASCII or one of two bytes that isn't a space)."""
+    if len(b) < 2:
+        return np.zeros(0, np.int64)
+    solid = (b > 0x20) & (b < 0x7F)
+    solid[1:] |= (b[:-1] >= 0xC3) & (b[:-1] < 0xE0) & (b[1:] >= 0x80)
+    return np.flatnonzero(solid[:-1] & (b[1:] == 0x20)) + 1
+
+
 class Aligner:
     """Encodes and aligns chunks; remembers them in numbered slots."""
 
@@ -78,6 +88,9 @@ class Aligner:
                                 else piece.replace("▁", " ").encode())
         self.a_len = np.array([len(x) for x in self.a_bytes])
         self.b_len = np.array([len(x) for x in self.b_bytes])
+        # an id with what follows it: inside a group, at the end of its side
+        self.a_text, self.b_text = (np.array([[f"{i},", f"{i}{end}"] for i in range(n)], object)
+                                    for n, end in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")))
         self.newline = self.a.encode("\n", add_special_tokens=False).ids
         self.space = self.b.piece_to_id("▁")
         self.rows = -(-len(self.a_bytes) // RADIX)  # A ids of a radix
@@ -101,87 +114,110 @@ class Aligner:
         self.first = np.zeros(1, np.int64)        # links of a slot
         self.links = np.zeros(0, np.int64)
 
-    def _encode_a(self, chunks: list[str]) -> list[list[int]]:
-        """A line break between plain chunks is a token of its own, so they go in one call."""
-        plain = [c for c in chunks if PLAIN.fullmatch(c)]
-        out: dict[str, list[int]] = {}
-        if len(self.newline) == 1 and plain:
-            ids = np.array(self.a.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.flatnonzero(ids == self.newline[0])
-            if len(ends) != len(plain) - 1:
+    def _encode_a(self, plain: list[str], rest: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row and how many each has.  A line break between plain chunks is a token of its own,
+        so they go in few calls."""
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(plain), LINES):
+            some = plain[k:k + LINES]
+            x = np.array(self.a.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            inside = x != self.newline[0]
+            ends = np.append(np.flatnonzero(~inside), len(x))
+            if len(self.newline) != 1 or len(ends) != len(some):
                 raise ValueError("the vocabulary doesn't keep line breaks apart")
-            ids = ids.tolist()
-            at = 0
-            for c, end in zip(plain, [*ends.tolist(), len(ids)]):
-                out[c] = ids[at:end]
-                at = end + 1
-        rest = [c for c in chunks if c not in out]
-        for c, e in zip(rest, self.a.encode_batch_fast(rest, add_special_tokens=False)):
-            out[c] = e.ids
-        return [out[c] for c in chunks]
-
-    def _encode_b(self, chunks: list[str]) -> list[list[int]]:
+            ids.append(x[inside])
+            counts.append(np.diff(ends, prepend=-1) - 1)
+        for e in self.a.encode_batch_fast(rest, add_special_tokens=False):
+            ids.append(np.array(e.ids, np.int64))
+            counts.append(np.array([len(ids[-1])], np.int64))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _encode_b(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The model puts a space in front itself, but not before an empty text."""
         ids = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        return [x if x or c != " " else [self.space] for c, x in zip(chunks, ids)]
+        ids = [x if x or c != " " else [self.space] for c, x in zip(chunks, ids)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(counts.sum())), counts
 
     def add(self, chunks: list[str]) -> None:
         """Align new chunks and give them slots."""
         if not chunks:
             return
-        a, b = self._encode_a(chunks), self._encode_b(chunks)
-        good, texts = [], []
-        for c, x, y in zip(chunks, a, b):
-            text = c.encode()
-            good.append(b"".join(map(self.a_bytes.__getitem__, x)) == text
-                        and b"".join(map(self.b_bytes.__getitem__, y)) == text)
-            texts.append(text)
+        plain = [c for c in chunks if PLAIN.fullmatch(c)]
+        known = set(plain)
+        rest = [c for c in chunks if c not in known] if len(plain) < len(chunks) else []
+        chunks = plain + rest
+        (fa, na), (fb, nb) = self._encode_a(plain, rest), self._encode_b(chunks)
+        texts = [c.encode() for c in chunks]
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        owner_a, owner_b = (np.repeat(np.arange(len(n)), n) for n in (na, nb))
+        ok = np.ones(len(chunks), bool)
+        for ids, owner, lens, table in ((fa, owner_a, self.a_len, self.a_bytes), (fb, owner_b, self.b_len, self.b_bytes)):
+            ok &= np.bincount(owner, lens[ids], len(chunks)) == size
+        for ids, owner, table in ((fa, owner_a, self.a_bytes), (fb, owner_b, self.b_bytes)):
+            keep = ok[owner]
+            kept = ids[keep].tolist()
+            if b"".join(map(table.__getitem__, kept)) != b"".join(itertools.compress(texts, ok.tolist())):
+                ends = np.cumsum(np.bincount(owner[keep], minlength=len(chunks))).tolist()
+                at = 0
+                for k, end in enumerate(ends):
+                    if ok[k] and b"".join(map(table.__getitem__, kept[at:end])) != texts[k]:
+                        ok[k] = False
+                    at = end
         start = len(self.slots)
         self.slots.update(zip(chunks, range(start, start + len(chunks))))
-        self.chars += sum(map(len, chunks))
-        ok = np.array(good)
+        self.chars += int(size.sum())
         # ranges of the good chunks laid end to end
-        fa = np.array([i for x, g in zip(a, good) if g for i in x], np.int64)
-        fb = np.array([i for x, g in zip(b, good) if g for i in x], np.int64)
-        ea, eb = np.cumsum(self.a_len[fa]), np.cumsum(self.b_len[fb])
-        ends = np.cumsum([len(t) for t, g in zip(texts, good) if g]).astype(np.int64)
+        fa, fb = fa[ok[owner_a]], fb[ok[owner_b]]
+        ea, eb, ends = np.cumsum(self.a_len[fa]), np.cumsum(self.b_len[fb]), np.cumsum(size[ok])
+        mark = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int8)
+        mark[ea] = 1
+        mark[eb] += 2
+        cuts, both = np.flatnonzero(mark), np.flatnonzero(mark == 3)
         # between two neighbouring cuts lie one A and one B token: the links
-        cuts = np.union1d(ea, eb)
-        links = self.code(fa[np.searchsorted(ea, cuts)], fb[np.searchsorted(eb, cuts)])
-        n_links = np.zeros(len(chunks), np.int64)
+        links = self.code(fa[np.cumsum(mark[cuts] & 1) - (mark[cuts] & 1)], fb[np.cumsum(mark[cuts] >> 1) - (mark[cuts] >> 1)])
+        n_links, n_groups = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         n_links[ok] = np.diff(np.searchsorted(cuts, ends, side="right"), prepend=0)
-        both = np.intersect1d(ea, eb, assume_unique=True)
-        n_groups = np.zeros(len(chunks), np.int64)
         n_groups[ok] = np.diff(np.searchsorted(both, ends, side="right"), prepend=0)
-        sa, sb = list(map(str, fa.tolist())), list(map(str, fb.tolist()))
-        text_of = []
-        i = j = 0
-        for p, q in zip((np.searchsorted(ea, both) + 1).tolist(), (np.searchsorted(eb, both) + 1).tolist()):
-            text_of.append(",".join(sa[i:p]) + "|" + ",".join(sb[j:q]))
-            i, j = p, q
+        # the ids as text, group by group, A before B
+        ga, gb = np.searchsorted(both, ea), np.searchsorted(both, eb)
+        last_a, last_b = (np.diff(g, append=len(both)) > 0 for g in (ga, gb))
+        words = np.concatenate((self.a_text[fa, last_a.astype(int)], self.b_text[fb, last_b.astype(int)]))
+        side = np.concatenate((2 * ga, 2 * gb + 1))
+        words = words[np.argsort(side, kind="stable")].tolist()
+        n_words = np.where(ok, na + nb, 0)
         at = 0
-        for n in n_groups.tolist():
-            self.groups.append(";".join(text_of[at:at + n]))
+        for n in n_words.tolist():
+            self.groups.append("".join(words[at:at + n])[:-1])
             at += n
-        sizes = np.array([[len(x), len(y), 0] for x, y in zip(a, b)], np.int64).reshape(-1, 3)
-        sizes[:, 2] = n_groups
         self.good = np.concatenate((self.good, ok))
-        self.sizes = np.concatenate((self.sizes, sizes))
+        self.sizes = np.concatenate((self.sizes, np.stack((na, nb, n_groups), axis=1)))
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(n_links)))
         self.links = np.concatenate((self.links, links))
 
+    def _cut(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Texts with a space in front as numbers of distinct chunks in a row, the chunks, and how many each text has."""
+        laid = pa.array([" " + t if t else "" for t in texts], pa.large_string())
+        at = np.frombuffer(laid.buffers()[1], np.int64)[:len(texts) + 1]
+        data = laid.buffers()[2] or pa.py_buffer(b"")
+        raw = np.frombuffer(data, np.uint8)[:at[-1]]
+        mark = np.zeros(len(raw) + 1, bool)
+        mark[chunk_starts(raw)] = mark[at] = True
+        cuts = np.flatnonzero(mark)
+        pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data).dictionary_encode()
+        return (pieces.indices.to_numpy().astype(np.int64), pieces.dictionary.to_numpy(zero_copy_only=False).tolist(),
+                np.diff(np.searchsorted(cuts, at)))
+
     def align(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[str], tuple]:
         """-> numbers by document, group digests, and links as (document, code, how often), codes of a document not
         yet distinct."""
-        cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        seen = dict.fromkeys(c for x in cut for c in x)
-        new = [c for c in seen if c not in self.slots]
+        index, chunks, per_doc = self._cut(texts)
+        new = [c for c in chunks if c not in self.slots]
         if len(self.slots) + len(new) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
             self.reset()
-            new = list(seen)
+            new = chunks
         self.add(new)
-        per_doc = np.array([len(x) for x in cut], np.int64)
-        slot = np.fromiter((self.slots[c] for x in cut for c in x), np.int64, int(per_doc.sum()))
+        slot = np.fromiter(map(self.slots.__getitem__, chunks), np.int64, len(chunks))[index]
         doc = np.repeat(np.arange(len(texts)), per_doc)
         sound = np.bincount(doc, ~self.good[slot], len(texts)) == 0
         keep = sound[doc]
