@@ -311,8 +311,9 @@ def clean_documents(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", t
                     **options) -> DataFrame:
     """``docs`` without the contaminated ones, all columns kept.  A verdict depends on
     the text alone, so rows are matched by key (null-safe) and a hash of the text."""
-    marked = docs.select(F.struct(*docs.columns).alias("_row"), docs[text].alias("_text"),
-                         F.struct(docs[key].alias("k"), F.xxhash64(docs[text]).alias("h")).alias("_id"))
+    words, number = F.col(f"`{text}`"), F.col(f"`{key}`")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), words.alias("_text"),
+                         F.struct(number.alias("k"), F.xxhash64(words).alias("h")).alias("_id"))
     bad = contamination(marked.select("_id", "_text"), items, key="_id", text="_text", **options) \
         .filter("contaminated").select(F.col("key.k").alias("_k"), F.col("key.h").alias("_h")).distinct()
     return marked.join(bad, (F.col("_id.h") == F.col("_h")) & F.col("_id.k").eqNullSafe(F.col("_k")),

@@ -84,3 +84,10 @@ def test_empty_tables(spark):
     assert none.count() == 0
     clean = decontam.contamination(docs(spark, [(1, "a b c")]), items(spark, []))
     assert [(r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in clean.collect()] == [(3, 0, [], False)]
+
+
+def test_clean_documents_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5), (2, "x y z", 6)], "doc_id long, text string, `a.b` long")
+    items = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    out = decontam.clean_documents(docs, items, length=3, share=20)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "a b c", 5)]
