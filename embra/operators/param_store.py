@@ -24,8 +24,8 @@ class ParamStore:
         self.layers = [self.place(params).checkpoint(eager=True)]
 
     def place(self, rows: DataFrame) -> DataFrame:
-        """Rows with their blocks' partitioning."""
-        return rows.repartition(self.blocks, "kind", "id")
+        """Rows in their blocks, in key order, so that reads merge without sorting."""
+        return rows.repartition(self.blocks, "kind", "id").sortWithinPartitions("kind", "id")
 
     def read(self, keys: DataFrame, state: bool = False) -> DataFrame:
         """``keys`` (kind, id and more columns; best partitioned by :meth:`place`) with the

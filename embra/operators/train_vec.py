@@ -392,7 +392,8 @@ def spread_lines(lines: DataFrame, spec: T.TrainSpec, groups: int) -> tuple[Data
         salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("line_no", "c_lo"), F.col("salts"))).otherwise(0)
         number = F.xxhash64("sent_no", salt)
     part = F.element_at(labels, (F.pmod(number, F.size(labels)) + 1).cast("int"))
-    return lines.select(*LINE_COLS, part.alias("part")).repartition(partitions, "part").checkpoint(eager=True), partitions
+    return lines.select(*LINE_COLS, part.alias("part")).repartition(partitions, "part").sortWithinPartitions(
+        "part").checkpoint(eager=True), partitions
 
 
 def _batches(first, last, spec: T.TrainSpec):
