@@ -71,23 +71,27 @@ def _one_line_step(n_tokens, v=2000, size=100, negative=5):
     import tracemalloc
 
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     from embra.operators import train_vec as X
     rng = np.random.default_rng(1)
     spec = T.TrainSpec(family="sent", arch="sg", hs=True, negative=negative, size=size, window=5, seed=3).validate()
-    words = {"v": v, "hs_len": np.full(v, 14), "hs_pts": rng.integers(0, v - 1, (v, 14)),
+    words = {"hs_len": np.full(v, 14), "hs_pts": rng.integers(0, v - 1, (v, 14)),
              "hs_codes": rng.integers(0, 2, (v, 14)).astype(float), "noise_lo": np.arange(v) / v,
-             "noise_hi": np.arange(1, v + 1) / v}
-    mats = {k: rng.standard_normal((v, size)) / 10 for k in ("syn0", "syn1", "syn1neg", "cat")}
-    line = pd.DataFrame({"line_no": [4], "sent_no": [9], "cat_no": [None], "svec": [rng.standard_normal(size) / 10],
-                         "idxs": [rng.integers(0, v, n_tokens).tolist()], "base": [0], "c_lo": [0], "c_hi": [n_tokens],
-                         "n": [n_tokens]})
+             "noise_hi": np.arange(1, v + 1) / v, "noise_word": np.arange(v)}
+    have = X.Fetched.__new__(X.Fetched)
+    have.mats = {k: rng.standard_normal((1 if k in ("sent", "cat") else v, size)) / 10 for k in X.KINDS}
+    have.ids = {c: np.arange(v) for c in range(5)} | {X.SENT: np.array([9]), X.CAT: np.array([0])}
+    line = pa.table({"line_no": [4], "sent_no": [9], "cat_no": pa.array([None], pa.int64()),
+                     "idxs": [rng.integers(0, v, n_tokens).tolist()], "base": [0], "c_lo": [0], "c_hi": [n_tokens],
+                     "n": [n_tokens]})
     tracemalloc.start()
-    out = list(X._partials([line], words, mats, spec, 0, None))
+    step = X._Step(words, have.mats, spec, 0)
+    X.Lines(line).feed(step, spec, None, have)
+    out = X._gradient_rows(step, have).to_pandas()
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    return pd.concat(out).set_index(["kind", "id"]).sort_index(), peak
+    return out.set_index(["kind", "id"]).sort_index(), peak
 
 
 def test_memory_does_not_grow_with_the_line():
@@ -136,6 +140,7 @@ def test_hot_documents_are_dealt_over_partitions(spark, sf, monkeypatch):
     p0 = T.init_params(spec, vocab, docs, cats).checkpoint(eager=True)
     ref = _rows(train_epoch_vec(p0, lines, vocab, spec, 0))
     monkeypatch.setattr(X, "HOT_TOKENS", 40)
-    spread, _, hot = X.spread_lines(lines, spec)
-    assert hot.count() > 3 and spread.filter("salt > 0").count() > 3
+    spread, _ = X.spread_lines(lines, spec, 4)
+    groups = spread.select("sent_no", "part").distinct().groupBy("sent_no").count()
+    assert groups.filter("count > 1").count() > 3
     assert _rows(train_epoch_vec(p0, lines, vocab, spec, 0)) == ref
