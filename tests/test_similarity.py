@@ -170,3 +170,36 @@ def test_analogy_questions_with_unknown_words(spark):
     acc = analogy_accuracy(q, words)
     assert {r["section"]: (r["correct"], r["incorrect"]) for r in acc.collect()} == {
         "s1": (1, 0), "s2": (1, 0), "total": (2, 0)}
+
+
+def test_blocks_hold_many_cells(spark):
+    """A query is copied once per block, not once per cell it visits; copies of an item don't all become candidates."""
+    from embra.operators import similarity as S
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((900, 24))
+    v[300:] = np.tile(v[:100], (6, 1))  # seven of the first hundred
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    items = spark.createDataFrame([(i, x.tolist(), int(i % 7)) for i, x in enumerate(v)],
+                                  "i_id long, vec array<double>, grp long").checkpoint()
+    cells, placed = S._make_cells(items.select("i_id", F.col("vec").alias("iv"), "grp"), 3, False, 30)
+    span = S._pack(cells, 900, 300)
+    assert len(span) == 30 and max(b for _, b in span) + 1 <= 4
+    size = {}
+    for r in placed.groupBy("cell").count().collect():
+        a, b = span[r["cell"]]
+        for x in range(a, b + 1):
+            size[x] = size.get(x, 0) + r["count"] / (b - a + 1)
+    assert max(size.values()) <= 300
+    grp = np.arange(900) % 7
+    for by_group in (None, grp):
+        best = S._Best(10, 3, by_group if by_group is None else np.sort(by_group), np.arange(900))
+        best.add(np.arange(10), 0, np.ones((10, 900)))
+        assert len(best.row) <= 70
+    sims = np.round(v @ v.T, 9)
+    queries = items.filter("i_id % 20 = 0").select(F.col("i_id").alias("q_id"), "vec")
+    got = {}
+    r = S.knn(queries, items, 3, exclude_self=True, cell_rows=30, item_block_rows=300)
+    for x in r.orderBy("q_id", "rank").collect():
+        got.setdefault(x["q_id"], []).append(x["i_id"])
+    assert got == {q: sorted((i for i in range(900) if i != q), key=lambda i: (-sims[q, i], i))[:3]
+                   for q in range(0, 900, 20)}
