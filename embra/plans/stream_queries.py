@@ -26,11 +26,13 @@ def _scratch(spark, name):
 
 
 def _file_stream(spark, sf, name, triggers):
-    """A driver table dealt into files that arrive one a trigger."""
+    """A driver table dealt into files, of which equal numbers arrive in every trigger.  There are as many as the table
+    has splits, so that no task writes or reads a third of it."""
     t = table(spark, sf, name)
     path = _scratch(spark, name)
-    t.repartition(triggers).write.parquet(path)
-    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = -(-t.rdd.getNumPartitions() // triggers)
+    t.repartition(triggers * each).write.parquet(path)
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @register("stream_word_count", sql=f"WITH {DOC_CORPUS}, {WC} SELECT word, cnt FROM wc")

@@ -76,3 +76,20 @@ def test_inference_places_the_model_once(spark, sf, tmp_path, monkeypatch):
     S.stream_infer(stream, params, vocab, pairs, spec, str(tmp_path / "out"), str(tmp_path / "ckpt"), iterations=2)
     assert len(calls) == 3 and len(made) == 1  # three triggers, one placing
     assert spark.read.parquet(str(tmp_path / "out")).select("sent_id").distinct().count() == 9
+
+
+def test_stream_files_follow_the_size_of_the_table(spark, tmp_path):
+    """A trigger takes several files, as many as the table has splits over the triggers: none is a third of it."""
+    from embra.plans.stream_queries import _file_stream
+    spark.range(9000).repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        s = _file_stream(spark, str(tmp_path), "documents", 3)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    seen = []
+    q = s.writeStream.foreachBatch(lambda d, i: seen.append((len(d.inputFiles()), d.count()))).option(
+        "checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) == 3 and min(f for f, _ in seen) >= 3 and sum(n for _, n in seen) == 9000
