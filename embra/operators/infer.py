@@ -75,10 +75,13 @@ def _all_passes(table: pa.Table, rows: pa.Table, spec: T.TrainSpec, alphas: list
     for i, alpha in enumerate(alphas if lines else []):
         step = X._Step(have.side, have.mats, spec, i)
         lines.feed(step, spec, None, have, docs)
-        if not step.docs:
+        if X.SENT not in step.counts:
             continue
-        at = np.array(list(step.docs))
-        g = np.stack([g / n if spec.combine == "mean" else g for g, n in step.docs.values()])
+        n = step.counts[X.SENT][:len(ids)]
+        at = np.flatnonzero(n)
+        g = step.sums[X.SENT][at]
+        if spec.combine == "mean":
+            g = g / n[at, None]
         v, s = _updated(spec, docs[at], state[at], g, alpha)
         docs = docs.copy()
         docs[at], state[at] = v, s

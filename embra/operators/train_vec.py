@@ -48,8 +48,8 @@ def _sum_rows(ids: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class _Step:
-    """Gradients of one group: examples wait until a piece is full, are scored together
-    and added up.  Words, nodes and categories have the numbers of :class:`Fetched`."""
+    """Gradients of one group: the examples of a piece are scored together and added
+    up.  Words, nodes and categories have the numbers of :class:`Fetched`."""
 
     def __init__(self, words: dict, mats: dict, spec: T.TrainSpec, epoch: int):
         self.words, self.mats, self.spec, self.epoch = words, mats, spec, epoch
@@ -63,98 +63,96 @@ class _Step:
         self.piece = max(1, PIECE_BYTES // (8 * spec.size * rows))
         self.sums: dict[int, np.ndarray] = {}
         self.counts: dict[int, np.ndarray] = {}
-        self.docs: dict[int, list] = {}
+        self.sent = mats.get("sent")  # the documents' vectors
         self._reset()
 
     def _reset(self) -> None:
         self.line, self.i, self.j, self.target = [], [], [], []
         self.in_ex, self.in_kind, self.in_id, self.in_w = [], [], [], []
-        self.doc_vecs: list[np.ndarray] = []
-        self.doc_nos: list[int] = []
-        self.n, self.centres = 0, 0
+        self.n = 0
 
-    def add(self, line_no: int, sent_no, svec, cat_no, tokens: np.ndarray, base: int, n: int, ii: np.ndarray):
-        """Examples of the centre positions ``ii`` of a line whose position p is
-        ``tokens[p - base]`` (-1: no word of the vocabulary)."""
+    def add(self, lines: "Lines", at: np.ndarray, ii: np.ndarray, tokens: np.ndarray, doc: np.ndarray,
+            cat: np.ndarray) -> None:
+        """Examples of the centre positions ``ii`` of the lines number ``at``, whose position p is
+        ``tokens[start + p - base]`` (-1: no word of the vocabulary); ``doc``, ``cat``: numbers of every line's (-1: none)."""
         spec, w = self.spec, self.spec.window
+        line_no, n = lines.line_no[at], lines.n[at]
+        shift = lines.starts[at] - lines.base[at]
         b = np.floor(keyed_draw_np(spec.seed, "win", self.epoch, line_no, ii) * w).astype(np.int64)
         lo = np.maximum(0, ii - w + b)
         hi = np.minimum(n - 1, ii + w - b)
         cnt = hi - lo + 1
         owner = np.repeat(np.arange(len(ii)), cnt)  # centre of each window slot
         jj = np.repeat(lo, cnt) + (np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt))
-        tok = tokens[jj - base]
-        doc = None
-        if spec.family != "word" and svec is not None:
-            doc = len(self.doc_vecs)  # place of the document vector in this piece
-            self.doc_vecs.append(svec)
-            self.doc_nos.append(int(sent_no))
+        tok = tokens[jj + shift[owner]]
+        own = tokens[ii + shift]
         if spec.arch == "sg":
             m = tok >= 0
             if spec.family == "word":
                 m &= jj != ii[owner]
-            ei, ej = ii[owner[m]], jj[m]
-            ex = self.n + np.arange(len(ei))
-            self._examples(line_no, ei, ej, tokens[ei - base] if spec.family == "word" else tok[m])
+            owner = owner[m]
+            self._examples(line_no[owner], ii[owner], jj[m], own[owner] if spec.family == "word" else tok[m])
             if spec.family == "word":
-                self._inputs(ex, SYN0, tok[m], 1.0)
+                self._inputs(np.arange(self.n), SYN0, tok[m], 1.0)
             else:
-                self._inputs(ex, SENT, doc, 1.0)
-                if spec.family == "cat" and cat_no is not None:
-                    self._inputs(ex, CAT, cat_no, 1.0)
+                self._known_inputs(np.arange(self.n), SENT, doc[at[owner]], 1.0)
+                if spec.family == "cat":
+                    self._known_inputs(np.arange(self.n), CAT, cat[at[owner]], 1.0)
         else:
-            ex = self.n + np.arange(len(ii))
-            self._examples(line_no, ii, -1, tokens[ii - base])
+            ex = np.arange(len(ii))
+            self._examples(line_no, ii, -1, own)
             m = (tok >= 0) & (jj != ii[owner])
             wt = np.ones(len(ii))
             if spec.cbow_mean:
                 wt = 1.0 / np.maximum(np.bincount(owner[m], minlength=len(ii)) + self.extra, 1)
-            self._inputs(ex[owner[m]], SYN0, tok[m], wt[owner[m]])
+            self._inputs(owner[m], SYN0, tok[m], wt[owner[m]])
             if self.extra >= 1:
-                self._inputs(ex, SENT, doc, wt)
-            if self.extra == 2 and cat_no is not None:
-                self._inputs(ex, CAT, cat_no, wt)
-        self.centres += len(ii)
+                self._known_inputs(ex, SENT, doc[at], wt)
+            if self.extra == 2:
+                self._known_inputs(ex, CAT, cat[at], wt)
+        self.score()
 
     def _examples(self, line_no, i, j, target) -> None:
-        k = len(i)
-        self.line.append(np.full(k, line_no, np.int64))
-        self.i.append(i)
-        self.j.append(np.broadcast_to(np.asarray(j, np.int64), k))
-        self.target.append(target)
-        self.n += k
+        self.line, self.i, self.target = line_no, i, target
+        self.j = np.broadcast_to(np.asarray(j, np.int64), len(i))
+        self.n = len(i)
 
     def _inputs(self, ex, kind, ids, weight) -> None:
-        if ids is None:
-            return
-        k = len(ex)
         self.in_ex.append(ex)
-        self.in_kind.append(np.full(k, kind))
-        self.in_id.append(np.broadcast_to(np.asarray(ids, np.int64), k))
-        self.in_w.append(np.broadcast_to(np.asarray(weight, np.float64), k))
+        self.in_kind.append(np.full(len(ex), kind))
+        self.in_id.append(ids)
+        self.in_w.append(np.broadcast_to(np.asarray(weight, np.float64), len(ex)))
+
+    def _known_inputs(self, ex, kind, ids, weight) -> None:
+        m = ids >= 0
+        self._inputs(ex[m], kind, ids[m], np.broadcast_to(np.asarray(weight, np.float64), len(ex))[m])
+
+    def _matrix(self, kind: int) -> np.ndarray:
+        return self.sent if kind == SENT else self.mats[KINDS[kind]]
 
     def score(self) -> None:
-        """Score the waiting examples and add their gradients."""
-        if not self.n or not self.in_ex:
+        """Score the examples and add their gradients."""
+        if not self.n or not sum(map(len, self.in_ex)):
+            self._reset()
+            return
+        if self.spec.arch == "sg" and self.spec.family != "word":
+            self._score_counted()
             self._reset()
             return
         spec, n, mats = self.spec, self.n, self.mats
         in_ex, in_kind, in_id, in_w = (np.concatenate(x) for x in (self.in_ex, self.in_kind, self.in_id, self.in_w))
         vec_in = np.zeros((len(in_ex), spec.size))
-        for kind, name in ((SYN0, "syn0"), (CAT, "cat")):
+        for kind in (SYN0, SENT, CAT):
             m = in_kind == kind
             if m.any():
-                vec_in[m] = mats[name][in_id[m]]
-        m = in_kind == SENT
-        if m.any():
-            vec_in[m] = np.stack(self.doc_vecs)[in_id[m]]
+                vec_in[m] = self._matrix(kind)[in_id[m]]
         l1 = np.zeros((n, spec.size))
         at, sums, _ = _sum_rows(in_ex, vec_in * in_w[:, None])
         l1[at] = sums
         del vec_in, sums
         has_in = np.zeros(n, dtype=bool)
         has_in[at] = True
-        target = np.concatenate(self.target)
+        target = self.target
         e_vec = np.zeros((n, spec.size))
         has_e = np.zeros(n, dtype=bool)
         for kind, name, r_ex, r_id, label in self._outputs(target):
@@ -179,6 +177,49 @@ class _Step:
                 self._gather(kind, in_id[m], e_vec[in_ex[m]])
         self._reset()
 
+    def _score_counted(self) -> None:
+        """DBoW: the input of an example is its document (and category), so equal outputs of one input are one row
+        with a count."""
+        spec, n, width = self.spec, self.n, self.spec.size
+        both = {}
+        for kind in (SENT, CAT):
+            both[kind] = np.full(n, -1)
+            for k, ex, ids in zip(self.in_kind, self.in_ex, self.in_id):
+                if len(k) and k[0] == kind:
+                    both[kind][ex] = ids
+        code = (both[SENT] + 1) * (len(self.mats["cat"]) + 1) + both[CAT] + 1
+        _, first, inp = np.unique(code, return_index=True, return_inverse=True)
+        sent, cat = both[SENT][first], both[CAT][first]
+        l1 = np.zeros((len(first), width))
+        for kind, ids in ((SENT, sent), (CAT, cat)):
+            l1[ids >= 0] += self._matrix(kind)[ids[ids >= 0]]
+        has_in = (sent >= 0) | (cat >= 0)
+        e_vec, has_e = np.zeros_like(l1), np.zeros(n, dtype=bool)
+        for kind, name, r_ex, r_id, label in self._outputs(self.target):
+            keep = has_in[inp[r_ex]]
+            r_ex, r_id, label = r_ex[keep], r_id[keep], label[keep]
+            key = (inp[r_ex] * len(self.mats[name]) + r_id) * 2 + label.astype(np.int64)
+            key, back, times = np.unique(key, return_inverse=True, return_counts=True)
+            where, row = np.divmod(key >> 1, len(self.mats[name]))
+            label = (key & 1).astype(np.float64)
+            ovec = self.mats[name][row]
+            dt = np.einsum("ij,ij->i", l1[where], ovec)
+            ok = np.abs(dt) < T.MAX_EXP
+            has_e[r_ex if ok.all() else r_ex[ok[back]]] = True
+            where, row, ovec, times = where[ok], row[ok], ovec[ok], times[ok]
+            if not len(where):
+                continue
+            g = (label[ok] - 1.0 / (1.0 + np.exp(-dt[ok]))) * times
+            at, sums, _ = _sum_rows(where, g[:, None] * ovec)
+            e_vec[at] += sums
+            if spec.word_learn:
+                self._gather(kind, row, g[:, None] * l1[where], times)
+        times = np.bincount(inp[has_e], minlength=len(first))
+        for kind, ids in ((SENT, sent), (CAT, cat)):
+            m = (ids >= 0) & (times > 0)
+            if kind in self.learn and m.any():
+                self._gather(kind, ids[m], e_vec[m], times[m])
+
     def _outputs(self, target: np.ndarray):
         """(kind, matrix, example, row, label) of the output rows of every example."""
         spec, words, n = self.spec, self.words, self.n
@@ -189,8 +230,7 @@ class _Step:
             t = target[ex]
             yield SYN1, "syn1", ex, words["hs_pts"][t, pos], 1.0 - words["hs_codes"][t, pos]
         if spec.negative:
-            line, i, j = (np.concatenate(x)[:, None] for x in (self.line, self.i, self.j))
-            u = self.draws(line, i, j)
+            u = self.draws(self.line[:, None], self.i[:, None], self.j[:, None])
             at = np.searchsorted(words["noise_lo"], u.ravel(), side="right") - 1
             ex = np.repeat(np.arange(n), spec.negative)
             k = words["noise_word"][np.maximum(at, 0)]
@@ -202,30 +242,34 @@ class _Step:
         return keyed_draw_np(self.spec.seed, "neg", self.epoch, line, i, j,
                              np.arange(1, self.spec.negative + 1)[None, :])
 
-    def _gather(self, kind: int, ids: np.ndarray, vecs: np.ndarray) -> None:
+    def _gather(self, kind: int, ids: np.ndarray, vecs: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Add gradients of rows, each of so many examples."""
         at, sums, n = _sum_rows(ids, vecs)
-        if kind == SENT:
-            for place, g, k in zip(at.tolist(), sums, n.tolist()):
-                have = self.docs.get(self.doc_nos[place])
-                self.docs[self.doc_nos[place]] = [g, k] if have is None else [have[0] + g, have[1] + k]
-            return
         if kind not in self.sums:
-            self.sums[kind] = np.zeros_like(self.mats[KINDS[kind]])
+            self.sums[kind] = np.zeros_like(self._matrix(kind))
             self.counts[kind] = np.zeros(len(self.sums[kind]), np.int64)
         self.sums[kind][at] += sums
-        self.counts[kind][at] += n
+        if times is None:
+            self.counts[kind][at] += n
+        else:
+            np.add.at(self.counts[kind], ids, times)
+
 
 class _Draws(_Step):
     """Only the noise buckets that the examples' draws fall into."""
 
     def __init__(self, spec: T.TrainSpec, epoch: int, buckets: int):
         super().__init__({"hs_pts": np.zeros((0, 0), np.int64)}, {}, spec, epoch)
-        self.buckets, self.hit = buckets, np.zeros(0, np.int64)
+        self.buckets, self.hits = buckets, np.zeros(buckets, dtype=bool)
+
+    @property
+    def hit(self) -> np.ndarray:
+        return np.flatnonzero(self.hits)
 
     def score(self) -> None:
         if self.n:
-            u = self.draws(*(np.concatenate(x)[:, None] for x in (self.line, self.i, self.j)))
-            self.hit = np.union1d(self.hit, np.floor(u * self.buckets).astype(np.int64))
+            u = self.draws(self.line[:, None], self.i[:, None], self.j[:, None])
+            self.hits[np.floor(u * self.buckets).astype(np.int64)] = True
         self._reset()
 
 
@@ -287,36 +331,33 @@ class Lines:
         self.tokens = pa.compute.fill_null(idxs.flatten(), -1).to_numpy().astype(np.int64)
         self.ends = np.cumsum(pa.compute.list_value_length(idxs).to_numpy())
         self.starts = np.append(0, self.ends[:-1]).astype(np.int64)
-        self.cols = {c: table[c].to_pylist() for c in LINE_COLS if c != "idxs"}
-        self.doc = np.array([-1 if d is None else d for d in self.cols["sent_no"]], np.int64)
-        self.cat = np.array([-1 if c is None else c for c in self.cols["cat_no"]], np.int64)
+        self.line_no, self.base, self.c_lo, self.c_hi, self.n = (
+            table[c].to_numpy().astype(np.int64) for c in ("line_no", "base", "c_lo", "c_hi", "n"))
+        self.doc, self.cat = (pa.compute.fill_null(table[c].cast(pa.int64()), -1).to_numpy()
+                              for c in ("sent_no", "cat_no"))
 
     def feed(self, step: _Step, spec: T.TrainSpec, batch: int | None, rows: Fetched | None = None,
              docs: np.ndarray | None = None) -> None:
-        """Give the lines' examples to ``step``; with ``rows``, in their numbering, with the documents' vectors from
-        ``docs`` or else as fetched."""
+        """Give the lines' examples to ``step``, centres of many lines at once; with ``rows``, in their numbering, with
+        the documents' vectors from ``docs`` or else as fetched."""
         K, B = spec.batches, spec.slice_len
         tokens, doc, cat = self.tokens, np.full(len(self.doc), -1), np.full(len(self.cat), -1)
         if rows is not None:
             tokens = np.where(tokens >= 0, rows.local(SYN0, tokens), -1)
             doc, cat = rows.local(SENT, self.doc), rows.local(CAT, self.cat)
-            docs = rows.mats["sent"] if docs is None else docs
-        c = self.cols
-        for k in range(len(self.starts)):
-            line_no, base = c["line_no"][k], c["base"][k]
-            own = tokens[self.starts[k]:self.ends[k]]
-            ii = np.arange(c["c_lo"][k], c["c_hi"][k], dtype=np.int64)
-            keep = own[ii - base] >= 0
+            step.sent = rows.mats["sent"] if docs is None else docs
+        count = np.maximum(self.c_hi - self.c_lo, 0)
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        for first in range(0, total, step.piece):
+            k = np.arange(first, min(first + step.piece, total))
+            at = np.searchsorted(ends, k, side="right")
+            ii = self.c_lo[at] + k - (ends[at] - count[at])
+            keep = tokens[self.starts[at] + ii - self.base[at]] >= 0
             if K > 1 and batch is not None:
-                keep &= (line_no + ii // B) % K == batch
-            ii = ii[keep]
-            vec = docs[doc[k]] if doc[k] >= 0 else None
-            for i in range(0, len(ii), step.piece):
-                part = ii[i:i + step.piece]
-                if step.centres and step.centres + len(part) > step.piece:
-                    step.score()
-                step.add(line_no, doc[k], vec, cat[k] if cat[k] >= 0 else None, own, base, c["n"][k], part)
-        step.score()
+                keep &= (self.line_no[at] + ii // B) % K == batch
+            if keep.any():
+                step.add(self, at[keep], ii[keep], tokens, doc, cat)
 
 
 def _gradient_rows(step: _Step, rows: Fetched) -> pa.Table:
@@ -328,12 +369,6 @@ def _gradient_rows(step: _Step, rows: Fetched) -> pa.Table:
         ids.append(rows.ids[code][at])
         grads.append(step.sums[code][at])
         counts.append(n[at])
-    if step.docs:
-        places = np.array(list(step.docs))
-        kinds += ["sent"] * len(places)
-        ids.append(rows.ids[SENT][places])
-        grads.append(np.stack([g for g, _ in step.docs.values()]))
-        counts.append(np.array([n for _, n in step.docs.values()]))
     flat = np.concatenate(grads)
     offsets = np.arange(len(flat) + 1, dtype=np.int32) * step.spec.size
     none = np.zeros(0, np.int64)

@@ -144,3 +144,30 @@ def test_hot_documents_are_dealt_over_partitions(spark, sf, monkeypatch):
     groups = spread.select("sent_no", "part").distinct().groupBy("sent_no").count()
     assert groups.filter("count > 1").count() > 3
     assert _rows(train_epoch_vec(p0, lines, vocab, spec, 0)) == ref
+
+
+def test_centres_of_many_lines_go_together():
+    """Short lines don't cost a call each, and equal outputs of a document are scored as one row with a count."""
+    import numpy as np
+    import pyarrow as pa
+
+    from embra.operators import train as T
+    from embra.operators import train_vec as X
+    n, spec = 500, T.TrainSpec(family="sent", arch="sg", hs=False, negative=2, size=4, window=2)
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 6, (n, 7))
+    long = pa.int64()
+    table = pa.table({"line_no": pa.array(range(n), long), "sent_no": pa.array([k % 10 for k in range(n)], long),
+                      "cat_no": pa.nulls(n, long), "idxs": pa.array(words.tolist(), pa.list_(long)),
+                      "base": pa.array([0] * n, long), "c_lo": pa.array([0] * n, long),
+                      "c_hi": pa.array([7] * n, long), "n": pa.array([7] * n, long)})
+
+    class Count:
+        piece, calls, centres = 1_000, 0, 0
+
+        def add(self, lines, at, ii, *rest):
+            self.calls, self.centres = self.calls + 1, self.centres + len(ii)
+
+    step = Count()
+    X.Lines(table).feed(step, spec, None)
+    assert (step.calls, step.centres) == (4, 7 * n)
