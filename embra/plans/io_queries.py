@@ -103,6 +103,12 @@ def _doc_token_lines(spark, sf):
     return d.select("doc_id", F.array_join(simple_preprocess("text"), " ").alias("value"))
 
 
+def _write_doc_lines(spark, sf, path, compression=None):
+    """The documents' words, a line each."""
+    write_lines(table(spark, sf, "documents").select("doc_id", "text"), path, ["doc_id"], compression=compression,
+                value=F.array_join(simple_preprocess("text"), " "))
+
+
 _LINE_SQL = (f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, {simple_preprocess_sql('text')} AS words "
              f"FROM documents")
 
@@ -110,7 +116,7 @@ _LINE_SQL = (f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, {simpl
 @register("src_line", sql=_LINE_SQL)
 def q_src_line(spark, sf):
     path = _scratch(spark, "line")
-    write_lines(_doc_token_lines(spark, sf), path, ["doc_id"])
+    _write_doc_lines(spark, sf, path)
     return read_line_sentences(spark, path).select("line_no", "words")
 
 
@@ -118,7 +124,7 @@ def q_src_line(spark, sf):
 def q_src_compressed(spark, sf):
     """Line sentences written gzip-compressed, decoded transparently."""
     path = _scratch(spark, "line_gz")
-    write_lines(_doc_token_lines(spark, sf), path, ["doc_id"], compression="gzip")
+    _write_doc_lines(spark, sf, path, "gzip")
     return read_line_sentences(spark, path).select("line_no", "words")
 
 
@@ -126,7 +132,7 @@ def q_src_compressed(spark, sf):
 def q_src_compressed_bz2(spark, sf):
     """The same written with bzip2 (a splittable codec)."""
     path = _scratch(spark, "line_bz2")
-    write_lines(_doc_token_lines(spark, sf), path, ["doc_id"], compression="bzip2")
+    _write_doc_lines(spark, sf, path, "bzip2")
     return read_line_sentences(spark, path).select("line_no", "words")
 
 

@@ -6,14 +6,23 @@ order and the header (smallest key) starts the first part file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def write_lines(df: DataFrame, path: str, order: list, header: list[str] | DataFrame | None = None,
-                compression: str | None = None, mode: str = "overwrite") -> None:
+                compression: str | None = None, mode: str = "overwrite", value: Column | None = None) -> None:
     """Write ``df.value`` in ``order``; ``header`` lines (literal strings or
-    a DataFrame of ``value``) come first."""
+    a DataFrame of ``value``) come first.  ``value``: the line as an expression over
+    ``df``, computed after the sort, whose sampling would run it once more."""
+    if value is not None:
+        if header is not None:
+            raise ValueError("a header needs lines that are a column")
+        w = df.orderBy(*order).select(value.alias("value")).write.mode(mode)
+        if compression:
+            w = w.option("compression", compression)
+        w.text(path)
+        return
     body = df.select(F.lit(1).alias("_h"), F.lit(0).cast("long").alias("_hn"), *order, "value")
     if header is not None:
         if isinstance(header, DataFrame):

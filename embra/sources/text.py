@@ -21,7 +21,7 @@ def read_lines(spark: SparkSession, source, shuffle_files_seed: int | None = Non
     """(line_no, file, value) in file order; ``shuffle_files_seed`` orders
     the files by a keyed draw instead of by name (the split reader's rand)."""
     if isinstance(source, DataFrame):
-        df = source.select("value", F.lit("").alias("file"), F.lit(0).cast("long").alias("_blk"),
+        df = source.select("value", F.lit("").alias("file"), F.spark_partition_id().cast("long").alias("_blk"),
                            F.monotonically_increasing_id().alias("_m"))
     else:
         paths = [source] if isinstance(source, str) else list(source)
@@ -29,10 +29,19 @@ def read_lines(spark: SparkSession, source, shuffle_files_seed: int | None = Non
               .select("value", F.col("_metadata.file_path").alias("file"),
                       F.col("_metadata.file_block_start").alias("_blk"),
                       F.monotonically_increasing_id().alias("_m")))
+    # files are read (and unpacked) once; a split is read in order by one task, so a line's number is its place there
+    # and the lines of the splits before, summed over one row per split
+    df = df.checkpoint(eager=True)
+    splits = df.groupBy("file", "_blk").agg(F.count(F.lit(1)).alias("n"), F.min("_m").alias("_m0"),
+                                            F.max("_m").alias("_m1")).checkpoint(eager=True)
     fkey = F.col("file") if shuffle_files_seed is None else keyed_uniform(shuffle_files_seed, F.col("file"))
-    df = df.withColumn("_fk", fkey)
-    out = dense_index(df, [F.col("_fk"), F.col("file"), F.col("_blk"), F.col("_m")], "line_no")
-    return out.select("line_no", "file", "value")
+    if not splits.filter("_m1 - _m0 + 1 <> n").isEmpty():  # a file that is named twice
+        return dense_index(df.withColumn("_fk", fkey), [F.col(c) for c in ("_fk", "file", "_blk", "_m")],
+                           "line_no").select("line_no", "file", "value")
+    before = Window.orderBy(fkey, "file", "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_m0")).alias("_shift")
+    return df.join(F.broadcast(splits.select("file", "_blk", shift)), ["file", "_blk"]).select(
+        (F.col("_m") + F.col("_shift")).cast("long").alias("line_no"), "file", "value")
 
 
 def _rstrip(c):

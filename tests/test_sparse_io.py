@@ -206,3 +206,21 @@ def test_one_line_token_stream_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
     assert [w for r in got for w in r["words"]] == words
     assert [len(r["words"]) for r in got] == [300] * 16 + [200] and [r["line_no"] for r in got] == list(range(17))
+
+
+def test_lines_sorted_before_and_numbered_without_a_sort(spark, tmp_path):
+    """Lines are made after the sort and numbered by split; a file that is named twice is read twice."""
+    from pyspark.sql import functions as F
+
+    from embra.sinks.text import write_lines
+    from embra.sources.text import read_lines
+    path = f"{tmp_path}/bz2"
+    write_lines(spark.range(500).select((499 - F.col("id")).alias("k")), path, ["k"], compression="bzip2",
+                value=F.concat(F.lit("w"), F.col("k")))
+    assert [(r["line_no"], r["value"]) for r in read_lines(spark, path).orderBy("line_no").collect()] == [
+        (k, f"w{k}") for k in range(500)]
+    for name in "ab":
+        (tmp_path / name).write_text(f"{name}1\n{name}2\n")
+    got = read_lines(spark, [f"{tmp_path}/b", f"{tmp_path}/a", f"{tmp_path}/b"]).orderBy("line_no").collect()
+    assert [r["line_no"] for r in got] == list(range(6))
+    assert [r["value"] for r in got] == ["a1", "a2", "b1", "b2", "b1", "b2"]
