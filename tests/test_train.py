@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from embra.functions.vectors import r6_array
+from embra.functions.vectors import keyed_draw_np, r6_array
 from embra.operators import train as T
 from embra.operators import vocab as V
 from embra.operators.infer import infer_vectors
@@ -96,3 +97,38 @@ def test_frequent_words_do_not_gather_in_one_partition(spark):
     finally:
         for n, x in before.items():
             spark.conf.set(n, x)
+
+
+@pytest.mark.parametrize("segment_len", [None, 4])
+def test_lines_bring_each_word_to_the_vocabulary_once_a_chunk(spark, monkeypatch, segment_len):
+    """Not a row for every token; lines of equal keys are one, null words keep their place, in chunks of any size."""
+    seen = []
+    look_up = T.lookup_words
+    monkeypatch.setattr(T, "lookup_words", lambda tokens, *a: seen.append(tokens.count()) or look_up(tokens, *a))
+    lines = [(1, "d", ["a", "b"] * 30 + ["x"]), (1, "d", ["b", "c", "a"]), (None, "e", ["c", None, "zz", "a"]), (3, "f", None),
+             (4, None, ["zz"]), (5, "g", [])]
+    corpus = spark.createDataFrame(lines, "line_no long, sent_id string, words array<string>").withColumn(
+        "cat_id", F.lit("k")).coalesce(1)
+    vocab = spark.createDataFrame([("a", 0, 9, 1.0), ("b", 1, 5, 0.4), ("c", 2, 3, 0.9)],
+                                  "word string, idx long, cnt long, sample_prob double")
+    ids = {"a": 0, "b": 1, "c": 2}
+    spec = T.TrainSpec(family="cat", window=2, sample=0.1, seed=3)
+    merged = sorted(((p, ids.get(w, -1)) for _, _, words in lines[:2] for p, w in enumerate(words)),
+                    key=lambda x: (x[0], x[1]))
+    for chunk, step in ((1, 1), (1 << 20, 64)):
+        monkeypatch.setattr(T, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(T, "CHUNK_LINES", step)
+        got = T.prepare_lines(corpus, vocab, spec, keep_oov=True).collect()
+        assert {r["line_no"]: r["idxs"] for r in got} == {1: [i if i >= 0 else None for _, i in merged],
+                                                          None: [2, None, 0], 4: [None]}
+        seen.clear()
+        got = T.prepare_lines(corpus, vocab, spec, 1, segment_len=segment_len).collect()
+        assert sum(seen) <= 6 or step == 1
+        u = [float(keyed_draw_np(3, "sub", 1, 1, p)) for p in range(61)]
+        want = [i for p, i in merged if i == 0 or i > 0 and (0.4, 0.9)[i - 1] >= u[p]]
+        if not segment_len:
+            # a draw without a line number keeps only what is always kept
+            assert {r["line_no"]: r["idxs"] for r in got} == {1: want, None: [0]}
+        else:
+            own = sorted((r["c_lo"], r["idxs"][r["c_lo"] - r["base"]:r["c_hi"] - r["base"]]) for r in got if r["line_no"] == 1)
+            assert [i for _, x in own for i in x] == want
