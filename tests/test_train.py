@@ -132,3 +132,31 @@ def test_lines_bring_each_word_to_the_vocabulary_once_a_chunk(spark, monkeypatch
         else:
             own = sorted((r["c_lo"], r["idxs"][r["c_lo"] - r["base"]:r["c_hi"] - r["base"]]) for r in got if r["line_no"] == 1)
             assert [i for _, x in own for i in x] == want
+
+
+@pytest.mark.parametrize("arch,sums", [("sg", 1), ("cbow", 2)])
+def test_the_relational_step_moves_only_partial_sums(spark, monkeypatch, arch, sums):
+    """Examples are joined with vectors where they are made: no shuffle but those of the summed gradients."""
+    moves, gradients, name = [], T.gradients, "spark.sql.requireAllClusterKeysForCoPartition"
+
+    def watched(*args):
+        g = gradients(*args)
+        spark.conf.set(name, "false")
+        moves.append(g._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        spark.conf.set(name, "true")
+        return g
+
+    monkeypatch.setattr(T, "gradients", watched)
+    rows = [(i, "k", str(i % 7), [f"w{(i * 3 + k * k) % 11}" for k in range(9)]) for i in range(30)]
+    corpus = spark.createDataFrame(rows, "line_no long, cat_id string, sent_id string, words array<string>")
+    spec = T.TrainSpec(family="cat", arch=arch, hs=True, negative=2, size=4, window=2, min_count=1, batches=1).validate()
+    vocab = V.build_vocab(corpus, 1, hs=True, negative=2).checkpoint(eager=True)
+    docs, cats = V.doc_ids(corpus), V.cat_ids(corpus)
+    lines = T.prepare_lines(corpus, vocab, spec, 0, docs, cats).checkpoint(eager=True)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert T.train_epoch(T.init_params(spec, vocab, docs, cats), lines, vocab, spec).count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moves == [sums]
