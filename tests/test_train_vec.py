@@ -171,3 +171,44 @@ def test_centres_of_many_lines_go_together():
     step = Count()
     X.Lines(table).feed(step, spec, None)
     assert (step.calls, step.centres) == (4, 7 * n)
+
+
+def test_columns_are_added_with_repeated_ids():
+    import numpy as np
+
+    from embra.operators import train_vec as X
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal((3, 20))
+    for rows in (7, 5_000):  # more and fewer ids than rows
+        ids, at, weight = rng.integers(0, 7, 300), rng.integers(0, 20, 300), rng.standard_normal(300)
+        got, want = np.ones((3, rows)), np.ones((rows, 3))
+        X._add_columns(got, ids, a, at, weight)
+        np.add.at(want, ids, weight[:, None] * a[:, at].T)
+        assert np.allclose(got, want.T)
+
+
+def test_step_measures_no_batches_and_sums_without_objects(spark, sf):
+    """Spark's check of a batch's bytes after every row, and sums of vectors as objects, took most of a step's time."""
+    from embra.operators import train_vec as X
+    from embra.operators.param_store import ParamStore, written
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+
+    class Rows:
+        sparkSession = spark
+
+        def checkpoint(self, eager):
+            seen.append(spark.conf.get(name))
+
+    before = spark.conf.get(name)
+    written(Rows())
+    assert seen == [str((1 << 31) - 1)] and spark.conf.get(name) == before
+
+    spec = T.TrainSpec(family="sent", arch="cbow", hs=True, size=4, window=2, min_count=3, seed=11).validate()
+    corpus = benchmark_corpus(spark, sf)
+    vocab, docs = V.build_vocab(corpus, spec.min_count).checkpoint(eager=True), V.doc_ids(corpus)
+    lines = T.prepare_lines(corpus, vocab, spec, 0, docs, segment_len=T.SEGMENT_LEN).checkpoint(eager=True)
+    store = ParamStore(T.init_params(spec, vocab, docs))
+    dealt, _ = X.spread_lines(lines, spec, 2)
+    keys, side = X.group_keys(dealt, vocab, spec, [0], store)
+    plan = X.gradients_vec(store, dealt, keys, side, spec)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
