@@ -160,3 +160,20 @@ def test_the_relational_step_moves_only_partial_sums(spark, monkeypatch, arch, s
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert moves == [sums]
+
+
+def test_noise_draws_are_not_computed_again_by_filters(spark):
+    """A null check on a draw would repeat its steps, each squaring the one before, term by term."""
+    spec = T.TrainSpec(family="cat", arch="sg", hs=False, negative=2, window=2)
+    tg = spark.createDataFrame([(0, 7, 1, 1, 2, 0, 0), (0, None, 1, 1, 2, 0, 0)],
+                               "part int, line_no long, i long, j long, target long, sent_no long, cat_no long")
+    words = spark.createDataFrame([(0, k, k / 8, (k + 1) / 8) for k in range(8)],
+                                  "part int, idx long, noise_lo double, noise_hi double")
+    out = T.targets_out(tg, words, spec)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "48271" in plan and not [x for x in plan.splitlines() if "Filter" in x and "48271" in x]
+    u = keyed_draw_np(1, "neg", 0, 7, 1, 1, [1, 2])
+    want = sorted({(int(x * 8), 0.0) for x in u if int(x * 8) != 2} | {(2, 1.0)})
+    got = out.filter("line_no is not null").select("out_id", "label").distinct().collect()
+    assert sorted((r["out_id"], r["label"]) for r in got) == want
+    assert [r["out_id"] for r in out.filter("line_no is null").collect()] == [2]  # a line without a number draws nothing
