@@ -8,6 +8,10 @@ Compressed files (.gz, .bz2) are decoded by the Hadoop codecs.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,23 +108,69 @@ def stream_tokens(spark, source) -> DataFrame:
     return toks.filter("word is not null").withColumn("m", F.monotonically_increasing_id())
 
 
+def token_chunks(tokens: DataFrame, size: int) -> DataFrame:
+    """(file, split, run, chunk, n, text): the tokens of :func:`stream_tokens` as strings of ``size`` tokens with single
+    spaces between, the last one of a split shorter.  ``run`` tells splits apart that are read more than once."""
+    def pack(batches):
+        run, key, held, n, chunk = TaskContext.get().partitionId() << 32, None, [], 0, 0
+
+        def rows(words: pa.Array, count: int, each: int):
+            ends = pa.array(np.arange(count + 1, dtype=np.int32) * each)
+            text = pa.compute.binary_join(pa.ListArray.from_arrays(ends, words), " ")
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * count, pa.string()), pa.array([key[1]] * count, pa.int64()),
+                 pa.array([run] * count, pa.int64()), pa.array(range(chunk, chunk + count), pa.int64()),
+                 pa.array([each] * count, pa.int64()), text.cast(pa.string())],
+                names=["file", "split", "run", "chunk", "n", "text"])
+
+        for batch in batches:
+            file, split = batch["file"].dictionary_encode(), batch["split"].to_numpy()
+            other = (np.diff(split) != 0) | (np.diff(file.indices.to_numpy()) != 0)
+            cuts = [0, *(np.flatnonzero(other) + 1).tolist(), len(split)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                here = (file[lo].as_py(), int(split[lo]))
+                if here != key:
+                    if n:
+                        yield rows(pa.concat_arrays(held), 1, n)
+                    run, key, held, n, chunk = run + 1, here, [], 0, 0
+                held.append(batch["word"].slice(lo, hi - lo))
+                n += hi - lo
+                if n >= size:
+                    words, full = pa.concat_arrays(held), n // size
+                    yield rows(words.slice(0, full * size), full, size)
+                    held, n, chunk = [words.slice(full * size)], n % size, chunk + full
+        if n:
+            yield rows(pa.concat_arrays(held), 1, n)
+
+    return tokens.select("file", "split", "word").mapInArrow(
+        pack, "file string, split long, run long, chunk long, n long, text string")
+
+
 def read_text8(spark, source, sentence_len: int = 1000) -> DataFrame:
     """One token stream cut into sentences of ``sentence_len`` tokens.
 
-    A token's position is its place in its split and the tokens of the splits before,
-    summed over one row per split; a sentence groups at most ``sentence_len`` tokens."""
+    Tokens are written and moved as strings of a sentence's length, not one by one.  A string's position is its place
+    in its split and the tokens of the splits before, summed over one row per split; it meets two sentences at most."""
     # written once: places within a split must not change between the two uses
-    toks = stream_tokens(spark, source).checkpoint(eager=True)
-    splits = toks.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m0"))
-    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("m0")).alias("shift"))
-    pos = (F.col("m") + F.col("shift")).alias("pos")
-    g = (toks.join(splits, ["file", "split"]).select("word", pos)
-         .groupBy(F.floor(F.col("pos") / sentence_len).cast("long").alias("line_no"))
-         .agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("_t")))
-    return g.select("line_no", F.lit(None).cast("string").alias("cat_id"),
-                    F.lit(None).cast("string").alias("sent_id"),
-                    F.transform("_t", lambda t: t["word"]).alias("words"))
+    chunks = token_chunks(stream_tokens(spark, source), sentence_len).checkpoint(eager=True)
+    splits = chunks.groupBy("file", "split", "run").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("file", "split", "run").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    at = chunks.join(splits, "run").select("n", "text", (F.col("start") + F.col("chunk") * sentence_len).alias("pos"))
+    line, own = F.floor(F.col("pos") / sentence_len).cast("long"), F.lit(sentence_len) - F.col("pos") % sentence_len
+    at = at.select("pos", "text", line.alias("line_no"), F.when(own < F.col("n"), own.cast("int")).alias("own"))
+    at = at.withColumn("head", F.when(F.col("own").isNull(), F.col("text")).otherwise(
+        F.expr("substring_index(text, ' ', own)")))
+    rest = F.struct((F.col("line_no") + 1).alias("line_no"), (F.col("pos") + F.col("own")).alias("pos"),
+                    F.expr("substring(text, length(head) + 2)").alias("text"))
+    first = F.struct("line_no", "pos", F.col("head").alias("text"))
+    g = (at.select(F.explode(F.array(first, F.when(F.col("own").isNotNull(), rest))).alias("p"))
+         .filter("p is not null").select("p.*")
+         .groupBy("line_no").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_t")))
+    return g.select("line_no", F.lit(None).cast("string").alias("cat_id"), F.lit(None).cast("string").alias("sent_id"),
+                    F.split(F.array_join(F.transform("_t", lambda t: t["text"]), " "), " ").alias("words"))
 
 
 def read_brown(spark, source) -> DataFrame:

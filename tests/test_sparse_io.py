@@ -208,6 +208,34 @@ def test_one_line_token_stream_is_read_by_many_tasks(spark, tmp_path):
     assert [len(r["words"]) for r in got] == [300] * 16 + [200] and [r["line_no"] for r in got] == list(range(17))
 
 
+def test_token_streams_are_written_as_strings_of_a_sentence(spark, tmp_path):
+    """Not a row for every token: full strings and a shorter one per split, whatever the batches, files and splits."""
+    from embra.sources.text import read_text8, stream_tokens, token_chunks
+    words = [f"wörd{i}" for i in range(1000)]
+    for name, some in (("a", words[:310]), ("b", []), ("c", words[310:])):
+        (tmp_path / name).write_text(" ".join(some))
+    conf = {"spark.sql.files.maxPartitionBytes": "2500", "spark.sql.files.openCostInBytes": "1",
+            "spark.sql.execution.arrow.maxRecordsPerBatch": "37"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        paths = [f"{tmp_path}/{x}" for x in "cab"]
+        rows = token_chunks(stream_tokens(spark, paths), 50).collect()
+        assert len({(r["file"], r["split"]) for r in rows}) > 3
+        assert len(rows) <= 20 + len({r["run"] for r in rows}) and all(r["n"] == len(r["text"].split(" ")) for r in rows)
+        for size in (7, 50, 5000):
+            got = read_text8(spark, paths, size).orderBy("line_no").collect()
+            assert [r["words"] for r in got] == [words[k:k + size] for k in range(0, 1000, size)]
+            assert [r["line_no"] for r in got] == list(range(len(got)))
+        twice = read_text8(spark, [f"{tmp_path}/a", f"{tmp_path}/a"], 50).collect()
+        assert sorted(w for r in twice for w in r["words"]) == sorted(2 * words[:310]) and len(twice) == 13
+        assert read_text8(spark, [f"{tmp_path}/b"], 50).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_lines_sorted_before_and_numbered_without_a_sort(spark, tmp_path):
     """Lines are made after the sort and numbered by split; a file that is named twice is read twice."""
     from pyspark.sql import functions as F
