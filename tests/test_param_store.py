@@ -60,3 +60,25 @@ def test_a_mini_batch_moves_only_the_rows_that_groups_read(spark, sf):
     assert "Exchange hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
     n = keys.filter("batch = 0 and kind = 'syn0'").groupBy("part").count().agg(F.max("count")).first()[0]
     assert n < vocab.count()
+
+
+def test_little_data_has_few_tasks(spark):
+    """Blocks and ranges follow the rows, not the number of shuffle partitions."""
+    from embra.operators.ordering import dense_index
+    from embra.operators.param_store import ParamStore
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "150")
+    try:
+        rows = spark.range(300).select(F.lit("syn0").alias("kind"), "id", F.array(F.lit(1.0)).alias("vec"),
+                                       F.array().cast("array<double>").alias("state"))
+        store = ParamStore(rows)
+        grads = rows.repartition(3).select("kind", "id", F.array(F.lit(0.5)).alias("grad"))
+        store.append(store.read(store.place(grads), state=True))
+        assert [x.rdd.getNumPartitions() for x in store.layers] == 2 * [spark.sparkContext.defaultParallelism]
+        ix = dense_index(rows, [F.col("id").desc()])
+        assert ix.rdd.getNumPartitions() < 10
+        assert [(r["id"], r["idx"]) for r in ix.orderBy("idx").collect()] == [(299 - k, k) for k in range(300)]
+        assert dense_index(rows.filter("id < 0"), [F.col("id")]).count() == 0
+    finally:
+        spark.conf.set(name, before)

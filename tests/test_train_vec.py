@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from embra.functions.vectors import r6_array
 from embra.operators import train as T
@@ -212,3 +213,34 @@ def test_step_measures_no_batches_and_sums_without_objects(spark, sf):
     keys, side = X.group_keys(dealt, vocab, spec, [0], store)
     plan = X.gradients_vec(store, dealt, keys, side, spec)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_groups_are_as_large_as_their_different_rows_allow(spark, monkeypatch):
+    """A token was taken to bring new rows always: a vocabulary of more than GROUP_BYTES made groups many times smaller."""
+    from embra.operators import train_vec as X
+    n = 100_000
+    vocab = spark.range(n).select(F.col("id").alias("idx"), (1 + F.floor(10_000_000 / (F.col("id") + 1))).alias("cnt"))
+    spec = T.TrainSpec(family="sent", arch="cbow", hs=True, size=16, batches=2).validate()
+    monkeypatch.setattr(X, "GROUP_BYTES", n * 16 * 8)  # half of all rows
+    tokens = X._group_tokens(vocab, spec)
+    counts = [1 + 10_000_000 // (k + 1) for k in range(n)]
+
+    def rows(tokens):
+        return 2 * sum(min(1.0, tokens * c / sum(counts)) for c in counts)
+
+    assert rows(tokens) <= n < rows(2 * tokens) and tokens > 5 * (n // 5)
+    # the tokens of the largest mini-batch count, the others aren't there at the same time
+    lines = T.with_segment_cols(spark.range(40).select(F.col("id").alias("line_no"), F.lit(1).cast("long").alias("sent_no"),
+                                                       F.array_repeat(F.lit(0).cast("long"), 100).alias("idxs")))
+    monkeypatch.setattr(X, "GROUP_TOKENS", 100)
+    assert X.group_count(lines, vocab, spec) == 20
+
+
+def test_the_kernel_gets_the_lines_of_its_batch(spark):
+    from embra.operators import train_vec as X
+    spec = T.TrainSpec(family="sent", batches=3, slice_len=10)
+    rows = [(k, c, c + 15) for k in range(6) for c in (0, 10, 25)]
+    lines = spark.createDataFrame(rows, "line_no long, c_lo long, c_hi long")
+    for b in range(3):
+        want = sorted(r for r in rows if b in {(r[0] + i // 10) % 3 for i in range(r[1], r[2])})
+        assert sorted(map(tuple, X.in_batch(lines, spec, b).collect())) == want
